@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import map_batches, small_batches, spread
 
 #: Moves, pieces and pairs of tokens kept by each Python worker; beyond them a cache starts again.
-MAX_MOVES, MAX_PIECES, MAX_PAIRS = 300_000, 200_000, 300_000
+MAX_MOVES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 600_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +56,7 @@ class Transducer:
             for size in range(1, len(token) + 1):
                 self.begins.setdefault(token[:size], len(self.begins))
         self.suffix = list(self.begins)
-        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.moves: dict[int, tuple[int, list]] = {}
         self.pairs: dict[int, bool] = {}
 
     def _merged(self, piece: bytes) -> list[bytes]:
@@ -84,12 +85,12 @@ class Transducer:
             else:
                 return True
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
+    def _move(self, state: int, byte: int) -> tuple[int, list]:
         """Makes the move of a state under a byte: the next state, and (size, token) of what may end there."""
         suffix = self.suffix[state] + bytes((byte,))
         while suffix not in self.begins:
             suffix = suffix[1:]
-        ends = tuple((len(suffix) - i, self.ends[suffix[i:]]) for i in range(len(suffix)) if suffix[i:] in self.ends)
+        ends = [(len(suffix) - i, self.ends[suffix[i:]]) for i in range(len(suffix)) if suffix[i:] in self.ends]
         if len(self.moves) >= MAX_MOVES:
             self.moves.clear()
         move = self.moves[state << 8 | byte] = (self.begins[suffix], ends)
@@ -118,21 +119,28 @@ class Transducer:
             live.add(at - len(self.bytes_of[last[at]]))
         return live.pop()
 
+    def _other(self, ends: list[tuple[int, int]], last: list[int]) -> int:
+        """The token that ends here where the first isn't it; it goes to the front, as it is likely the next time too."""
+        for k, (size, token) in enumerate(ends):
+            left = last[-size]
+            if left < 0 or (fits := self.pairs.get(left * self.width + token)) or fits is None and self._fitting(left, token):
+                if k:
+                    ends[0], ends[k] = ends[k], ends[0]
+                return token
+        raise AssertionError("a prefix without encoding")
+
     def encode(self, piece: bytes) -> list[int]:
         state, out, last, width = 0, [], [-1], self.width
-        moves, pairs, fitting = self.moves.get, self.pairs.get, self._fitting
-        for byte in piece:
-            state, ends = moves(state << 8 | byte) or self._move(state, byte)
-            at = len(last)
-            for size, token in ends:
-                left = last[at - size]
-                if left < 0:
-                    break
-                fits = pairs(left * width + token)
-                if fits or fits is None and fitting(left, token):
-                    break
-            last.append(token)
-            if at >= self.STEP and (cut := self._settled(last, state)):
+        moves, pairs = self.moves.get, self.pairs.get
+        for at in range(0, len(piece), self.STEP):
+            for byte in piece[at : at + self.STEP]:
+                state, ends = moves(state << 8 | byte) or self._move(state, byte)
+                size, token = ends[0]
+                left = last[-size]
+                if left >= 0 and not pairs(left * width + token):
+                    token = self._other(ends, last)
+                last.append(token)
+            if at + self.STEP < len(piece) and (cut := self._settled(last, state)):
                 done = self._back(last, cut)
                 out += done
                 last = [done[-1], *last[cut + 1 :]]
@@ -168,8 +176,16 @@ class Utf8Stream:
         return data.decode("utf-8", "replace")
 
 
+#: A space that doesn't begin a piece of its own word: one before other white space or the end.
+ODD_SPACE = re.compile(r" (?:\s|\Z)")
+
+
 class Encoder:
-    """Splits texts by a pattern and encodes each piece; decodes ids as a stream of chunks."""
+    """Splits texts by a pattern and encodes each piece; decodes ids as a stream of chunks.
+
+    The pattern must end a piece before each space that a word follows, as the patterns of this family of vocabularies do.
+    So a text without other spaces is split there first, and words seen before need no pattern.
+    """
 
     CHUNK = 8192
 
@@ -178,30 +194,49 @@ class Encoder:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, str] = {}
+        self.words: dict[str, str] = {}
         self.bytes_of = [b""] * self.machine.width
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
+        self.bytes_of_decimal = {str(rank): token for token, rank in ranks.items()}
 
     def _piece(self, piece: str) -> str:
         data = piece.encode("utf-8")
         whole = self.ranks.get(data)  # a piece that is a token is that token
-        ids = [whole] if whole is not None else self.machine.encode(data)
-        if len(self.pieces) >= MAX_PIECES:
-            self.pieces.clear()
-        out = self.pieces[piece] = ",".join(map(str, ids))
+        out = str(whole) if whole is not None else ",".join(map(str, self.machine.encode(data)))
+        if len(piece) <= 64:
+            if len(self.pieces) >= MAX_PIECES:
+                self.pieces.clear()
+            self.pieces[piece] = out
         return out
 
-    def encode_joined(self, text: str) -> str:
-        """The ids in decimal, joined by commas."""
+    def _pieces(self, text: str) -> str:
         known, make = self.pieces.get, self._piece
         return ",".join([known(p) or make(p) for p in self.split(text)])
 
+    def _word(self, word: str) -> str:
+        out = self._pieces(" " + word)
+        if len(word) <= 64:
+            if len(self.words) >= MAX_PIECES:
+                self.words.clear()
+            self.words[word] = out
+        return out
+
+    def encode_joined(self, text: str) -> str:
+        """The ids in decimal, joined by commas."""
+        if not text or ODD_SPACE.search(text):
+            return self._pieces(text)
+        first, *words = text.split(" ")
+        known, make = self.words.get, self._word
+        ids = [known(w) or make(w) for w in words]
+        return ",".join([self._pieces(first), *ids] if first else ids)
+
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_joined(text).split(",")] if text else []
 
-    def decode(self, ids: list[int]):
-        """Yields the text of the ids, chunk by chunk."""
-        stream, bytes_of = Utf8Stream(), self.bytes_of
+    def decode(self, ids: list[int] | list[str]):
+        """Yields the text of the ids (numbers or decimals), chunk by chunk."""
+        stream, bytes_of = Utf8Stream(), self.bytes_of_decimal if ids and isinstance(ids[0], str) else self.bytes_of
         for at in range(0, len(ids), self.CHUNK):
             yield stream.feed(b"".join([bytes_of[i] for i in ids[at : at + self.CHUNK]]))
         yield stream.end()
@@ -249,7 +284,7 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         counts, digests, back = [], [], []
         for text in batch["text"].to_pylist():
             joined = e.encode_joined(text or "")
-            ids = list(map(int, joined.split(","))) if joined else []
+            ids = joined.split(",") if joined else []
             counts.append(len(ids))
             digests.append(hashlib.sha256(joined.encode()).hexdigest())
             whole = hashlib.sha256()
