@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lantern.llm import ann, bpe, gif, html
+from lantern.llm import ann, bpe, gif, html, mixing, neardup
 from lantern.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,9 +27,51 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(gif.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.similarity_join(table(spark, sf_dir, "documents"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op7_byte_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+def domain() -> Column:
+    """The supplied sources have no domains; three are made of their numbers."""
+    return F.concat(F.lit("domain"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int)"), F.lit(0)), F.lit(3)))
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op6_lsh_forest_join, op7_byte_bpe, op10_source_mixing)}
+
+
+def _filled(parent: str, level: str, source: str) -> str:
+    """SQL for mixing.filled with equal weights."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY CAST(capacity AS DOUBLE), {level}"
+    return f"""SELECT * EXCLUDE (lev), LEAST(capacity, GREATEST(0, CAST(FLOOR(lev) AS BIGINT))) AS given FROM (
+      SELECT *, MAX((budget - before) / CAST(rest AS DOUBLE)) OVER ({by}) AS lev FROM (
+        SELECT *, COALESCE(SUM(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+          COUNT(*) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM ({source})))"""
+
+
+_DOMAINS = _filled("", "domain", "SELECT domain, SUM(capacity) AS capacity, (SELECT LEAST(CAST(FLOOR(SUM(tokens) * 0.8) AS BIGINT), SUM(capacity)) FROM leaves) AS budget FROM leaves GROUP BY domain")
+_LANGS = _filled("domain", "lang", "SELECT l.domain, l.lang, SUM(l.capacity) AS capacity, ANY_VALUE(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.lang")
+_SOURCES = _filled("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)")
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_source_mixing": f"""
+WITH base AS (
+  SELECT doc_id, 'domain' || (COALESCE(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3) AS domain,
+    COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, CAST(COALESCE(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS tokens
+  FROM documents WHERE doc_id IS NOT NULL),
+leaves AS (SELECT domain, lang, source, SUM(tokens) AS tokens, SUM(tokens) * 2 AS capacity FROM base GROUP BY ALL),
+domains AS ({_DOMAINS}), langs AS ({_LANGS}), sources AS ({_SOURCES}),
+plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS rest FROM sources WHERE given > 0),
+drawn AS (SELECT b.*, whole, rest, SUM(b.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || whole || ':' || doc_id), doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM base b JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END AS INT) AS copies
+FROM drawn WHERE whole > 0 OR running <= rest""",
+}
