@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import ann, bpe, gif, html, mixing, neardup
+from lantern.llm import ann, bpe, gif, html, mixing, neardup, quality, toxicity
 from lantern.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -27,6 +27,10 @@ def op3_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_digests(gif.encode_media(table(spark, sf_dir, "documents")))
 
 
+def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similarity_join(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def domain() -> Column:
     """The supplied sources have no domains; three are made of their numbers."""
     return F.concat(F.lit("domain"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int)"), F.lit(0)), F.lit(3)))
@@ -44,7 +52,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op6_lsh_forest_join, op7_byte_bpe, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op10_source_mixing)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
