@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import ann, bpe, gif, html, mixing, neardup, quality, toxicity
-from lantern.llm.common import table
+from lantern.llm import ann, bpe, gif, html, lm, mixing, neardup, quality, shards, toxicity
+from lantern.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -31,6 +31,10 @@ def op4_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.sharded(table(spark, sf_dir, "documents"), scratch(spark, "store"), target=64 << 20)
+
+
 def op6_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similarity_join(table(spark, sf_dir, "documents"))
 
@@ -43,6 +47,11 @@ def op8_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def domain() -> Column:
     """The supplied sources have no domains; three are made of their numbers."""
     return F.concat(F.lit("domain"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int)"), F.lit(0)), F.lit(3)))
@@ -52,7 +61,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op10_source_mixing)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
@@ -70,6 +79,17 @@ _LANGS = _filled("domain", "lang", "SELECT l.domain, l.lang, SUM(l.capacity) AS
 _SOURCES = _filled("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)")
 
 ORACLE_SQL: dict[str, str] = {
+    "op9_stupid_backoff": r"""
+WITH words AS (SELECT doc_id, w, p, LEAD(w) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM (
+  SELECT doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))),
+c1 AS (SELECT w, COUNT(*) AS c FROM words GROUP BY w),
+c2 AS (SELECT w, v, COUNT(*) AS c FROM words WHERE v IS NOT NULL GROUP BY w, v HAVING COUNT(*) >= 2),
+terms AS (
+  SELECT words.doc_id, CASE WHEN c2.c IS NOT NULL THEN LN(c2.c / CAST(cu.c AS DOUBLE)) ELSE LN(0.4::DOUBLE * cv.c / (SELECT SUM(c) FROM c1)) END AS x
+  FROM words JOIN c1 cu ON cu.w = words.w JOIN c1 cv ON cv.w = words.v LEFT JOIN c2 ON c2.w = words.w AND c2.v = words.v
+  UNION ALL SELECT doc_id, LN(c / CAST((SELECT SUM(c) FROM c1) AS DOUBLE)) FROM words JOIN c1 USING (w) WHERE p = 0)
+SELECT d.doc_id, CAST(COUNT(x) AS BIGINT) AS n_tokens, ROUND(SUM(x) / NULLIF(COUNT(x), 0), 6) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id""",
     "op10_source_mixing": f"""
 WITH base AS (
   SELECT doc_id, 'domain' || (COALESCE(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3) AS domain,
