@@ -1,15 +1,24 @@
-"""Queries of the directory operators on the supplied tables, each with SQL for comparison."""
+"""Queries of the directory operators on the supplied tables, each with SQL for comparison where SQL can express it.
+
+The tables stand for those of a directory: nations for provinces, segments for districts, customers for places, orders
+for duties, lines for evidence, suppliers for sources, parts for endpoints and events for runs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-FLAGSHIP = "ag8_count_per_group"
+from lantern.functions import numbers, similarity, text
+from lantern.operators import matching, reports, upsert
+from lantern.sources import pages
+from lantern.streaming import state
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "jn2_active_duties"
 
 
 def query(sql: str | None = None):
@@ -28,6 +37,707 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@query("SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus")
-def ag8_count_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+AS_OF = "2024-01-31 00:00:00"
+RAW_NAMES = [
+    "AKSU ECZANESI", "Güneş Eczanesi", "KONAK ECZANE", "çelik ecz.", "AKSU (MERKEZ) ECZANESI", "1. KONAK ECZANE", "NÖBETÇİ AKSU ECZANESI",
+    "DR. AHMET ECZANESI", "AV. MEHMET ECZANE", "ÇELIK NO: 3 ECZANESI", "ÇELIK/ÖZKAN ECZANE", "A.B.C ECZANE", "AKSU   MERKEZ  ECZANE", "  ", "Işık-Su Eczanesi",
+]
+RAW_DISTRICTS = ["Bornova Belediyesi", "Merkez İlçesi", "KONAK ILCESI", "Bakırköy Merkezi", "Karacabey Beldesi", "  BUCA   ", "Üsküdar", "Çiğli ilçesi", ""]
+
+
+def quoted(values: list[str]) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def picked(values: list[str], key: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
+
+
+def sql_picked(values: list[str], key: str) -> str:
+    return f"{quoted(values)}[{key} % {len(values)} + 1]"
+
+
+SLUG = "regexp_replace(regexp_replace(lower(translate(trim({0}), 'çÇğĞıİöÖşŞüÜ', 'ccggiioossuu')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+FOLD = "translate({0}, 'çÇğĞıİöÖşŞüÜ', 'cCgGiIoOsSuU')"
+SQUEEZE = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+# scalar functions
+@query(f"SELECT p_partkey, {SLUG.format(sql_picked(RAW_NAMES, 'p_partkey') + " || ' ' || p_name")} AS slug FROM part")
+def sc1_slugify(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.slugify(F.concat(picked(RAW_NAMES, "p_partkey"), F.lit(" "), "p_name")).alias("slug"))
+
+
+@query(r"SELECT p_partkey, regexp_replace(regexp_replace(lower(p_type || ' & ' || p_name), '\s+', '-', 'g'), '[^a-z0-9-]', '', 'g') AS slug FROM part")
+def sc2_province_slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.province_slug(F.concat("p_type", F.lit(" & "), "p_name")).alias("slug"))
+
+
+@query(f"SELECT p_partkey, regexp_replace(regexp_replace(translate(lower(translate({sql_picked(RAW_NAMES, 'p_partkey')}, 'Iİ', 'ıi')), 'çğıöşü', 'cgiosu'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM part")
+def sc3_turkish_slug(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.turkish_slug(picked(RAW_NAMES, "p_partkey")).alias("slug"))
+
+
+@query("SELECT p_partkey, " + SQUEEZE.format("lower(p_brand || '   ' || p_name || ' ')") + " AS norm FROM part")
+def sc4_normalize_text(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.normalize_text(F.concat("p_brand", F.lit("   "), "p_name", F.lit(" "))).alias("norm"))
+
+
+_DISTRICT = "lower(" + FOLD.format("trim({0})") + ")"
+for _ending in text.DISTRICT_ENDINGS:
+    _DISTRICT = f"regexp_replace({_DISTRICT}, '\\s+{_ending}\\s*$', '')"
+
+
+@query(f"SELECT c_custkey, {SQUEEZE.format(_DISTRICT.format(sql_picked(RAW_DISTRICTS, 'c_custkey')))} AS district FROM customer")
+def sc5_district_name(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.district_name(picked(RAW_DISTRICTS, "c_custkey")).alias("district"))
+
+
+_NAME = "upper(" + FOLD.format("trim({0})") + ")"
+_NAME = f"regexp_replace(regexp_replace({_NAME}, '[.,''/\\\\]+', ' ', 'g'), '\\([^)]{{{{0,40}}}}\\)', ' ', 'g')"
+_NAME = f"regexp_replace(regexp_replace(regexp_replace({_NAME}, '\\s+({text.NAME_ENDINGS})\\s*$', ''), '^\\d+\\.\\s+', ''), '^NOBETCI\\s+', '')"
+_TOKEN = "CASE t WHEN 'DR' THEN 'DOKTOR' WHEN 'AV' THEN 'AVUKAT' WHEN 'NO:' THEN '' WHEN 'NO' THEN '' ELSE t END"
+
+
+@query(f"SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex({_NAME.format(sql_picked(RAW_NAMES, 'c_custkey'))}, '\\s+'), lambda t: {_TOKEN}), lambda t: t <> ''), ' ') AS norm FROM customer")
+def sc6_pharmacy_name(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.pharmacy_name(picked(RAW_NAMES, "c_custkey")).alias("norm"))
+
+
+@query()
+def sc7_script_name(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.script_name(picked(RAW_NAMES, "c_custkey")).alias("norm"))
+
+
+@query("SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS digest FROM pages")
+def sc8_strip_tags(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.strip_tags(F.col("html"))).alias("digest"))
+
+
+@query("SELECT page_id, md5(regexp_replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&[a-zA-Z]+;', ' ', 'g')) AS digest FROM pages")
+def sc9_decode_entities(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.decode_entities(F.col("html"))).alias("digest"))
+
+
+@query("SELECT c_custkey, trim(regexp_replace('Tel: +90 ' || c_name || ' (' || c_custkey || ')', '[^0-9+() -]', '', 'g')) AS phone, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer")
+def sc10_phones(spark, d):
+    raw = F.concat(F.lit("Tel: +90 "), "c_name", F.lit(" ("), F.col("c_custkey").cast("string"), F.lit(")"))
+    return table(spark, d, "customer").select("c_custkey", text.clean_phone(raw).alias("phone"), text.digits(F.col("c_name")).alias("digits"))
+
+
+@query(f"SELECT p_partkey, {FOLD.format(sql_picked(RAW_NAMES, 'p_partkey'))} AS folded FROM part")
+def sc11_fold(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.fold_turkish(picked(RAW_NAMES, "p_partkey")).alias("folded"))
+
+
+@query("SELECT page_id, md5(replace(replace(replace(replace(replace(url || html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) AS digest FROM pages")
+def sc12_escape_xml(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(text.escape_xml(F.concat("url", "html"))).alias("digest"))
+
+
+_PAIRS = "FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1"
+
+
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", "p_name")
+    return p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other")), "p_partkey")
+
+
+@query(f"SELECT a.p_partkey, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS edits, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))::DOUBLE, 9) AS sim {_PAIRS}")
+def sc13_levenshtein(spark, d):
+    a, b = F.col("p_name"), F.col("other")
+    return neighbours(spark, d).select("p_partkey", F.levenshtein(a, b).alias("edits"), F.round(similarity.levenshtein_similarity(a, b), 9).alias("sim"))
+
+
+@query()
+def sc14_jaro_winkler(spark, d):
+    return neighbours(spark, d).select("p_partkey", similarity.jaro_winkler(F.col("p_name"), F.col("other")).alias("sim"))
+
+
+@query()
+def sc15_token_set(spark, d):
+    return neighbours(spark, d).select("p_partkey", similarity.token_set(F.col("p_name"), F.col("other")).alias("sim"))
+
+
+@query()
+def sc16_best_similarity(spark, d):
+    return neighbours(spark, d).select("p_partkey", similarity.best_similarity(F.col("p_name"), F.col("other")).alias("sim"))
+
+
+_SHORTER = "least(length(a.p_name), length(b.p_name))"
+
+
+@query(f"SELECT a.p_partkey, CASE WHEN {_SHORTER} <= 6 THEN 1 WHEN {_SHORTER} <= 10 THEN 2 WHEN {_SHORTER} <= 16 THEN 3 WHEN {_SHORTER} <= 22 THEN 4 ELSE 5 END AS most {_PAIRS}")
+def sc17_fuzzy_distance(spark, d):
+    return neighbours(spark, d).select("p_partkey", numbers.fuzzy_distance(F.col("p_name"), F.col("other")).alias("most"))
+
+
+@query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 10 = c_custkey THEN 1.0 WHEN right(lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 7) = right(lpad(CAST(c_custkey % 10 AS VARCHAR), 10, '9'), 7) THEN 0.8 ELSE 0 END AS DOUBLE) AS signal FROM customer")
+def sc18_phone_signal(spark, d):
+    key = F.col("c_custkey")
+    a = F.lpad(key.cast("string"), 9, "0")
+    b = F.when(key % 10 == key, a).otherwise(F.lpad((key % 10).cast("string"), 10, "9"))
+    return table(spark, d, "customer").select("c_custkey", numbers.phone_signal(a, b).alias("signal"))
+
+
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(replace(p_name, '-', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title FROM part")
+def sc19_title(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.title_from_slug(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("title"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE regexp_replace(substring(text, 1, 59), '\s+\S*$', '') || '…' END AS short FROM documents")
+def sc20_cap(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.cap(F.col("text"), 60).alias("short"))
+
+
+@query("SELECT c_custkey, c_acctbal AS lat, CAST(c_nationkey AS DOUBLE) AS lng FROM customer")
+def sc21_map_coordinates(spark, d):
+    href = F.concat(F.lit("https://maps.example/?z=1&q="), F.col("c_acctbal").cast("string"), F.lit(","), F.col("c_nationkey").cast("string"))
+    lat, lng = text.map_coordinates(href)
+    return table(spark, d, "customer").select("c_custkey", lat.alias("lat"), lng.alias("lng"))
+
+
+@query("SELECT p_partkey, 'districts' AS base, CAST(CASE WHEN p_size % 2 = 0 THEN p_size ELSE 1 END AS INT) AS page FROM part")
+def sc22_feed_name(spark, d):
+    raw = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("districts-"), F.col("p_size").cast("string"))).otherwise("districts")
+    base, page = text.feed_name(raw)
+    return table(spark, d, "part").select("p_partkey", base.alias("base"), page.alias("page"))
+
+
+@query("SELECT event_id, lower(split_part('alert:' || upper(event_type) || ':x', ':', 2)) AS issue FROM events")
+def sc23_issue_slug(spark, d):
+    raw = F.concat(F.lit("alert:"), F.upper("event_type"), F.lit(":x"))
+    return table(spark, d, "events").select("event_id", F.lower(F.split_part(raw, F.lit(":"), F.lit(2))).alias("issue"))
+
+
+@query("SELECT event_id, '[' || upper(CASE event_type WHEN 'error' THEN 'critical' ELSE 'warning' END) || '] ' || replace('run_' || event_type, '_', ' ') || ': ' || substring(props, 1, 200) || ' (' || strftime(ts + INTERVAL 3 HOUR, '%d.%m.%Y %H:%M') || ')' AS line FROM events")
+def sc24_alert_text(spark, d):
+    level = text.severity(F.when(F.col("event_type") == "error", "high").otherwise("medium"))
+    kind = F.replace(F.concat(F.lit("run_"), "event_type"), F.lit("_"), F.lit(" "))
+    when = F.date_format(F.col("ts") + F.expr("interval 3 hours"), "dd.MM.yyyy HH:mm")
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.upper(level), F.lit("] "), kind, F.lit(": "), F.substring("props", 1, 200), F.lit(" ("), when, F.lit(")")).alias("line"))
+
+
+_LEVELS = ["high", "medium", "low", "critical", "", "x"]
+
+
+@query(f"SELECT event_id, CASE {sql_picked(_LEVELS, 'event_id')} WHEN 'high' THEN 'critical' WHEN 'critical' THEN 'critical' WHEN 'low' THEN 'info' ELSE 'warning' END AS severity FROM events")
+def sc25_severity(spark, d):
+    return table(spark, d, "events").select("event_id", text.severity(picked(_LEVELS, "event_id")).alias("severity"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'r' || user_id WHEN event_id % 3 = 1 THEN 'l' || user_id ELSE 's' END AS address FROM events")
+def sc26_client_address(spark, d):
+    k, user = F.col("event_id") % 3, F.col("user_id").cast("string")
+    real = F.when(k == 0, F.concat(F.lit("r"), user)).otherwise("")
+    forwarded = F.when(k == 1, F.concat(F.lit("first, l"), user))
+    return table(spark, d, "events").select("event_id", text.client_address(real, forwarded, F.lit("s")).alias("address"))
+
+
+@query()
+def or13_turkish_title(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.turkish_title(picked(RAW_NAMES, "c_custkey")).alias("title"))
+
+
+_URLS = ["http://10.0.0.1/a", "ftp://a.example/b", "http://x.local", "https://ok.example/p?q=1", "http://localhost:80/", "http://172.20.1.1/", "no url"]
+_FAULTS = ["private_ip", "protocol", "tld", "ok", "blocked_host", "private_ip", "invalid"]
+
+
+@query(f"SELECT c_custkey, {sql_picked(_FAULTS, 'c_custkey')} AS fault FROM customer")
+def src10_url_check(spark, d):
+    return table(spark, d, "customer").select("c_custkey", text.url_fault(picked(_URLS, "c_custkey")).alias("fault"))
+
+
+_ERRORS = ["fetch failed", "ETIMEDOUT: timeout of 10s", "404 Not Found", "ECONNRESET", "bad json"]
+
+
+@query(f"SELECT event_id, event_id % 5 IN (0, 1, 3) AS transient FROM events")
+def src3_transient(spark, d):
+    return table(spark, d, "events").select("event_id", text.transient(picked(_ERRORS, "event_id")).alias("transient"))
+
+
+# numbers and dates
+_POINT = (5.0, 3.0)
+
+
+def located(df: DataFrame) -> DataFrame:
+    return df.withColumn("lat", (F.col("c_custkey") % 1000) / 100.0).withColumn("lng", (F.col("c_custkey") % 777) / 111.0)
+
+
+_LOC = "(SELECT *, (c_custkey % 1000) / 100.0::DOUBLE AS lat, (c_custkey % 777) / 111.0::DOUBLE AS lng FROM customer)"
+_DIST = "6371.0 * acos(least(1.0, cos(radians(5.0)) * cos(radians(lat)) * cos(radians(lng) - radians(3.0)) + sin(radians(5.0)) * sin(radians(lat))))"
+_BOX = "lat BETWEEN 5.0 - 50 / 111.12 AND 5.0 + 50 / 111.12 AND lng BETWEEN 3.0 - 50 / 111.12 / cos(radians(5.0)) AND 3.0 + 50 / 111.12 / cos(radians(5.0))"
+
+
+@query(f"SELECT c_custkey, round({_DIST}, 3) AS distance_km FROM {_LOC}")
+def nu1_distance(spark, d):
+    return located(table(spark, d, "customer")).select("c_custkey", F.round(numbers.distance_km(F.col("lat"), F.col("lng"), *_POINT), 3).alias("distance_km"))
+
+
+@query(f"SELECT c_custkey FROM {_LOC} WHERE {_BOX}")
+def nu2_bounding_box(spark, d):
+    return located(table(spark, d, "customer")).where(numbers.in_box(F.col("lat"), F.col("lng"), *_POINT)).select("c_custkey")
+
+
+@query(f"SELECT c_custkey, round({_DIST}, 3) AS distance_km FROM {_LOC} WHERE {_BOX} ORDER BY {_DIST}, c_custkey LIMIT 10")
+def so1_nearest(spark, d):
+    return reports.nearest(located(table(spark, d, "customer")), "c_custkey", *_POINT, n=10).select("c_custkey", "distance_km")
+
+
+@query("""SELECT p_partkey, CAST(least(greatest(floor(least(greatest(p_retailprice / 2000, 0), 1) * 50 + 0.5) + floor(least(greatest(p_size, 1), 10) / 10.0 * 20 + 0.5)
+  + [15, 12, 10, 6, 2, 0][p_partkey % 6 + 1] + least(greatest(p_partkey % 6, 1), 4) * 5 - 5, 0), 100) AS INT) AS score FROM part""")
+def nu4_confidence(spark, d):
+    level = picked(list(text.LEVEL_POINTS), "p_partkey")
+    return table(spark, d, "part").select("p_partkey", numbers.confidence(F.col("p_retailprice") / 2000, F.col("p_size"), level, F.col("p_partkey") % 6).alias("score"))
+
+
+@query("SELECT p_partkey, CAST(least(greatest(floor(50.5) + floor(least(greatest(p_size, 1), 10) / 10.0 * 20 + 0.5) + 15, 0), 100) AS INT) AS score FROM part")
+def nu5_base_confidence(spark, d):
+    return table(spark, d, "part").select("p_partkey", numbers.base_confidence(F.col("p_size")).alias("score"))
+
+
+@query("SELECT p_partkey, CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END AS kind FROM (SELECT p_partkey, p_partkey % 101 / 100.0::DOUBLE AS s FROM part)")
+def nu6_match_type(spark, d):
+    return table(spark, d, "part").select("p_partkey", numbers.match_type((F.col("p_partkey") % 101) / 100.0).alias("kind"))
+
+
+@query("SELECT p_partkey, CAST(least(greatest(trunc(p_retailprice / 100), 10), 15) AS INT) AS n FROM part")
+def nu7_clamp(spark, d):
+    return table(spark, d, "part").select("p_partkey", numbers.clamp((F.col("p_retailprice") / 100).cast("int"), 10, 15).alias("n"))
+
+
+@query("SELECT c_nationkey, CASE WHEN count(*) / 100.0 < 0.5 THEN 'high' WHEN count(*) / 100.0 < 0.8 THEN 'medium' END AS severity FROM customer GROUP BY c_nationkey")
+def nu8_coverage(spark, d):
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n")).select("c_nationkey", numbers.coverage(F.col("n"), F.lit(100)).alias("severity"))
+
+
+@query(f"SELECT user_id, CAST(floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(ts))) / 6e7 + 0.5) AS BIGINT) AS minutes FROM events GROUP BY user_id")
+def nu9_minutes_since(spark, d):
+    m = numbers.minutes_since(F.max("ts"), F.lit(AS_OF).cast("timestamp"))
+    return table(spark, d, "events").groupBy("user_id").agg(numbers.half_up(m).alias("minutes"))
+
+
+@query("SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_name) - 1) % 4 AS INT) AS shard FROM nation")
+def nu10_shards(spark, d):
+    return table(spark, d, "nation").select("n_nationkey", ((F.row_number().over(Window.orderBy("n_name")) - 1) % 4).alias("shard"))
+
+
+@query("SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day FROM events")
+def dt1_active_date(spark, d):
+    return table(spark, d, "events").select("event_id", numbers.active_date(F.col("ts")).alias("day"))
+
+
+@query("SELECT o_orderkey, o_orderdate - INTERVAL 3 HOUR AS starts, o_orderdate + INTERVAL 21 HOUR AS ends FROM orders")
+def dt2_duty_window(spark, d):
+    start, end = numbers.duty_window(F.to_date("o_orderdate"))
+    return table(spark, d, "orders").select("o_orderkey", start.alias("starts"), end.alias("ends"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS dotted, day(o_orderdate) || ' ' || " + quoted(text.MONTHS) + "[month(o_orderdate)] || ' ' || year(o_orderdate) AS long FROM orders")
+def dt4_formats(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "dd.MM.yyyy").alias("dotted"), numbers.long_date(F.col("o_orderdate")).alias("long"))
+
+
+@query("SELECT p_partkey, CASE WHEN m < 1 THEN 'Az önce' WHEN m < 60 THEN m || ' dk önce' WHEN m < 1440 THEN m // 60 || ' saat önce' ELSE m // 1440 || ' gün önce' END AS ago FROM (SELECT p_partkey, p_partkey * 7 % 5000 AS m FROM part)")
+def dt5_time_ago(spark, d):
+    return table(spark, d, "part").select("p_partkey", numbers.time_ago(F.col("p_partkey") * 7 % 5000).alias("ago"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'tarih_invalid' WHEN date_diff('day', o_orderdate::DATE, DATE '1998-01-01') > 90 THEN 'tarih_too_old' WHEN date_diff('day', o_orderdate::DATE, DATE '1998-01-01') < -7 THEN 'tarih_too_future' ELSE 'ok' END AS fault FROM orders")
+def flt12_date_range(spark, d):
+    day = F.when(F.col("o_orderkey") % 7 == 0, F.lit("1998-13-45")).otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return table(spark, d, "orders").select("o_orderkey", numbers.date_fault(day, F.lit("1998-01-01").cast("date")).alias("fault"))
+
+
+@query("SELECT c_custkey, CASE WHEN abs(c_acctbal) <= 90 AND c_nationkey <= 180 THEN 'ok' ELSE 'invalid_coordinates' END AS fault FROM customer")
+def flt13_coordinates(spark, d):
+    return table(spark, d, "customer").select("c_custkey", numbers.coordinate_fault(F.col("c_acctbal"), F.col("c_nationkey").cast("double")).alias("fault"))
+
+
+# filters
+@query("SELECT p_partkey, regexp_matches(p_name, '^[a-z][a-z0-9-]{1,39}$') AS valid FROM part")
+def flt11_slug_valid(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.col("p_name").rlike("^[a-z][a-z0-9-]{1,39}$").alias("valid"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0 AND c_nationkey = 3")
+def flt1_equality(spark, d):
+    return table(spark, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 0 and c_nationkey = 3").select("c_custkey")
+
+
+@query("SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def flt3_any(spark, d):
+    return table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def flt5_not_in(spark, d):
+    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT p_partkey FROM part WHERE p_name ILIKE '%RING%'")
+def flt7_ilike(spark, d):
+    return table(spark, d, "part").where(F.col("p_name").ilike("%RING%")).select("p_partkey")
+
+
+@query(f"SELECT event_id FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR")
+def flt8_recent(spark, d):
+    return table(spark, d, "events").where(F.col("ts") > F.lit(AS_OF).cast("timestamp") - F.expr("interval 24 hours")).select("event_id")
+
+
+@query("SELECT p_partkey FROM (SELECT p_partkey FROM part WHERE contains(p_name, 'red') OR contains(lower(p_type), 'red') ORDER BY p_partkey LIMIT 10)")
+def flt16_search(spark, d):
+    hit = F.col("p_name").contains("red") | F.lower("p_type").contains("red")
+    return table(spark, d, "part").where(hit).orderBy("p_partkey").limit(10).select("p_partkey")
+
+
+# joins
+@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def jn1_three_way(spark, d):
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("s_suppkey", "n_name", "r_name")
+
+
+@query("""SELECT o_orderkey, c_name, n_name, r_name, string_agg(DISTINCT s_name, ', ' ORDER BY s_name) AS sources, min(l_shipdate) AS first_seen, count(DISTINCT l_suppkey) AS n_sources
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+  JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey WHERE o_orderdate = DATE '1998-01-05' GROUP BY ALL""")
+def jn2_active_duties(spark, d):
+    return reports.active_duties(*(table(spark, d, t) for t in ("orders", "customer", "nation", "region", "lineitem", "supplier")), day="1998-01-05")
+
+
+@query("""SELECT o_orderkey, l_suppkey, l_shipdate FROM orders LEFT JOIN LATERAL (SELECT l_suppkey, l_shipdate FROM lineitem WHERE l_orderkey = o_orderkey
+  ORDER BY l_shipdate DESC, l_suppkey, l_linenumber LIMIT 1) ON true""")
+def jn4_latest_evidence(spark, d):
+    top = upsert.latest(table(spark, d, "lineitem"), ["l_orderkey"], [F.desc("l_shipdate"), F.asc("l_suppkey"), F.asc("l_linenumber")])
+    o = table(spark, d, "orders").select("o_orderkey")
+    return o.join(top, o["o_orderkey"] == top["l_orderkey"], "left").select("o_orderkey", "l_suppkey", "l_shipdate")
+
+
+@query(f"SELECT n_nationkey, count(event_id) AS n FROM nation LEFT JOIN events ON user_id % 25 = n_nationkey AND event_type = 'error' AND ts > TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR GROUP BY n_nationkey")
+def jn5_filtered_left(spark, d):
+    e = table(spark, d, "events").where(F.col("event_type") == "error").where(F.col("ts") > F.lit(AS_OF).cast("timestamp") - F.expr("interval 24 hours"))
+    return table(spark, d, "nation").join(e, F.col("user_id") % 25 == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("event_id").alias("n"))
+
+
+@query("SELECT n_nationkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(s_suppkey) = 0")
+def jn7_without_rows(spark, d):
+    return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
+
+
+@query("""SELECT n_nationkey, (SELECT count(*) FROM events WHERE user_id % 25 = n_nationkey AND event_type = 'error') AS open,
+  (SELECT round(avg(v), 6) FROM (SELECT value AS v, row_number() OVER (PARTITION BY user_id % 25 ORDER BY ts DESC, event_id) AS k, user_id % 25 AS n FROM events) WHERE n = n_nationkey AND k <= 50) AS mean FROM nation""")
+def jn9_scalar_subqueries(spark, d):
+    e = table(spark, d, "events").withColumn("n_nationkey", F.col("user_id") % 25)
+    opened = e.groupBy("n_nationkey").agg(F.count_if(F.col("event_type") == "error").alias("open"))
+    last = upsert.latest(e, ["n_nationkey"], [F.desc("ts"), F.asc("event_id")], 50).groupBy("n_nationkey").agg(F.round(F.avg("value"), 6).alias("mean"))
+    n = table(spark, d, "nation").select("n_nationkey")
+    return n.join(opened, "n_nationkey", "left").join(last, "n_nationkey", "left").select("n_nationkey", F.coalesce("open", F.lit(0)).alias("open"), "mean")
+
+
+def _catalog(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("url"), F.col("p_type").alias("format"))
+    return p.where("key % 10 <> 1"), p.where("key % 10 <> 2").withColumn("url", F.when(F.col("key") % 10 == 3, F.upper("url")).otherwise(F.col("url")))
+
+
+@query("SELECT p_partkey AS key, CASE p_partkey % 10 WHEN 1 THEN 'unknown' WHEN 2 THEN 'insert' WHEN 3 THEN 'update' ELSE 'none' END AS action, CASE p_partkey % 10 WHEN 3 THEN 'url' ELSE '' END AS drift FROM part")
+def jn12_catalog_drift(spark, d):
+    return upsert.sync_actions(*_catalog(spark, d), "key", ["url", "format"])
+
+
+def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two lists of names for each nation; every seventh of ours is misspelt and every eleventh missing."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("ord"), F.concat(F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit(" Eczanesi")).alias("name"))
+    ours = c.where("ord % 11 <> 0").withColumn("name", F.when(F.col("ord") % 7 == 0, F.replace("name", F.lit("tom"), F.lit("tm"))).otherwise(F.col("name")))
+    return ours, c.where("ord % 13 <> 0")
+
+
+@query()
+def jn13_best_match(spark, d):
+    c = table(spark, d, "customer")
+    near = c.select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("row_id"), F.concat(F.replace("c_name", F.lit("tom"), F.lit("tm")), F.lit(" Ecz")).alias("name"), F.col("c_mktsegment").alias("district"), F.lit("").alias("phone"))
+    names = c.select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("canonical_name"), F.col("c_mktsegment").alias("district_name"), F.lit("").alias("phone"))
+    return matching.best_match(near, names, ["block"])
+
+
+@query()
+def jn14_name_difference(spark, d):
+    ours, official = _lists(spark, d)
+    return matching.name_difference(ours, official, "block")
+
+
+@query()
+def or1_difference_severity(spark, d):
+    ours, official = _lists(spark, d)
+    return matching.difference_severity(matching.name_difference(ours, official, "block"), "block")
+
+
+def _districts(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_mktsegment").alias("name")).distinct()
+    order = F.row_number().over(Window.partitionBy("block").orderBy("name"))
+    return s.withColumn("ord", order).withColumn("id", F.col("block") * 100 + order).withColumn("slug", text.slugify(F.col("name")))
+
+
+@query()
+def jn17_resolve_districts(spark, d):
+    raw = F.element_at(F.array(F.col("c_mktsegment"), F.concat("c_mktsegment", F.lit(" Belediyesi")), F.concat(F.lit("X"), "c_mktsegment"), F.lit("İl Merkezi"), F.lit("")), (F.col("c_custkey") % 5 + 1).cast("int"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("block"), raw.alias("raw"))
+    return matching.resolve_districts(rows, _districts(spark, d), "block")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events")
+def jn19_as_of_header(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
+
+
+@query("SELECT a.n_nationkey, b.n_nationkey AS near FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_name) <= 3")
+def jn20_neighbours(spark, d):
+    n = table(spark, d, "nation")
+    other = n.select("n_regionkey", F.col("n_nationkey").alias("near"), F.col("n_name").alias("near_name"))
+    return upsert.latest(n.join(other, "n_regionkey").where("near <> n_nationkey"), ["n_nationkey"], [F.asc("near_name")], 3).select("n_nationkey", "near")
+
+
+# aggregates
+@query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS priorities, min(o_orderdate) AS first_day FROM orders GROUP BY o_custkey")
+def ag1_string_agg(spark, d):
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ", ").alias("priorities"), F.min("o_orderdate").alias("first_day"))
+
+
+@query("SELECT user_id, max(ts) FILTER (WHERE event_type <> 'error') AS last_success FROM events GROUP BY user_id")
+def ag2_filtered_max(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last_success"))
+
+
+@query(f"SELECT user_id FROM events GROUP BY user_id HAVING max(ts) FILTER (WHERE event_type = 'purchase') IS NULL OR max(ts) FILTER (WHERE event_type = 'purchase') < TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY")
+def ag3_having(spark, d):
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    old = F.col("last").isNull() | (F.col("last") < F.lit(AS_OF).cast("timestamp") - F.expr("interval 7 days"))
+    return table(spark, d, "events").groupBy("user_id").agg(last.alias("last")).where(old).select("user_id")
+
+
+@query("SELECT user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END) AS BIGINT) AS partial, count(*) AS n, max(ts) AS last FROM events GROUP BY user_id")
+def ag4_conditional_counts(spark, d):
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    return table(spark, d, "events").groupBy("user_id").agg(n("error").alias("failed"), n("click").alias("partial"), F.count("*").alias("n"), F.max("ts").alias("last"))
+
+
+@query("SELECT count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts, count(*) AS n FROM lineitem")
+def ag7_count_distinct(spark, d):
+    return table(spark, d, "lineitem").agg(F.countDistinct("l_suppkey").alias("suppliers"), F.countDistinct("l_partkey").alias("parts"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def ag8_count_per_group(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id, round(avg(CAST(json_extract_string(props, '$.k') AS INT)), 1) AS mean FROM events GROUP BY user_id")
+def ag9_json_average(spark, d):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, d, "events").groupBy("user_id").agg(F.round(F.avg(k), 1).alias("mean"))
+
+
+@query("SELECT DISTINCT c_nationkey, c_mktsegment FROM customer")
+def ag10_distinct(spark, d):
+    return table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct()
+
+
+@query("SELECT user_id, max(ts) AS last, bool_or(event_type = 'error') AS degraded, CASE WHEN count(*) = 0 THEN 'no_data' ELSE 'ok' END AS status FROM events GROUP BY user_id")
+def ag11_result_status(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == "error").alias("degraded"), F.when(F.count("*") == 0, "no_data").otherwise("ok").alias("status"))
+
+
+@query("""SELECT count(*) AS total, CAST(count_if(k = 'exact') AS BIGINT) AS exact, CAST(count_if(k IN ('fuzzy', 'normalized')) AS BIGINT) AS fuzzy, CAST(count_if(k = 'no_match') AS BIGINT) AS no_match, round(avg(s), 2) AS mean
+  FROM (SELECT s, CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END AS k FROM (SELECT p_partkey % 101 / 100.0::DOUBLE AS s FROM part))""")
+def ag12_match_summary(spark, d):
+    s = (F.col("p_partkey") % 101) / 100.0
+    return reports.match_summary(table(spark, d, "part").select(s.alias("confidence"), numbers.match_type(s).alias("match_type")))
+
+
+@query("""SELECT c_nationkey, COUNT(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS AUTOMOBILE, COUNT(*) FILTER (c_mktsegment = 'BUILDING') AS BUILDING,
+  COUNT(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS HOUSEHOLD FROM customer GROUP BY c_nationkey""")
+def ag13_level_histogram(spark, d):
+    kinds = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
+    return table(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", kinds).count().na.fill(0, kinds)
+
+
+@query("""SELECT CASE WHEN m IS NULL THEN 'never' WHEN m > 370 THEN 'critical' WHEN m > 130 THEN 'warning' ELSE 'ok' END AS bucket, count(*) AS n
+  FROM (SELECT (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts) FILTER (WHERE event_type = 'purchase'))) / 6e7 AS m FROM events GROUP BY user_id) GROUP BY ALL""")
+def ag16_freshness(spark, d):
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    per = table(spark, d, "events").groupBy("user_id").agg(last.alias("last"))
+    return per.groupBy(numbers.freshness(numbers.minutes_since(F.col("last"), F.lit(AS_OF).cast("timestamp"))).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_type || '::' || p_name AS endpoint, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY ALL HAVING count(*) > 1")
+def ag17_shared_endpoints(spark, d):
+    return table(spark, d, "part").groupBy(F.concat_ws("::", "p_type", "p_name").alias("endpoint")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+
+
+@query(f"SELECT c_nationkey, round(avg(lat), 9) AS lat, round(avg(lng), 9) AS lng, min(lat) AS south, max(lat) AS north FROM {_LOC} GROUP BY c_nationkey")
+def ag18_centroids(spark, d):
+    return located(table(spark, d, "customer")).groupBy("c_nationkey").agg(F.round(F.avg("lat"), 9).alias("lat"), F.round(F.avg("lng"), 9).alias("lng"), F.min("lat").alias("south"), F.max("lat").alias("north"))
+
+
+@query("SELECT p_name, min_by(p_brand, p_partkey) AS brand FROM part GROUP BY p_name")
+def ag19_first_wins(spark, d):
+    return table(spark, d, "part").groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("brand"))
+
+
+@query("SELECT c_nationkey, substring(md5(string_agg(c_name, '|' ORDER BY c_name)), 1, 8) AS fingerprint FROM customer GROUP BY c_nationkey")
+def ag23_fingerprint(spark, d):
+    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("c_name")), "|")), 1, 8).alias("fingerprint"))
+
+
+# windows, order and sets
+@query("SELECT p_brand, p_partkey FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_type = 'ECONOMY' THEN 0 ELSE 1 END, CASE WHEN p_size > 10 THEN 0 ELSE 1 END, p_retailprice DESC, p_partkey) = 1")
+def wn4_priority_pick(spark, d):
+    order = [F.when(F.col("p_type") == "ECONOMY", 0).otherwise(1), F.when(F.col("p_size") > 10, 0).otherwise(1), F.desc("p_retailprice"), F.col("p_partkey")]
+    return upsert.latest(table(spark, d, "part"), ["p_brand"], order).select("p_brand", "p_partkey")
+
+
+@query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
+def wn7_next_heading(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, d, "events").select("event_id", F.lead("event_id").over(w).alias("following"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("SELECT event_id FROM events ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ts DESC, event_id LIMIT 200")
+def so4_top_alerts(spark, d):
+    bucket = F.when(F.col("event_type") == "error", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return table(spark, d, "events").orderBy(bucket, F.desc("ts"), "event_id").limit(200).select("event_id")
+
+
+@query("SELECT c_custkey FROM customer ORDER BY c_name, c_custkey LIMIT 100 OFFSET 200")
+def so5_page(spark, d):
+    return table(spark, d, "customer").orderBy("c_name", "c_custkey").offset(200).limit(100).select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey = 1 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+def set1_except(spark, d):
+    return table(spark, d, "customer").where("c_nationkey = 1").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
+
+
+@query("SELECT count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_nationkey = 1 INTERSECT SELECT o_custkey FROM orders)")
+def set2_intersect(spark, d):
+    return table(spark, d, "customer").where("c_nationkey = 1").select("c_custkey").intersect(table(spark, d, "orders").select("o_custkey")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT user_id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE event_type = 'signup'")
+def set5_union(spark, d):
+    e = table(spark, d, "events")
+    return e.where("event_type = 'error'").select("user_id").unionByName(e.where("event_type = 'signup'").select("user_id")).distinct()
+
+
+@query("SELECT p_partkey, 'missing_config' AS kind FROM part WHERE p_partkey % 10 = 1 UNION ALL SELECT p_partkey, 'unknown_config_code' FROM part WHERE p_partkey % 10 = 2")
+def set9_coverage(spark, d):
+    config, known = _catalog(spark, d)
+    a = known.join(config, "key", "left_anti").select(F.col("key").alias("p_partkey"), F.lit("missing_config").alias("kind"))
+    return a.unionByName(config.join(known, "key", "left_anti").select(F.col("key").alias("p_partkey"), F.lit("unknown_config_code").alias("kind")))
+
+
+# changes of tables
+@query("""SELECT b.c_nationkey AS district_id, b.c_name AS normalized_name, CASE WHEN b.c_custkey % 2 = 0 THEN 'New ' || b.c_name ELSE b.c_name END AS canonical_name,
+  CASE WHEN b.c_custkey % 2 = 0 AND b.c_custkey % 4 <> 0 THEN 'new' WHEN b.c_custkey % 3 <> 0 THEN 'old' ELSE NULL END AS address, CASE WHEN b.c_custkey % 3 <> 0 THEN 'p' END AS phone,
+  CASE WHEN b.c_custkey % 2 = 0 THEN 2.0 WHEN b.c_custkey % 3 <> 0 THEN 1.0 END::DOUBLE AS lat, CAST(NULL AS DOUBLE) AS lng, b.c_custkey % 2 = 0 AS is_active FROM customer b WHERE b.c_custkey % 2 = 0 OR b.c_custkey % 3 <> 0""")
+def snk1_upsert_places(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("district_id"), F.col("c_name").alias("normalized_name"))
+    none = F.lit(None).cast("double")
+    old = c.where("ord % 3 <> 0").select("district_id", "normalized_name", F.col("normalized_name").alias("canonical_name"), F.lit("old").alias("address"), F.lit("p").alias("phone"), F.lit(1.0).alias("lat"), none.alias("lng"), F.lit(False).alias("is_active"))
+    new = c.where("ord % 2 = 0").withColumns({"canonical_name": F.concat(F.lit("New "), "normalized_name"), "address": F.when(F.col("ord") % 4 == 0, "").otherwise("new"), "phone": F.lit(""), "lat": F.lit(2.0), "lng": none})
+    return upsert.upsert_places(old, new)
+
+
+@query("""SELECT o_custkey AS place_id, CAST(o_orderdate AS DATE) AS duty_date, CAST(max(o_orderkey % 100) AS BIGINT) AS confidence, count(*) AS sources, coalesce(max_by(o_orderkey % 7, o_orderkey) FILTER (o_orderkey % 2 = 0), max_by(o_orderkey % 7, o_orderkey)) AS district_id,
+  bool_and(o_orderkey % 2 = 1) AS is_degraded FROM orders GROUP BY ALL""")
+def snk2_upsert_duties(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("place_id"), F.to_date("o_orderdate").alias("duty_date"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 100).alias("confidence"), (F.col("o_orderkey") % 7).alias("district_id"))
+    old = o.where("ord % 2 = 1").groupBy("place_id", "duty_date").agg(F.max("confidence").alias("confidence"), F.count("*").alias("sources"), F.max_by("district_id", "ord").alias("district_id"), F.lit(True).alias("is_degraded"))
+    return upsert.upsert_duties(old, o.where("ord % 2 = 0"))
+
+
+@query("SELECT l_orderkey, l_suppkey, max(l_shipdate) AS seen_at, min_by(l_returnflag, struct_pack(a := l_shipdate, b := l_returnflag)) AS payload FROM lineitem GROUP BY ALL")
+def snk3_upsert_evidence(spark, d):
+    log = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_shipdate").alias("seen_at"), F.col("l_returnflag").alias("payload"))
+    return upsert.upsert_evidence(log, ["l_orderkey", "l_suppkey"])
+
+
+@query("SELECT c_nationkey, c_custkey FROM customer WHERE c_nationkey % 3 = 0 OR c_custkey % 5 <> 0 OR c_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey % 5 <> 0)")
+def snk4_delete_stale(spark, d):
+    c = table(spark, d, "customer").select("c_nationkey", "c_custkey")
+    return upsert.delete_stale(c, c.where("c_custkey % 5 <> 0").withColumn("complete", F.col("c_nationkey") % 3 != 0), ["c_nationkey"], "c_custkey")
+
+
+@query("""WITH e AS (SELECT user_id, ts, event_type <> 'error' AS ok FROM events), l AS (SELECT user_id, max(ts) FILTER (ok) AS last_success_at, max(ts) AS last_attempt_at FROM e GROUP BY user_id)
+  SELECT l.user_id, last_success_at, last_attempt_at, count(e.ts) AS consecutive_failures, count(e.ts) = 0 OR (last_success_at IS NOT NULL AND count(e.ts) < 3) AS is_healthy
+  FROM l LEFT JOIN e ON e.user_id = l.user_id AND (last_success_at IS NULL OR e.ts > last_success_at) GROUP BY l.user_id, last_success_at, last_attempt_at""")
+def str1_health(spark, d):
+    return upsert.failures_in_a_row(table(spark, d, "events"), "user_id", "ts", F.col("event_type") != "error")
+
+
+@query("SELECT p_partkey AS id, p_size AS source_id, p_partkey = (SELECT min(p_partkey) FROM part q WHERE q.p_size = part.p_size) AND p_partkey % 2 = 0 AS is_primary, p_partkey % 2 = 0 AND p_partkey <> (SELECT min(p_partkey) FROM part q WHERE q.p_size = part.p_size) AS changed FROM part")
+def snk9_demote_others(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("source_id"), (F.col("p_partkey") % 2 == 0).alias("is_primary"))
+    return upsert.demote_others(p, p.groupBy("source_id").agg(F.min("id").alias("keep_id")))
+
+
+@query("SELECT '<url><loc>https://x.example/' || lower(n_name) || '</loc><lastmod>' || strftime(coalesce(max(o_orderdate), DATE '2024-01-31'), '%Y-%m-%d') || '</lastmod></url>' AS xml, n_nationkey FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_name, n_nationkey")
+def or22_sitemap(spark, d):
+    n, c, o = (table(spark, d, t) for t in ("nation", "customer", "orders"))
+    last = c.join(o, c["c_custkey"] == o["o_custkey"]).groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max("o_orderdate").alias("last"))
+    return reports.sitemap_urls(n.join(last, "n_nationkey", "left"), F.concat(F.lit("https://x.example/"), F.lower("n_name")), F.col("last"), "2024-01-31").select("xml", "n_nationkey")
+
+
+@query("SELECT user_id, coalesce(m > 130, true) AS is_stale, coalesce(m > 370, false) AS is_critical FROM (SELECT user_id, (epoch_us(TIMESTAMP '2024-01-31 00:00:00') - epoch_us(max(ts) FILTER (WHERE event_type = 'purchase'))) / 6e7 AS m FROM events GROUP BY user_id)")
+def or15_flags(spark, d):
+    last = F.max(F.when(F.col("event_type") == "purchase", F.col("ts")))
+    m = numbers.minutes_since(F.col("last"), F.lit(AS_OF).cast("timestamp"))
+    return table(spark, d, "events").groupBy("user_id").agg(last.alias("last")).select("user_id", F.coalesce(m > 130, F.lit(True)).alias("is_stale"), F.coalesce(m > 370, F.lit(False)).alias("is_critical"))
+
+
+@query("SELECT c_custkey, day, CASE WHEN day = DATE '1998-01-05' THEN 'today' WHEN day IS NULL THEN 'no_data' ELSE 'latest' END AS status FROM (SELECT c_custkey, coalesce(max(o_orderdate) FILTER (WHERE o_orderdate = DATE '1998-01-05'), max(o_orderdate))::DATE AS day FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)")
+def str9_latest_day(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders")
+    return reports.day_or_latest(c.select("c_custkey"), o.select(F.col("o_custkey").alias("c_custkey"), F.to_date("o_orderdate").alias("day")), "c_custkey", "1998-01-05")
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k')::INT AS k FROM events")
+def js1_json_field(spark, d):
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS paragraphs, CAST(len(regexp_extract_all(html, '<a ')) AS INT) AS links FROM pages")
+def or32_page_statistics(spark, d):
+    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).alias("links"))
+
+
+@query("SELECT doc_id, CAST(position('the' IN text) AS INT) AS at, CASE WHEN position('the' IN text) > 0 THEN substring(text, greatest(position('the' IN text) - 20, 1), 43) END AS context FROM documents")
+def or33_keyword_context(spark, d):
+    at = F.locate("the", F.col("text"))
+    return table(spark, d, "documents").select("doc_id", at.alias("at"), F.when(at > 0, F.col("text").substr(F.greatest(at - 20, F.lit(1)), F.lit(43))).alias("context"))
+
+
+@query()
+def prs0_dispatch(spark, d):
+    """Pages of places made of the customers of a nation, in three layouts, through the parsers."""
+    c = table(spark, d, "customer").where("c_custkey % 3 = 0")
+    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
+    line = F.concat(F.lit("<tr>"), cell(F.col("c_name")), cell(F.col("c_mktsegment")), cell(F.lit("0232 234 56 78")), F.lit("</tr>"))
+    box = F.concat(F.lit('<div data-name="'), "c_name", F.lit('" data-district="'), "c_mktsegment", F.lit('" data-phone="0232">x</div>'))
+    made = F.when(F.col("c_nationkey") % 2 == 0, line).otherwise(box)
+    body = c.groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list(made)), "").alias("body"))
+    html = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("<table><tr><th>Eczane</th><th>İlçe</th><th>Telefon</th></tr>"), "body", F.lit("</table>"))).otherwise(F.col("body"))
+    return pages.exploded(pages.dispatch(body.select("c_nationkey", html.alias("html"))).drop("html"))
+
+
+@query("SELECT c_custkey, c_name AS name, c_mktsegment AS district, '' AS address, '0232' AS phone FROM customer")
+def prs14_json_rows(spark, d):
+    c = table(spark, d, "customer")
+    item = F.to_json(F.struct(F.array(F.struct(F.col("c_name").alias("eczane"), F.col("c_mktsegment").alias("ilce"), F.lit("tel 0232").alias("telefon"))).alias("data")))
+    rows = pages.json_rows(item)
+    return c.select("c_custkey", F.explode(rows).alias("r")).select("c_custkey", "r.name", "r.district", "r.address", "r.phone")
+
+
+@query()
+def str2_rate_limit(spark, d):
+    return state.rate_limit(table(spark, d, "events").select(F.col("user_id").alias("key"), "ts"), limit=2, seconds=3600.0)
