@@ -115,14 +115,13 @@ def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
         yield i, np.bincount(owners[places], minlength=len(sets))
 
 
-def verify(reps: list[int], sets: list[np.ndarray], groups: list[list[int]], blocks: list[int], group: int, similarity: float) -> Iterator[tuple[int, int, int]]:
+def verify(reps: list[int], sets: list[np.ndarray], groups: list[list[int]], blocks: list[int], across: bool, group: int, similarity: float) -> Iterator[tuple[int, int, int]]:
     """(document, its root, its links): the links of a group's documents, each pair in the first group that it shares
-    only; of two blocks, only the pairs across."""
+    only. across: of two blocks, one of which may be empty, only the pairs across."""
     n, sizes = len(reps), np.array([len(s) for s in sets])
     links, root = [0] * n, list(range(n))
     shared = [frozenset(g) for g in groups]
     block = np.array(blocks)
-    across = len(set(blocks)) > 1
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -187,12 +186,12 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in batch.to_pylist())
-        for (group, _, _), some in itertools.groupby(rows, lambda r: (r["group"], r["low"], r["high"])):
+        for (group, low, high), some in itertools.groupby(rows, lambda r: (r["group"], r["low"], r["high"])):
             unique = {r["rep"]: r for r in some}  # a repeated id came more than once
             if len(unique) > 1:
                 at = list(unique.values())
                 held = [np.frombuffer(r["held"], np.uint64) for r in at]
-                found = list(verify([r["rep"] for r in at], held, [r["mine"] for r in at], [r["own"] for r in at], group, similarity))
+                found = list(verify([r["rep"] for r in at], held, [r["mine"] for r in at], [r["own"] for r in at], low != high, group, similarity))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["rep", "root", "links"])
 
