@@ -31,7 +31,9 @@ BLOCK = 256
 BROADCAST_ROWS = 200_000
 
 _SEEDS = np.random.default_rng(5081).integers(1, 1 << 62, (3, max(TRIES * DEEPEST, 64)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Places of words in the table of their hashes.
 _KNOWN: dict[str, int] = {}
+_TABLE = np.zeros(1 << 19, np.uint64)
 
 
 def stop_depth(tries: int = TRIES, deepest: int = DEEPEST, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -48,19 +50,28 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word(word: str) -> int:
-    if len(_KNOWN) >= 300_000:
+def _place(word: str) -> int:
+    """Puts a new word's hash into the table, after the others."""
+    global _TABLE
+    n = len(_KNOWN) + 1
+    if n >= len(_TABLE):
+        _TABLE = np.concatenate([_TABLE, np.zeros(len(_TABLE), np.uint64)])
+    _TABLE[n] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+    _KNOWN[word] = n
+    return n
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text, split at white space; those of words seen before are looked up."""
+    if len(_KNOWN) > 300_000:
         _KNOWN.clear()
-    h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
-    if len(word) <= 64:
-        _KNOWN[word] = h
-    return h
+    known = _KNOWN.get
+    return _TABLE[np.array([known(x) or _place(x) for x in (text or "").split()], np.int64)]
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the distinct runs of so many words (split at white space) of a text; a shorter text is one run."""
-    known = _KNOWN.get
-    w = np.array([known(x) or _word(x) for x in (text or "").split()], np.uint64)
+    w = word_hashes(text)
     if not len(w):
         return w
     n = max(len(w) - words + 1, 1)
