@@ -87,13 +87,154 @@ def definition_pairs(html: Column) -> Column:
     return _valid(F.transform(parts, lambda p: row(name(p), None, place(p))))
 
 
+# Layouts of single sites. A card is the stretch of html from one mark to the next; its fields are found inside it. Class names, titles and attributes are fixed values of those sites.
+def _cards(html: Column, mark: str, end: str = r"\z") -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is){mark}.*?(?={mark}|{end})"), F.lit(0))
+
+
+def _tag(card: Column, tag: str) -> Column:
+    return _clean(F.regexp_extract(card, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+
+
+def _beside(card: Column, icon: str) -> Column:
+    """The text after an icon, up to a line's or block's end or the next icon or link."""
+    return _clean(F.regexp_extract(card, rf"(?is){icon}[^>]*>(?:</i>)?\s*(.*?)(?:<br|</p|</div|<i\s|<a\s|\z)", 1))
+
+
+def _phone(card: Column, icon: str = "(?:fa|icon)-phone") -> Column:
+    dialled = F.regexp_extract(card, r'(?i)href="tel:([^"]+)"', 1)
+    return text.clean_phone(F.when(dialled != "", dialled).otherwise(_beside(card, icon)))
+
+
+def duty_boxes(html: Column) -> Column:
+    """nobetciDiv: a name as heading or as text of the first of two phone links, an address as map link or beside an icon."""
+    cards = F.filter(_cards(html, "nobetciDiv"), lambda c: F.regexp_count(c, F.lit('(?i)href="tel:')) >= 2)
+
+    def one(c: Column) -> Column:
+        linked = _clean(F.regexp_extract(c, r'(?is)<a href="tel:[^"]*">([^<]+)</a>', 1))
+        mapped = _clean(F.regexp_extract(c, r'(?is)class="nadres"[^>]*>(.*?)</a>', 1))
+        name = F.when(_tag(c, "h4") != "", _tag(c, "h4")).otherwise(linked)
+        return row(name, None, F.when(mapped != "", mapped).otherwise(_beside(c, "fa-home")), _phone(c), *text.map_coordinates(c))
+
+    return _valid(F.transform(cards, one))
+
+
+def duty_cards(html: Column) -> Column:
+    """nobet-kart, each up to a rule: a heading `date / city DISTRICT <strong>name</strong>` or `... - DISTRICT`."""
+
+    def one(c: Column) -> Column:
+        head, strong = _tag(c, "h4"), _tag(F.regexp_extract(c, "(?is)<h4[^>]*>.*?</h4>", 0), "strong")
+        bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), r"(?iu)^OSMAN[Iİ]YE\s+\p{L}+\s+", "")
+        dashed, slashed = F.regexp_extract(head, r"-\s*([\p{L} ]{2,40})$", 1), F.regexp_extract(head, r"(?iu)/\s*OSMAN[Iİ]YE\s+(\p{L}{2,40})", 1)
+        return row(F.when(strong != "", strong).otherwise(F.trim(bare)), F.when(dashed != "", F.trim(dashed)).otherwise(slashed), _beside(c, "fa-home"), _phone(c), *text.map_coordinates(c))
+
+    return _valid(F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<div[^>]*class="[^"]*nobet-kart[^"]*"[^>]*>.*?<hr>'), F.lit(0)), one), 2)
+
+
+def titled_links(html: Column) -> Column:
+    """Links titled Nöbetçi Eczane: those with a district in brackets behind; if there are none, all of them; then cards in columns."""
+    link = r'(?is)title="Nöbetçi Eczane"[^>]*>([^<]+)</a>'
+    near = F.regexp_extract_all(html, F.lit(link + r".{0,120}?<span[^>]*>\([^)]+\)"), F.lit(0))
+    placed = _valid(F.transform(near, lambda c: row(_clean(F.regexp_extract(c, link, 1)), F.trim(F.regexp_extract(c, r"\(([^()]+)\)$", 1)))))
+    plain = _valid(F.transform(F.regexp_extract_all(html, F.lit(link), F.lit(1)), lambda n: row(_clean(n))))
+    cards = F.filter(_cards(html, '<div class="eight columns bottom-1">', r"<p><hr></p>|\z"), lambda c: _tag(c, "strong").rlike("(?iu)ECZANES"))
+    columns = _valid(F.transform(cards, lambda c: row(_tag(c, "strong"), _beside(c, "icon-hand-right"), _beside(c, "icon-home"), _phone(c), *text.map_coordinates(c))))
+    return F.when(F.size(placed) > 0, placed).when(F.size(plain) > 0, plain).otherwise(columns)
+
+
+def marquees(html: Column) -> Column:
+    """Links to nobetci-eczaneler titled Bugün..., their text `name / <strong><small>district`."""
+    link = r'(?is)href="nobetci-eczaneler"[^>]*title="Bugün[^"]*"[^>]*>([^/<]+)\s*/\s*<strong><small>([^<]+)</small>'
+    return _valid(F.transform(F.regexp_extract_all(html, F.lit(link), F.lit(0)), lambda c: row(_clean(F.regexp_extract(c, link, 1)), F.trim(F.regexp_extract(c, link, 2)))), 2)
+
+
+def placemarks(html: Column) -> Column:
+    """Marks of a script's map, with coordinates and a name in bold; a mark's text gives no district or phone."""
+    mark = r"(?is)ymaps\.Placemark\(\s*\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]\s*,\s*\{\s*balloonContent:\s*'(.*?)'\s*\}"
+    part = lambda c, k: F.regexp_extract(c, mark, k)
+    return _valid(F.transform(F.regexp_extract_all(html, F.lit(mark), F.lit(0)), lambda c: row(_tag(F.replace(part(c, 3), F.lit("\\'"), F.lit("'")), "strong"), None, None, None, part(c, 1), part(c, 2))))
+
+
+def icon_blocks(html: Column) -> Column:
+    """A name beside icon-user-md, then an address beside icon-home."""
+    cards = F.filter(_cards(html, "icon-user-md"), lambda c: c.contains("icon-home"))
+    return _valid(F.transform(cards, lambda c: row(_beside(c, "icon-user-md"), None, _beside(c, "icon-home"), _phone(c), *text.map_coordinates(c))))
+
+
+def trend_items(html: Column) -> Column:
+    """trend-item cards: name in h3, district in h5; a phone or an address is needed."""
+    cards = F.filter(_cards(html, r'class="[^"]*trend-item'), lambda c: c.contains("icon-home") & _tag(c, "h3").rlike("(?i)ecz"))
+
+    def one(c: Column) -> Column:
+        place = _beside(c, "fa-map-marker")
+        return row(_tag(c, "h3"), _tag(c, "h5"), F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), _phone(c), *text.map_coordinates(c))
+
+    return F.filter(_valid(F.transform(cards, one)), lambda r: (r["phone"] != "") | (r["address"] != ""))
+
+
+def district_sections(html: Column) -> Column:
+    """Headings h2 of class vatan_hl name the district of the h4 names behind them; an address follows beside icon-home."""
+    parts = F.regexp_extract_all(html, F.lit(r"(?is)<h[24]\b[^>]*>.*?(?=<h[24]\b|\z)"), F.lit(0))
+    heads = lambda p: p.rlike(r'(?is)^<h2[^>]*class="[^"]*vatan_hl')
+    named = lambda p: F.trim(F.regexp_replace(_tag(p, "h2"), r"(?iu)\s*n[öo]bet[çc]i\s+eczaneler?|\s*\d{1,2}[-./]\d{1,2}[-./]\d{2,4}.*", ""))
+    start = F.struct(F.lit("").alias("district"), F.array().cast(KIND).alias("rows"))
+
+    def step(acc: Column, p: Column) -> Column:
+        name = _tag(p, "h4")
+        good = (F.length(name) >= 2) & ~name.rlike("(?iu)eczaneler|nöbetçi") & (F.length(_beside(p, "icon-home")) >= 5)
+        more = F.concat(acc["rows"], F.array(row(name, acc["district"], _beside(p, "icon-home"), _phone(p), *text.map_coordinates(p))))
+        return F.when(heads(p), F.struct(named(p).alias("district"), acc["rows"].alias("rows"))).when(good, F.struct(acc["district"].alias("district"), more.alias("rows"))).otherwise(acc)
+
+    return F.when(html.contains("vatan_hl"), F.aggregate(parts, start, step, lambda acc: acc["rows"])).otherwise(F.array().cast(KIND))
+
+
+def nested_tables(html: Column) -> Column:
+    """Rows of cells whose column of names is set by the last row with a cell `eczane`; the first cell is the district."""
+    lines = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), _clean))
+    start = F.struct(F.lit(2).cast("long").alias("at"), F.array().cast(KIND).alias("rows"))
+
+    def step(acc: Column, cells: Column) -> Column:
+        at = F.array_position(F.transform(cells, F.lower), "eczane")
+        name = F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit(""))
+        good = (F.size(cells) >= 2) & (F.length(name) >= 2) & ~name.rlike("(?iu)bugün|nöbetçi|eczaneler|hastalar|^adres$|^telefon$|^bölge$|bölge eczane")
+        more = F.concat(acc["rows"], F.array(row(name, F.try_element_at(cells, F.lit(1)))))
+        return F.when((F.size(cells) >= 2) & (at > 0), F.struct(at.alias("at"), acc["rows"].alias("rows"))).when(good, F.struct(acc["at"].alias("at"), more.alias("rows"))).otherwise(acc)
+
+    return F.when(html.rlike("baslik_eczane|konyanobetci"), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(F.array().cast(KIND))
+
+
+def named_sections(html: Column) -> Column:
+    """data-name with data-district, and behind it a fuller name in h4 and a paragraph of address and phone."""
+    attribute = lambda c, n: F.trim(F.regexp_extract(c, rf'(?i)data-{n}="([^"]+)"', 1))
+
+    def one(c: Column) -> Column:
+        body = F.regexp_replace(F.regexp_extract(c, r"(?is)<p[^>]*>(.*?)</p>", 1), r"(?is)<svg.*?</svg>", "")
+        span = F.regexp_extract(body, r"(?is)<span[^>]*>([0-9 ()+-]{7,})</span>", 1)
+        phone = F.when(span != "", text.clean_phone(span)).otherwise(_phone(body))
+        name = F.when(_tag(c, "h4") != "", _tag(c, "h4")).otherwise(attribute(c, "name"))
+        place = text.squeezed(text.strip_tags(body))
+        return row(name, attribute(c, "district"), F.when(phone != "", F.trim(F.replace(place, phone, F.lit("")))).otherwise(place), phone)
+
+    return _valid(F.transform(_cards(html, r'data-name="[^"]+"\s+data-district='), one))
+
+
 #: Parsers by key in the order in which they are tried.
 PARSERS: dict[str, Callable[[Column], Column]] = {
-    "table": tables,
+    "osmaniye_eo_v1": duty_cards,
+    "antalya_nobetci_div_v1": duty_boxes,
+    "konya_v1": nested_tables,
+    "karaman_vatan_hl_v1": district_sections,
+    "yandex": placemarks,
     "inline_box": inline_boxes,
-    "heading": headings,
+    "teknoecza_v2": marquees,
+    "teknoecza_v1": titled_links,
     "eczaneismi": definition_pairs,
+    "trend_item_v1": trend_items,
+    "icon_user_md_v1": icon_blocks,
+    "table": tables,
+    "heading": headings,
     "map_link": map_links,
+    "ankara": named_sections,
 }
 
 
@@ -138,3 +279,19 @@ def json_rows(payload: Column) -> Column:
     items = F.coalesce(*[F.when(F.exists(x, lambda m: m.isNotNull()), x) for x in lists], F.array().cast(maps))
     pick = lambda m, f: F.trim(F.coalesce(*[F.try_element_at(m, F.lit(a)) for a in ALIASES[f]]))
     return _valid(F.transform(items, lambda m: row(pick(m, "name"), pick(m, "district"), pick(m, "address"), text.clean_phone(pick(m, "phone")))))
+
+
+def nested_json_rows(payload: Column) -> Column:
+    """Rows of a JSON list under data, eczaneler or rows, each with its fields under pharmacy or at the top. An empty value
+    falls through to the next key; a name without the suffix gets it."""
+    item = "array<struct<name:string,district:string,description:string,phone:string,pharmacy:struct<name:string,district:string,adres:string,gsm:string,phone:string>>>"
+    items = F.coalesce(*[F.from_json(F.get_json_object(payload, f"$.{k}"), item) for k in ("data", "eczaneler", "rows")], F.array().cast(item))
+    first = lambda *c: F.trim(F.coalesce(*[F.when(x != "", x) for x in c], F.lit("")))
+
+    def one(m: Column) -> Column:
+        p = m["pharmacy"]
+        name = first(p["name"], m["name"])
+        full = F.when(name.rlike(r"(?i)\becz"), name).otherwise(F.concat(name, F.lit(" ECZANESİ")))
+        return row(full, first(p["district"], m["district"]), first(p["adres"], m["description"]), text.clean_phone(first(p["gsm"], p["phone"], m["phone"])))
+
+    return _valid(F.transform(items, one))
