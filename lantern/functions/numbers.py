@@ -107,3 +107,9 @@ def coverage(found: Column, expected: Column) -> Column:
 def coordinate_fault(lat: Column, lng: Column) -> Column:
     ok = lat.isNotNull() & lng.isNotNull() & ~F.isnan(lat) & ~F.isnan(lng) & (F.abs(lat) <= 90) & (F.abs(lng) <= 180)
     return F.when(ok, "ok").otherwise("invalid_coordinates")
+
+
+def coerced_date(given: Column, today: Column) -> Column:
+    """Today in the pattern of the given date: with dashes, slashes or, also where it is none of these, dots."""
+    iso, slashes = given.rlike(r"^\d{4}-\d{2}-\d{2}$"), given.rlike(r"^\d{2}/\d{2}/\d{4}$")
+    return F.when(iso, F.date_format(today, "yyyy-MM-dd")).when(slashes, F.date_format(today, "dd/MM/yyyy")).otherwise(F.date_format(today, "dd.MM.yyyy"))

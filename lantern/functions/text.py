@@ -177,3 +177,20 @@ def url_fault(url: Column) -> Column:
 def transient(message: Column) -> Column:
     """Whether a fetch error may pass by itself."""
     return F.lower(message).rlike("timeout|timed out|econnreset|econnrefused|enotfound|eai_again|fetch failed|socket hang up|network")
+
+
+def recovery_message(status: Column, missing: Column, extra: Column, mismatch: Column) -> Column:
+    """Why a run isn't settled: unknown without a status, the differences if there are any, else the status."""
+    counts = F.format_string("recovery_unresolved_diff:missing=%d,extra=%d,mismatch=%d", missing, extra, mismatch)
+    return F.when(status.isNull(), "recovery_unresolved:unknown").when(missing + extra + mismatch > 0, counts).otherwise(F.concat(F.lit("recovery_unresolved_status:"), status))
+
+
+# Types of sources by what they offer, and weights of the types.
+SOURCE_TYPES = {"chamber_html": "pharmacists_chamber", "json_api": "pharmacists_chamber", "third_party_html": "health_directorate"}
+WEIGHTS = {"pharmacists_chamber": 90, "health_directorate": 85, "official_integration": 85, "manual": 70}
+
+
+def source_type(official: Column) -> tuple[Column, Column]:
+    """The type of a source and its weight; others are manual."""
+    kind = F.coalesce(*[F.when(official == k, F.lit(v)) for k, v in SOURCE_TYPES.items()], F.lit("manual"))
+    return kind, F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in WEIGHTS.items()])

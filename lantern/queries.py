@@ -741,3 +741,216 @@ def prs14_json_rows(spark, d):
 @query()
 def str2_rate_limit(spark, d):
     return state.rate_limit(table(spark, d, "events").select(F.col("user_id").alias("key"), "ts"), limit=2, seconds=3600.0)
+
+
+# further filters, projections and joins
+@query("SELECT c_custkey, length(c_name) >= 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN -500 AND 5000 AS valid FROM customer")
+def flt14_report_valid(spark, d):
+    good = (F.length("c_name") >= 3) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & F.col("c_acctbal").between(-500, 5000)
+    return table(spark, d, "customer").select("c_custkey", good.alias("valid"))
+
+
+@query("SELECT event_id FROM events e WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
+def flt4_not_all(spark, d):
+    rich = table(spark, d, "orders").where("o_totalprice > 400000").select(F.col("o_custkey").alias("user_id"))
+    return table(spark, d, "events").join(rich, "user_id", "left_anti").select("event_id")
+
+
+@query("SELECT n_nationkey, EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_acctbal < 0) AS any_debt FROM nation")
+def flt10_exists(spark, d):
+    debt = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey")).distinct().withColumn("hit", F.lit(True))
+    return table(spark, d, "nation").join(debt, "n_nationkey", "left").select("n_nationkey", F.coalesce("hit", F.lit(False)).alias("any_debt"))
+
+
+@query("SELECT c_custkey, coalesce(nullif(CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment END, ''), 'Merkez') AS district, strftime(TIMESTAMP '2024-01-30 21:30:00' + INTERVAL 3 HOUR, '%Y-%m-%d') AS day FROM customer")
+def prj3_defaults(spark, d):
+    raw = F.when(F.col("c_custkey") % 4 == 0, "").otherwise(F.col("c_mktsegment"))
+    day = F.date_format(numbers.active_date(F.lit("2024-01-30 21:30:00").cast("timestamp")), "yyyy-MM-dd")
+    return table(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif(raw, F.lit("")), F.lit("Merkez")).alias("district"), day.alias("day"))
+
+
+@query(f"SELECT c_custkey, {SLUG.format('n_name')} || '-' || {SLUG.format('c_mktsegment')} || '-' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def prj6_row_ids(spark, d):
+    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select("c_custkey", F.concat_ws("-", text.slugify(F.col("n_name")), text.slugify(F.col("c_mktsegment")), at.cast("string")).alias("id"))
+
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
+def jn3_snowflake(spark, d):
+    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
+    near = o.where("o_orderdate >= timestamp'1998-01-01'").join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"])
+    return near.join(r, n["n_regionkey"] == r["r_regionkey"]).select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT c_custkey, n AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey")
+def jn6_keyed_state(spark, d):
+    state_ = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("orders"))
+    return table(spark, d, "customer").select("c_custkey").join(state_, "c_custkey", "left")
+
+
+@query("SELECT count(*) AS orders, count(l_orderkey) AS with_lines FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 45) ON l_orderkey = o_orderkey")
+def jn8_evidence_coverage(spark, d):
+    proof = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("hit", F.lit(1))
+    return table(spark, d, "orders").join(proof, "o_orderkey", "left").agg(F.count("*").alias("orders"), F.count("hit").alias("with_lines"))
+
+
+@query("SELECT (SELECT count(*) FROM orders) AS orders, (SELECT max(ts) FROM events) AS last_event, (SELECT count(*) FROM supplier WHERE s_acctbal < 0) AS debts")
+def jn10_single_values(spark, d):
+    each = [table(spark, d, "orders").agg(F.count("*").alias("orders")), table(spark, d, "events").agg(F.max("ts").alias("last_event")), table(spark, d, "supplier").where("s_acctbal < 0").agg(F.count("*").alias("debts"))]
+    return each[0].join(each[1], F.lit(True)).join(each[2], F.lit(True))  # a row each
+
+
+@query("SELECT l.s_suppkey, arg_min(n.n_name, levenshtein(upper(l.name), n.n_name) * 1000 + n.n_nationkey) AS closest FROM (SELECT s_suppkey, substring(n_name, 2) AS name, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) l JOIN nation n ON n.n_regionkey = l.n_regionkey WHERE levenshtein(upper(l.name), n.n_name) <= 2 GROUP BY l.s_suppkey")
+def jn16_closest_name(spark, d):
+    n = table(spark, d, "nation")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.upper(F.substring("n_name", 2, 100)).alias("name"), "n_regionkey")
+    far = F.levenshtein("name", "n_name", 2)
+    near = s.join(F.broadcast(n), "n_regionkey").withColumn("far", far).where("far >= 0")
+    return near.groupBy("s_suppkey").agg(F.min_by("n_name", F.struct("far", "n_nationkey")).alias("closest"))
+
+
+# further aggregates, windows, orders and sets
+@query("SELECT user_id, max(ts) AS last, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY user_id")
+def ag5_last_and_count(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+@query("SELECT user_id, count(*) AS found, count(*) FILTER (WHERE event_type <> 'error') AS upserted, count(DISTINCT event_type) AS covered, array_to_string(list(event_id ORDER BY ts, event_id) FILTER (WHERE event_type = 'error')[1:3], ',') AS first_errors FROM events GROUP BY user_id")
+def ag14_run_summary(spark, d):
+    e = table(spark, d, "events").withColumn("bad", F.col("event_type") == "error")
+    nth = F.row_number().over(Window.partitionBy("user_id", "bad").orderBy("ts", "event_id"))
+    first = F.collect_list(F.when(F.col("bad") & (F.col("nth") <= 3), F.struct("nth", "event_id")))  # at most three a user
+    out = e.withColumn("nth", nth).groupBy("user_id").agg(F.count("*").alias("found"), F.count_if(~F.col("bad")).alias("upserted"), F.countDistinct("event_type").alias("covered"), first.alias("first"))
+    joined = F.array_join(F.transform(F.array_sort("first"), lambda x: x["event_id"].cast("string")), ",")
+    return out.select("user_id", "found", "upserted", "covered", F.nullif(joined, F.lit("")).alias("first_errors"))
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_orderpriority")
+def ag15_status_counts(spark, d):
+    return table(spark, d, "orders").groupBy("o_orderpriority").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(s.lower()) for s in "FOP"])
+
+
+@query("SELECT c_nationkey, arg_max(c_custkey, orders * 10000000 - c_custkey) AS c_custkey FROM (SELECT c_custkey, c_nationkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL) GROUP BY c_nationkey")
+def ag20_most_rows(spark, d):
+    c, o = table(spark, d, "customer"), table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    best = F.max_by("c_custkey", F.struct(F.coalesce("n", F.lit(0)), -F.col("c_custkey")))
+    return c.join(o, "c_custkey", "left").groupBy("c_nationkey").agg(best.alias("c_custkey"))
+
+
+@query("SELECT coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 END), 0)::BIGINT AS upserted, count(*) AS found FROM events")
+def ag22_totals(spark, d):
+    return table(spark, d, "events").agg(F.coalesce(F.sum(F.when(F.col("event_type") == "purchase", 1)), F.lit(0)).alias("upserted"), F.count("*").alias("found"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderdate::DATE AS day FROM orders QUALIFY o_orderdate::DATE = max(o_orderdate::DATE) OVER (PARTITION BY o_custkey)")
+def wn5_latest_day(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("day"))
+    last = o.groupBy("o_custkey").agg(F.max("day").alias("day"))
+    return o.join(last, ["o_custkey", "day"]).select("o_custkey", "o_orderkey", "day")
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS position FROM lineitem")
+def wn8_position(spark, d):
+    at = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", at.alias("position"))
+
+
+@query("SELECT c_custkey FROM customer ORDER BY CASE WHEN c_mktsegment = 'BUILDING' THEN 0 ELSE 1 END, CASE WHEN c_acctbal > 0 THEN 0 ELSE 1 END, c_acctbal DESC, c_custkey LIMIT 1")
+def so2_priority_pick(spark, d):
+    return table(spark, d, "customer").orderBy(F.when(F.col("c_mktsegment") == "BUILDING", 0).otherwise(1), F.when(F.col("c_acctbal") > 0, 0).otherwise(1), F.desc("c_acctbal"), "c_custkey").select("c_custkey").limit(1)
+
+
+@query("SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 'critical' WHEN s_acctbal < 1000 THEN 'warning' ELSE 'ok' END AS bucket FROM supplier ORDER BY CASE WHEN s_acctbal < 0 THEN 0 WHEN s_acctbal < 1000 THEN 1 ELSE 2 END, s_name")
+def so3_severity_order(spark, d):
+    bucket = F.when(F.col("s_acctbal") < 0, "critical").when(F.col("s_acctbal") < 1000, "warning").otherwise("ok")
+    rank = F.when(F.col("bucket") == "critical", 0).when(F.col("bucket") == "warning", 1).otherwise(2)
+    return table(spark, d, "supplier").select("s_suppkey", "s_name", bucket.alias("bucket")).orderBy(rank, "s_name")
+
+
+@query("SELECT user_id, last FROM (SELECT user_id, max(ts) FILTER (WHERE event_type = 'signup') AS last FROM events GROUP BY user_id) ORDER BY last DESC NULLS LAST, user_id LIMIT 20")
+def so7_nulls_last(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last")).orderBy(F.desc_nulls_last("last"), "user_id").limit(20)
+
+
+@query("SELECT doc_id, array_to_string(list_intersect(list_distinct(a), list_distinct(b)).list_sort(), ' ') AS common FROM (SELECT doc_id, string_split(substring(text, 1, 200), ' ') AS a, string_split(substring(text, 201, 200), ' ') AS b FROM documents WHERE text IS NOT NULL)")
+def set6_token_sets(spark, d):
+    a, b = (F.split(F.substring("text", k, 200), " ") for k in (1, 201))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(F.array_intersect(a, b)), " ").alias("common"))
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
+def set8_eligible(spark, d):
+    missing = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
+    return table(spark, d, "nation").join(missing, "n_nationkey", "left_anti").select("n_nationkey", "n_name")
+
+
+# JSON, dates and classification
+@query("SELECT event_id, json_extract_string(json_merge_patch(props, json_object('resolved_by', 'admin')), '$.resolved_by') AS resolved_by, json_extract_string(props, '$.k') AS k FROM events WHERE event_type = 'error'")
+def snk11_resolve_alerts(spark, d):
+    old = F.coalesce(F.from_json("props", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    merged = F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != "resolved_by"), F.create_map(F.lit("resolved_by"), F.lit("admin"))))
+    return table(spark, d, "events").where("event_type = 'error'").select("event_id", F.get_json_object(merged, "$.resolved_by").alias("resolved_by"), F.get_json_object(merged, "$.k").alias("k"))
+
+
+@query("SELECT page_id, CAST(len(list_distinct(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS INT) AS links FROM pages")
+def js6_distinct_links(spark, d):
+    return table(spark, d, "pages").select("page_id", F.size(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))).alias("links"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(DATE '2024-01-31', '%Y-%m-%d') WHEN o_orderkey % 3 = 1 THEN strftime(DATE '2024-01-31', '%d/%m/%Y') ELSE '31.01.2024' END AS coerced FROM orders")
+def dt6_coerce_dates(spark, d):
+    given, today = F.to_date("o_orderdate"), F.lit("2024-01-31").cast("date")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(given, "yyyy-MM-dd")).when(F.col("o_orderkey") % 3 == 1, F.date_format(given, "dd/MM/yyyy")).otherwise("today")
+    return table(spark, d, "orders").select("o_orderkey", numbers.coerced_date(raw, today).alias("coerced"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate >= TIMESTAMP '1998-08-02' - INTERVAL 90 DAY THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS priority FROM orders")
+def dt7_feed_priority(spark, d):
+    new = F.col("o_orderdate") >= F.expr("timestamp'1998-08-02' - interval 90 days")
+    return table(spark, d, "orders").select("o_orderkey", F.when(new, F.lit(0.7)).otherwise(F.lit(0.5)).alias("priority"))
+
+
+@query("SELECT user_id, CASE WHEN good = 0 THEN 'failed' WHEN good < n THEN 'partial' ELSE 'success' END AS status FROM (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type <> 'error') AS good FROM events GROUP BY user_id)")
+def or2_run_status(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") != "error").alias("good"))
+    return e.select("user_id", F.when(F.col("good") == 0, "failed").when(F.col("good") < F.col("n"), "partial").otherwise("success").alias("status"))
+
+
+@query("""WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY user_id)
+  SELECT user_id, 'partial_data' AS alert_type, 'medium' AS severity FROM r WHERE good BETWEEN 1 AND n - 1 UNION ALL SELECT user_id, 'no_data', 'high' FROM r WHERE good = 0 UNION ALL SELECT user_id, 'mismatch_count', 'high' FROM r WHERE bad > 2""")
+def or3_alert_rules(spark, d):
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("good"), F.count_if(F.col("event_type") == "error").alias("bad"))
+    rules = [((F.col("good") > 0) & (F.col("good") < F.col("n")), "partial_data", "medium"), (F.col("good") == 0, "no_data", "high"), (F.col("bad") > 2, "mismatch_count", "high")]
+    made = F.array(*[F.when(when, F.struct(F.lit(a).alias("alert_type"), F.lit(s).alias("severity"))) for when, a, s in rules])
+    return e.select("user_id", F.explode(F.array_compact(made)).alias("a")).select("user_id", "a.*")
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'recovery_unresolved:unknown' WHEN c_custkey % 5 < 3 THEN 'recovery_unresolved_diff:missing=' || c_custkey % 5 || ',extra=0,mismatch=0' ELSE 'recovery_unresolved_status:failed' END AS message FROM customer")
+def or5_recovery_message(spark, d):
+    missing = F.when((F.col("c_custkey") % 5).between(1, 2), F.col("c_custkey") % 5).otherwise(0)
+    status = F.when(F.col("c_custkey") % 5 != 0, "failed")
+    return table(spark, d, "customer").select("c_custkey", text.recovery_message(status, missing, F.lit(0), F.lit(0)).alias("message"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'pharmacists_chamber' WHEN 1 THEN 'pharmacists_chamber' WHEN 2 THEN 'health_directorate' ELSE 'manual' END AS type, CASE p_partkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 90 WHEN 2 THEN 85 ELSE 70 END AS weight FROM part")
+def or8_source_weight(spark, d):
+    kind, weight = text.source_type(picked(["chamber_html", "json_api", "third_party_html", "other"], "p_partkey"))
+    return table(spark, d, "part").select("p_partkey", kind.alias("type"), weight.alias("weight"))
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN event_id END, CASE WHEN event_id % 3 = 1 THEN c_custkey END, n_nationkey) AS province FROM events LEFT JOIN customer ON c_custkey = user_id LEFT JOIN nation ON n_nationkey = user_id % 25")
+def or17_resolution_chain(spark, d):
+    e, c, n = table(spark, d, "events"), table(spark, d, "customer"), table(spark, d, "nation")
+    found = e.join(c, e["user_id"] == c["c_custkey"], "left").join(n, e["user_id"] % 25 == n["n_nationkey"], "left")
+    return found.select("event_id", F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("event_id")), F.when(F.col("event_id") % 3 == 1, F.col("c_custkey")), F.col("n_nationkey").cast("long")).alias("province"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso, strftime(o_orderdate, '%d.%m.%Y') AS dotted FROM orders")
+def or23_date_formats(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("dotted"))
+
+
+@query("SELECT user_id, event_type, list(event_id ORDER BY ts DESC, event_id DESC)[1] AS last_id, count(*) AS attempts FROM events GROUP BY user_id, event_type")
+def str6_last_write_wins(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("last_id"), F.count("*").alias("attempts"))
