@@ -246,12 +246,6 @@ def test_scores_of_odd_texts(spark):
     assert rows[2]["mean_log_score"] is None and lm.score(docs_of(spark, [])).count() == 0
 
 
-def test_scores_do_not_depend_on_what_is_frequent(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    few, all_ = ({r["doc_id"]: r["log_score"] for r in lm.score(docs, frequent=n).collect()} for n in (3, 1 << 18))
-    assert few.keys() == all_.keys() and all(few[d] == pytest.approx(all_[d]) for d in few)
-
-
 def test_budgets_go_to_siblings_first(spark):
     leaves = [("a", "x", "1", 10), ("a", "x", "2", 100), ("a", "y", "1", 100), ("b", "x", "1", 5)]
     given = mixing.leaf_budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), 100, 1)
