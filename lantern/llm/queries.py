@@ -52,6 +52,12 @@ def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op9_stupid_backoff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three words, without a least count."""
+    scored = lm.score(table(spark, sf_dir, "documents"), least=1, order=3)
+    return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def domain() -> Column:
     """The supplied sources have no domains; three are made of their numbers."""
     return F.concat(F.lit("domain"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int)"), F.lit(0)), F.lit(3)))
@@ -61,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op10_source_mixing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
@@ -89,6 +95,21 @@ terms AS (
   FROM words JOIN c1 cu ON cu.w = words.w JOIN c1 cv ON cv.w = words.v LEFT JOIN c2 ON c2.w = words.w AND c2.v = words.v
   UNION ALL SELECT doc_id, LN(c / CAST((SELECT SUM(c) FROM c1) AS DOUBLE)) FROM words JOIN c1 USING (w) WHERE p = 0)
 SELECT d.doc_id, CAST(COUNT(x) AS BIGINT) AS n_tokens, ROUND(SUM(x) / NULLIF(COUNT(x), 0), 6) AS mean_log_score
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id""",
+    "op9_stupid_backoff_whole": r"""
+WITH words AS (SELECT doc_id, w, p, LAG(w) OVER r AS v, LAG(w, 2) OVER r AS u FROM (
+  SELECT doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))
+  WINDOW r AS (PARTITION BY doc_id ORDER BY p)),
+c1 AS (SELECT w, COUNT(*) AS c FROM words GROUP BY w),
+c2 AS (SELECT v, w, COUNT(*) AS c FROM words WHERE v IS NOT NULL GROUP BY v, w),
+c3 AS (SELECT u, v, w, COUNT(*) AS c FROM words WHERE u IS NOT NULL GROUP BY u, v, w),
+terms AS (
+  SELECT x.doc_id, LN(CASE WHEN c3.c IS NOT NULL THEN c3.c / CAST(cuv.c AS DOUBLE)
+    WHEN c2.c IS NOT NULL THEN CASE WHEN x.u IS NULL THEN 1 ELSE 0.4::DOUBLE END * c2.c / cv.c
+    ELSE CASE WHEN x.v IS NULL THEN 1 WHEN x.u IS NULL THEN 0.4::DOUBLE ELSE 0.4::DOUBLE * 0.4::DOUBLE END * c1.c / (SELECT SUM(c) FROM c1) END) AS s
+  FROM words x JOIN c1 ON c1.w = x.w LEFT JOIN c1 cv ON cv.w = x.v LEFT JOIN c2 ON c2.v = x.v AND c2.w = x.w
+    LEFT JOIN c2 cuv ON cuv.v = x.u AND cuv.w = x.v LEFT JOIN c3 ON c3.u = x.u AND c3.v = x.v AND c3.w = x.w)
+SELECT d.doc_id, CAST(COUNT(s) AS BIGINT) AS n_tokens, ROUND(SUM(s) / NULLIF(COUNT(s), 0), 6) AS mean_log_score
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id""",
     "op10_source_mixing": f"""
 WITH base AS (
