@@ -23,9 +23,15 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def weighted(rows: DataFrame, level: str, weights: DataFrame) -> DataFrame:
+    """Adds weight, that of the level's value."""
+    rows = rows.join(weights.select(level, F.col("weight").cast("double").alias("_w")), level, "left")
+    return rows.withColumn("weight", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(0.0))).drop("_w")
+
+
 def filled(children: DataFrame, parent: list[str], level: str, weights: DataFrame | None) -> DataFrame:
     """Adds given, the budget of each child. children: the columns of parent and level, capacity, and budget, the
-    parent's. weights: level and weight; a child without a positive weight there counts 1.
+    parent's. weights: level and weight; a child without a weight there counts 1, one of weight 0 or less gets nothing.
 
     With the children in the order of capacity / weight, the level to which all are filled is the largest of the levels
     that follow if the first 0, 1, 2 ... are full, as each of these bounds it from below.
@@ -33,14 +39,14 @@ def filled(children: DataFrame, parent: list[str], level: str, weights: DataFram
     if weights is None:
         children = children.withColumn("weight", F.lit(1.0))
     else:
-        children = children.join(weights.select(level, F.col("weight").cast("double").alias("_w")), level, "left")
-        children = children.withColumn("weight", F.when(F.col("_w") > 0, F.col("_w")).otherwise(1.0)).drop("_w")
+        children = weighted(children, level, weights)
     group = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    order = group.orderBy(F.col("capacity") / F.col("weight"), level)
+    children = children.withColumn("capacity", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0))
+    order = group.orderBy(F.when(F.col("weight") > 0, F.col("capacity") / F.col("weight")).otherwise(0.0), level)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     children = children.withColumn("_full", F.coalesce(F.sum("capacity").over(before), F.lit(0)))
     children = children.withColumn("_rest", F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing)))
-    children = children.withColumn("_level", F.max((F.col("budget") - F.col("_full")) / F.col("_rest")).over(group))
+    children = children.withColumn("_level", F.max(F.when(F.col("_rest") > 0, (F.col("budget") - F.col("_full")) / F.col("_rest"))).over(group))
     given = F.least("capacity", F.greatest(F.lit(0), F.floor(F.col("_level") * F.col("weight")))).cast("long")
     return children.withColumn("given", given).drop("_full", "_rest", "_level", "weight")
 
@@ -49,6 +55,9 @@ def leaf_budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str,
     """domain, lang, source, tokens and given, from a table of leaves with their tokens; budget is that of the root."""
     weights = weights or {}
     nodes = leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).cast("long").alias("capacity"))
+    for level in weights:  # what is weighted out is no capacity of the nodes above
+        nodes = weighted(nodes, level, weights[level])
+        nodes = nodes.select(*LEVELS, "tokens", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0).alias("capacity"))
     tables = {len(LEVELS): nodes}
     for depth in range(len(LEVELS) - 1, 0, -1):
         tables[depth] = tables[depth + 1].groupBy(*LEVELS[:depth]).agg(F.sum("capacity").alias("capacity"))

@@ -67,7 +67,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing)}
+#: Target weights of the levels; the supplied tables have none. A value that isn't named has weight 1, one of weight 0 is left out.
+TARGETS: dict[str, dict[str, float]] = {
+    "domain": {"domain0": 1.0, "domain1": 3.0, "domain2": 2.0},
+    "lang": {"en": 4.0, "de": 2.0, "fr": 1.5},
+    "source": {"src0": 0.5, "src1": 2.0, "src4": 3.0, "src7": 0.0, "src11": 1.5},
+}
+
+
+def _weights(level: str) -> str:
+    """SQL for the table of a level's weights."""
+    return f"SELECT * FROM (VALUES {', '.join(f"('{k}', CAST({w} AS DOUBLE))" for k, w in TARGETS[level].items())}) AS t({level}, weight)"
+
+
+def target_weights(spark: SparkSession) -> dict[str, DataFrame]:
+    return {level: spark.sql(_weights(level)) for level in TARGETS}
+
+
+def op10_source_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """To the target weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2, weights=target_weights(spark))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing, op10_source_mixing_weighted)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
@@ -84,6 +106,23 @@ _DOMAINS = _filled("", "domain", "SELECT domain, SUM(capacity) AS capacity, (SEL
 _LANGS = _filled("domain", "lang", "SELECT l.domain, l.lang, SUM(l.capacity) AS capacity, ANY_VALUE(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.lang")
 _SOURCES = _filled("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)")
 
+def _weighted(parent: str, level: str, source: str) -> str:
+    """SQL for mixing.filled with the target weights."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY CASE WHEN weight > 0 THEN capacity / weight ELSE 0 END, {level}"
+    return f"""SELECT * EXCLUDE (lev), LEAST(capacity, GREATEST(0, CAST(FLOOR(COALESCE(lev, 0) * weight) AS BIGINT))) AS given FROM (
+      SELECT *, MAX(CASE WHEN rest > 0 THEN (budget - before) / CAST(rest AS DOUBLE) END) OVER ({by}) AS lev FROM (
+        SELECT *, COALESCE(SUM(capacity) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+          SUM(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+        FROM (SELECT s.*, COALESCE(t.weight, 1) AS weight FROM ({source}) s LEFT JOIN ({_weights(level)}) t USING ({level}))))"""
+
+
+_WEIGHTED = [
+    _weighted("", "domain", "SELECT domain, SUM(capacity) AS capacity, (SELECT CAST(FLOOR(SUM(tokens) * 0.8) AS BIGINT) FROM leaves) AS budget FROM leaves GROUP BY domain"),
+    _weighted("domain", "lang", "SELECT l.domain, l.lang, SUM(l.capacity) AS capacity, ANY_VALUE(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.lang"),
+    _weighted("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)"),
+]
+
 ORACLE_SQL: dict[str, str] = {
     "op9_stupid_backoff": r"""
 WITH words AS (SELECT doc_id, w, p, LEAD(w) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM (
@@ -122,5 +161,19 @@ plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens A
 drawn AS (SELECT b.*, whole, rest, SUM(b.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || whole || ':' || doc_id), doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM base b JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END AS INT) AS copies
+FROM drawn WHERE whole > 0 OR running <= rest""",
+    "op10_source_mixing_weighted": f"""
+WITH base AS (
+  SELECT doc_id, 'domain' || (COALESCE(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3) AS domain,
+    COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, CAST(COALESCE(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS tokens
+  FROM documents WHERE doc_id IS NOT NULL),
+leaves AS (SELECT l.domain, l.lang, l.source, tokens, CASE WHEN LEAST(COALESCE(dw.weight, 1), COALESCE(lw.weight, 1), COALESCE(sw.weight, 1)) > 0 THEN tokens * 2 ELSE 0 END AS capacity
+  FROM (SELECT domain, lang, source, SUM(tokens) AS tokens FROM base GROUP BY ALL) l
+  LEFT JOIN ({_weights("domain")}) dw USING (domain) LEFT JOIN ({_weights("lang")}) lw USING (lang) LEFT JOIN ({_weights("source")}) sw USING (source)),
+domains AS ({_WEIGHTED[0]}), langs AS ({_WEIGHTED[1]}), sources AS ({_WEIGHTED[2]}),
+plan AS (SELECT domain, lang, source, given // tokens AS whole, given % tokens AS rest FROM sources WHERE given > 0),
+drawn AS (SELECT b.*, whole, rest, SUM(b.tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('1:' || whole || ':' || doc_id), doc_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM base b JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END AS INT) AS copies
 FROM drawn WHERE whole > 0 OR running <= rest""",
 }
