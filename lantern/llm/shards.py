@@ -154,11 +154,14 @@ def arrive_and_compact(rows: DataFrame, arrivals: int, store: ShardStore) -> int
     """Deals rows to so many arrivals by the hash of their id, commits each as small shards, and compacts. All arrivals
     are written in one pass, each task adding a shard to each; an empty table leaves the store as it is."""
     folder = f"data/{uuid.uuid4().hex}"
-    dealt = rows.withColumn("_arrival", F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)))
-    dealt.write.option("compression", "zstd").partitionBy("_arrival").parquet(f"{store.path}/{folder}")
+    arrival, taken = "_arrival", {c.lower() for c in rows.columns}
+    while arrival in taken:
+        arrival = f"_{arrival}"
+    dealt = rows.withColumn(arrival, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(arrivals)))
+    dealt.write.option("compression", "zstd").partitionBy(arrival).parquet(f"{store.path}/{folder}")
     version = store.version()
     for k in range(arrivals):
-        part = f"{folder}/_arrival={k}"
+        part = f"{folder}/{arrival}={k}"
         if store._fs.exists(store._at(part)):
             version = store.adopt(part, k)
             if k % 4 == 3:
@@ -170,16 +173,15 @@ def sharded(docs: DataFrame, path: str, arrivals: int = 8, **options) -> DataFra
     """doc_id, shard, n_shards, n_bytes and text_crc32 of every document as read back from the compacted store.
 
     shard: the place of its file among the newest version's, by path. n_bytes and text_crc32 are of the stored text in
-    UTF-8 (null stays null). Repeated rows and rows with a null id are stored as they are. Only doc_id and text are stored
-    here; append keeps any columns.
+    UTF-8 (null stays null). Repeated rows and rows with a null id are stored as they are, with all columns of docs.
     """
     spark = docs.sparkSession
     store = ShardStore(spark, path, **options)
-    version = arrive_and_compact(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), arrivals, store)
+    version = arrive_and_compact(docs, arrivals, store)
     if not version:
         return spark.createDataFrame([], "doc_id long, shard int, n_shards int, n_bytes long, text_crc32 long")
     names = sorted(s.path.rsplit("/", 1)[-1] for s in store.shards(version))
     order = spark.createDataFrame(list(enumerate(names)), "shard int, name string")
-    data = F.col("text").cast("binary")
-    rows = store.read(version).select("doc_id", F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
+    data = F.col("text").cast("string").cast("binary")
+    rows = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
     return rows.join(order, "name").select("doc_id", "shard", F.lit(len(names)).alias("n_shards"), "n_bytes", "text_crc32")
