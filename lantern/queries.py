@@ -717,6 +717,19 @@ def or33_keyword_context(spark, d):
     return table(spark, d, "documents").select("doc_id", at.alias("at"), F.when(at > 0, F.col("text").substr(F.greatest(at - 20, F.lit(1)), F.lit(43))).alias("context"))
 
 
+@query(
+    "SELECT doc_id, CAST(place AS INT) AS place, CAST(spot AS INT) AS at, substring(text, greatest(spot - 20, 1), 43) AS context FROM (SELECT doc_id, text, place, 3 * (place - 1) + 1 + length(array_to_string(parts[1:place], '')) AS spot "
+    "FROM (SELECT doc_id, text, parts, unnest(range(1, least(len(parts), 11))) AS place FROM (SELECT doc_id, text, string_split(text, 'the') AS parts FROM documents)))"
+)
+def or33_keyword_contexts(spark, d):
+    """Windows around the first ten occurrences."""
+    parts = table(spark, d, "documents").select("doc_id", "text", F.split("text", "the", 11).alias("parts"))
+    ends = F.transform(F.slice("parts", 1, F.size("parts") - 1), F.length)
+    starts = F.transform(ends, lambda x, k: F.aggregate(F.slice(ends, 1, k + 1), F.lit(0), lambda a, b: a + b) + 3 * k + 1)
+    found = parts.select("doc_id", "text", F.posexplode(starts).alias("place", "at"))
+    return found.select("doc_id", (F.col("place") + 1).alias("place"), "at", F.col("text").substr(F.greatest(F.col("at") - 20, F.lit(1)), F.lit(43)).alias("context"))
+
+
 @query()
 def prs0_dispatch(spark, d):
     """Pages of places made of the customers of a nation, in three layouts, through the parsers."""
@@ -879,6 +892,13 @@ def set6_token_sets(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(F.array_intersect(a, b)), " ").alias("common"))
 
 
+@query("SELECT p_partkey, array_to_string(list_intersect(list_distinct(a), list_distinct(b)).list_sort(), ' ') AS common FROM (SELECT p_partkey, string_split(upper(p_name), ' ') AS a, string_split(upper(p_type), ' ') AS b FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL)")
+def set6_token_sets_whole(spark, d):
+    """Of two whole columns."""
+    a, b = (F.split(F.upper(c), " ") for c in ("p_name", "p_type"))
+    return table(spark, d, "part").where("p_name is not null and p_type is not null").select("p_partkey", F.array_join(F.array_sort(F.array_intersect(a, b)), " ").alias("common"))
+
+
 @query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
 def set8_eligible(spark, d):
     missing = table(spark, d, "supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("n_nationkey"))
