@@ -33,7 +33,7 @@ INLINE = set(
     "time tt u var wbr img".split()
 )
 DROPPED = set(
-    "head title nav footer aside form script style noscript template iframe svg math canvas object embed applet audio video button "
+    "head title nav footer aside script style noscript template iframe svg math canvas object embed applet audio video button "
     "select textarea input dialog menu noembed noframes xmp".split()
 )
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
@@ -45,6 +45,10 @@ BOILERPLATE = set(
     "respond widget toolbar pager pagination skip copyright".split()
 )
 KEPT = {"html", "body", "main", "article"}
+#: Classes and ids that begin so tell what a layout has or lacks, not what the node is.
+LAYOUT = {"has", "with", "no", "without"}
+#: Marks of discussions: much text doesn't make these the page's content.
+DISCUSSION = {"comment", "comments", "disqus", "replies", "respond"}
 #: An opening tag ends open elements of these kinds first.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Such an end looks no further up than to one of these.
@@ -52,12 +56,13 @@ SCOPES = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "bod
 
 
 class Node:
-    __slots__ = ("children", "chars", "density", "inline", "links", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "inline", "links", "link_tags", "marks", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.inline = tag, parent, [], tag in INLINE
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.marks: set[str] = set()
 
 
 def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
@@ -67,17 +72,55 @@ def _boilerplate(tag: str, attributes: str, inside: bool) -> bool:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id"):
-            parts = set(re.split(r"[\s_-]+", value))
-            if parts & BOILERPLATE or "header" in parts and not inside:
-                return True
-        elif name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
+def _marks(tag: str, attributes: str, inside: bool) -> set[str]:
+    """The parts of class and id that mark boilerplate; a form is marked as such."""
+    found = {"form"} if tag == "form" else set()
+    for name, *values in ATTRIBUTE.findall(attributes or ""):
+        if name.lower() in ("class", "id"):
+            for value in "".join(values).lower().split():
+                parts = re.split(r"[_-]+", value)
+                if parts[0] not in LAYOUT:
+                    found |= {x for x in parts if x in BOILERPLATE or x == "header" and not inside}
+    return found
+
+
+def _cut(root: Node) -> None:
+    """Marked nodes go, but those that hold an article or main without marks of its own, or most of the page's text at a
+    low share of links, are wrappers and stay."""
+    nodes = _ordered(root)
+    if not any(node.marks for node in nodes):
+        return
+    chars, links, holds = {}, {}, {}
+    for node in reversed(nodes):
+        inner = [c for c in node.children if isinstance(c, Node)]
+        chars[id(node)] = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inner)
+        links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in inner)
+        holds[id(node)] = node.tag in ("article", "main") and not node.marks or any(holds[id(c)] for c in inner)
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        children = []
+        for c in node.children:
+            if isinstance(c, Node) and c.marks and c.tag not in KEPT:
+                n = chars[id(c)]
+                most = not c.marks & DISCUSSION and 2 * n > chars[id(root)] and links[id(c)] < 0.3 * n
+                if not (holds[id(c)] or most):
+                    if not c.inline:
+                        children.append(Node("hr", node))  # still a border between blocks
+                    continue
+            children.append(c)
+            if isinstance(c, Node):
+                todo.append(c)
+        node.children = children
+
+
 def parse(page: str) -> Node:
     """The DOM of a page without boilerplate; wrong nesting is mended as browsers do in the usual cases."""
     root = here = Node("body", None)
@@ -131,10 +174,12 @@ def parse(page: str) -> Node:
         if tag not in INLINE:
             here = _open_scope(here, tag)
         node = Node(tag, here)
+        node.marks = _marks(tag, m[3], inside > 0) if m[3] or tag == "form" else node.marks
         here.children.append(node)
         if tag not in VOID and not m[0].endswith("/>"):
             here = node
             inside += tag in ("article", "main")
+    _cut(root)
     return root
 
 
