@@ -34,8 +34,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Whole texts travel to Python in Arrow batches of so many rows, so that a run of very long texts fits."""
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Whole texts travel to Python in Arrow batches of so many rows, so that a run of very long texts fits. All operators
+    ask for the same, so it doesn't matter which ran before."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

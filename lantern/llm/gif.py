@@ -250,7 +250,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
         media = pa.array([payload_gif(t) for t in texts], pa.binary())
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([len(t) for t in texts], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
-    small_batches(docs.sparkSession, 256)
+    small_batches(docs.sparkSession)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_batches(spread(source), run, "doc_id long, n_bytes long, media binary")
 
@@ -267,7 +267,7 @@ def frames(media: DataFrame) -> DataFrame:
                     row = {"doc_id": doc, "frame": k, "start_ms": f.start_ms, "delay_ms": f.delay_ms, "width": w, "height": h, "pixels": f.canvas.tobytes(), "histogram": f.histogram().tolist()}
                     yield pa.RecordBatch.from_pylist([row], FRAME)
 
-    small_batches(media.sparkSession, 256)
+    small_batches(media.sparkSession)
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(run, "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, pixels binary, histogram array<long>")
 
 

@@ -61,12 +61,17 @@ def _place(word: str) -> int:
     return n
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of a text, split at white space; those of words seen before are looked up."""
+def flat_hashes(texts: list[list[str]]) -> np.ndarray:
+    """64-bit hashes of the words of some texts, one after the other; those of words seen before are looked up."""
     if len(_KNOWN) > 300_000:
         _KNOWN.clear()
     known = _KNOWN.get
-    return _TABLE[np.array([known(x) or _place(x) for x in (text or "").split()], np.int64)]
+    return _TABLE[np.array([known(x) or _place(x) for words in texts for x in words], np.int64)]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """The same of one text, split at white space."""
+    return flat_hashes([(text or "").split()])
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -168,7 +173,7 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     columns are ignored. No group is capped.
     """
     spark = docs.sparkSession
-    small_batches(spark, 256)
+    small_batches(spark)
     depth = stop_depth(tries, deepest, similarity, recall)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     signed = written(signatures(spread(source), depth, words, tries), "signatures")

@@ -53,8 +53,8 @@ def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_stupid_backoff_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Up to three words, without a least count."""
-    scored = lm.score(table(spark, sf_dir, "documents"), least=1, order=3)
+    """With runs of up to three words."""
+    scored = lm.score(table(spark, sf_dir, "documents"), order=3)
     return scored.select("doc_id", "n_tokens", F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
@@ -125,20 +125,20 @@ _WEIGHTED = [
 
 ORACLE_SQL: dict[str, str] = {
     "op9_stupid_backoff": r"""
-WITH words AS (SELECT doc_id, w, p, LEAD(w) OVER (PARTITION BY doc_id ORDER BY p) AS v FROM (
-  SELECT doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))),
+WITH words AS (SELECT row, doc_id, w, p, LAG(w) OVER (PARTITION BY row ORDER BY p) AS v FROM (
+  SELECT row, doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))),
 c1 AS (SELECT w, COUNT(*) AS c FROM words GROUP BY w),
-c2 AS (SELECT w, v, COUNT(*) AS c FROM words WHERE v IS NOT NULL GROUP BY w, v HAVING COUNT(*) >= 2),
+c2 AS (SELECT v, w, COUNT(*) AS c FROM words WHERE v IS NOT NULL GROUP BY v, w),
 terms AS (
-  SELECT words.doc_id, CASE WHEN c2.c IS NOT NULL THEN LN(c2.c / CAST(cu.c AS DOUBLE)) ELSE LN(0.4::DOUBLE * cv.c / (SELECT SUM(c) FROM c1)) END AS x
-  FROM words JOIN c1 cu ON cu.w = words.w JOIN c1 cv ON cv.w = words.v LEFT JOIN c2 ON c2.w = words.w AND c2.v = words.v
-  UNION ALL SELECT doc_id, LN(c / CAST((SELECT SUM(c) FROM c1) AS DOUBLE)) FROM words JOIN c1 USING (w) WHERE p = 0)
+  SELECT words.doc_id, LN(CASE WHEN words.v IS NULL THEN c1.c / CAST((SELECT SUM(c) FROM c1) AS DOUBLE) WHEN c2.c IS NOT NULL THEN c2.c / CAST(cv.c AS DOUBLE)
+    ELSE 0.4::DOUBLE * c1.c / (SELECT SUM(c) FROM c1) END) AS x
+  FROM words JOIN c1 ON c1.w = words.w LEFT JOIN c1 cv ON cv.w = words.v LEFT JOIN c2 ON c2.v = words.v AND c2.w = words.w)
 SELECT d.doc_id, CAST(COUNT(x) AS BIGINT) AS n_tokens, ROUND(SUM(x) / NULLIF(COUNT(x), 0), 6) AS mean_log_score
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id""",
     "op9_stupid_backoff_whole": r"""
 WITH words AS (SELECT doc_id, w, p, LAG(w) OVER r AS v, LAG(w, 2) OVER r AS u FROM (
-  SELECT doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))
-  WINDOW r AS (PARTITION BY doc_id ORDER BY p)),
+  SELECT row, doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))
+  WINDOW r AS (PARTITION BY row ORDER BY p)),
 c1 AS (SELECT w, COUNT(*) AS c FROM words GROUP BY w),
 c2 AS (SELECT v, w, COUNT(*) AS c FROM words WHERE v IS NOT NULL GROUP BY v, w),
 c3 AS (SELECT u, v, w, COUNT(*) AS c FROM words WHERE u IS NOT NULL GROUP BY u, v, w),

@@ -239,7 +239,7 @@ def test_oracles(spark, name):
 
 
 def test_scores_of_odd_texts(spark):
-    rows = {r["doc_id"]: r for r in lm.score(docs_of(spark, ["a b a b", "a", "", None, "  "])).collect()}
+    rows = {r["doc_id"]: r for r in lm.score(docs_of(spark, ["a b a b", "a", "", None, "  "]), least=2).collect()}
     assert rows[1]["log_score"] == pytest.approx(np.log(3 / 5)) and rows[2]["n_tokens"] == rows[3]["n_tokens"] == rows[4]["n_tokens"] == 0
     # a b twice: c(ab) = 2; b a once, so it backs off
     assert rows[0]["log_score"] == pytest.approx(np.log(3 / 5) + 2 * np.log(2 / 3) + np.log(0.4 * 3 / 5))
