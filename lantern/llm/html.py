@@ -1,11 +1,12 @@
 """Main text of web pages by composite text density.
 
 A page becomes a small DOM. Boilerplate by tag, role, class or id (menus, page headers, footers, sidebars, notices, adverts,
-forms, comments) and what is never shown (scripts, styles, hidden nodes) is cut off. Each block node of the rest gets its
-composite text density: characters per tag, adjusted for the part of them inside links. A node's density sum adds the
-densities of its children. The node with the largest sum stands for the content; the smallest density on its path to the
-body is the threshold. Going down from the body, each node that is as dense as the threshold or denser gives the node of
-the largest sum in its subtree, and the union of these subtrees, widened to an enclosing article, is the text.
+forms, comments) and what is never shown (scripts, styles, hidden nodes) is cut off, but not wrappers that hold the text.
+Each node of the rest, also those within a line, gets its composite text density: characters per tag, adjusted for the part
+of them inside links. A node's density sum adds the densities of its children. The node with the largest sum stands for the
+content; the smallest density on its path to the body is the threshold. Going down from the body, each block that is as
+dense as the threshold or denser gives the node of the largest sum in its subtree, and the union of these subtrees is the
+text. A subtree that has at least half of an enclosing article is widened to it, as headings and short blocks belong to it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,14 +22,14 @@ from pyspark.sql import functions as F
 
 from lantern.llm.common import map_batches, small_batches, spread
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>"'=]|[="'])*?)/?>""", re.S
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.S)
+TAG = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*+))")
+#: What a tag has between two quoted values, and the quote or the end of the tag behind it.
+PLAIN = re.compile(r"""[^>=]*+(?:=(?!\s*+["'])[^>=]*+)*+(?:=\s*+(["'])|>)""")
+ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-a-zA-Z0-9_:.]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.S)
 #: Elements whose content is no markup.
 RAW = {"script", "style", "title", "textarea", "xmp", "iframe", "noembed", "noframes", "noscript", "template", "svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements inside a line of text: neither nodes nor tags of their own for the density.
+#: Elements inside a line of text: nodes for the density, but no blocks of the text.
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup "
     "time tt u var wbr img".split()
@@ -55,11 +57,49 @@ CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "
 SCOPES = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "main", "td", "th", "blockquote"}
 
 
+class Scanner:
+    """The tags of a page one after the other, in a time that grows with its length only. A tag whose end is hidden by a
+    quote that never closes ends at its first bracket, and quotes count no more from there on."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Begin, end, whether it is an end tag, name (empty for comments and the like) and attributes."""
+        page = self.page
+        m = TAG.search(page, at)
+        if not m:
+            return None
+        begin = m.start()
+        if m[2] is None:
+            comment = m.end() == begin + 4
+            end = page.find("-->" if comment else ">", m.end())
+            return begin, len(page) if end < 0 else end + (3 if comment else 1), False, "", ""
+        end = self._end(m.end())
+        if end < 0:  # cut off within a tag: nothing else can begin
+            return begin, len(page), False, "", ""
+        return begin, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]
+
+    def _end(self, at: int) -> int:
+        page, here = self.page, at
+        while self.quotes and here <= self.last and (m := PLAIN.match(page, here)):
+            if not m[1]:
+                return m.end()
+            here = page.find(m[1], m.end()) + 1
+            if not here:
+                break
+        self.quotes = False
+        return page.find(">", at) + 1 or -1 if at <= self.last else -1
+
+
 class Node:
-    __slots__ = ("children", "chars", "density", "inline", "links", "link_tags", "marks", "parent", "sum", "tag", "tags")
+    __slots__ = ("children", "chars", "density", "inline", "links", "link_tags", "marks", "open", "parent", "scope", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
         self.tag, self.parent, self.children, self.inline = tag, parent, [], tag in INLINE
+        # the scope that it is in, or is itself; a scope counts its open elements, so that no search goes up in vain
+        own = parent is None or tag in SCOPES
+        self.scope, self.open = self if own else parent.scope, Counter() if own else None
         self.chars = self.tags = self.links = self.link_tags = 0
         self.density = self.sum = 0.0
         self.marks: set[str] = set()
@@ -126,44 +166,50 @@ def parse(page: str) -> Node:
     root = here = Node("body", None)
     at, dropped, inside = 0, 0, 0  # dropped: open elements within a dropped one; inside: open articles
     open_dropped: list[str] = []
+    nested, opened = Counter(), Counter()  # of the open elements within a dropped one, and of those that are kept, how many of a tag
+    scanner = Scanner(page)
     while at < len(page):
-        m = TOKEN.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        found = scanner.next(at)
+        text = page[at : found[0] if found else len(page)]
         if text and not dropped:
             here.children.append(entities.unescape(text) if "&" in text else text)
-        if not m:
+        if not found:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, end, tag, attributes = found
+        if not tag:
             continue
-        end, tag = m[1], m[2].lower()
+        closed = attributes.endswith("/")
         if dropped:  # only the nesting counts
             if not end and tag in RAW:
                 at = _raw_end(page, at, tag)
-            elif not end and tag not in VOID and not m[0].endswith("/>"):
+            elif not end and tag not in VOID and not closed:
                 open_dropped.append(tag)
-            elif end and tag in open_dropped:
-                while open_dropped.pop() != tag:
-                    pass
+                nested[tag] += 1
+            elif end and nested[tag]:
+                while (last := open_dropped.pop()) != tag:
+                    nested[last] -= 1
+                nested[tag] -= 1
             elif end and tag in ("article", "main", "body", "html"):
                 open_dropped.clear()
-                here = _close(here, tag)
+                nested.clear()
+                here = _close(here, tag, opened)
                 inside -= tag in ("article", "main") and inside > 0
             dropped = len(open_dropped)
             continue
         if end:
             inside -= tag in ("article", "main") and inside > 0
-            here = _close(here, tag)
+            here = _close(here, tag, opened)
             continue
         if tag in ("html", "body"):
             continue
-        if _boilerplate(tag, m[3], inside > 0):
+        if _boilerplate(tag, attributes, inside > 0):
             if tag not in INLINE:
-                here = _open_scope(here, tag)
+                here = _open_scope(here, tag, opened)
             if tag in RAW:
                 at = _raw_end(page, at, tag)
-            elif tag not in VOID and not m[0].endswith("/>"):
+            elif tag not in VOID and not closed:
                 open_dropped.append(tag)
+                nested[tag] += 1
                 dropped = 1
             if tag not in INLINE:
                 here.children.append(Node("hr", here))  # still a border between blocks
@@ -172,11 +218,13 @@ def parse(page: str) -> Node:
             at = _raw_end(page, at, tag)
             continue
         if tag not in INLINE:
-            here = _open_scope(here, tag)
+            here = _open_scope(here, tag, opened)
         node = Node(tag, here)
-        node.marks = _marks(tag, m[3], inside > 0) if m[3] or tag == "form" else node.marks
+        node.marks = _marks(tag, attributes, inside > 0) if attributes or tag == "form" else node.marks
         here.children.append(node)
-        if tag not in VOID and not m[0].endswith("/>"):
+        if tag not in VOID and not closed:
+            here.scope.open[tag] += 1
+            opened[tag] += 1
             here = node
             inside += tag in ("article", "main")
     _cut(root)
@@ -191,24 +239,38 @@ def _raw_end(page: str, at: int, tag: str) -> int:
     return len(page) if end < 0 else end + 1
 
 
-def _open_scope(here: Node, tag: str) -> Node:
+def _open_scope(here: Node, tag: str, opened: Counter) -> Node:
     ends, node = CLOSES.get(tag, {"p"}), here
+    if here.scope.tag not in ends and not any(here.scope.open[x] for x in ends):
+        return here
     while node.parent and node.tag not in SCOPES - ends:
         if node.tag in ends:
-            here = node.parent
+            here = _left(here, node, opened)
             if "p" == node.tag or tag in ("li", "option"):
                 break
         node = node.parent
     return here
 
 
-def _close(here: Node, tag: str) -> Node:
+def _left(here: Node, node: Node, opened: Counter) -> Node:
+    """Closes all from here up to a node."""
+    while here is not node.parent:
+        opened[here.tag] -= 1
+        here.parent.scope.open[here.tag] -= 1
+        here = here.parent
+    return here
+
+
+def _close(here: Node, tag: str, opened: Counter) -> Node:
+    inner = tag in INLINE or tag == "p"
+    if not (here.scope.open[tag] if inner else opened[tag]):
+        return here
     node = here
     while node.parent and node.tag != tag:
-        if node.tag in SCOPES and tag in INLINE | {"p"}:
+        if inner and node.tag in SCOPES:
             return here
         node = node.parent
-    return node.parent if node.parent else here
+    return _left(here, node, opened) if node.parent else here
 
 
 def _ordered(root: Node) -> list[Node]:
@@ -229,7 +291,7 @@ def weigh(root: Node) -> list[Node]:
         if node.parent:
             up = node.parent
             up.chars, up.links, up.link_tags = up.chars + node.chars, up.links + node.links, up.link_tags + node.link_tags
-            up.tags += node.tags + (not node.inline or node.tag == "a")
+            up.tags += node.tags + 1
     ratio = root.links / max(root.chars, 1)
     for node in nodes:
         c, t, lc, lt = node.chars, max(node.tags, 1), node.links, node.link_tags
@@ -237,7 +299,7 @@ def weigh(root: Node) -> list[Node]:
         node.density = c / t * math.log((c / max(lc, 1)) * (t / max(lt, 1)) + 1e-9, max(base, 1 + 1e-9)) if c else 0.0
         node.density = max(node.density, 0.0)
     for node in nodes:
-        if node.parent and not node.inline:
+        if node.parent:
             node.parent.sum += node.density
     return nodes
 
@@ -257,16 +319,21 @@ def content(root: Node) -> set[int]:
     while node:
         threshold = min(threshold, node.density)
         node = node.parent
-    marked: set[int] = set()
+    found: dict[int, Node] = {}
     for node in nodes:
         if not node.inline and node.chars and node.density >= threshold:
-            found = best[id(node)] if best[id(node)].sum > 0 else node
-            up = found
-            while up:
-                found = up if up.tag in ("article", "main") else found
-                up = up.parent
-            marked.add(id(found))
-    return marked
+            of = best[id(node)] if best[id(node)].sum > 0 else node
+            found[id(of)] = of
+    return {id(_widened(node)) for node in found.values()}
+
+
+def _widened(node: Node) -> Node:
+    """Up to the block that it is in, and the outermost article or main of which it has half of the text."""
+    found, up = node, node.parent
+    while up and (found.inline or 2 * node.chars >= up.chars):
+        found = up if found.inline or up.tag in ("article", "main") else found
+        up = up.parent
+    return found
 
 
 def main_text(page: str | None) -> str:
