@@ -1,11 +1,16 @@
 """Similarity join of word shingles by a MinHash LSH forest.
 
-Each trie of the forest sorts the documents by a sequence of MinHash values of their shingle sets. Documents that share a
-prefix of it are candidates. Beginning at the longest prefixes, the prefixes are shortened until pairs at the asked
-similarity meet in some trie with the target recall; what shares a longer prefix shares that one too. Candidates are
-verified by their exact Jaccard similarity, where a group of a prefix meets. Groups with the same members in many tries are
-looked at once, large groups are dealt to many tasks as pairs of blocks, and a task returns counts and a spanning forest of
-the links that it found, never the pairs.
+Each trie of the forest holds the documents by a sequence of MinHash values of their shingle sets, its signature; the
+documents below a node are those that share a prefix, a run of the sorted signatures. Candidates are what shares a prefix
+in any trie. Matching begins at the longest prefixes; the prefixes are shortened value by value until the pairs found
+reach the target recall, which is measured: while the signatures are made, each set is compared exactly with those of a
+bounded sample of documents, and of each pair that is similar enough it is noted how long the longest prefix is that the
+two share in any trie. So the depth at which the forest is cut follows from the similarities that the corpus has; pairs at
+the least similarity are mixed in as if some had been seen, which decides where the sample has few pairs.
+
+Candidates are verified by their exact Jaccard similarity, where a group of a prefix meets. Groups with the same members in
+many tries are looked at once, large groups are dealt to many tasks as pairs of blocks of so many bytes, and a task returns
+counts and a spanning forest of the links that it found, never the pairs.
 """
 
 from __future__ import annotations
@@ -25,10 +30,13 @@ from lantern.llm.components import components
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.999
 TRIES, DEEPEST = 16, 8
-#: Documents of a group that meet in one task.
-BLOCK = 256
-#: Rows up to which a table of candidates goes to all executors (about 60 bytes a row and 8 for each group); more are joined by shuffling.
-BROADCAST_ROWS = 200_000
+#: Documents whose similar partners are looked for among all documents, to measure the recall of each depth; those of the
+#: smallest hashes. Pairs at the least similarity that count as seen besides.
+SAMPLE, SUPPOSED = 512, 200
+#: Bytes of the sets of a block; the pairs of two blocks meet in one task.
+BLOCK = 2 << 20
+#: Bytes up to which a table of candidates goes to all executors; a larger one is joined by shuffling.
+BROADCAST = 8 << 20
 
 _SEEDS = np.random.default_rng(5081).integers(1, 1 << 62, (3, max(TRIES * DEEPEST, 64)), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Places of words in the table of their hashes.
@@ -36,10 +44,16 @@ _KNOWN: dict[str, int] = {}
 _TABLE = np.zeros(1 << 19, np.uint64)
 
 
-def stop_depth(tries: int = TRIES, deepest: int = DEEPEST, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
-    """The longest prefix at which pairs of that similarity meet in one of the tries with the target recall."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - similarity**depth) ** tries >= recall:
+def expected(depth: int, tries: int = TRIES, similarity: float = SIMILARITY) -> float:
+    """The share of the pairs of that similarity that have a prefix of that depth in common in one of the tries."""
+    return 1 - (1 - similarity**depth) ** tries
+
+
+def stop_depth(met: list[int], recall: float = RECALL, tries: int = TRIES, similarity: float = SIMILARITY, supposed: int = SUPPOSED) -> int:
+    """The longest prefix at which the target recall is reached. met: how many pairs of the sample share at most a prefix of
+    0, 1, 2 ... values."""
+    for depth in range(len(met) - 1, 1, -1):
+        if sum(met[depth:]) + supposed * expected(depth, tries, similarity) >= recall * (sum(met) + supposed):
             return depth
     return 1
 
@@ -86,31 +100,66 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mixed(h))
 
 
-def prefixes(s: np.ndarray, depth: int, tries: int = TRIES) -> np.ndarray:
-    """One hash for each trie of the document's prefix of that depth."""
-    values = np.empty(tries * depth, np.uint64)
+def signature(s: np.ndarray, tries: int = TRIES, deepest: int = DEEPEST) -> np.ndarray:
+    """The MinHash values (32 bits) of a set in each trie."""
+    values = np.empty(tries * deepest, np.uint64)
     for k in range(0, len(values), 16):
         some = slice(k, k + 16)
         values[some] = (s[None, :] * _SEEDS[0, some][: len(values) - k, None] + _SEEDS[1, some][: len(values) - k, None]).min(axis=1)
-    values = values.reshape(tries, depth)
-    out = np.arange(tries, dtype=np.uint64) + np.uint64(1)
-    for k in range(depth):
-        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + values[:, k])
-    return out
-
-
-def signatures(docs: DataFrame, depth: int, words: int = WORDS, tries: int = TRIES) -> DataFrame:
-    """doc_id, set_key (the same for the same set of shingles) and prefixes (none if there is no word)."""
+    return (_mixed(values) >> np.uint64(32)).astype(np.uint32).reshape(tries, deepest)
+
+
+class Sample:
+    """The sets of some documents, to be compared with any other."""
+
+    def __init__(self, texts: list[str | None], words: int, tries: int, deepest: int) -> None:
+        sets = {s.tobytes(): s for s in (shingles(t, words) for t in texts) if len(s)}.values()
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.signatures = np.array([signature(s, tries, deepest) for s in sets])
+        every = np.concatenate([*sets, np.empty(0, np.uint64)])
+        order = np.argsort(every, kind="stable")
+        self.owners = np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
+        self.hashes, self.begins = np.unique(every[order], return_index=True)
+        self.ends = np.append(self.begins[1:], len(every))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[self.hashes & np.uint64((1 << 20) - 1)] = True
+
+    def met(self, s: np.ndarray, own: np.ndarray, similarity: float, out: np.ndarray) -> None:
+        """Adds the pairs of a set with those of the sample that are similar, but not the same, to their depth."""
+        some = s[self.maybe[s & np.uint64((1 << 20) - 1)]]
+        if not len(some) or not len(self.hashes):
+            return
+        at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+        at = at[self.hashes[at] == some]
+        count = self.ends[at] - self.begins[at]
+        places = np.repeat(self.begins[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(self.owners[places], minlength=len(self.sizes))
+        near = np.flatnonzero((common >= similarity * (self.sizes + len(s) - common) - 1e-9) & ~((common == len(s)) & (common == self.sizes)))
+        if len(near):
+            depth = np.cumprod(self.signatures[near] == own[None], axis=2).sum(axis=2).max(axis=1)
+            np.add.at(out, depth, 1)
+
+
+def signatures(docs: DataFrame, sample: Sample, words: int = WORDS, tries: int = TRIES, deepest: int = DEEPEST, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash, set_key (the same for the same set of shingles), size (of the set), tries (the signature in each,
+    none if there is no word), and met (see stop_depth; null mostly)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, found = [], []
+        keys, sizes, found, met = [], [], [], []
         for text in batch["text"].to_pylist():
             s = shingles(text, words)
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            found.append(prefixes(s, depth, tries).view(np.int64).tolist() if len(s) else None)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "set_key", "prefixes"])
+            sizes.append(len(s))
+            own = signature(s, tries, deepest) if len(s) else None
+            found.append([row.astype(">u4").tobytes() for row in own] if len(s) else None)
+            pairs = np.zeros(deepest + 1, np.int64)
+            if len(s):
+                sample.met(s, own, similarity, pairs)
+            met.append(pairs.tolist() if pairs.any() else None)
+        columns = [batch["doc_id"], batch["text_hash"], pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.binary())), pa.array(met, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "set_key", "size", "tries", "met"])
 
-    return map_batches(docs, run, "doc_id long, set_key binary, prefixes array<long>")
+    return map_batches(docs, run, "doc_id long, text_hash long, set_key binary, size long, tries array<binary>, met array<long>")
 
 
 def _overlaps(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
@@ -163,29 +212,50 @@ def verify(reps: list[int], sets: list[np.ndarray], groups: list[list[int]], blo
             yield reps[i], reps[find(i)], links[i]
 
 
-def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, deepest: int = DEEPEST, block: int = BLOCK) -> DataFrame:
+def _source(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).where("doc_id is not null")
+
+
+def _signed(docs: DataFrame, words: int, similarity: float, tries: int, deepest: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures as a table, and of each id the text that counts: that of the least hash, and how many rows it has."""
+    small_batches(docs.sparkSession)
+    source = _source(docs)
+    chosen = source.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(sample).collect()
+    compared = Sample([r["text"] for r in chosen], words, tries, deepest)
+    signed = written(signatures(spread(source), compared, words, tries, deepest, similarity), "signatures")
+    return signed, signed.groupBy("doc_id").agg(F.min(F.struct("text_hash", "set_key")).alias("m"), F.count("*").alias("n_rows")).select("doc_id", "m.*", "n_rows")
+
+
+def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, deepest: int = DEEPEST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """One row for each doc_id: class_id, rep_id, n_copies and n_links.
 
     rep_id is the smallest id with the same set of shingles and n_copies the number of ids with it; n_links counts the
     other sets whose Jaccard similarity is high enough, as verified exactly; class_id is the smallest id that is reached
     over links and copies. Texts without words (null, empty, white space) are copies of each other and have no links.
-    Rows with a null id take no part; an id that is repeated counts once (with the text of the smaller hash). Other
-    columns are ignored. No group is capped.
+    Rows with a null id take no part; an id that is repeated counts once (with the text of the smallest xxhash64). Other
+    columns are ignored. No group is capped. sample bounds the documents by which the recall is measured.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    depth = stop_depth(tries, deepest, similarity, recall)
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    signed = written(signatures(spread(source), depth, words, tries), "signatures")
-    ids = signed.groupBy("doc_id").agg(F.min("set_key").alias("set_key"))
+    return _joined(docs, *_signed(docs, words, similarity, tries, deepest, sample), words, similarity, recall, tries, deepest, block)
+
+
+def _joined(docs: DataFrame, signed: DataFrame, ids: DataFrame, words: int, similarity: float, recall: float, tries: int, deepest: int, block: int) -> DataFrame:
+    met = signed.where("met is not null").select(F.posexplode("met").alias("depth", "n")).groupBy("depth").agg(F.sum("n").alias("n")).collect()
+    found = dict(met)
+    depth = stop_depth([found.get(d, 0) for d in range(deepest + 1)], recall, tries, similarity)
     classes = ids.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    reps = written(signed.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).dropDuplicates(["doc_id"]).select("set_key", F.col("doc_id").alias("rep"), "n_copies", "prefixes"), "reps")
-    nodes = reps.select("rep", F.col("set_key").alias("key"), F.explode("prefixes").alias("group"))
-    of = nodes.groupBy("group").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")).where("n > 1")
-    once = of.groupBy("n", "x", "y").agg(F.min("group").alias("group")).select("group", "n")
-    members = written(nodes.join(once, "group").groupBy("rep", "key").agg(F.collect_list(F.struct("group", "n")).alias("groups")), "members")
-    few = members.count() <= BROADCAST_ROWS
-    texts = source.join(F.broadcast(members) if few else members, source["doc_id"] == members["rep"])
+    reps = signed.select("doc_id", "set_key", "size", "tries").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"])
+    reps = written(reps.dropDuplicates(["doc_id", "set_key"]).select("set_key", F.col("doc_id").alias("rep"), "n_copies", "size", "tries"), "reps")
+    prefix = F.substring("signature", 1, 4 * depth)
+    nodes = reps.select("rep", F.col("set_key").alias("key"), "size", F.posexplode("tries").alias("trie", "signature")).withColumn("group", F.xxhash64("trie", prefix))
+    mixed = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
+    of = nodes.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *mixed).where("n > 1")
+    once = of.groupBy("n", "x", "y").agg(F.min("group").alias("group"), F.first("total").alias("total"))
+    once = once.select("group", F.ceil(8 * F.col("total") / block).cast("int").alias("blocks"))
+    members = written(nodes.select("rep", "key", "group").join(once, "group").groupBy("rep", "key").agg(F.collect_list(F.struct("group", "blocks")).alias("groups")), "members")
+    held_bytes = members.agg(F.sum(64 + 24 * F.size("groups"))).first()[0] or 0
+    source = _source(docs)
+    texts = source.join(F.broadcast(members) if held_bytes <= BROADCAST else members, source["doc_id"] == members["rep"])
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingles(t, words) for t in batch["text"].to_pylist()]
@@ -193,10 +263,10 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
         held = pa.array([s.tobytes() for s in found], pa.binary())
         return pa.RecordBatch.from_arrays([batch["rep"], pc.equal(batch["key"], pa.array(keys, pa.binary())), held, batch["groups"]], ["rep", "own_text", "held", "groups"])
 
-    kind = "rep long, own_text boolean, held binary, groups array<struct<group:long,n:long>>"
+    kind = "rep long, own_text boolean, held binary, groups array<struct<group:long,blocks:int>>"
     candidates = map_batches(texts.select("rep", "key", "text", "groups"), sets, kind).where("own_text")
     candidates = candidates.select("rep", "held", F.col("groups.group").alias("mine"), F.explode("groups").alias("g")).select("rep", "held", "mine", "g.*")
-    candidates = candidates.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    candidates = candidates.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     candidates = candidates.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     candidates = candidates.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "rep", "held", "mine", "own")
 
@@ -221,8 +291,14 @@ def similarity_join(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, tries: int = TRIES, deepest: int = DEEPEST, block: int = BLOCK, sample: int = SAMPLE) -> DataFrame:
     """The documents whose id is the class_id of similarity_join: one of each group of near copies, with all columns.
-    A repeated id is kept once, rows with a null id go."""
-    kept = similarity_join(docs, **options).where("doc_id = class_id").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("_kept")).drop("_kept").dropDuplicates(["doc_id"])
+
+    Of a repeated id only a row with the text that counts for it can stay, and one of these if there are several; which,
+    if they differ in other columns, isn't defined. Rows with a null id go. Null, empty and blank texts are one group.
+    """
+    signed, ids = _signed(docs, words, similarity, tries, deepest, sample)
+    kept = _joined(docs, signed, ids, words, similarity, recall, tries, deepest, block).where("doc_id = class_id").select("doc_id")
+    kept = kept.join(ids, "doc_id").select(F.col("doc_id").alias("_neardup_id"), F.col("text_hash").alias("_neardup_text"))
+    out = docs.join(kept, (F.col("doc_id").cast("long") == F.col("_neardup_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_neardup_text"))).drop("_neardup_id", "_neardup_text")
+    return out if ids.where("n_rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])

@@ -181,7 +181,7 @@ def test_similarity_join_equals_brute_force(spark):
             w[int(rng.integers(0, 80))] = f"x{rng.integers(0, 9)}"
             texts.append(" ".join(w))
     texts += ["", None, " \n", "two words", "two  words", "two word"]
-    for block in (256, 3):
+    for block in (neardup.BLOCK, 2000):
         rows = {r["doc_id"]: r for r in neardup.similarity_join(docs_of(spark, texts).withColumn("rep", F.lit(0)), block=block).collect()}
         assert {i: r["n_links"] for i, r in rows.items()} == brute(texts)
     n = len(texts)
