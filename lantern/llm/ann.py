@@ -1,9 +1,15 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns the vectors by a fast pseudo-rotation (three rounds of random signs and a Hadamard transform) and assigns
-each to the signed axis nearest to it. A query probes the axes nearest to it in each table; what shares one of them with it
-is a candidate and is reranked by its exact inner product. For largest inner products the vectors get one more component
-that makes all of one length, so that the nearest on the sphere has the largest product; unit vectors stay as they are.
+Each table turns the vectors by several fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and
+assigns each to the signed axis nearest to it in every one; the axes together are its bucket. Their number grows with the
+logarithm of the number of vectors, so that buckets stay small. A query probes buckets in the order of their distance, the
+sum over the rotations of how much farther the bucket's axis is than the nearest one, up to a distance that is set by the
+recall of a sample; what shares one of them with it is a candidate and is reranked by its exact inner product. For largest
+inner products the vectors get one more component that makes all of one length, so that the nearest on the sphere has the
+largest product; unit vectors stay as they are.
+
+Buckets that differ in the last axis only meet in one task, so a vector travels once for each table and a query once for
+each such group that it probes, with the last axes that it probes there.
 """
 
 from __future__ import annotations
@@ -19,6 +25,10 @@ from lantern.llm.common import map_batches, spread, written
 SEED = 20240229
 #: Vectors, and queries, that meet in one task.
 BLOCK = 4096
+#: Rotations that a table can have. Vectors that a group of buckets is meant to hold.
+MOST_AXES, GROUP = 8, 256
+#: Lengths that differ by so small a share are equal but for rounding to single precision.
+ROUNDING = 1e-3
 
 
 def signs(dim: int, table: int, seed: int = SEED) -> np.ndarray:
@@ -43,14 +53,31 @@ def rotate(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, most: int) -> np.ndarray:
-    """For each row the signed axes nearest to it, nearest first: axis a positive is a, negative is a + dim."""
-    both = np.concatenate([x, -x], axis=1)
-    if most == 1:
-        return both.argmax(axis=1)[:, None]
-    most = min(most, both.shape[1])
-    near = np.argpartition(-both, most - 1, axis=1)[:, :most]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, 1), axis=1, kind="stable"), 1)
+def distances(x: np.ndarray, table: int, axes: int, seed: int = SEED) -> np.ndarray:
+    """vector, rotation, signed axis (a, and a + dim for its negative): how much farther it is than the nearest."""
+    out = []
+    for k in range(axes):
+        y = rotate(x, table * MOST_AXES + k, seed)
+        both = np.concatenate([y, -y], axis=1)
+        out.append(both.max(axis=1, keepdims=True) - both)
+    return np.stack(out, axis=1)
+
+
+def codes(x: np.ndarray, table: int, axes: int, seed: int = SEED) -> np.ndarray:
+    """The signed axis nearest to each vector in each of a table's rotations."""
+    return distances(x, table, axes, seed).argmin(axis=2)
+
+
+def probed(distance: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of one query, the groups (all axes but the last as one number) with a bucket within that distance, and for each
+    group which of its last axes are. distance: rotation, axis."""
+    group, far = np.zeros(1, np.int64), np.zeros(1)
+    for d in distance[:-1]:
+        near = np.flatnonzero(d <= within)
+        far = (far[:, None] + d[near]).ravel()
+        group = (group[:, None] * distance.shape[1] + near).ravel()
+        group, far = group[far <= within], far[far <= within]
+    return group, far[:, None] + distance[-1] <= within
 
 
 def _padded(x: np.ndarray, dim: int) -> np.ndarray:
@@ -67,38 +94,49 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where("norm2 > 0 and norm2 < double('infinity')")
 
 
-def index(vectors: DataFrame, largest: float, dim: int, tables: int, seed: int = SEED) -> DataFrame:
-    """Every vector once for each table: tbl, axis, vec_id, v. largest: the largest squared length."""
+def index(vectors: DataFrame, largest: float, dim: int, tables: int, axes: int, seed: int = SEED) -> DataFrame:
+    """Every vector once for each table: tbl, part (its group), last (its last axis), vec_id, v. largest: the largest
+    squared length."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _matrix(batch["v"])
-        short = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
-        # lengths that differ by rounding only count as equal, else unit vectors would get noise as a component
-        short[short < 1e-6 * np.sqrt(largest)] = 0
-        y = _padded(np.column_stack([x, short]) if short.any() else x, dim)
-        axis = np.concatenate([axes(rotate(y, t, seed), 1)[:, 0] for t in range(tables)])
+        y, part, last = lifted(_matrix(batch["v"]), largest, dim), [], []
+        for t in range(tables):
+            code = codes(y, t, axes, seed)
+            last.append(code[:, -1])
+            part.append(code[:, :-1] @ (2 * dim) ** np.arange(axes - 2, -1, -1) if axes > 1 else np.zeros(len(y), np.int64))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(x))), pa.array(axis.astype(np.int32)), pa.array(np.tile(batch["vec_id"].to_numpy(), tables)), pa.concat_arrays([batch["v"]] * tables)],
-            ["tbl", "axis", "vec_id", "v"],
+            [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(y))), pa.array(np.concatenate(part).astype(np.int64)), pa.array(np.concatenate(last).astype(np.int32)), pa.array(np.tile(batch["vec_id"].to_numpy(), tables)), pa.concat_arrays([batch["v"]] * tables)],
+            ["tbl", "part", "last", "vec_id", "v"],
         )
 
-    return map_batches(vectors.select("vec_id", "v"), run, "tbl int, axis int, vec_id long, v array<double>")
+    return map_batches(vectors.select("vec_id", "v"), run, "tbl int, part long, last int, vec_id long, v array<double>")
+
+
+def lifted(x: np.ndarray, largest: float, dim: int) -> np.ndarray:
+    """With the component that makes all of one length. Lengths that differ by rounding only count as equal, else unit
+    vectors would get noise as a component."""
+    short = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
+    short[short < ROUNDING * np.sqrt(largest)] = 0
+    return _padded(np.column_stack([x, short])[:, :dim], dim)
 
 
-def probes(queries: DataFrame, dim: int, tables: int, most: int, seed: int = SEED) -> DataFrame:
-    """Every query once for each probe: tbl, axis, query_id, v."""
+def probes(queries: DataFrame, dim: int, tables: int, axes: int, within: float, seed: int = SEED) -> DataFrame:
+    """Every query once for each group with a bucket that it probes: tbl, part, lasts (a bit for each last axis), query_id, v."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = _padded(_matrix(batch["v"]), dim)
-        near = np.concatenate([axes(rotate(x, t, seed), most) for t in range(tables)])
-        n = near.shape[1]
-        take = np.repeat(np.tile(np.arange(len(x)), tables), n)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(x) * n)), pa.array(near.ravel().astype(np.int32)), batch["vec_id"].take(pa.array(take)), batch["v"].take(pa.array(take))],
-            ["tbl", "axis", "query_id", "v"],
-        )
+        tbl, part, lasts, take = [], [], [], []
+        for t in range(tables):
+            for i, d in enumerate(distances(x, t, axes, seed)):
+                group, some = probed(d, within)
+                tbl += [t] * len(group)
+                part.append(group)
+                lasts += [b.tobytes() for b in np.packbits(some, axis=1)]
+                take += [i] * len(group)
+        at = pa.array(take, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(tbl, pa.int32()), pa.array(np.concatenate(part)), pa.array(lasts, pa.binary()), batch["vec_id"].take(at), batch["v"].take(at)], ["tbl", "part", "lasts", "query_id", "v"])
 
-    return map_batches(queries.select("vec_id", "v"), run, "tbl int, axis int, query_id long, v array<double>")
+    return map_batches(queries.select("vec_id", "v"), run, "tbl int, part long, lasts binary, query_id long, v array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -106,8 +144,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of some vectors for each of some queries, ties to the smaller id. A matrix product gives the
-    shortlist; its scores are then taken again pair by pair, in one order of additions, so that equal vectors tie."""
+    """The k nearest of some vectors for each of some queries, ties to the smaller id; if the queries tell lasts, only those
+    vectors whose last axis is among them. A matrix product gives the shortlist; its scores are then taken again pair by
+    pair, in one order of additions, so that equal vectors tie."""
     empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
     if q.empty or v.empty:
         return empty
@@ -119,6 +158,9 @@ def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
         some = x[at : at + 256]
         s = some @ y.T
         s[own[at : at + 256, None] == ids[None, :]] = -np.inf
+        if "lasts" in q and q["lasts"].iloc[0]:  # the exact search of all vectors has none
+            asked = np.unpackbits(np.frombuffer(b"".join(q["lasts"].iloc[at : at + 256]), np.uint8).reshape(len(some), -1), axis=1).astype(bool)
+            s[~asked[:, v["last"].to_numpy()]] = -np.inf
         n = min(k, len(y))
         least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
         slack = 1e-12 * np.linalg.norm(some, axis=1) * np.sqrt((y * y).sum(1).max())
@@ -131,9 +173,9 @@ def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def probes_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: float, dim: int, tables: int, recall: float, sample: int, seed: int = SEED) -> int:
-    """How many axes of each table a query must probe to find that share of its k nearest: brute force for a sample of so
-    many queries (those of the smallest hashes) over all vectors, then the place of each true neighbour's axis."""
+def distance_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: float, dim: int, tables: int, axes: int, recall: float, sample: int, seed: int = SEED) -> float:
+    """How far a query must probe to find that share of its k nearest: brute force for a sample of so many queries (those
+    of the smallest hashes) over all vectors, then the distance of each true neighbour's bucket in its nearest table."""
     chosen = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     asked = pd.DataFrame({"query_id": chosen["vec_id"], "v": chosen["v"]})
 
@@ -148,56 +190,78 @@ def probes_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: float
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "v").toPandas()
     if true.empty:
-        return 1
-    x, y = np.stack(true["v"].to_numpy()), np.stack(asked.set_index("query_id").loc[true["query_id"], "v"].to_numpy())
-    short = np.sqrt(np.maximum(largest - (x * x).sum(1), 0))
-    x, y = _padded(np.column_stack([x, short])[:, : dim], dim), _padded(y, dim)
-    places = np.full(len(x), 2 * dim)
+        return 0.0
+    x, y = lifted(np.stack(true["v"].to_numpy()), largest, dim), _padded(np.stack(asked.set_index("query_id").loc[true["query_id"], "v"].to_numpy()), dim)
+    far = np.full(len(x), np.inf)
     for t in range(tables):
-        at = axes(rotate(x, t, seed), 1)
-        near = axes(rotate(y, t, seed), 2 * dim)
-        places = np.minimum(places, (near == at).argmax(axis=1))
-    return 1 + int(np.quantile(places, recall, method="higher"))
+        code, d = codes(x, t, axes, seed), distances(y, t, axes, seed)
+        far = np.minimum(far, np.take_along_axis(d, code[:, :, None], 2)[:, :, 0].sum(axis=1))
+    return float(np.quantile(far, recall, method="higher")) + 1e-9
+
+
+def axes_for(n: int, dim: int, group: int = GROUP) -> int:
+    """So many axes that the groups of buckets hold about so many vectors: one for the last axis, more by the logarithm."""
+    return min(MOST_AXES, 1 + max(1, round(np.log(max(n / group, 1)) / np.log(2 * dim))))
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 5, recall: float = 0.95, sample: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK
+    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, recall: float = 0.95, sample: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest found of each query by inner product, in double precision.
 
-    Queries are rows like the vectors; a row is no candidate of itself (by id). Ties go to the smaller vec_id; fewer than
-    k candidates give fewer rows. Vectors that are null, empty, zero, or hold null or non-finite components take no part,
-    nor do rows without id. Repeated ids count once (which of their vectors is kept isn't defined), repeated vectors
-    each. All vectors must have one dimension. How many axes a query probes is set by the recall that a bounded sample of
-    queries has against brute force, so it follows the data and their number; the probes are the same for all queries. No bucket is capped: a bucket of more than block vectors, or queries, is
-    dealt to more tasks, each pair of blocks to one. Other columns are ignored.
+    Queries are rows like the vectors; a row is no candidate of itself (by id). Ties go to the smaller vec_id; only where
+    there are fewer than k candidates a query has fewer rows. Vectors that are null, empty, zero, or hold null or
+    non-finite components take no part, nor do rows without id, nor vectors of another length than most have (the larger
+    length, if two are as frequent). Of a repeated id the smallest vector counts; repeated vectors count each. How far a
+    query probes is set by the recall that a bounded sample of queries has against brute force, so it follows the data and
+    their number. A query that finds fewer than k so is compared with all vectors, in blocks. No bucket is capped: a group
+    of more than block vectors, or queries, is dealt to more tasks, each pair of blocks to one. Other columns are ignored.
     """
     spark = vectors.sparkSession
-    good = written(usable(spread(vectors), id_col, vector_col).dropDuplicates(["vec_id"]), "vectors")
-    asked = usable(spread(queries), id_col, vector_col).dropDuplicates(["vec_id"])
-    size = good.agg(F.max("norm2").alias("most"), F.min("norm2").alias("least"), F.max(F.size("v")).alias("dim")).first()
-    result = "query_id long, vec_id long, score double"
-    if size["dim"] is None:
+
+    def once(df: DataFrame) -> DataFrame:
+        return usable(spread(df), id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v"), F.min_by("norm2", "v").alias("norm2"))
+
+    every = written(once(vectors), "vectors")
+    dims = every.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
+    if dims is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    uneven = np.sqrt(max(size["most"] - size["least"], 0)) >= 1e-6 * np.sqrt(size["most"])
-    dim = 1 << int(size["dim"] + uneven - 1).bit_length() if size["dim"] + uneven > 1 else 2
-    most = probes_needed(good, asked, k, size["most"], dim, tables, recall, sample)
-    placed = index(good, size["most"], dim, tables)
-    asking = probes(asked, dim, tables, most)
-    # how many blocks each bucket needs: a bounded table, as there are 2 x dim x tables buckets
-    many = placed.groupBy("tbl", "axis").count().select("tbl", "axis", F.ceil(F.col("count") / block).alias("v_blocks"))
-    asks = asking.groupBy("tbl", "axis").count().select("tbl", "axis", F.ceil(F.col("count") / block).alias("q_blocks"))
-    plan = F.broadcast(many.join(asks, ["tbl", "axis"]))
-
-    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
-        """Each row in its own block, once for each block of the other side."""
-        df = df.join(plan, ["tbl", "axis"]).withColumn(own, F.pmod(F.xxhash64(key), f"{own}s").cast("int"))
-        return df.withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"{other}s") - 1).cast("int")))).select("tbl", "axis", "v_block", "q_block", key, "v")
-
-    keys = ["tbl", "axis", "v_block", "q_block"]
-    left = dealt(asking, "query_id", "q_block", "v_block").groupBy(*keys)
-    right = dealt(placed, "vec_id", "v_block", "q_block").groupBy(*keys)
-    found = left.cogroup(right).applyInPandas(lambda q, v: nearest_in(q, v, k), result)
-    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    good, asked = (df.where(F.size("v") == dims["dim"]) for df in (every, once(queries)))
+    asked = written(asked, "queries")
+    size = good.agg(F.max("norm2").alias("most"), F.min("norm2").alias("least"), F.count("*").alias("n")).first()
+    uneven = np.sqrt(max(size["most"] - size["least"], 0)) >= ROUNDING * np.sqrt(size["most"])
+    dim = 1 << max(int(dims["dim"] + uneven - 1).bit_length(), 2)
+    axes = axes_for(size["n"], dim)
+    within = distance_needed(good, asked, k, size["most"], dim, tables, axes, recall, sample)
+    schema = "query_id long, vec_id long, score double"
+    keys = ["tbl", "part", "v_block", "q_block"]
+
+    def met(placed: DataFrame, asking: DataFrame) -> DataFrame:
+        """The nearest of each query in each group that it meets."""
+        # how many blocks each group needs; groups are far fewer than vectors
+        many = placed.groupBy("tbl", "part").count().select("tbl", "part", F.ceil(F.col("count") / block).alias("v_blocks"))
+        asks = asking.groupBy("tbl", "part").count().select("tbl", "part", F.ceil(F.col("count") / block).alias("q_blocks"))
+        plan = written(many.join(asks, ["tbl", "part"]), "groups")
+
+        def dealt(df: DataFrame, key: str, own: str, other: str, *more: str) -> DataFrame:
+            """Each row in its own block, once for each block of the other side."""
+            df = df.join(plan, ["tbl", "part"]).withColumn(own, F.pmod(F.xxhash64(key), f"{own}s").cast("int"))
+            return df.withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"{other}s") - 1).cast("int")))).select(*keys, key, "v", *more)
+
+        left = dealt(asking, "query_id", "q_block", "v_block", "lasts").groupBy(*keys)
+        right = dealt(placed, "vec_id", "v_block", "q_block", "last").groupBy(*keys)
+        return left.cogroup(right).applyInPandas(lambda q, v: nearest_in(q, v, k), schema)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = written(ranked(met(index(good, size["most"], dim, tables, axes), probes(asked, dim, tables, axes, within))), "found")
+    enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, size["n"] - 1))
+    few = asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti")
+    if few.isEmpty():
+        return found
+    nowhere = [F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("part")]
+    rest = met(good.select(*nowhere, F.lit(0).alias("last"), "vec_id", "v"), few.select(*nowhere, F.lit(b"").alias("lasts"), F.col("vec_id").alias("query_id"), "v"))
+    return found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(rest))
