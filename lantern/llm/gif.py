@@ -18,7 +18,11 @@ from lantern.llm.common import map_batches, small_batches, spread
 WIDTH = 64
 #: Rows of pixels in a frame of a stored payload, and its time in hundredths of a second.
 ROWS, DELAY = 1024, 10
-GREYS = bytes(v for v in range(256) for _ in range(3))
+#: A colour for each byte: its first three bits are red, the next three green and the last two blue, so the colours of a
+#: picture tell the bytes, and bytes spread over all 64 colours of a histogram.
+COLOURS = bytes(x for v in range(256) for x in (v & 0xE0, (v & 0x1C) << 3, (v & 3) << 6))
+#: Pixels of a screen that is still decoded; a header can ask for more than any memory holds.
+MOST_PIXELS = 1 << 26
 BYTES = [bytes((v,)) for v in range(256)]
 #: Values 0 to 255 of a channel to four steps.
 STEPS = np.arange(256, dtype=np.uint8) >> 6
@@ -140,7 +144,7 @@ class Frame:
         return np.bincount((s[..., 0] << 4 | s[..., 1] << 2 | s[..., 2]).ravel(), minlength=64)
 
 
-def write_gif(frames: list[np.ndarray], palette: bytes = GREYS, delay: int = DELAY) -> bytes:
+def write_gif(frames: list[np.ndarray], palette: bytes = COLOURS, delay: int = DELAY) -> bytes:
     """Frames of 8-bit samples as an animation; the first gives the size of the screen."""
     height, width = frames[0].shape
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette]
@@ -165,11 +169,14 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
 
 
 def read_gif(data: bytes) -> Iterator[Frame]:
-    """The frames as shown. A file that breaks off gives the frames before; what is no GIF gives none."""
+    """The frames as shown. A file that breaks off gives the frames before; what is no GIF, or has a screen or a frame of
+    more than MOST_PIXELS, gives none from there on."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         return
     width, height, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
     at, palette = 13, None
+    if width * height > MOST_PIXELS:
+        return
     if flags & 0x80:
         size = 3 << (flags & 7) + 1
         palette, at = np.frombuffer(data[at : at + size].ljust(size, b"\0"), np.uint8).reshape(-1, 3), at + size
@@ -192,7 +199,7 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             if flags & 0x80:
                 size = 3 << (flags & 7) + 1
                 colours, at = np.frombuffer(data[at : at + size].ljust(size, b"\0"), np.uint8).reshape(-1, 3), at + size
-            if at >= len(data) or not 1 < data[at] < 9:
+            if at >= len(data) or not 1 < data[at] < 9 or w * h > MOST_PIXELS:
                 return
             bits = data[at]
             block, at = _blocks(data, at + 1)
@@ -225,25 +232,29 @@ def read_gif(data: bytes) -> Iterator[Frame]:
 
 
 def payload_gif(data: bytes) -> bytes:
-    """Bytes as grey pixels: 0 is appended up to a positive multiple of 64, and each 1024 rows are a frame."""
+    """Bytes as pixels, each in a colour of its own: 0 is appended up to a positive multiple of 64, and each 1024 rows are a
+    frame."""
     data = data.ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b"\0")
     pixels = np.frombuffer(data, np.uint8).reshape(-1, WIDTH)
     return write_gif([pixels[at : at + ROWS] for at in range(0, len(pixels), ROWS)])
 
 
-def stored_payload(media: bytes) -> tuple[bytes, np.ndarray]:
-    """The bytes that payload_gif stored, and the colour histogram of all its pixels."""
-    parts, histogram = [], np.zeros(64, np.int64)
+def stored_payload(media: bytes) -> tuple[bytes, np.ndarray, int, int]:
+    """The bytes that payload_gif stored, told by the colours of the frames as shown; the sum of the frames' histograms of
+    what they drew; how many frames there are, and their time in milliseconds."""
+    parts, histogram, n, time = [], np.zeros(64, np.int64), 0, 0
     for frame in read_gif(media):
         x, y, w, h = frame.box
         drawn = frame.canvas[y : y + h, x : x + w]
-        parts.append(drawn[..., 0].tobytes())
+        parts.append((drawn[..., 0] | drawn[..., 1] >> 3 | drawn[..., 2] >> 6).tobytes())
         histogram += Frame(0, 0, drawn, frame.box).histogram()
-    return b"".join(parts), histogram
+        n, time = n + 1, time + frame.delay_ms
+    return b"".join(parts), histogram, n, time
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes (of the UTF-8 text; null counts as empty) and media, the GIF that stores the whole text."""
+    """doc_id, n_bytes (of the UTF-8 text; null counts as empty) and media, the GIF that stores the whole text. Repeated rows
+    and null ids stay as they are, other columns are ignored, and an empty table gives an empty one."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [(t or "").encode() for t in batch["text"].to_pylist()]
@@ -276,16 +287,20 @@ FRAME = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", p
 
 def media_digests(media: DataFrame) -> DataFrame:
     """Reads the stored bytes of encode_media back: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32 (of the
-    last 64 bytes), media_bytes, media_sha256 and feature (the counts of the 64 colours, joined by commas)."""
+    last 64 bytes), media_bytes, media_sha256, feature (how many pixels have each of 64 colours, over all frames, joined by
+    commas), n_frames and duration_ms. Null media give nulls; what is no GIF gives an empty payload."""
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 8
+        payload, histogram, n, time = stored_payload(data)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, histogram.tolist())), n, time
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
-        for data in batch["media"]:
-            data = data.as_py()
-            payload, histogram = stored_payload(data)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), ",".join(map(str, histogram.tolist()))))
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        rows = [one(data.as_py()) for data in batch["media"]]
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64()]
         made = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_bytes"], *made], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"])
 
-    return map_batches(media, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
+    return map_batches(media.select("doc_id", "n_bytes", "media"), run, f"doc_id long, n_bytes long, {kind}")
