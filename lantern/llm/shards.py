@@ -4,8 +4,8 @@ A store is a folder: data/ holds immutable Parquet shards, manifests/ one file f
 make it up, with their rows, bytes and tier. Arrivals are appended as small shards. Compaction takes the shards of one
 tier (those of a similar size) once there are enough and merges whole shards into larger ones, up to files of the target
 size; Spark packs them into tasks, so rows don't cross the network. A version counts from the moment at which its file
-has its final name, which only one writer can give it; readers hold on to one version. Shards that the newest version
-no longer lists are deleted by vacuum.
+has its final name, which only one writer can give it; readers hold on to one version, and writers that were slower take
+the newer one as their base. Shards that no kept version lists are deleted by vacuum.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from __future__ import annotations
 import json
 import math
 import uuid
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,42 +64,65 @@ class ShardStore:
         return [Shard(**json.loads(r["value"])) for r in text]
 
     def commit(self, shards: list[Shard], base: int) -> int:
-        """Makes these the version after base. The file is written under another name and renamed, which fails if there
-        is one; then Conflict is raised and nothing has changed."""
+        """Makes these the version after base, or raises Conflict if another writer was faster; then nothing has changed.
+
+        The file is written under another name first and then gets its own, which fails if that is taken: on a local disk
+        by a hard link, elsewhere by a rename that doesn't replace, one step in HDFS and the like. A store that renames by
+        copying needs a file system that refuses to replace.
+        """
         lines = "\n".join(json.dumps(asdict(s)) for s in sorted(shards, key=lambda s: s.path))
         draft, final = self._at(f"manifests/draft-{uuid.uuid4().hex}"), self._at(f"manifests/v{base + 1:010d}.json")
         out = self._fs.create(draft, False)
         out.write(bytearray(lines.encode()))
         out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        jvm = self.spark._jvm
+        try:
+            if self._fs.getScheme() == "file":
+                path = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(path(final), path(draft))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self.spark._jsc.hadoopConfiguration()).rename(draft, final, none)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            raise Conflict(f"version {base + 1} is there already") from None
+        finally:
             self._fs.delete(draft, False)
-            raise Conflict(f"version {base + 1} is there already")
         return base + 1
 
+    def _add(self, new: list[Shard]) -> int:
+        """Commits more shards, after whatever other writers commit meanwhile."""
+        while True:
+            base = self.version()
+            try:
+                return self.commit([*self.shards(base), *new], base)
+            except Conflict:
+                continue
+
     # shards
-    def _written(self, folder: str, run: int) -> list[Shard]:
-        """The files of a finished write, with their rows from the files' footers."""
-        rows = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name")).count().collect()
+    def written(self, folder: str, run: int) -> list[Shard]:
+        """The files of a finished write, with their rows, which Spark counts by the files' footers."""
+        rows = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.substring_index("_metadata.file_path", "/", -2).alias("name")).count().collect()
         found, walk = {r["name"]: r["count"] for r in rows}, self._fs.listFiles(self._at(folder), True)
         out = []
         while walk.hasNext():
             f = walk.next()
             path = f.getPath().toString()
-            name = path.rsplit("/", 1)[-1]
+            name = "/".join(path.rsplit("/", 2)[1:])  # files of one task have the same name in each arrival's folder
             if found.get(name):
                 out.append(Shard(path[path.index(f"/{folder}/") + 1 :], found[name], f.getLen(), self.tier(f.getLen()), run))
         return out
 
     def append(self, rows: DataFrame, run: int) -> int:
         """Adds rows as new shards of their own, as many as the rows have partitions."""
-        base, folder = self.version(), f"data/{uuid.uuid4().hex}"
+        folder = f"data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-        return self.commit([*self.shards(base), *self._written(folder, run)], base)
+        return self._add(self.written(folder, run))
 
-    def adopt(self, folder: str, run: int) -> int:
-        """Adds what a job has written to a folder below the store as new shards."""
-        base = self.version()
-        return self.commit([*self.shards(base), *self._written(folder, run)], base)
+    def adopt(self, shards: list[Shard], run: int) -> int:
+        """Adds files that a job has written below the store as new shards."""
+        return self._add([replace(s, run=run) for s in shards])
 
     def plan(self, shards: list[Shard]) -> list[Shard]:
         """The shards to merge next: those of the lowest tier that has enough below the target size."""
@@ -109,34 +133,34 @@ class ShardStore:
         return next((sorted(tiers[t], key=lambda s: (s.run, s.path)) for t in sorted(tiers) if len(tiers[t]) >= self.fanout), [])
 
     def compact(self) -> int:
-        """Merges until no tier has enough shards; each merge is a version. Returns the last version."""
-        spark, saved = self.spark, {k: self.spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum") if self.spark.conf.get(k, None)}
-        base = self.version()
-        while merged := self.plan(shards := self.shards(base)):
+        """Merges until no tier has enough shards; each merge is a version. Returns the last version. If another writer
+        commits meanwhile, the merge is thrown away and planned anew."""
+        while merged := self.plan(shards := self.shards(base := self.version())):
             size = min(self.target, max(sum(s.bytes for s in merged) // max(len(merged) // self.fanout, 1), 1))
-            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-            spark.conf.set("spark.sql.files.openCostInBytes", 0)
-            spark.conf.set("spark.sql.files.minPartitionNum", 1)
-            try:
-                folder = f"data/{uuid.uuid4().hex}"
-                spark.read.parquet(*[f"{self.path}/{s.path}" for s in merged]).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
-            finally:
-                for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum"):
-                    spark.conf.set(k, saved[k]) if k in saved else spark.conf.unset(k)
-            new = self._written(folder, max(s.run for s in merged))
+            own = self.spark.newSession()  # how files are packed into tasks is set for the merge only
+            for k, v in {"maxPartitionBytes": size, "openCostInBytes": 0, "minPartitionNum": 1}.items():
+                own.conf.set(f"spark.sql.files.{k}", v)
+            folder = f"data/{uuid.uuid4().hex}"
+            own.read.parquet(*[f"{self.path}/{s.path}" for s in merged]).write.option("compression", "zstd").parquet(f"{self.path}/{folder}")
+            new = self.written(folder, max(s.run for s in merged))
             gone = {s.path for s in merged}
             if sum(s.rows for s in new) != sum(s.rows for s in merged):
                 raise RuntimeError("a merge must keep all rows")
-            base = self.commit([*(s for s in shards if s.path not in gone), *new], base)
-            self.vacuum()
+            try:
+                base = self.commit([*(s for s in shards if s.path not in gone), *new], base)
+            except Conflict:
+                self._fs.delete(self._at(folder), True)
+                continue
             if len(new) >= len(merged):
                 break  # the shards are as large as they get
-        return base
-
-    def vacuum(self) -> None:
-        """Deletes the shards that only versions before the newest list. Readers of those must have ended."""
-        listed, version = {s.path for s in self.shards()}, self.version()
-        for v in range(version - 1, 0, -1):
+        return self.version()
+
+    def vacuum(self, keep: int = 1) -> None:
+        """Forgets all but the newest versions, and deletes the shards that only the others list. Readers of those must
+        have ended."""
+        version = self.version()
+        listed = {s.path for v in range(max(version - keep, 0) + 1, version + 1) for s in self.shards(v)}
+        for v in range(version - keep, 0, -1):
             name = self._at(f"manifests/v{v:010d}.json")
             if not self._fs.exists(name):
                 break
@@ -150,23 +174,26 @@ class ShardStore:
         return self.spark.read.parquet(*[f"{self.path}/{s.path}" for s in self.shards(version)])
 
 
-def arrive_and_compact(rows: DataFrame, arrivals: int, store: ShardStore) -> int:
-    """Deals rows to so many arrivals by the hash of their id, commits each as small shards, and compacts. All arrivals
-    are written in one pass, each task adding a shard to each; an empty table leaves the store as it is."""
+def arrive_and_compact(rows: DataFrame, arrivals: int, store: ShardStore, keep: int = 2) -> int:
+    """Deals rows to so many arrivals by the hash of their id, commits each as small shards, and compacts now and then; the
+    newest keep versions stay readable. All arrivals are written in one pass, each task adding a shard to each; an empty
+    table leaves the store as it is."""
     folder = f"data/{uuid.uuid4().hex}"
     arrival, taken = "_arrival", {c.lower() for c in rows.columns}
     while arrival in taken:
         arrival = f"_{arrival}"
     dealt = rows.withColumn(arrival, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(arrivals)))
     dealt.write.option("compression", "zstd").partitionBy(arrival).parquet(f"{store.path}/{folder}")
-    version = store.version()
+    new, version = store.written(folder, 0) if not rows.isEmpty() else [], store.version()
     for k in range(arrivals):
-        part = f"{folder}/{arrival}={k}"
-        if store._fs.exists(store._at(part)):
+        if part := [s for s in new if f"/{arrival}={k}/" in s.path]:
             version = store.adopt(part, k)
             if k % 4 == 3:
                 version = store.compact()
-    return store.compact() if version else version
+                store.vacuum(keep)
+    version = store.compact() if version else version
+    store.vacuum(keep)
+    return version
 
 
 def sharded(docs: DataFrame, path: str, arrivals: int = 8, **options) -> DataFrame:
@@ -180,8 +207,8 @@ def sharded(docs: DataFrame, path: str, arrivals: int = 8, **options) -> DataFra
     version = arrive_and_compact(docs, arrivals, store)
     if not version:
         return spark.createDataFrame([], "doc_id long, shard int, n_shards int, n_bytes long, text_crc32 long")
-    names = sorted(s.path.rsplit("/", 1)[-1] for s in store.shards(version))
+    names = sorted("/".join(s.path.rsplit("/", 2)[1:]) for s in store.shards(version))
     order = spark.createDataFrame(list(enumerate(names)), "shard int, name string")
     data = F.col("text").cast("string").cast("binary")
-    rows = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
+    rows = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.substring_index("_metadata.file_path", "/", -2).alias("name"))
     return rows.join(order, "name").select("doc_id", "shard", F.lit(len(names)).alias("n_shards"), "n_bytes", "text_crc32")
