@@ -137,7 +137,7 @@ def label_model(votes: np.ndarray, counts: np.ndarray) -> LabelModel:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Linear:
-    """The scorer. From an empty table it takes every text as good."""
+    """The scorer. From an empty table it takes every text as good. Of a repeated id the smallest text is in the sample."""
     source = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     model = fit_votes(source)
     chosen = source.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Linear:
             ["votes", "at", "values"],
         )
 
-    rows = map_batches(source.join(F.broadcast(chosen), "doc_id").select("text"), run, "votes array<int>, at array<int>, values array<double>").collect()
+    rows = map_batches(source.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).select("text"), run, "votes array<int>, at array<int>, values array<double>").collect()
     if not rows:
         return Linear({}, 4.0)
     target = model.posterior(np.array([r["votes"] for r in rows]))[:, 0]
@@ -179,6 +179,7 @@ def quality(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents of good quality, with all columns."""
+    """The documents of good quality, with all columns; repeated rows and null ids stay as they are, and a null text counts
+    as an empty one, which stays."""
     small_batches(docs.sparkSession)
     return keep_scored(docs, Scorer, fit(docs, sample), lambda s: s >= 0.5)

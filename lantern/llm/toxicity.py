@@ -1,8 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters: a fixed lexicon, lexicons of words and of word beginnings that the training rows show to go with toxic texts, and
-patterns. A generative model estimates their accuracies and correlations; its posterior labels train a linear classifier
-over hashed words and word beginnings. A score depends on the whole text only.
+Voters: a fixed lexicon, lexicons of words and of word beginnings that the labelled rows show to go with toxic texts, and
+patterns. The labels only pick these lexicons. A generative model estimates the voters' accuracies and correlations from
+their votes; its posterior labels train a linear classifier over hashed words and word beginnings. A score depends on the
+whole text only.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lantern.llm.common import map_batches, small_batches, spread, written
-from lantern.llm.weak import Linear, fit_label_model, fit_linear, hashed
+from lantern.llm.weak import LabelModel, Linear, fit_label_model, fit_linear, hashed
 
 #: Labelled rows that the model is fitted on, at most; those of the smallest hashes.
 SAMPLE = 12_000
@@ -81,7 +82,8 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """Text and label of a bounded sample of the labelled rows that aren't held out."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = rows.where(~F.expr(HELD_OUT)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    return written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "training")  # of a repeated id one row, so the bound holds
 
 
 def learn_features(training: DataFrame, most: int = FEATURES) -> dict[str, float]:
@@ -111,6 +113,15 @@ def learn_features(training: DataFrame, most: int = FEATURES) -> dict[str, float
     return {r["feature"]: r["p"] for r in kept.select("feature", p.alias("p")).collect()}
 
 
+def label_model(votes: np.ndarray) -> LabelModel:
+    """The generative model of the voters: their chances in each class and their correlations follow from their votes alone,
+    beginning with what two voters or more, or a sure one, call toxic. The given labels aren't among the voters."""
+    patterns, at = np.unique(votes, axis=0, return_inverse=True)
+    hits = (patterns == 1).sum(axis=1, keepdims=True)
+    first = np.where(hits > 1, [[0.1, 0.9]], np.where(hits == 1, [[0.4, 0.6]], [[0.95, 0.05]]))
+    return fit_label_model(patterns, np.bincount(at.ravel()), first, silence=True)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
     """The classifier. Without a toxic label it only knows the fixed lexicon."""
     training = _training(docs, labels, sample)
@@ -130,15 +141,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Linear:
             votes.append(vote(text or "", groups, lexicons))
             words = words_of(text)
             found.append(sorted({hashed(f, DIM) for f in [*features(words), size_of(words)] if f in named or f.startswith("size ")}))
-        return pa.RecordBatch.from_arrays([batch["toxic"], pa.array(votes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["toxic", "votes", "found"])
+        return pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.int64()))], ["votes", "found"])
 
-    rows = map_batches(training.select("toxic", "text"), run, "toxic int, votes array<int>, found array<long>").collect()
-    # the given labels are one more voter; the model says how far to trust them where the others disagree
-    toxic = np.array([r["toxic"] for r in rows])
-    votes = np.column_stack([np.array([r["votes"] for r in rows]), toxic])
-    patterns, at = np.unique(votes, axis=0, return_inverse=True)
-    first = np.where(patterns[:, -1:] == 1, [[0.05, 0.95]], [[0.95, 0.05]])
-    model = fit_label_model(patterns, np.bincount(at.ravel()), first, silence=True)
+    rows = map_batches(training.select("text"), run, "votes array<int>, found array<long>").collect()
+    votes = np.array([r["votes"] for r in rows])
+    model = label_model(votes)
     target = model.posterior(votes)[:, 1]
     lines = np.repeat(np.arange(len(rows)), [len(r["found"]) for r in rows])
     columns = np.array([i for r in rows for i in r["found"]], np.int64)
@@ -199,12 +206,18 @@ def score_documents(docs: DataFrame, model: Linear) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document, as score_documents has them, by a classifier fitted here.
+
+    Labels that are null or neither 0 nor 1 are ignored; an id with both counts as toxic; of a repeated id the smallest
+    text is fitted on. Without a toxic label only the fixed lexicon is known. An empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     return score_documents(docs, fit(docs, labels, sample))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The documents that aren't toxic, with all columns; no join, so repeated rows and null ids stay as they are."""
+    """The documents that aren't toxic, with all columns; no join, so repeated rows and null ids stay as they are, and a
+    null text counts as an empty one."""
     small_batches(docs.sparkSession)
     return keep_scored(docs, Scorer, fit(docs, labels, sample), lambda s: s < 0.5)
 
