@@ -69,8 +69,9 @@ def leaf_budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str,
     return here.select(*LEVELS, "tokens", "given")
 
 
-def mix(docs: DataFrame, domain: Column, share: float, epochs: int, seed: int = 1, weights: dict[str, DataFrame] | None = None, parts: int = PARTS) -> DataFrame:
-    """doc_id, domain, lang, source, tokens and copies: how many epochs take the document (at least one).
+def mix(docs: DataFrame, domain: Column, share: float, epochs: int, seed: int = 1, weights: dict[str, DataFrame] | None = None, parts: int = PARTS, key: Column | None = None) -> DataFrame:
+    """doc_id, domain, lang, source, tokens and copies: how many epochs take the document (at least one); and key, if one is
+    given to tell rows of a repeated id apart.
 
     share: the budget as a share of all tokens; more than the leaves can give is cut to that. Null lang, source or domain
     is a child of its own, named ''. In each epoch a leaf's documents are in the order of md5 of seed, epoch and doc_id,
@@ -83,6 +84,7 @@ def mix(docs: DataFrame, domain: Column, share: float, epochs: int, seed: int =
         F.coalesce(domain.cast("string"), F.lit("")).alias("domain"),
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS[1:]],
         token_count(F.col("text")).alias("tokens"),
+        *([] if key is None else [key.alias("key")]),
     ), "tokens")
     leaves = base.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
@@ -99,5 +101,19 @@ def mix(docs: DataFrame, domain: Column, share: float, epochs: int, seed: int =
     sure = drawn.where("all or ahead is null").withColumn("next", F.coalesce("all", F.lit(False)).cast("int"))
     running = F.sum("tokens").over(Window.partitionBy(*LEVELS, "part").orderBy("spot", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     edge = drawn.where("not all").withColumn("next", (F.col("ahead") + running <= F.col("left")).cast("int"))
-    out = sure.select("doc_id", *LEVELS, "tokens", (F.col("full") + F.col("next")).alias("copies"))
-    return out.unionByName(edge.select("doc_id", *LEVELS, "tokens", (F.col("full") + F.col("next")).alias("copies"))).where("copies > 0")
+    columns = ["doc_id", *LEVELS, "tokens", *([] if key is None else ["key"]), (F.col("full") + F.col("next")).alias("copies")]
+    return sure.select(*columns).unionByName(edge.select(*columns)).where("copies > 0")
+
+
+def taken(docs: DataFrame, domain: Column, share: float, epochs: int, **options) -> DataFrame:
+    """The rows of docs that mix takes, each as often as it does, with the columns of docs. Rows of a repeated id count each;
+    of rows that are equal in id, text, lang and source, which of them come more often isn't defined."""
+    names = {c: f"_mix_{k}" for k, c in enumerate(docs.columns)}
+    key = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", *LEVELS[1:])])
+    plan = mix(docs, domain, share, epochs, key=key, **options).groupBy("doc_id", "key").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
+    rows = docs.where("doc_id is not null").select(*[F.col(c).alias(n) for c, n in names.items()], F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"))
+    # equal rows share their copies; counting only rows that mix takes, some of them may come to nought
+    nth = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy(F.lit(1)))
+    rows = rows.join(plan, ["doc_id", "key"]).withColumn("nth", nth)
+    often = F.when(F.col("nth") <= F.col("n"), F.floor((F.col("copies") + F.col("n") - F.col("nth")) / F.col("n"))).otherwise(0)
+    return rows.withColumn("often", often.cast("int")).where("often > 0").select(*names.values(), F.explode(F.sequence(F.lit(1), "often")).alias("_mix_copy")).select(*[F.col(n).alias(c) for c, n in names.items()])
