@@ -221,7 +221,8 @@ def _signed(docs: DataFrame, words: int, similarity: float, tries: int, deepest:
     """The signatures as a table, and of each id the text that counts: that of the least hash, and how many rows it has."""
     small_batches(docs.sparkSession)
     source = _source(docs)
-    chosen = source.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id", "text_hash").limit(sample).collect()
+    least = source.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = source.join(F.broadcast(least), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
     compared = Sample([r["text"] for r in chosen], words, tries, deepest)
     signed = written(signatures(spread(source), compared, words, tries, deepest, similarity), "signatures")
     return signed, signed.groupBy("doc_id").agg(F.min(F.struct("text_hash", "set_key")).alias("m"), F.count("*").alias("n_rows")).select("doc_id", "m.*", "n_rows")
