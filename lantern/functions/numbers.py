@@ -98,6 +98,16 @@ def match_type(score: Column) -> Column:
     return F.when(score < 0.5, "no_match").when(score >= 0.95, "exact").when(score >= 0.75, "fuzzy").otherwise("normalized")
 
 
+# The weights of the signals of a match.
+NAME_WEIGHT, DISTRICT_WEIGHT, PHONE_WEIGHT = 0.6, 0.25, 0.15
+
+
+def match_score(name: Column, district: Column, phone: Column) -> Column:
+    """The weighted sum of three signals; a missing one counts 0, the weights stay as they are."""
+    zero = F.lit(0.0)
+    return F.coalesce(name, zero) * NAME_WEIGHT + F.coalesce(district, zero) * DISTRICT_WEIGHT + F.coalesce(phone, zero) * PHONE_WEIGHT
+
+
 def coverage(found: Column, expected: Column) -> Column:
     """Severity of a source that covers less than expected; null from 0.8 on."""
     ratio = found / F.nullif(expected, F.lit(0))

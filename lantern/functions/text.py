@@ -128,7 +128,7 @@ def turkish_title(s: Column) -> Column:
     """Each word with its first letter upper and the rest lower, i and I by the Turkish rules."""
     upper = lambda x: F.upper(F.translate(x, "iı", "İI"))
     lower = lambda x: F.lower(F.translate(x, "Iİ", "ıi"))
-    return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(upper(F.substring(w, 1, 1)), lower(F.substring(w, 2, 1_000_000)))), " ")
+    return F.array_join(F.transform(F.split(s, " "), lambda w: F.concat(upper(F.substring(w, 1, 1)), lower(w.substr(F.lit(2), F.length(w))))), " ")
 
 
 def cap(s: Column, most: int) -> Column:
@@ -159,24 +159,53 @@ def client_address(real: Column, forwarded: Column, socket: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(real), F.lit("")), F.nullif(last, F.lit("")), socket)
 
 
+# Hosts and endings of hosts that must not be fetched, and the private ranges of address literals.
+BLOCKED_HOSTS = ["localhost", "metadata.google.internal", "169.254.169.254", "169.254.170.2"]
+BLOCKED_ENDINGS = [".local", ".internal", ".localhost"]
+PRIVATE_RANGES = [r"^127\.", r"^10\.", r"^172\.(1[6-9]|2\d|3[01])\.", r"^192\.168\.", r"^169\.254\.", "^::1$", "(?i)^fc00:", "(?i)^fe80:"]
+
+
+def url_host(url: Column) -> Column:
+    """The host in lower case without a dot at its end; an address given as one number is written with dots."""
+    raw = F.regexp_extract(F.trim(url), r"(?i)^[a-z][a-z0-9+.-]*:[/\\]*(?:[^/\\?#@]*@)?(\[[^\]]*\]|[^/\\:?#]*)", 1)
+    host = F.regexp_replace(F.lower(raw), r"\.$", "")
+    number = F.when(host.rlike(r"^\d{1,10}$"), host.cast("long"))
+    dotted = F.concat_ws(".", *[F.shiftright(number, k).bitwiseAND(255).cast("string") for k in (24, 16, 8, 0)])
+    return F.when(number < 1 << 32, dotted).otherwise(host)
+
+
 def url_fault(url: Column) -> Column:
-    """ok, or why a URL must not be fetched: invalid, protocol, tld, blocked_host, private_ip."""
-    protocol, host = F.try_parse_url(url, F.lit("PROTOCOL")), F.lower(F.try_parse_url(url, F.lit("HOST")))
-    private = r"^(10\.|127\.|0\.|169\.254\.|192\.168\.|172\.(1[6-9]|2\d|3[01])\.|\[?(::1|f[cd][0-9a-f]{2}:|fe80:))"
+    """ok, or why a URL must not be fetched: invalid, protocol, blocked_host, tld, private_ip. Ranges hold for address
+    literals only, so a name that begins like one is a name."""
+    protocol, host = F.lower(F.regexp_extract(F.trim(url), "(?i)^([a-z][a-z0-9+.-]*):", 1)), url_host(url)
+    bare = F.regexp_replace(host, r"^\[|\]$", "")
+    literal = host.rlike(r"^[\d.]+$|^\[[\da-f:]+\]$")
+    ending, private = host.endswith(BLOCKED_ENDINGS[0]), bare.rlike(PRIVATE_RANGES[0])
+    for e in BLOCKED_ENDINGS[1:]:
+        ending = ending | host.endswith(e)
+    for r in PRIVATE_RANGES[1:]:
+        private = private | bare.rlike(r)
     return (
-        F.when(protocol.isNull(), "invalid")
-        .when(~F.lower(protocol).isin("http", "https"), "protocol")
-        .when(host.isNull() | (host == ""), "invalid")
-        .when(host.isin("localhost", "metadata.google.internal"), "blocked_host")
-        .when(host.rlike(r"\.(local|internal|localhost)$"), "tld")
-        .when(host.rlike(private), "private_ip")
+        F.when(url.isNull() | (protocol == ""), "invalid")
+        .when(~protocol.isin("http", "https"), "protocol")
+        .when(host == "", "invalid")
+        .when(host.isin(BLOCKED_HOSTS), "blocked_host")
+        .when(ending, "tld")
+        .when(literal & private, "private_ip")
         .otherwise("ok")
     )
 
 
-def transient(message: Column) -> Column:
-    """Whether a fetch error may pass by itself."""
-    return F.lower(message).rlike("timeout|timed out|econnreset|econnrefused|enotfound|eai_again|fetch failed|socket hang up|network")
+# Parts of the messages of fetch errors that may pass by themselves.
+TRANSIENT = ["aborted", "timed out", "timeout", "fetch failed", "socket", "network"]
+
+
+def transient(message: Column, name: Column | None = None) -> Column:
+    """Whether a fetch error may pass by itself, by its message, or its name if that tells of an abort."""
+    found = F.lower(F.coalesce(name if name is not None else F.lit(""), F.lit(""))).contains("abort")
+    for part in TRANSIENT:
+        found = found | F.lower(F.coalesce(message, F.lit(""))).contains(part)
+    return found
 
 
 def recovery_message(status: Column, missing: Column, extra: Column, mismatch: Column) -> Column:

@@ -20,7 +20,7 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str]) -> Data
     pairs = r.join(c, block)
     name = similarity.best_similarity(F.col("r_name"), text.pharmacy_name(F.col("canonical_name")))
     where = F.when((F.col("r_district") != "") & (F.col("r_district") == text.district_name(F.col("district_name"))), 1.0).otherwise(0.0)
-    score = name * 0.6 + where * 0.25 + numbers.phone_signal(F.col("r_phone"), F.col("c_phone")) * 0.15
+    score = numbers.match_score(name, where, numbers.phone_signal(F.col("r_phone"), F.col("c_phone")))
     pairs = pairs.withColumn("score", score)
     top = pairs.groupBy("row_id").agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
     found = r.select("row_id", "name").join(top, "row_id", "left")

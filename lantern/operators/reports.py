@@ -44,3 +44,30 @@ def day_or_latest(keys: DataFrame, days: DataFrame, key: str, today: str) -> Dat
     found = days.groupBy(key).agg(F.coalesce(F.max(F.when(F.col("day") == wanted, F.col("day"))), F.max("day")).alias("day"))
     status = F.when(F.col("day") == wanted, "today").when(F.col("day").isNull(), "no_data").otherwise("latest")
     return keys.join(found, key, "left").select(key, "day", status.alias("status"))
+
+
+# The kinds of faults that a correction report may tell of.
+ISSUES = ["telefon_yanlis", "adres_yanlis", "nobette_degil", "kapali", "diger"]
+
+
+def report_valid(province: Column, place: Column, issue: Column) -> Column:
+    """Whether a correction report names a province and a place by two letters or more, and a known kind of fault."""
+    size = lambda c: F.length(F.trim(F.coalesce(c, F.lit(""))))
+    return (size(province) >= 2) & (size(place) >= 2) & F.trim(F.coalesce(issue, F.lit(""))).isin(ISSUES)
+
+
+def report_note(note: Column, most: int = 1000) -> Column:
+    return F.substring(F.trim(F.coalesce(note, F.lit(""))), 1, most)
+
+
+def run_alerts(runs: DataFrame, key: str) -> DataFrame:
+    """A row for each rule that a run breaks: partial_data, no_data and, if it covers less than 0.8 of what is expected,
+    mismatch_count. runs: key, status, upserted, covered, expected (nothing is known if it is null or 0)."""
+    share = F.col("covered") / F.nullif(F.col("expected"), F.lit(0))
+    rules = [
+        (F.col("status") == "partial", "partial_data", F.lit("medium")),
+        ((F.col("status") == "no_data") | (F.col("upserted") == 0), "no_data", F.lit("high")),
+        (share < 0.8, "mismatch_count", F.when(share < 0.5, "high").otherwise("medium")),
+    ]
+    made = F.array(*[F.when(when, F.struct(F.lit(kind).alias("alert_type"), severity.alias("severity"))) for when, kind, severity in rules])
+    return runs.select(key, F.explode(F.array_compact(made)).alias("a")).select(key, "a.*")

@@ -239,25 +239,33 @@ def or13_turkish_title(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.turkish_title(picked(RAW_NAMES, "c_custkey")).alias("title"))
 
 
-_URLS = ["http://10.0.0.1/a", "ftp://a.example/b", "http://x.local", "https://ok.example/p?q=1", "http://localhost:80/", "http://172.20.1.1/", "no url"]
-_FAULTS = ["private_ip", "protocol", "tld", "ok", "blocked_host", "private_ip", "invalid"]
+_URLS = [
+    "http://10.0.0.1/a", "ftp://a.example/b", "http://x.local", "https://ok.example/p?q=1", "http://localhost:80/", "http://172.20.1.1/", "no url", "http://10.example.com/", "http://localhost./",
+    "https://user@metadata.google.internal/x", "http://[::1]/", "http://[FE80::1]:8080/", "http://8.8.8.8/", "http://172.32.0.1/", "HTTPS://A.INTERNAL./", "http:///", "http://169.254.170.2/", "http://2130706433/",
+]
+_HOST = r"regexp_replace(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*:[/\\]*([^/\\?#@]*@)?(\[[^\]]*\]|[^/\\:?#]*)', 2), '\.$', '')"
+_DOTTED = "CASE WHEN regexp_full_match(h, '\\d{1,10}') THEN concat_ws('.', h::BIGINT >> 24, (h::BIGINT >> 16) & 255, (h::BIGINT >> 8) & 255, h::BIGINT & 255) ELSE h END"
 
 
-@query(f"SELECT c_custkey, {sql_picked(_FAULTS, 'c_custkey')} AS fault FROM customer")
+@query(f"""SELECT c_custkey, CASE WHEN p = '' THEN 'invalid' WHEN p NOT IN ('http', 'https') THEN 'protocol' WHEN host = '' THEN 'invalid'
+  WHEN host IN ('localhost', 'metadata.google.internal', '169.254.169.254', '169.254.170.2') THEN 'blocked_host' WHEN host LIKE '%.local' OR host LIKE '%.internal' OR host LIKE '%.localhost' THEN 'tld'
+  WHEN regexp_matches(host, '^[0-9.]+$|^\\[[0-9a-f:]+\\]$') AND regexp_matches(trim(host, '[]'), '^(127\\.|10\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.|192\\.168\\.|169\\.254\\.|::1$|fc00:|fe80:)') THEN 'private_ip' ELSE 'ok' END AS fault
+  FROM (SELECT c_custkey, regexp_extract(lower(trim(url)), '^([a-z][a-z0-9+.-]*):', 1) AS p, {_DOTTED} AS host FROM (SELECT *, {_HOST} AS h FROM (SELECT c_custkey, {sql_picked(_URLS, 'c_custkey')} AS url FROM customer)))""")
 def src10_url_check(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.url_fault(picked(_URLS, "c_custkey")).alias("fault"))
 
 
-_ERRORS = ["fetch failed", "ETIMEDOUT: timeout of 10s", "404 Not Found", "ECONNRESET", "bad json"]
+_ERRORS = ["fetch failed", "ETIMEDOUT: timeout of 10s", "404 Not Found", "ECONNRESET", "bad json", "The operation was Aborted", "Socket closed", "NetworkError", "request timed out", "ENOTFOUND host"]
+_ERROR_NAMES = ["Error", "AbortError", "TypeError"]
 
 
-@query(f"SELECT event_id, event_id % 5 IN (0, 1, 3) AS transient FROM events")
+@query(f"""SELECT event_id, contains(lower({sql_picked(_ERROR_NAMES, 'event_id')}), 'abort') OR regexp_matches(lower({sql_picked(_ERRORS, 'event_id')}), 'aborted|timed out|timeout|fetch failed|socket|network') AS transient FROM events""")
 def src3_transient(spark, d):
-    return table(spark, d, "events").select("event_id", text.transient(picked(_ERRORS, "event_id")).alias("transient"))
+    return table(spark, d, "events").select("event_id", text.transient(picked(_ERRORS, "event_id"), picked(_ERROR_NAMES, "event_id")).alias("transient"))
 
 
 # numbers and dates
-_POINT = (5.0, 3.0)
+_POINT = (1.0, 0.9)
 
 
 def located(df: DataFrame) -> DataFrame:
@@ -265,8 +273,8 @@ def located(df: DataFrame) -> DataFrame:
 
 
 _LOC = "(SELECT *, (c_custkey % 1000) / 100.0::DOUBLE AS lat, (c_custkey % 777) / 111.0::DOUBLE AS lng FROM customer)"
-_DIST = "6371.0 * acos(least(1.0, cos(radians(5.0)) * cos(radians(lat)) * cos(radians(lng) - radians(3.0)) + sin(radians(5.0)) * sin(radians(lat))))"
-_BOX = "lat BETWEEN 5.0 - 50 / 111.12 AND 5.0 + 50 / 111.12 AND lng BETWEEN 3.0 - 50 / 111.12 / cos(radians(5.0)) AND 3.0 + 50 / 111.12 / cos(radians(5.0))"
+_DIST = "6371.0 * acos(least(1.0, cos(radians(1.0)) * cos(radians(lat)) * cos(radians(lng) - radians(0.9)) + sin(radians(1.0)) * sin(radians(lat))))"
+_BOX = "lat BETWEEN 1.0 - 50 / 111.12 AND 1.0 + 50 / 111.12 AND lng BETWEEN 0.9 - 50 / 111.12 / cos(radians(1.0)) AND 0.9 + 50 / 111.12 / cos(radians(1.0))"
 
 
 @query(f"SELECT c_custkey, round({_DIST}, 3) AS distance_km FROM {_LOC}")
@@ -296,9 +304,22 @@ def nu5_base_confidence(spark, d):
     return table(spark, d, "part").select("p_partkey", numbers.base_confidence(F.col("p_size")).alias("score"))
 
 
-@query("SELECT p_partkey, CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END AS kind FROM (SELECT p_partkey, p_partkey % 101 / 100.0::DOUBLE AS s FROM part)")
+_SIGNALS = "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 101 / 100.0::DOUBLE END, 0) * 0.6::DOUBLE + coalesce(CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 2 AS DOUBLE) END, 0) * 0.25::DOUBLE + coalesce(CAST(([NULL, 0, 0.8, 1.0])[p_partkey % 4 + 1] AS DOUBLE), 0) * 0.15::DOUBLE AS s FROM part"
+_KIND = "CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END"
+
+
+def signalled(part: DataFrame) -> DataFrame:
+    """Parts with the score of three signals of their keys, some of them missing."""
+    key = F.col("p_partkey")
+    name, district = F.when(key % 9 > 0, (key % 101) / 100.0), F.when(key % 4 > 0, (key % 2).cast("double"))
+    phone = F.element_at(F.array(F.lit(None).cast("double"), F.lit(0.0), F.lit(0.8), F.lit(1.0)), (key % 4 + 1).cast("int"))
+    return part.select("p_partkey", numbers.match_score(name, district, phone).alias("s"))
+
+
+@query(f"SELECT p_partkey, {_KIND} AS kind, CASE WHEN s >= 0.5 THEN round(s, 3) ELSE s END AS confidence FROM ({_SIGNALS})")
 def nu6_match_type(spark, d):
-    return table(spark, d, "part").select("p_partkey", numbers.match_type((F.col("p_partkey") % 101) / 100.0).alias("kind"))
+    s, kind = F.col("s"), numbers.match_type(F.col("s"))
+    return signalled(table(spark, d, "part")).select("p_partkey", kind.alias("kind"), F.when(kind != "no_match", F.round(s, 3)).otherwise(s).alias("confidence"))
 
 
 @query("SELECT p_partkey, CAST(least(greatest(trunc(p_retailprice / 100), 10), 15) AS INT) AS n FROM part")
@@ -370,9 +391,9 @@ def flt3_any(spark, d):
     return table(spark, d, "supplier").join(table(spark, d, "nation").where("n_regionkey = 1"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select("s_suppkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 200000)")
 def flt5_not_in(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table(spark, d, "customer").join(table(spark, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT p_partkey FROM part WHERE p_name ILIKE '%RING%'")
@@ -419,9 +440,9 @@ def jn5_filtered_left(spark, d):
     return table(spark, d, "nation").join(e, F.col("user_id") % 25 == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("event_id").alias("n"))
 
 
-@query("SELECT n_nationkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey HAVING count(s_suppkey) = 0")
+@query("SELECT n_nationkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < -900 GROUP BY n_nationkey HAVING count(s_suppkey) = 0")
 def jn7_without_rows(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
+    return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal < -900"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
 
 
 @query("""SELECT n_nationkey, (SELECT count(*) FROM events WHERE user_id % 25 = n_nationkey AND event_type = 'error') AS open,
@@ -547,17 +568,16 @@ def ag11_result_status(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("last"), F.bool_or(F.col("event_type") == "error").alias("degraded"), F.when(F.count("*") == 0, "no_data").otherwise("ok").alias("status"))
 
 
-@query("""SELECT count(*) AS total, CAST(count_if(k = 'exact') AS BIGINT) AS exact, CAST(count_if(k IN ('fuzzy', 'normalized')) AS BIGINT) AS fuzzy, CAST(count_if(k = 'no_match') AS BIGINT) AS no_match, round(avg(s), 2) AS mean
-  FROM (SELECT s, CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END AS k FROM (SELECT p_partkey % 101 / 100.0::DOUBLE AS s FROM part))""")
+@query(f"""SELECT count(*) AS total, CAST(count_if(k = 'exact') AS BIGINT) AS exact, CAST(count_if(k IN ('fuzzy', 'normalized')) AS BIGINT) AS fuzzy, CAST(count_if(k = 'no_match') AS BIGINT) AS no_match, round(avg(s), 2) AS mean
+  FROM (SELECT s, {_KIND} AS k FROM ({_SIGNALS}))""")
 def ag12_match_summary(spark, d):
-    s = (F.col("p_partkey") % 101) / 100.0
-    return reports.match_summary(table(spark, d, "part").select(s.alias("confidence"), numbers.match_type(s).alias("match_type")))
+    return reports.match_summary(signalled(table(spark, d, "part")).select(F.col("s").alias("confidence"), numbers.match_type(F.col("s")).alias("match_type")))
 
 
 @query("""SELECT c_nationkey, COUNT(*) FILTER (c_mktsegment = 'AUTOMOBILE') AS AUTOMOBILE, COUNT(*) FILTER (c_mktsegment = 'BUILDING') AS BUILDING,
-  COUNT(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS HOUSEHOLD FROM customer GROUP BY c_nationkey""")
+  COUNT(*) FILTER (c_mktsegment = 'HOUSEHOLD') AS HOUSEHOLD, COUNT(*) FILTER (c_mktsegment = 'FURNITURE') AS FURNITURE, COUNT(*) FILTER (c_mktsegment = 'MACHINERY') AS MACHINERY FROM customer GROUP BY c_nationkey""")
 def ag13_level_histogram(spark, d):
-    kinds = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
+    kinds = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD", "FURNITURE", "MACHINERY"]
     return table(spark, d, "customer").groupBy("c_nationkey").pivot("c_mktsegment", kinds).count().na.fill(0, kinds)
 
 
@@ -584,9 +604,10 @@ def ag19_first_wins(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("brand"))
 
 
-@query("SELECT c_nationkey, substring(md5(string_agg(c_name, '|' ORDER BY c_name)), 1, 8) AS fingerprint FROM customer GROUP BY c_nationkey")
+@query("SELECT c_nationkey, c_custkey // 1000 AS page, substring(md5(string_agg(c_name, '|' ORDER BY c_name)), 1, 8) AS fingerprint FROM customer GROUP BY ALL")
 def ag23_fingerprint(spark, d):
-    return table(spark, d, "customer").groupBy("c_nationkey").agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("c_name")), "|")), 1, 8).alias("fingerprint"))
+    """Of lists of up to a thousand names; whole nations have ag23_fingerprint_sums."""
+    return table(spark, d, "customer").groupBy("c_nationkey", F.floor(F.col("c_custkey") / 1000).alias("page")).agg(F.substring(F.md5(F.array_join(F.array_sort(F.collect_list("c_name")), "|")), 1, 8).alias("fingerprint"))
 
 
 @query("SELECT c_nationkey, count(c_name) AS n, CAST(sum(('0x' || substring(md5(c_name), 1, 8))::BIGINT) AS BIGINT) AS low, CAST(sum(('0x' || substring(md5(c_name), 9, 8))::BIGINT) AS BIGINT) AS high FROM customer GROUP BY c_nationkey")
@@ -620,14 +641,15 @@ def so5_page(spark, d):
     return table(spark, d, "customer").orderBy("c_name", "c_custkey").offset(200).limit(100).select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_nationkey = 1 EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
+@query("SELECT c_nationkey, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def set1_except(spark, d):
-    return table(spark, d, "customer").where("c_nationkey = 1").select("c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
+    """By nation."""
+    return table(spark, d, "customer").select("c_nationkey", "c_custkey").join(table(spark, d, "orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").distinct()
 
 
-@query("SELECT count(*) AS n FROM (SELECT c_custkey FROM customer WHERE c_nationkey = 1 INTERSECT SELECT o_custkey FROM orders)")
+@query("SELECT count(*) AS n FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)")
 def set2_intersect(spark, d):
-    return table(spark, d, "customer").where("c_nationkey = 1").select("c_custkey").intersect(table(spark, d, "orders").select("o_custkey")).agg(F.count("*").alias("n"))
+    return table(spark, d, "customer").select("c_custkey").intersect(table(spark, d, "orders").select("o_custkey")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
@@ -730,23 +752,29 @@ def or32_page_statistics(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p[ >]")).alias("paragraphs"), F.regexp_count("html", F.lit("<a ")).alias("links"))
 
 
-@query("SELECT doc_id, CAST(position('the' IN text) AS INT) AS at, CASE WHEN position('the' IN text) > 0 THEN substring(text, greatest(position('the' IN text) - 20, 1), 43) END AS context FROM documents")
+_WINDOWS = """SELECT doc_id, CAST(place AS INT) AS place, CAST(spot AS INT) AS at, {0} AS context FROM (SELECT doc_id, text, place, 3 * (place - 1) + 1 + length(array_to_string(parts[1:place], '')) AS spot
+  FROM (SELECT doc_id, text, parts, unnest(range(1, least(len(parts), 11))) AS place FROM (SELECT doc_id, text, string_split({1}, 'the') AS parts FROM documents)))"""
+
+
+def windows(df: DataFrame, searched: Column) -> DataFrame:
+    """Adds place and at of the first ten occurrences of a keyword in each text."""
+    parts = df.withColumn("parts", F.split(searched, "the", 11))
+    ends = F.transform(F.slice("parts", 1, F.size("parts") - 1), F.length)
+    starts = F.transform(ends, lambda x, k: F.aggregate(F.slice(ends, 1, k + 1), F.lit(0), lambda a, b: a + b) + 3 * k + 1)
+    return parts.select("doc_id", "text", F.posexplode(starts).alias("place", "at")).withColumn("place", F.col("place") + 1)
+
+
+@query(_WINDOWS.format("trim(regexp_replace(substring(text, greatest(spot - 30, 1), spot + 50 - greatest(spot - 30, 1)), '\\s+', ' ', 'g'))", "lower(text)"))
 def or33_keyword_context(spark, d):
-    at = F.locate("the", F.col("text"))
-    return table(spark, d, "documents").select("doc_id", at.alias("at"), F.when(at > 0, F.col("text").substr(F.greatest(at - 20, F.lit(1)), F.lit(43))).alias("context"))
+    """In any case of letters; from 30 characters before to 50 after the keyword's begin, white space squeezed."""
+    low = F.greatest(F.col("at") - 30, F.lit(1))
+    return windows(table(spark, d, "documents"), F.lower("text")).select("doc_id", "place", "at", text.squeezed(F.col("text").substr(low, F.col("at") + 50 - low)).alias("context"))
 
 
-@query(
-    "SELECT doc_id, CAST(place AS INT) AS place, CAST(spot AS INT) AS at, substring(text, greatest(spot - 20, 1), 43) AS context FROM (SELECT doc_id, text, place, 3 * (place - 1) + 1 + length(array_to_string(parts[1:place], '')) AS spot "
-    "FROM (SELECT doc_id, text, parts, unnest(range(1, least(len(parts), 11))) AS place FROM (SELECT doc_id, text, string_split(text, 'the') AS parts FROM documents)))"
-)
+@query(_WINDOWS.format("substring(text, greatest(spot - 20, 1), 43)", "text"))
 def or33_keyword_contexts(spark, d):
     """Windows around the first ten occurrences."""
-    parts = table(spark, d, "documents").select("doc_id", "text", F.split("text", "the", 11).alias("parts"))
-    ends = F.transform(F.slice("parts", 1, F.size("parts") - 1), F.length)
-    starts = F.transform(ends, lambda x, k: F.aggregate(F.slice(ends, 1, k + 1), F.lit(0), lambda a, b: a + b) + 3 * k + 1)
-    found = parts.select("doc_id", "text", F.posexplode(starts).alias("place", "at"))
-    return found.select("doc_id", (F.col("place") + 1).alias("place"), "at", F.col("text").substr(F.greatest(F.col("at") - 20, F.lit(1)), F.lit(43)).alias("context"))
+    return windows(table(spark, d, "documents"), F.col("text")).select("doc_id", "place", "at", F.col("text").substr(F.greatest(F.col("at") - 20, F.lit(1)), F.lit(43)).alias("context"))
 
 
 @query()
@@ -776,10 +804,15 @@ def str2_rate_limit(spark, d):
 
 
 # further filters, projections and joins
-@query("SELECT c_custkey, length(c_name) >= 3 AND c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN -500 AND 5000 AS valid FROM customer")
+_ISSUES = ["telefon_yanlis", "adres_yanlis", "nobette_degil", "kapali", "diger", "baska", " kapali ", ""]
+
+
+@query(f"SELECT c_custkey, length(trim(il)) >= 2 AND length(trim(c_name)) >= 2 AND trim({sql_picked(_ISSUES, 'c_custkey')}) IN ('telefon_yanlis', 'adres_yanlis', 'nobette_degil', 'kapali', 'diger') AS valid, length(substring(trim(repeat(c_name || ' ', c_custkey % 80)), 1, 1000)) AS note FROM (SELECT *, [' İ ', 'Bo', c_mktsegment][c_custkey % 3 + 1] AS il FROM customer)")
 def flt14_report_valid(spark, d):
-    good = (F.length("c_name") >= 3) & F.col("c_mktsegment").isin("BUILDING", "MACHINERY") & F.col("c_acctbal").between(-500, 5000)
-    return table(spark, d, "customer").select("c_custkey", good.alias("valid"))
+    c = table(spark, d, "customer")
+    il = F.element_at(F.array(F.lit(" İ "), F.lit("Bo"), F.col("c_mktsegment")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    note = reports.report_note(F.expr("repeat(c_name || ' ', cast(c_custkey % 80 as int))"))
+    return c.select("c_custkey", reports.report_valid(il, F.col("c_name"), picked(_ISSUES, "c_custkey")).alias("valid"), F.length(note).cast("long").alias("note"))
 
 
 @query("SELECT event_id FROM events e WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
@@ -905,10 +938,12 @@ def so7_nulls_last(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("last")).orderBy(F.desc_nulls_last("last"), "user_id").limit(20)
 
 
-@query("SELECT doc_id, array_to_string(list_intersect(list_distinct(a), list_distinct(b)).list_sort(), ' ') AS common FROM (SELECT doc_id, string_split(substring(text, 1, 200), ' ') AS a, string_split(substring(text, 201, 200), ' ') AS b FROM documents WHERE text IS NOT NULL)")
+@query("SELECT a.doc_id, md5(array_to_string(list_sort(list_intersect(list_distinct(string_split(a.text, ' ')), list_distinct(string_split(b.text, ' ')))), ' ')) AS common FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.text IS NOT NULL AND b.text IS NOT NULL")
 def set6_token_sets(spark, d):
-    a, b = (F.split(F.substring("text", k, 200), " ") for k in (1, 201))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.array_sort(F.array_intersect(a, b)), " ").alias("common"))
+    """Tokens that a document and the next one have in common, of their whole texts."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.split("text", " ").alias("a"))
+    both = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
+    return both.select("doc_id", F.md5(F.array_join(F.array_sort(F.array_intersect("a", "b")), " ")).alias("common"))
 
 
 @query("SELECT p_partkey, array_to_string(list_intersect(list_distinct(a), list_distinct(b)).list_sort(), ' ') AS common FROM (SELECT p_partkey, string_split(upper(p_name), ' ') AS a, string_split(upper(p_type), ' ') AS b FROM part WHERE p_name IS NOT NULL AND p_type IS NOT NULL)")
@@ -956,13 +991,14 @@ def or2_run_status(spark, d):
     return e.select("user_id", F.when(F.col("good") == 0, "failed").when(F.col("good") < F.col("n"), "partial").otherwise("success").alias("status"))
 
 
-@query("""WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS good, count(*) FILTER (WHERE event_type = 'error') AS bad FROM events GROUP BY user_id)
-  SELECT user_id, 'partial_data' AS alert_type, 'medium' AS severity FROM r WHERE good BETWEEN 1 AND n - 1 UNION ALL SELECT user_id, 'no_data', 'high' FROM r WHERE good = 0 UNION ALL SELECT user_id, 'mismatch_count', 'high' FROM r WHERE bad > 2""")
+@query("""WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (WHERE event_type = 'purchase') AS upserted, count(*) FILTER (WHERE event_type = 'error') AS bad, count(DISTINCT event_type) AS covered FROM events GROUP BY user_id),
+  s AS (SELECT *, CASE WHEN upserted = 0 THEN 'no_data' WHEN bad > 0 THEN 'partial' ELSE 'success' END AS status, covered / 5.0::DOUBLE AS coverage FROM r)
+  SELECT user_id, 'partial_data' AS alert_type, 'medium' AS severity FROM s WHERE status = 'partial' UNION ALL SELECT user_id, 'no_data', 'high' FROM s WHERE status = 'no_data' OR upserted = 0
+  UNION ALL SELECT user_id, 'mismatch_count', CASE WHEN coverage < 0.5 THEN 'high' ELSE 'medium' END FROM s WHERE coverage < 0.8""")
 def or3_alert_rules(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("good"), F.count_if(F.col("event_type") == "error").alias("bad"))
-    rules = [((F.col("good") > 0) & (F.col("good") < F.col("n")), "partial_data", "medium"), (F.col("good") == 0, "no_data", "high"), (F.col("bad") > 2, "mismatch_count", "high")]
-    made = F.array(*[F.when(when, F.struct(F.lit(a).alias("alert_type"), F.lit(s).alias("severity"))) for when, a, s in rules])
-    return e.select("user_id", F.explode(F.array_compact(made)).alias("a")).select("user_id", "a.*")
+    e = table(spark, d, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") == "purchase").alias("upserted"), F.count_if(F.col("event_type") == "error").alias("bad"), F.countDistinct("event_type").alias("covered"))
+    e = e.withColumn("status", F.when(F.col("upserted") == 0, "no_data").when(F.col("bad") > 0, "partial").otherwise("success"))
+    return reports.run_alerts(e.withColumn("expected", F.lit(5)), "user_id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'recovery_unresolved:unknown' WHEN c_custkey % 5 < 3 THEN 'recovery_unresolved_diff:missing=' || c_custkey % 5 || ',extra=0,mismatch=0' ELSE 'recovery_unresolved_status:failed' END AS message FROM customer")

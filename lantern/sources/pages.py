@@ -28,25 +28,37 @@ def _valid(rows: Column, least: int = 3) -> Column:
     return F.filter(rows, lambda r: F.length(r["name"]) >= least)
 
 
+# Patterns of normalised headers by the column that they name, and links to maps with coordinates.
+HEADERS = {"name": r"eczane|adi|name\b|isim", "address": "adres|address", "phone": r"telefon|tel\b|phone|gsm", "district": "ilce|bolge|semt|district|mahalle"}
+MAP_LINK = r'(?i)href="https?://(?:maps\.google\.com|www\.google\.com/maps)[^"]*[?&]q=(-?\d+\.\d+),(-?\d+\.\d+)'
+
+
 def tables(html: Column) -> Column:
-    """The largest table of two rows or more with a header in its first four rows that has a column of names."""
+    """The largest table of two rows or more, blank ones not counted, with a header in its first four rows that has a column
+    of names; the first of equally large ones. A row's link to a map gives its coordinates."""
     all_rows = F.transform(
         F.regexp_extract_all(html, F.lit(r"(?is)<table[^>]*>(.*?)</table>"), F.lit(1)),
-        lambda t: F.transform(
-            F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)),
-            lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), _clean),
+        lambda t: F.filter(
+            F.transform(
+                F.regexp_extract_all(t, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)),
+                lambda r: F.struct(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), _clean).alias("cells"), r.alias("raw")),
+            ),
+            lambda r: F.exists(r["cells"], lambda c: c != ""),
         ),
     )
-    largest = F.aggregate(all_rows, F.array().cast("array<array<string>>"), lambda best, t: F.when(F.size(t) > F.size(best), t).otherwise(best))
+    kind = "array<struct<cells:array<string>,raw:string>>"
+    largest = F.aggregate(all_rows, F.array().cast(kind), lambda best, t: F.when(F.size(t) > F.size(best), t).otherwise(best))
 
     def column(cells: Column, pattern: str) -> Column:
         return F.array_position(F.transform(cells, lambda c: text.normalize_text(c).rlike(pattern)), True)
 
-    head = F.array_position(F.transform(F.slice(largest, 1, 4), lambda r: F.exists(r, lambda c: text.normalize_text(c).rlike("eczane|^ad[iı]?$|isim"))), True)
-    cells = F.coalesce(F.try_element_at(largest, head.cast("int")), F.array().cast("array<string>"))
-    at = {k: column(cells, p) for k, p in (("name", "eczane|^ad[iı]?$|isim"), ("district", "ilce"), ("address", "adres"), ("phone", "telefon|tel"))}
-    get = lambda r, k: F.when(at[k] > 0, F.try_element_at(r, at[k].cast("int")))
-    found = F.transform(F.slice(largest, head.cast("int") + 1, 100_000), lambda r: row(get(r, "name"), get(r, "district"), get(r, "address"), text.clean_phone(get(r, "phone"))))
+    head = F.array_position(F.transform(F.slice(largest, 1, 4), lambda r: F.exists(r["cells"], lambda c: text.normalize_text(c).rlike(HEADERS["name"]))), True)
+    cells = F.coalesce(F.try_element_at(largest, head.cast("int"))["cells"], F.array().cast("array<string>"))
+    at = {k: column(cells, p) for k, p in HEADERS.items()}
+    get = lambda r, k: F.when(at[k] > 0, F.try_element_at(r["cells"], at[k].cast("int")))
+    place = lambda r, k: F.nullif(F.regexp_extract(r["raw"], MAP_LINK, k), F.lit(""))
+    rest = F.slice(largest, head.cast("int") + 1, F.size(largest))
+    found = F.transform(rest, lambda r: row(get(r, "name"), get(r, "district"), get(r, "address"), text.clean_phone(get(r, "phone")), place(r, 1), place(r, 2)))
     return F.when((F.size(largest) >= 2) & (head > 0), _valid(found)).otherwise(F.array().cast(KIND))
 
 
@@ -87,6 +99,7 @@ def definition_pairs(html: Column) -> Column:
     return _valid(F.transform(parts, lambda p: row(name(p), None, place(p))))
 
 
+# Fixed values here and in the parsers above: class names, attributes and titles of those pages.
 # Layouts of single sites. A card is the stretch of html from one mark to the next; its fields are found inside it. Class names, titles and attributes are fixed values of those sites.
 def _cards(html: Column, mark: str, end: str = r"\z") -> Column:
     return F.regexp_extract_all(html, F.lit(rf"(?is){mark}.*?(?={mark}|{end})"), F.lit(0))
@@ -243,19 +256,55 @@ def register(key: str, parser: Callable[[Column], Column]) -> None:
     PARSERS[key] = parser
 
 
+# Other keys under which sources ask for a parser. generic_auto_v1 asks for none.
+KEY_ALIASES = {
+    "adana_secondary_v1": "table",
+    "hatay_v1": "yandex",
+    "isparta_v1": "trend_item_v1",
+    "amasya_v1": "eczaneismi",
+    "nigde_v1": "teknoecza_v1",
+    "aydin_v1": "teknoecza_v2",
+}
+# What a page must have for a parser to be tried on it.
+PROBES = {
+    "osmaniye_eo_v1": "nobet-kart",
+    "antalya_nobetci_div_v1": "nobetciDiv",
+    "konya_v1": "baslik_eczane|konyanobetci",
+    "karaman_vatan_hl_v1": "vatan_hl",
+    "yandex": r"(?i)ymaps\.Placemark",
+    "inline_box": "(?i)data-name=",
+    "teknoecza_v2": "(?i)nobetci-eczaneler",
+    "teknoecza_v1": "(?i)Nöbetçi Eczane|eight columns",
+    "eczaneismi": "(?i)eczaneismi",
+    "trend_item_v1": "(?i)trend-item",
+    "icon_user_md_v1": "(?i)icon-user-md",
+    "table": "(?i)<table",
+    "heading": "(?i)<h[1-5]",
+    "map_link": "(?i)[?&]q=",
+    "ankara": "(?i)data-name=",
+}
+
+
 def dispatch(pages: DataFrame, key: Column | None = None, html: str = "html") -> DataFrame:
-    """Adds strategy (empty_html, keyed, auto, no_match), parser and rows. The parser that key names is tried first."""
-    h = F.col(html)
-    key = F.lit(None).cast("string") if key is None else key
-    out = pages.withColumns({f"_{k}": p(h) for k, p in PARSERS.items()})
-    found = {k: F.size(f"_{k}") > 0 for k in PARSERS}
-    keyed = F.coalesce(*[F.when((key == k) & ok, F.lit(k)) for k, ok in found.items()])
-    auto = F.coalesce(*[F.when(ok, F.lit(k)) for k, ok in found.items()])
-    empty = F.coalesce(F.trim(h), F.lit("")) == ""
-    out = out.withColumn("strategy", F.when(empty, "empty_html").when(keyed.isNotNull(), "keyed").when(auto.isNotNull(), "auto").otherwise("no_match"))
-    out = out.withColumn("parser", F.when(~empty, F.coalesce(keyed, auto)))
-    chosen = F.coalesce(*[F.when(F.col("parser") == k, F.col(f"_{k}")) for k in PARSERS], F.array().cast(KIND))
-    return out.withColumn("rows", chosen).drop(*[f"_{k}" for k in PARSERS])
+    """Adds strategy (empty_html, keyed, auto, no_match), parser and rows. The parser that key names, maybe by an alias, is
+    tried first, then the others in their order up to the first that finds rows. A parser runs on a page only if the page
+    has what it looks for, and none behind the first that finds any."""
+    h = F.coalesce(F.col(html), F.lit(""))
+    key = F.lit(None).cast("string") if key is None else F.coalesce(text.lookup(key, KEY_ALIASES, None), key)
+    def attempt(k: str) -> Column:
+        rows = F.when(h.rlike(PROBES[k]), PARSERS[k](h)) if k in PROBES else PARSERS[k](h)
+        return F.struct(F.lit(k).alias("parser"), F.coalesce(rows, F.array().cast(KIND)).alias("rows"))
+
+    def tried(kept: list[tuple[str, Column]]) -> Column:
+        """The first attempt with rows; coalesce looks at the later ones only where the earlier have none."""
+        return F.coalesce(*[F.when(ok, F.get(F.filter(F.array(attempt(k)), lambda a: F.size(a["rows"]) > 0), 0)) for k, ok in kept], F.lit(None).cast("struct<parser:string,rows:" + KIND + ">"))
+
+    out = pages.withColumn("_keyed", tried([(k, key == k) for k in PARSERS]))
+    out = out.withColumn("_auto", F.when(F.col("_keyed").isNull(), tried([(k, F.lit(True)) for k in PARSERS])))
+    empty = F.trim(h) == ""
+    out = out.withColumn("strategy", F.when(empty, "empty_html").when(F.col("_keyed").isNotNull(), "keyed").when(F.col("_auto").isNotNull(), "auto").otherwise("no_match"))
+    out = out.withColumn("parser", F.when(~empty, F.coalesce("_keyed.parser", "_auto.parser")))
+    return out.withColumn("rows", F.coalesce("_keyed.rows", "_auto.rows", F.array().cast(KIND))).drop("_keyed", "_auto")
 
 
 def exploded(pages: DataFrame) -> DataFrame:
