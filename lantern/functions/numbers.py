@@ -119,7 +119,19 @@ def coordinate_fault(lat: Column, lng: Column) -> Column:
     return F.when(ok, "ok").otherwise("invalid_coordinates")
 
 
+# Patterns of dates and how today is written in each.
+DATE_PATTERNS = [(r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"), (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd")]
+
+
 def coerced_date(given: Column, today: Column) -> Column:
-    """Today in the pattern of the given date: with dashes, slashes or, also where it is none of these, dots."""
-    iso, slashes = given.rlike(r"^\d{4}-\d{2}-\d{2}$"), given.rlike(r"^\d{2}/\d{2}/\d{4}$")
-    return F.when(iso, F.date_format(today, "yyyy-MM-dd")).when(slashes, F.date_format(today, "dd/MM/yyyy")).otherwise(F.date_format(today, "dd.MM.yyyy"))
+    """Today in the pattern of the given date; with dots, also where it is in none of the patterns."""
+    out = F.date_format(today, "dd.MM.yyyy")
+    for pattern, written in reversed(DATE_PATTERNS):
+        out = F.when(given.rlike(pattern), F.date_format(today, written)).otherwise(out)
+    return out
+
+
+def to_iso(value: Column, now: Column) -> Column:
+    """A time in ISO form with milliseconds, of UTC; now if there is none."""
+    ts = F.coalesce(F.try_to_timestamp(F.nullif(F.trim(value), F.lit(""))), now.cast("timestamp"))
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")

@@ -112,3 +112,18 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, block: str, fallbac
     levels = ["exact", "normalized", "alias", "fuzzy", *(["fallback"] if fallback else [])]
     level = F.coalesce(*[F.when(F.col(x).isNotNull(), F.lit(x)) for x in levels], F.lit("none"))
     return r.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce(*levels).alias("district_id"), level.alias("level"))
+
+
+def resolve_plain(rows: DataFrame, districts: DataFrame, block: str) -> DataFrame:
+    """row_id and district_id by the older rules: slug, name, a slug that holds the other, the central district, the first."""
+    d = districts.select(block, "ord", F.col("id").alias("d_id"), "slug", text.normalize_text(F.col("name")).alias("d_name"))
+    r = rows.select("row_id", block, F.trim(F.coalesce("raw", F.lit(""))).alias("raw"))
+    r = r.withColumn("needle", text.slugify(F.col("raw"))).withColumn("r_name", text.normalize_text(F.col("raw")))
+    some = F.col("raw") != ""
+    first = lambda ok: F.min_by("d_id", F.when(ok, F.col("ord")))
+    part = F.contains(F.col("slug"), F.col("needle")) | F.contains(F.col("needle"), F.col("slug"))
+    central = (F.col("slug") == "merkez") | F.col("slug").endswith("-merkez") | (F.col("d_name") == "merkez")
+    # only the distinct names of a block meet its districts
+    asked = r.select(block, "raw", "needle", "r_name").distinct()
+    found = asked.join(d, block).groupBy(block, "raw").agg(F.coalesce(first(some & (F.col("slug") == F.col("needle"))), first(some & (F.col("d_name") == F.col("r_name"))), first(some & part), first(central), first(F.lit(True))).alias("district_id"))
+    return r.select("row_id", block, "raw").join(found, [block, "raw"], "left").select("row_id", "district_id")

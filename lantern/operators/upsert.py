@@ -74,6 +74,21 @@ def sync_actions(catalog: DataFrame, existing: DataFrame, key: str, compared: li
     return c.join(e, key, "full_outer").select(key, action.alias("action"), F.when(action == "update", F.array_join(drift, ",")).otherwise("").alias("drift"))
 
 
+def synced(catalog: DataFrame, existing: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """The table after a catalog went over it: the catalog's values where it has the key, and change: created, updated, same,
+    or kept for what the catalog doesn't name."""
+    c, e = catalog.select(key, F.lit(1).alias("_c"), *[F.col(x).alias(f"c_{x}") for x in columns]), existing.select(key, F.lit(1).alias("_e"), *columns)
+    drift = F.lit(False)
+    for x in columns:
+        drift = drift | ~F.col(f"c_{x}").eqNullSafe(F.col(x))
+    change = F.when(F.col("_e").isNull(), "created").when(F.col("_c").isNull(), "kept").when(drift, "updated").otherwise("same")
+    return c.join(e, key, "full_outer").select(key, *[F.when(F.col("_c").isNull(), F.col(x)).otherwise(F.col(f"c_{x}")).alias(x) for x in columns], change.alias("change"))
+
+
+def sync_counters(changed: DataFrame) -> DataFrame:
+    return changed.agg(*[F.count_if(F.col("change") == k).alias(k) for k in ("created", "updated", "same", "kept")])
+
+
 def failures_in_a_row(runs: DataFrame, key: str, ts: str, ok: Column) -> DataFrame:
     """State after all runs of a key: last success, failures since, and healthy: none failed since, or fewer than three
     after some success; a key that has only failed is unhealthy from the first one. One shuffle, no order is needed."""

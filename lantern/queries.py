@@ -440,9 +440,9 @@ def jn5_filtered_left(spark, d):
     return table(spark, d, "nation").join(e, F.col("user_id") % 25 == F.col("n_nationkey"), "left").groupBy("n_nationkey").agg(F.count("event_id").alias("n"))
 
 
-@query("SELECT n_nationkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < -900 GROUP BY n_nationkey HAVING count(s_suppkey) = 0")
+@query("SELECT n_nationkey FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal < 2000 GROUP BY n_nationkey HAVING count(s_suppkey) = 0")
 def jn7_without_rows(spark, d):
-    return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal < -900"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
+    return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal < 2000"), F.col("s_nationkey") == F.col("n_nationkey"), "left_anti").select("n_nationkey")
 
 
 @query("""SELECT n_nationkey, (SELECT count(*) FROM events WHERE user_id % 25 = n_nationkey AND event_type = 'error') AS open,

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from lantern import queries
+from lantern import listing_queries, queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
