@@ -84,7 +84,11 @@ def time_ago(minutes: Column) -> Column:
 
 def fuzzy_distance(a: Column, b: Column) -> Column:
     """How many edits two names may differ by, by the shorter one's length."""
-    n = F.least(F.length(a), F.length(b))
+    return distance_for(F.least(F.length(a), F.length(b)))
+
+
+def distance_for(n: Column) -> Column:
+    """How many edits a name of so many letters may differ by."""
     return F.when(n <= 6, 1).when(n <= 10, 2).when(n <= 16, 3).when(n <= 22, 4).otherwise(5)
 
 

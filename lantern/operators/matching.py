@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers, similarity, text
+from lantern.operators.tables import kept
 
 
 def best_match(rows: DataFrame, candidates: DataFrame, block: list[str]) -> DataFrame:
@@ -17,35 +19,63 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str]) -> Data
     """
     c = candidates.select(*block, "ord", "canonical_name", "district_name", text.digits(F.col("phone")).alias("c_phone"))
     r = rows.select(*block, "row_id", "name", text.district_name(F.col("district")).alias("r_district"), text.digits(F.col("phone")).alias("r_phone"), text.pharmacy_name(F.col("name")).alias("r_name"))
-    pairs = r.join(c, block)
+    # rows that tell the same meet the candidates once
+    told = [*block, "r_name", "r_district", "r_phone"]
+    pairs = r.select(*told).distinct().join(c, block)
     name = similarity.best_similarity(F.col("r_name"), text.pharmacy_name(F.col("canonical_name")))
     where = F.when((F.col("r_district") != "") & (F.col("r_district") == text.district_name(F.col("district_name"))), 1.0).otherwise(0.0)
     score = numbers.match_score(name, where, numbers.phone_signal(F.col("r_phone"), F.col("c_phone")))
     pairs = pairs.withColumn("score", score)
-    top = pairs.groupBy("row_id").agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
-    found = r.select("row_id", "name").join(top, "row_id", "left")
+    top = pairs.groupBy(*told).agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
+    found = r.select("row_id", "name", *told).join(top, told, "left")
     s = F.coalesce("top.score", F.lit(0.0))
     kind = numbers.match_type(s)
     return found.select("row_id", "name", F.when(kind != "no_match", F.col("top.canonical_name")).alias("match"), kind.alias("match_type"), F.when(kind != "no_match", F.round(s, 3)).otherwise(s).alias("confidence"))
 
 
+def _segment(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
+    """Begin (from 1) and length of the i-th of n nearly equal segments of a text."""
+    begin = F.floor(i * length / n).cast("int")
+    return begin + 1, F.floor((i + 1) * length / n).cast("int") - begin
+
+
+def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[Column], Column]) -> DataFrame:
+    """block, a, b and distance of all pairs of names of a block whose edit distance is at most limit of the shorter one's
+    length. left: block and a; right: block and b; limit grows with the length.
+
+    A text with k edits keeps at least one of its k + 1 segments as it was, moved by k places at most. So names meet by the
+    length of b, a segment's number and its letters instead of all with all of their block; what meets is verified.
+    """
+    size, most = F.length("b"), limit(F.length("b"))
+    cut = lambda i: F.substr(F.col("b"), *_segment(size, most + 1, i))
+    held = right.select(block, "b", size.alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), most), cut)).alias("i", "part"))
+    reach = limit(F.lit(1_000))  # the largest limit that there is
+    asked = left.select(block, "a", F.explode(F.sequence(F.greatest(F.length("a") - reach, F.lit(1)), F.length("a") + reach)).alias("size"))
+    asked = asked.withColumn("most", limit(F.col("size"))).where(F.abs(F.length("a") - F.col("size")) <= F.col("most"))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
+    begin, length = _segment(F.col("size"), F.col("most") + 1, F.col("i"))
+    low, high = F.greatest(begin - F.col("most"), F.lit(1)), F.least(begin + F.col("most"), F.length("a") - length + 1)
+    parts = F.when(low <= high, F.array_distinct(F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.substr(F.col("a"), p, length))))
+    asked = asked.select(block, "a", "size", "i", F.explode(parts).alias("part"))
+    pairs = asked.join(held, [block, "size", "i", "part"]).select(block, "a", "b").distinct()
+    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= limit(F.least(F.length("a"), F.length("b"))))
+
+
 def greedy_pairs(block: str, a: str, b: str, near: DataFrame) -> DataFrame:
     """One-to-one pairs in the order of (distance, a, b): a pair holds if neither of its names has one already.
 
     near: the block, a, b and distance. Each round takes the pairs that come first for both of their names, so the work
-    stays in joins and windows, and ends when none is left; a round takes at least one pair of each block.
+    stays in aggregates and joins, and ends when none is left; a round takes at least one pair of each block. What is left
+    after a round is a table in the shared folder.
     """
-    spark, out = near.sparkSession, None
-    order = [F.col("distance"), F.col(a), F.col(b)]
+    out, near = None, kept(near)
     while True:
-        by_a = F.row_number().over(Window.partitionBy(block, a).orderBy(*order))
-        by_b = F.row_number().over(Window.partitionBy(block, b).orderBy(*order))
-        taken = near.withColumn("_a", by_a).withColumn("_b", by_b).where("_a = 1 and _b = 1").drop("_a", "_b")
-        taken = taken.checkpoint() if spark.sparkContext.getCheckpointDir() else taken.persist()
+        first = lambda of, other: near.groupBy(block, of).agg(F.min(F.struct("distance", F.col(a).alias("x"), F.col(b).alias("y"))).alias("m")).select(block, F.col("m.x").alias(a), F.col("m.y").alias(b), F.col("m.distance").alias("distance"))  # noqa: E731, B023
+        taken = kept(first(a, b).intersect(first(b, a)))
         if taken.isEmpty():
             return out if out is not None else taken
         out = taken if out is None else out.unionByName(taken)
-        near = near.join(taken.select(block, a), [block, a], "left_anti").join(taken.select(block, b), [block, b], "left_anti")
+        near = kept(near.join(taken.select(block, a), [block, a], "left_anti").join(taken.select(block, b), [block, b], "left_anti"))
 
 
 def name_difference(ours: DataFrame, official: DataFrame, block: str, fixed: int | None = None) -> DataFrame:
@@ -61,8 +91,7 @@ def name_difference(ours: DataFrame, official: DataFrame, block: str, fixed: int
     matched = both.where("official is not null and ours is not null").select(block, F.lit("matched").alias("kind"), "official", "ours", F.lit(0).alias("distance"))
     missing = both.where("ours is null").select(block, F.col("norm").alias("a"), "official")
     extra = both.where("official is null").select(block, F.col("norm").alias("b"), "ours")
-    limit = F.lit(fixed) if fixed is not None else numbers.fuzzy_distance(F.col("a"), F.col("b"))
-    close = missing.select(block, "a").join(extra.select(block, "b"), block).withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= limit)
+    close = near_names(missing.select(block, "a"), extra.select(block, "b"), block, lambda n: F.lit(fixed) if fixed is not None else numbers.distance_for(n))
     pairs = greedy_pairs(block, "a", "b", close)
     mismatch = pairs.join(missing, [block, "a"]).join(extra, [block, "b"]).select(block, F.lit("mismatch").alias("kind"), "official", "ours", "distance")
     none = F.lit(None).cast("int").alias("distance")
@@ -100,18 +129,20 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, block: str, fallbac
     some = F.col("raw") != ""
     first = lambda ok: F.min_by("d_id", F.when(ok, F.col("ord")))
     near = similarity.jaro_winkler(F.col("r_name"), F.col("d_name"))
-    pairs = r.join(d, block).withColumn("near", F.when(some & (F.length("r_name") >= 4), near).otherwise(0.0))
+    told = [block, "raw", "r_slug", "r_name", "r_alias"]  # rows of the same name meet the districts once
+    r = r.withColumn("r_alias", F.coalesce("alias", F.lit("")))
+    pairs = r.select(*told).distinct().join(d, block).withColumn("near", F.when(some & (F.length("r_name") >= 4), near).otherwise(0.0))
     central = (F.col("slug") == "merkez") | F.col("slug").endswith("-merkez") | (F.col("d_name") == "merkez")
-    found = pairs.groupBy("row_id").agg(
+    found = pairs.groupBy(*told).agg(
         first(some & (F.col("slug") == F.col("r_slug"))).alias("exact"),
         first(some & (F.col("d_name") == F.col("r_name"))).alias("normalized"),
-        first(some & (F.col("slug") == F.col("alias"))).alias("alias"),
+        first(some & (F.col("r_alias") != "") & (F.col("slug") == F.col("r_alias"))).alias("alias"),
         F.max_by("d_id", F.when(F.col("near") >= 0.85, F.struct("near", -F.col("ord")))).alias("fuzzy"),
         F.coalesce(first(central), first(F.lit(True))).alias("fallback"),
     )
     levels = ["exact", "normalized", "alias", "fuzzy", *(["fallback"] if fallback else [])]
     level = F.coalesce(*[F.when(F.col(x).isNotNull(), F.lit(x)) for x in levels], F.lit("none"))
-    return r.select("row_id").join(found, "row_id", "left").select("row_id", F.coalesce(*levels).alias("district_id"), level.alias("level"))
+    return r.select("row_id", *told).join(found, told, "left").select("row_id", F.coalesce(*levels).alias("district_id"), level.alias("level"))
 
 
 def resolve_plain(rows: DataFrame, districts: DataFrame, block: str) -> DataFrame:
