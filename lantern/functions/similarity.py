@@ -15,12 +15,14 @@ def _jaro_winkler(a: str | None, b: str | None, p: float = 0.1) -> float:
         return 1.0
     if not a or not b:
         return 0.0
-    reach, free, mine = max(len(a), len(b)) // 2 - 1, list(range(len(b))), []
+    reach, mine, free = max(len(a), len(b)) // 2 - 1, [], {}
+    for j, char in enumerate(b):  # the places of each letter that aren't taken yet, in their order
+        free.setdefault(char, []).append(j)
     for i, char in enumerate(a):
-        at = next((j for j in free if i - reach <= j <= i + reach and b[j] == char), None)
-        if at is not None:
-            free.remove(at)
-            mine.append((i, at))
+        places = free.get(char, ())
+        at = next((k for k, j in enumerate(places) if j >= i - reach), None)
+        if at is not None and places[at] <= i + reach:
+            mine.append((i, places.pop(at)))
     if not mine:
         return 0.0
     m, theirs = len(mine), sorted(j for _, j in mine)
@@ -37,7 +39,10 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def each(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_jaro_winkler(s, t) for s, t in zip(x, y, strict=True)], dtype="float64")
+        pairs = pd.DataFrame({"x": x.to_numpy(), "y": y.to_numpy()})
+        once = pairs.drop_duplicates()  # equal pairs of a batch are looked at once
+        once = once.assign(s=[_jaro_winkler(s, t) for s, t in zip(once["x"], once["y"], strict=True)])
+        return pairs.merge(once, on=["x", "y"], how="left")["s"].astype("float64")
 
     return each(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
