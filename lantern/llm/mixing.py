@@ -24,14 +24,16 @@ def token_count(text: Column) -> Column:
 
 
 def weighted(rows: DataFrame, level: str, weights: DataFrame) -> DataFrame:
-    """Adds weight, that of the level's value."""
-    rows = rows.join(weights.select(level, F.col("weight").cast("double").alias("_w")), level, "left")
+    """Adds weight, that of the level's value; if the weights have columns of higher levels too, that of the value there."""
+    path = [c for c in LEVELS if c in weights.columns or c == level]
+    rows = rows.join(weights.select(*path, F.col("weight").cast("double").alias("_w")), path, "left")
     return rows.withColumn("weight", F.greatest(F.coalesce("_w", F.lit(1.0)), F.lit(0.0))).drop("_w")
 
 
 def filled(children: DataFrame, parent: list[str], level: str, weights: DataFrame | None) -> DataFrame:
     """Adds given, the budget of each child. children: the columns of parent and level, capacity, and budget, the
-    parent's. weights: level and weight; a child without a weight there counts 1, one of weight 0 or less gets nothing.
+    parent's. weights: level and weight, and columns of higher levels where a value's weight isn't the same below all parents;
+    a child without a weight there counts 1, one of weight 0 or less gets nothing.
 
     With the children in the order of capacity / weight, the level to which all are filled is the largest of the levels
     that follow if the first 0, 1, 2 ... are full, as each of these bounds it from below.

@@ -63,10 +63,6 @@ def domain() -> Column:
     return F.concat(F.lit("domain"), F.pmod(F.coalesce(F.expr("try_cast(regexp_extract(source, '([0-9]+)', 1) as int)"), F.lit(0)), F.lit(3)))
 
 
-def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
-
-
 #: Target weights of the levels; the supplied tables have none. A value that isn't named has weight 1, one of weight 0 is left out.
 TARGETS: dict[str, dict[str, float]] = {
     "domain": {"domain0": 1.0, "domain1": 3.0, "domain2": 2.0},
@@ -84,12 +80,17 @@ def target_weights(spark: SparkSession) -> dict[str, DataFrame]:
     return {level: spark.sql(_weights(level)) for level in TARGETS}
 
 
-def op10_source_mixing_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """To the target weights."""
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2, weights=target_weights(spark))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing, op10_source_mixing_weighted)}
+def op10_source_mixing_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With equal weights."""
+    return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing, op10_source_mixing_equal)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
@@ -106,6 +107,7 @@ _DOMAINS = _filled("", "domain", "SELECT domain, SUM(capacity) AS capacity, (SEL
 _LANGS = _filled("domain", "lang", "SELECT l.domain, l.lang, SUM(l.capacity) AS capacity, ANY_VALUE(d.given) AS budget FROM leaves l JOIN domains d USING (domain) GROUP BY l.domain, l.lang")
 _SOURCES = _filled("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)")
 
+
 def _weighted(parent: str, level: str, source: str) -> str:
     """SQL for mixing.filled with the target weights."""
     by = f"PARTITION BY {parent}" if parent else ""
@@ -150,7 +152,7 @@ terms AS (
     LEFT JOIN c2 cuv ON cuv.v = x.u AND cuv.w = x.v LEFT JOIN c3 ON c3.u = x.u AND c3.v = x.v AND c3.w = x.w)
 SELECT d.doc_id, CAST(COUNT(s) AS BIGINT) AS n_tokens, ROUND(SUM(s) / NULLIF(COUNT(s), 0), 6) AS mean_log_score
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN terms USING (doc_id) GROUP BY d.doc_id""",
-    "op10_source_mixing": f"""
+    "op10_source_mixing_equal": f"""
 WITH base AS (
   SELECT doc_id, 'domain' || (COALESCE(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3) AS domain,
     COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, CAST(COALESCE(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS tokens
@@ -162,7 +164,7 @@ drawn AS (SELECT b.*, whole, rest, SUM(b.tokens) OVER (PARTITION BY domain, lang
   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM base b JOIN plan USING (domain, lang, source))
 SELECT doc_id, domain, lang, source, tokens, CAST(whole + CASE WHEN running <= rest THEN 1 ELSE 0 END AS INT) AS copies
 FROM drawn WHERE whole > 0 OR running <= rest""",
-    "op10_source_mixing_weighted": f"""
+    "op10_source_mixing": f"""
 WITH base AS (
   SELECT doc_id, 'domain' || (COALESCE(TRY_CAST(regexp_extract(source, '([0-9]+)', 1) AS INT), 0) % 3) AS domain,
     COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, CAST(COALESCE(len(regexp_extract_all(text, '\\S+')), 0) AS BIGINT) AS tokens

@@ -2,7 +2,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lantern.llm import mixing, quality, toxicity
+import public_tokenizers
+from lantern.llm import bpe, mixing, quality, queries, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,3 +52,10 @@ def test_label_model_needs_no_labels():
     votes = np.where((rng.random((4000, 4)) < chance) & toxic[:, None] | (rng.random((4000, 4)) < 0.01), 1, -1)
     found = toxicity.label_model(votes).posterior(votes)[:, 1] > 0.5
     assert (found == toxic).mean() > 0.95
+
+
+def test_encoding_of_empty_tables_and_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 1)] * 3 + [(None, None, None, None, None)], DOCS)
+    rows = bpe.token_digests(docs, queries.RANKS, public_tokenizers.PATTERN).collect()
+    assert len(rows) == 4 and len({r["ids_sha256"] for r in rows if r["doc_id"] == 1}) == 1
+    assert bpe.token_digests(docs.limit(0), queries.RANKS, public_tokenizers.PATTERN).count() == 0

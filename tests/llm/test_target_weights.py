@@ -31,3 +31,20 @@ def test_pipeline_mixes_to_target_weights(spark):
 
 def test_names_agree_with_the_levels():
     assert list(queries.TARGETS) == mixing.LEVELS
+
+
+def test_weights_below_a_parent(spark):
+    by_parent = spark.createDataFrame([("a", "y", 3.0), ("b", "z", 0.0)], "domain string, lang string, weight double")
+    found = mixing.leaf_budgets(spark.createDataFrame(LEAVES, "domain string, lang string, source string, tokens long"), 80, 1, {"lang": by_parent})
+    assert [{tuple(r[:3]): r["given"] for r in found.collect()}[x[:3]] for x in LEAVES] == [5, 5, 30, 40, 0]
+
+
+def test_shares_of_the_query_follow_the_weights(spark):
+    """Where no source is short, the tokens taken are as the weights ask, but for the last document of a prefix."""
+    docs = spark.createDataFrame([(k, "w " * 10, "en" if k % 2 else "de", f"src{k % 3}", 20) for k in range(6000)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = mixing.mix(docs, queries.domain(), 0.3, 2, weights=queries.target_weights(spark)).groupBy("domain", "lang").agg({"tokens": "sum"}).collect()
+    got = {(r["domain"], r["lang"]): r[2] for r in rows}
+    total = sum(got.values())
+    for d, dw in (("domain0", 1), ("domain1", 3), ("domain2", 2)):
+        for lang, lw in (("en", 4), ("de", 2)):
+            assert abs(got[d, lang] / total - dw / 6 * lw / 6) < 0.01
