@@ -85,12 +85,13 @@ def _padded(x: np.ndarray, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, v (doubles) and its squared length, without vectors that are null, empty, zero, or hold null or non-finite
+    """vec_id, v (of single precision, if the column is) and its squared length, without vectors that are null, empty, zero, or hold null or non-finite
     components."""
-    v = F.col(vector_col).cast("array<double>")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = F.col(vector_col).cast("array<float>" if single else "array<double>")
     df = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
     df = df.where("forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    df = df.withColumn("norm2", F.expr("aggregate(v, 0D, (s, x) -> s + x * x)"))
+    df = df.withColumn("norm2", F.expr("aggregate(v, 0D, (s, x) -> s + double(x) * double(x))"))
     return df.where("norm2 > 0 and norm2 < double('infinity')")
 
 
@@ -109,7 +110,7 @@ def index(vectors: DataFrame, largest: float, dim: int, tables: int, axes: int,
             ["tbl", "part", "last", "vec_id", "v"],
         )
 
-    return map_batches(vectors.select("vec_id", "v"), run, "tbl int, part long, last int, vec_id long, v array<double>")
+    return map_batches(vectors.select("vec_id", "v"), run, f"tbl int, part long, last int, vec_id long, v {vectors.schema['v'].dataType.simpleString()}")
 
 
 def lifted(x: np.ndarray, largest: float, dim: int) -> np.ndarray:
@@ -136,7 +137,7 @@ def probes(queries: DataFrame, dim: int, tables: int, axes: int, within: float,
         at = pa.array(take, pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(tbl, pa.int32()), pa.array(np.concatenate(part)), pa.array(lasts, pa.binary()), batch["vec_id"].take(at), batch["v"].take(at)], ["tbl", "part", "lasts", "query_id", "v"])
 
-    return map_batches(queries.select("vec_id", "v"), run, "tbl int, part long, lasts binary, query_id long, v array<double>")
+    return map_batches(queries.select("vec_id", "v"), run, f"tbl int, part long, lasts binary, query_id long, v {queries.schema['v'].dataType.simpleString()}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -151,7 +152,7 @@ def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
     if q.empty or v.empty:
         return empty
     v = v.sort_values("vec_id").reset_index(drop=True)
-    x, y = np.stack(q["v"].to_numpy()), np.stack(v["v"].to_numpy())
+    x, y = (np.stack(df["v"].to_numpy()).astype(np.float64) for df in (q, v))
     ids, own = v["vec_id"].to_numpy(), q["query_id"].to_numpy()
     out = []
     for at in range(0, len(x), 256):

@@ -58,3 +58,10 @@ def test_float_unit_vectors_get_no_component():
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
     assert ann.lifted(x, (x * x).sum(1).max(), 64).shape == (500, 64) and np.allclose(ann.lifted(x, (x * x).sum(1).max(), 64), x)
     assert ann.axes_for(2000, 64) == 2 and ann.axes_for(10**7, 64) == 3 and ann.axes_for(10**9, 64) == 4
+
+
+def test_single_precision_is_scored_in_double(spark):
+    v = np.random.default_rng(8).normal(size=(60, 12)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        assert r["score"] == pytest.approx(v[r["vec_id"]].astype(float) @ v[r["query_id"]].astype(float), abs=1e-14)
