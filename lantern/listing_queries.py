@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import numbers, text
 from lantern.operators import logs, matching, reports, serving, upsert
-from lantern.queries import AS_OF, FOLD, RAW_NAMES, SLUG, picked, query, sql_picked, table
+from lantern.queries import AS_OF, FOLD, ORACLE_SQL, RAW_NAMES, SLUG, picked, query, sql_picked, table
 from lantern.sources import catalog, forms, pages
 
 DAY = "1998-01-05"
@@ -432,9 +432,8 @@ for _ending in ("ECZANESI", "ECZANE", "ECZ"):
     _SCRIPT = f"regexp_replace({_SCRIPT}, '\\s+{_ending}\\s*$', '')"
 
 
-@query(f"SELECT c_custkey, trim(regexp_replace({_SCRIPT.format(sql_picked(RAW_NAMES, 'c_custkey'))}, '\\s+', ' ', 'g')) AS norm FROM customer")
-def sc7_script_names(spark, d):
-    return table(spark, d, "customer").select("c_custkey", text.script_name(picked(RAW_NAMES, "c_custkey")).alias("norm"))
+ORACLE_SQL["sc7_script_name"] = f"SELECT c_custkey, trim(regexp_replace({_SCRIPT.format(sql_picked(RAW_NAMES, 'c_custkey'))}, '\\s+', ' ', 'g')) AS norm FROM customer"
+ORACLE_SQL["or13_turkish_title"] = f"SELECT c_custkey, {_TITLE.format(sql_picked(RAW_NAMES, 'c_custkey'))} AS title FROM customer"
 
 
 # page layouts: a page for each customer, of its name, segment and number
