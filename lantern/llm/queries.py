@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lantern.llm import ann, bpe, gif, html, lm, mixing, neardup, quality, shards, toxicity
+from lantern.llm import ann, bpe, centroids, gif, html, lm, mixing, neardup, quality, shards, toxicity, turns, word_bpe
 from lantern.llm.common import scratch, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +91,20 @@ def op10_source_mixing_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), domain(), share=0.8, epochs=2)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing, op10_source_mixing_equal)}
+def op11_pair_index_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_bpe.token_digests(table(spark, sf_dir, "documents"), WORDS)
+
+
+def op12_annulus_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroids.clustered(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2("centroid", 256)).drop("centroid")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repair(turns.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_cross_polytope, op3_gif_media, op4_weak_toxicity, op5_tiered_shards, op6_lsh_forest_join, op7_byte_bpe, op8_weak_quality, op9_stupid_backoff, op9_stupid_backoff_whole, op10_source_mixing, op10_source_mixing_equal, op11_pair_index_bpe, op12_annulus_centroids, op13_conversation_repair)}
 
 
 def _filled(parent: str, level: str, source: str) -> str:
