@@ -27,6 +27,11 @@ def squeezed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def trimmed(s: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(s, r"^\s+|\s+$", "")
+
+
 def slugify(s: Column) -> Column:
     """Lower case ASCII; runs of anything else become one dash, none at the ends."""
     s = F.lower(F.translate(F.trim(s), TURKISH, ASCII_LOWER))
@@ -99,7 +104,7 @@ def decode_entities(s: Column) -> Column:
 
 
 def clean_phone(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"[^\d+() -]", ""))
+    return squeezed(F.regexp_replace(s, r"[^\d+() -]", ""))
 
 
 def digits(s: Column) -> Column:
@@ -117,7 +122,7 @@ def escape_xml(s: Column) -> Column:
 
 
 def severity(s: Column) -> Column:
-    return lookup(F.lower(s), SEVERITIES, "warning")
+    return lookup(F.lower(trimmed(s)), SEVERITIES, "warning")
 
 
 def title_from_slug(s: Column) -> Column:

@@ -436,41 +436,95 @@ ORACLE_SQL["sc7_script_name"] = f"SELECT c_custkey, trim(regexp_replace({_SCRIPT
 ORACLE_SQL["or13_turkish_title"] = f"SELECT c_custkey, {_TITLE.format(sql_picked(RAW_NAMES, 'c_custkey'))} AS title FROM customer"
 
 
-# page layouts: a page for each customer, of its name, segment and number
+# page layouts: a page for each customer, of its name, segment and number, with two cards or more and some that must be dropped
 _TEL = '<a href="tel:0232 {n}">ara</a>'
-_LAYOUTS: dict[str, tuple[str, str, dict[str, str]]] = {
-    # query: parser, page, expected fields in SQL; {c} name, {s} segment, {n} number
-    "prs1_table": ("table", '<table><tr><td></td></tr><tr><th>Eczane Adı</th><th>Semt</th><th>Address</th><th>GSM</th><th>x</th></tr><tr><td>{c}</td><td>{s}</td><td>No {n}</td><td>0232 {n}</td><td><a href="https://maps.google.com/maps?q=38.5,27.25">m</a></td></tr><tr><td> </td></tr></table>', {"district": "s", "address": "'No ' || n", "phone": "'0232 ' || n", "lat": "38.5", "lng": "27.25"}),
-    "prs2_heading": ("heading", '<h2>{s}</h2><h3>{c} ECZ</h3><p>Sokak {n}<br>x</p><a href="tel:0232 {n}">t</a>', {"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs3_inline": ("inline_box", '<div data-name="{c}" data-district="{s}" data-phone="0232 {n}">x</div>', {"district": "s", "phone": "'0232 ' || n"}),
-    "prs4_duty_box": ("antalya_nobetci_div_v1", f'<div class="nobetciDiv"><h4>{{c}}</h4>{_TEL}{_TEL}<i class="fa-home"></i> Sokak {{n}}<br></div>', {"address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs5_titled_links": ("teknoecza_v1", '<a title="Nöbetçi Eczane" href="x">{c}</a> <span>({s})</span>', {"district": "s"}),
-    "prs6_marquee": ("teknoecza_v2", '<a href="nobetci-eczaneler" title="Bugün nöbetçi">{c} / <strong><small>{s}</small></strong></a>', {"district": "s"}),
-    "prs7_icon_block": ("icon_user_md_v1", f'<i class="icon-user-md"></i> {{c}}<br><i class="icon-home"></i> Sokak {{n}}<br>{_TEL}', {"address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs8_placemark": ("yandex", "ymaps.Placemark([36.5, 36.25], {{balloonContent: '<strong>{c}</strong><br>x'}})", {"lat": "36.5", "lng": "36.25"}),
-    "prs9_trend_item": ("trend_item_v1", f'<div class="trend-item"><h3>{{c}} ECZ</h3><h5>{{s}}</h5><i class="icon-home"></i><i class="fa-map-marker"></i> Sokak {{n}}<br>{_TEL}', {"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs10_definition": ("eczaneismi", '<dt class="eczaneismi">{c}</dt><dd class="eczaneadres">Sokak {n}</dd>', {"address": "'Sokak ' || n"}),
-    "prs11_duty_card": ("osmaniye_eo_v1", f'<div class="x nobet-kart"><h4>01.01.2026 / <strong>{{c}}</strong> - {{s}}</h4><i class="fa-home"></i> Sokak {{n}}<br>{_TEL}<hr>', {"district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs12_sections": ("karaman_vatan_hl_v1", f'<h2 class="vatan_hl">{{s}} Nöbetçi Eczaneler 01.01.2026</h2><h4>{{c}}</h4><i class="icon-home"></i> Sokak {{n}}<br>{_TEL}', {"district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}),
-    "prs13_nested_table": ("konya_v1", '<table class="baslik_eczane"><tr><td>Bölge</td><td>x</td><td>Eczane</td></tr><tr><td>{s}</td><td>1</td><td>{c}</td></tr></table>', {"district": "s"}),
-    "prs15_named_sections": ("ankara", '<li data-name="{c}" data-district="{s}"><h4>{c} ECZ</h4><p>Sokak {n} <span>0312 1112233</span></p>', {"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0312 1112233'"}),
-    "prs17_map_link": ("map_link", '<a href="https://maps.example/?z=1&q=38.5,27.25"><b>08:30 - 19:00 {c}</b></a>', {"lat": "38.5", "lng": "27.25"}),
+_MAP = '<a href="https://maps.google.com/maps?q=38.5,27.25">m</a>'
+_HOME = "<i class='fa fa-home'></i> Sokak {n} {n}<br>"
+_LAYOUTS: dict[str, tuple[str, str, list[dict[str, str]]]] = {
+    # query: parser, page, expected fields of its rows in SQL; {c} name, {s} segment, {n} number; without name the name is c
+    "prs1_table": (
+        "table_auto_v1",
+        '<table><tr><td>a</td></tr><tr><td>b</td></tr></table><table><tr><td></td></tr><tr><th>Eczane Adı</th><th>Semt</th><th>Address</th><th>GSM</th><th>x</th></tr><tr><td>{c}</td><td>{s}</td><td>No {n}</td><td>0232 {n}</td><td>' + _MAP + "</td></tr><tr><td> </td></tr><tr><td>ab</td><td>{s}</td></tr><tr><td>{c} &amp; {s}</td></tr></table>",
+        [{"district": "s", "address": "'No ' || n", "phone": "'0232 ' || n", "lat": "38.5", "lng": "27.25"}, {"name": "c || ' & ' || s"}],
+    ),
+    "prs2_heading": (
+        "card_auto_v1",
+        "<h1>BUGÜN NÖBETÇİ</h1><h2>{s} NÖBETÇİ ECZANELER 01.01.2026</h2><h3>{c} ECZANESİ</h3><p>" + _HOME + "<i class='fa fa-phone'></i> 0232 {n}<br></p><h2>Duyurular</h2>"
+        "<h3>AKSU ECZANESİ - Buca</h3>" + _TEL + _MAP + "<h4>YOK ECZANESİ</h4><p>x</p><h4>ÇINAR ECZ</h4><h5>Bornova</h5><i class='icon-home'></i> Cadde {n}</p><h3>{c} eczanesi</h3><i class='fa-arrow-right'></i> Merkez<br><i class='fa-map-marker'></i> Meydan {n}</p>",
+        [{"name": "c || ' ECZANESİ'", "district": "s", "address": "'Sokak ' || n || ' ' || n", "phone": "'0232 ' || n"}, {"name": "'AKSU ECZANESİ'", "district": "'Buca'", "phone": "'0232 ' || n", "lat": "38.5", "lng": "27.25"}, {"name": "'ÇINAR ECZ'", "district": "'Bornova'", "address": "'Cadde ' || n"}, {"name": "c || ' eczanesi'", "district": "'Merkez'", "address": "'Meydan ' || n"}],
+    ),
+    "prs3_inline": (
+        "inline_box_v1",
+        '<div data-name=" {c} " data-district=" {s} "><h4>{c} ECZ</h4><p><svg><a>y</a></svg>Sokak {n}, <a href="tel:0232 {n}">0232 {n}</a></p>' + _MAP + '</div><div data-name="{c}" class="x" data-district="{s}"><p>Cadde <span>0312 {n}000</span></p></div><div data-name="ab" data-district="{s}"></div><div data-name="{c}" data-district="y"></div>',
+        [{"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n || ','", "phone": "'0232 ' || n", "lat": "38.5", "lng": "27.25"}, {"district": "s", "address": "'Cadde'", "phone": "'0312 ' || n || '000'"}, {"district": "'y'"}],
+    ),
+    "prs4_duty_box": (
+        "antalya_nobetci_div_v1",
+        '<div class="nobetciDiv"><h4>{c}</h4>' + _TEL + _TEL + _HOME + '</div><div class="nobetciDiv">' + " " * 900 + '</div><div class="nobetciDiv"><a href="tel:0232 {n}">{c} {s}</a>' + _TEL + '<a href="https://maps.google.com/maps?q=38.5,27.25" class="nadres">Cadde <b>{n}</b></a></div>',
+        [{"address": "'Sokak ' || n || ' ' || n", "phone": "'0232 ' || n"}, {"name": "c || ' ' || s", "address": "'Cadde ' || n", "phone": "'0232 ' || n", "lat": "38.5", "lng": "27.25"}],
+    ),
+    "prs5_titled_links": ("teknoecza_v1", '<a title="Nöbetçi Eczane" href="x">{c}</a> <span>({s})</span><a title="Nöbetçi Eczane" href="x">{c} 2</a>' + "-" * 130 + '<span>(y)</span><a title="NÖBETÇİ Eczane">z</a><a title="Nöbetçi Eczane">{c} 3</a> <span class="k">( {n} )</span>', [{"district": "s"}, {"name": "c || ' 3'", "district": "n"}]),
+    "prs5_columns": (
+        "teknoecza_v1",
+        '<div class="eight columns bottom-1"><strong> {c} ECZANESİ </strong><i class="icon-hand-right"></i> {s}<br><i class="icon-home"></i> Sokak {n}<br><i class="icon-phone"></i> 0232 {n}11<br><p><hr></p><div class="eight columns bottom-1"><strong>{c}</strong><p><hr></p><div class="eight columns bottom-1"><strong>AKSU ECZANES</strong></div> </div>',
+        [{"name": "c || ' ECZANESİ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n || '11'"}, {"name": "'AKSU ECZANES'"}],
+    ),
+    "prs6_marquee": ("teknoecza_v2", '<a href="nobetci-eczaneler" title="Bugün nöbetçi">{c} / <strong><small>{s}</small></strong></a><a href="nobetci-eczaneler" title="Yarın">{c} / <strong><small>y</small></strong></a><a href="nobetci-eczaneler" class="k" title="Bugün">{c} B / <strong><small>{n}</small></strong></a>', [{"district": "s"}, {"name": "c || ' B'", "district": "n"}]),
+    "prs7_icon_block": (
+        "icon_user_md_v1",
+        '<i class="icon-user-md"></i> {c}<br><i class="icon-home"></i> Sokak {n}<br>' + _TEL + '<hr><i class="icon-user-md"></i> ab<br><i class="icon-home"></i>' + " " * 1200 + '<i class="icon-user-md"></i> {c} {s}</b><i class="icon-home"></i> Cadde {n}</p><i class="icon-phone"></i> 0312 {n}00<br>',
+        [{"address": "'Sokak ' || n", "phone": "'0232 ' || n"}, {"name": "c || ' ' || s", "address": "'Cadde ' || n", "phone": "'0312 ' || n || '00'"}],
+    ),
+    "prs8_placemark": ("yandex_placemark_v1", "ymaps.Placemark([36.5, 36.25], {{balloonContent: '<strong>{c}</strong><br>x'}}); ymaps.Placemark([1, 2], {{balloonContent: 'x'}}); new ymaps.Placemark( [ -1.5 , 7 ], {{ balloonContent: '<strong>{s}\\' {c}</strong>' }})", [{"lat": "36.5", "lng": "36.25"}, {"name": "s || ''' ' || c", "lat": "-1.5", "lng": "7"}]),
+    "prs9_trend_item": (
+        "trend_item_v1",
+        '<div class="trend-item"><h3>{c} ECZ</h3><h5>{s}</h5><i class="icon-home"></i><i class="fa-map-marker"></i> Sokak {n}<br>' + _TEL + '<hr></div><div class="x trend-item"><h3>{c}</h3><i class="icon-home"></i></div>' + " " * 1200 + '<div class="trend-item"><h3>{s} Ecz</h3><i class="icon-home"></i><i class="fa-map-marker"></i> haritada<br><i class="fa-phone"></i> 0312 {n}00<br></div>' + " " * 1200 + '<div class="trend-item"><h3>YOK ECZ</h3><i class="icon-home"></i></div>',
+        [{"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}, {"name": "s || ' Ecz'", "phone": "'0312 ' || n || '00'"}],
+    ),
+    "prs10_definition": ("eczaneismi_v1", '<dt class="eczaneismi">{c}</dt><dd class="eczaneadres">Sokak {n}</dd><dt class="eczaneismi">YOK</dt>' + " " * 500 + '<dt class="eczaneismi"><b>{s} {c}</dt> <dd class="eczaneadres"><i>Cadde</i></dd>', [{"address": "'Sokak ' || n"}, {"name": "'YOK ' || s || ' ' || c", "address": "'Cadde'"}]),
+    "prs11_duty_card": (
+        "osmaniye_eo_v1",
+        '<div class="x nobet-kart"><h4>01.01.2026 / <strong>{c}</strong> - {s}</h4>' + "<i class='fa fa-home'></i> Sokak {n} {n} " + _TEL + '<hr><div class="nobet-kart"><h4>02.01.2026 / OSMANİYE KADİRLİ {c}</h4><i class="fa-home"></i> Cadde {n}<br> <i class="fa-phone"></i><hr><div class="nobet-kart"><h4></h4><hr>',
+        [{"district": "s", "address": "'Sokak ' || n || ' ' || n", "phone": "'0232 ' || n"}, {"district": "'KADİRLİ'", "address": "'Cadde ' || n"}],
+    ),
+    "prs12_sections": (
+        "karaman_vatan_hl_v1",
+        '<h2 class="vatan_hl">{s} Nöbetçi Eczaneler 01.01.2026</h2><h4>{c}</h4><i class="icon-home"></i> Sokak {n}</p>' + _TEL + '<h4>B {c}</h4><i class="icon-home"></i> Cadde {n}<i class="icon-phone"></i> 0312 {n}00<br>' + " " * 900 + '<i class="icon-home"></i> Uzak {n}</p><h2>x</h2><h2 class="k vatan_hl">Ermenek</h2><h4>C {c}</h4><i class="icon-home"></i> Meydan</p>' + " " * 600 + _TEL,
+        [{"district": "s", "address": "'Sokak ' || n", "phone": "'0232 ' || n"}, {"name": "'B ' || c", "district": "s", "address": "'Cadde ' || n", "phone": "'0312 ' || n || '00'"}, {"name": "'C ' || c", "district": "'Ermenek'", "address": "'Meydan'"}],
+    ),
+    "prs13_nested_table": ("konya_v1", '<table class="baslik_eczane"><tr><td>Bölge</td><td>x</td><td>Eczane</td></tr><tr><td>{s}</td><td>1</td><td>{c}</td></tr><tr><td>{s}</td><td>Adres</td></tr><tr><td>y</td><td>ECZANE</td></tr><tr><td>{n}</td><td>{c} 2</td><td>k</td></tr></table>', [{"district": "s"}, {"name": "c || ' 2'", "district": "n"}]),
+    "prs15_named_sections": ("ankara", '<li data-name="{c}" data-district="{s}"><h4>{c} ECZ</h4><p>Sokak {n} <span>0312 1112233</span></p><li data-name="ab" data-district="{s}"><h4>uzun</h4><li data-name="{c}"\n data-district="y"><p>Cadde <a href="tel:0232 {n}">0232 {n}</a></p>', [{"name": "c || ' ECZ'", "district": "s", "address": "'Sokak ' || n", "phone": "'0312 1112233'"}, {"district": "'y'", "address": "'Cadde'", "phone": "'0232 ' || n"}]),
+    "prs17_map_link": ("map_link", '<a href="https://maps.google.com/?q=38.5,27.25" target="x" style="color:red;font-weight:bold">GECE : {c}</a><a href="https://maps.google.com/?q=1,2">{c}</a><a href="https://maps.google.com/" style="font-weight:bold"> GÜNDÜZ-GECE {s} </a><a href="https://maps.google.com/" style="font-weight:bold">ab</a>', [{}, {"name": "s"}]),
 }
 
 
-def _layout(name: str, parser: str, page: str, fields: dict[str, str]) -> None:
-    def run(spark, d):
-        c = table(spark, d, "customer").select("c_custkey", F.replace("c_name", F.lit("#"), F.lit(" ")).alias("c"), F.col("c_mktsegment").alias("s"), F.col("c_custkey").cast("string").alias("n"))
-        html = F.lit(page.replace("{{", "{").replace("}}", "}"))
-        for k in "csn":
-            html = F.replace(html, F.lit("{" + k + "}"), F.col(k))
-        rows = c.select("c_custkey", F.explode(pages.PARSERS[parser](html)).alias("r"))
-        return rows.select("c_custkey", *[F.col(f"r.{f}").alias(f) for f in pages.FIELDS])
+def _page(template: str) -> Column:
+    html = F.lit(template.replace("{{", "{").replace("}}", "}"))
+    for k in "csn":
+        html = F.replace(html, F.lit("{" + k + "}"), F.col(k))
+    return html
+
+
+def _named_customers(spark, d) -> DataFrame:
+    return table(spark, d, "customer").select("c_custkey", "c_nationkey", F.replace("c_name", F.lit("#"), F.lit(" ")).alias("c"), F.col("c_mktsegment").alias("s"), F.col("c_custkey").cast("string").alias("n"))
+
+
+_NAMED_SQL = "(SELECT c_custkey, c_nationkey, replace(c_name, '#', ' ') AS c, c_mktsegment AS s, c_custkey::VARCHAR AS n FROM customer)"
+_EMPTY_ROW = {"name": "c", "district": "''", "address": "''", "phone": "''", "lat": "NULL", "lng": "NULL"}
+
 
+def _row_sql(fields: dict[str, str]) -> str:
     kinds = {"lat": "DOUBLE", "lng": "DOUBLE"}
-    wanted = {"name": "c", "district": "''", "address": "''", "phone": "''", "lat": "NULL", "lng": "NULL"} | fields
+    return ", ".join(f"CAST({v} AS {kinds.get(k, 'VARCHAR')}) AS {k}" for k, v in (_EMPTY_ROW | fields).items())
+
+
+def _layout(name: str, parser: str, page: str, rows: list[dict[str, str]]) -> None:
+    def run(spark, d):
+        found = _named_customers(spark, d).select("c_custkey", F.posexplode((pages.PARSERS | pages.OTHERS)[parser](_page(page))).alias("place", "r"))
+        return found.select("c_custkey", "place", *[F.col(f"r.{f}").alias(f) for f in pages.FIELDS])
+
     run.__name__ = name
-    query(f"SELECT c_custkey, {', '.join(f'CAST({v} AS {kinds.get(k, "VARCHAR")}) AS {k}' for k, v in wanted.items())} FROM (SELECT c_custkey, replace(c_name, '#', ' ') AS c, c_mktsegment AS s, c_custkey::VARCHAR AS n FROM customer)")(run)
+    query(" UNION ALL ".join(f"SELECT c_custkey, {k} AS place, {_row_sql(fields)} FROM {_NAMED_SQL}" for k, fields in enumerate(rows)))(run)
 
 
 for _name, _made in _LAYOUTS.items():
@@ -485,9 +539,36 @@ def prs16_nested_json(spark, d):
     return c.select("c_custkey", F.explode(pages.nested_json_rows(item)).alias("r")).select("c_custkey", "r.name", "r.district", "r.address", "r.phone")
 
 
-@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'keyed' WHEN 1 THEN 'auto' WHEN 2 THEN 'no_match' ELSE 'empty_html' END AS strategy, CASE WHEN c_custkey % 4 < 2 THEN 'eczaneismi' END AS parser, CAST(CASE WHEN c_custkey % 4 < 2 THEN 1 ELSE 0 END AS INT) AS n FROM customer")
+_KEYS = ["amasya_v1", "generic_auto_v1", "table_auto_v1", "none_v1", "eczaneismi_v1", "hatay_v1"]
+_DEFINITION = '<dt class="eczaneismi">{c}</dt><dd class="eczaneadres">x</dd>'
+_HTMLS = [_DEFINITION, "<table><tr><th>Eczane</th></tr><tr><td>{c}</td></tr></table>", "<h3>{c} ECZANESİ</h3>" + _TEL, " ", ""]
+
+
+@query(f"""SELECT c_custkey, strategy, CASE WHEN strategy = 'auto' THEN found WHEN strategy = 'keyed' OR key IS NOT NULL THEN key END AS parser, CAST(CASE WHEN strategy IN ('keyed', 'auto') THEN 1 ELSE 0 END AS INT) AS n, CASE WHEN strategy IN ('keyed', 'auto') THEN c END AS name
+FROM (SELECT *, CASE WHEN html = 4 THEN 'empty_html' WHEN serves = html THEN 'keyed' WHEN found IS NOT NULL THEN 'auto' ELSE 'no_match' END AS strategy
+  FROM (SELECT *, CASE WHEN key IN ('amasya_v1', 'eczaneismi_v1') THEN 0 WHEN key = 'table_auto_v1' THEN 1 ELSE -1 END AS serves, CASE html WHEN 0 THEN 'eczaneismi_v1' WHEN 1 THEN 'table_auto_v1' END AS found
+    FROM (SELECT c_custkey, c, c_custkey % 5 AS html, CASE WHEN c_custkey % 7 < 6 THEN {sql_picked(_KEYS, "(c_custkey % 7)")} END AS key FROM {_NAMED_SQL})))""")
 def prs0a_aliases(spark, d):
-    k = F.col("c_custkey") % 4
-    html = F.when(k < 2, F.concat(F.lit('<dt class="eczaneismi">'), "c_name", F.lit('</dt><dd class="eczaneadres">x</dd>'))).when(k == 2, "<p>x</p>").otherwise(" ")
-    found = pages.dispatch(table(spark, d, "customer").select("c_custkey", html.alias("html")), F.when(k == 0, "amasya_v1").when(k == 1, "generic_auto_v1"))
-    return found.select("c_custkey", "strategy", "parser", F.size("rows").alias("n"))
+    k = F.col("c_custkey")
+    found = pages.dispatch(_named_customers(spark, d).withColumn("html", F.element_at(F.array(*[_page(x) for x in _HTMLS]), (k % 5 + 1).cast("int"))), F.when(k % 7 < 6, F.element_at(F.array(*map(F.lit, _KEYS)), (k % 7 + 1).cast("int"))))
+    return found.select("c_custkey", "strategy", "parser", F.size("rows").alias("n"), F.get("rows", F.lit(0))["name"].alias("name"))
+
+
+_PLACE = ["table_auto_v1", "inline_box_v1", "osmaniye_eo_v1"]
+_PLACES = [  # begin of a page, a card, end
+    ("<table><tr><th>Eczane</th><th>Semt</th><th>Telefon</th></tr>", "<tr><td>{c}</td><td>{s}</td><td>0232 {n}</td></tr>", "</table>"),
+    ("", '<div data-name="{c}" data-district="{s}"><p>Sokak <a href="tel:0232 {n}">0232 {n}</a></p></div>', ""),
+    ("", '<div class="nobet-kart"><h4><strong>{c}</strong> - {s}</h4>' + _TEL + "<hr>", ""),
+]
+
+
+@query(f"""SELECT c_nationkey, page, 'auto' AS strategy, {sql_picked(_PLACE, "(c_nationkey % 3)")} AS parser, CASE WHEN c_nationkey % 3 = 0 THEN c WHEN c_nationkey % 3 = 1 THEN c ELSE c END AS name, s AS district, CASE WHEN c_nationkey % 3 = 1 THEN 'Sokak' ELSE '' END AS address, '0232 ' || n AS phone, CAST(NULL AS DOUBLE) AS lat, CAST(NULL AS DOUBLE) AS lng
+FROM (SELECT *, CAST(c_custkey // 1000 AS BIGINT) AS page FROM {_NAMED_SQL})""")
+def prs0_dispatch(spark, d):
+    """Pages of places, of up to a thousand customers of a nation each, in three layouts, through the parsers."""
+    kind = (F.col("c_nationkey") % 3 + 1).cast("int")
+    part = lambda k: F.element_at(F.array(*[_page(x[k]) for x in _PLACES]), kind)
+    c = _named_customers(spark, d).withColumn("page", F.floor(F.col("c_custkey") / 1000))
+    body = c.groupBy("c_nationkey", "page").agg(F.array_join(F.array_sort(F.collect_list(part(1))), "").alias("body"))
+    edges = body.select("*", F.lit("").alias("c"), F.lit("").alias("s"), F.lit("").alias("n"))
+    return pages.exploded(pages.dispatch(edges.select("c_nationkey", "page", F.concat(part(0), "body", part(2)).alias("html"))).drop("html"))

@@ -777,19 +777,6 @@ def or33_keyword_contexts(spark, d):
     return windows(table(spark, d, "documents"), F.col("text")).select("doc_id", "place", "at", F.col("text").substr(F.greatest(F.col("at") - 20, F.lit(1)), F.lit(43)).alias("context"))
 
 
-@query()
-def prs0_dispatch(spark, d):
-    """Pages of places made of up to a thousand customers of a nation, in two layouts, through the parsers."""
-    c = table(spark, d, "customer").withColumn("page", F.floor(F.col("c_custkey") / 1000))
-    cell = lambda x: F.concat(F.lit("<td>"), x, F.lit("</td>"))
-    line = F.concat(F.lit("<tr>"), cell(F.col("c_name")), cell(F.col("c_mktsegment")), cell(F.lit("0232 234 56 78")), F.lit("</tr>"))
-    box = F.concat(F.lit('<div data-name="'), "c_name", F.lit('" data-district="'), "c_mktsegment", F.lit('" data-phone="0232">x</div>'))
-    made = F.when(F.col("c_nationkey") % 2 == 0, line).otherwise(box)
-    body = c.groupBy("c_nationkey", "page").agg(F.array_join(F.array_sort(F.collect_list(made)), "").alias("body"))
-    html = F.when(F.col("c_nationkey") % 2 == 0, F.concat(F.lit("<table><tr><th>Eczane</th><th>İlçe</th><th>Telefon</th></tr>"), "body", F.lit("</table>"))).otherwise(F.col("body"))
-    return pages.exploded(pages.dispatch(body.select("c_nationkey", html.alias("html"))).drop("html"))
-
-
 @query("SELECT c_custkey, c_name AS name, c_mktsegment AS district, '' AS address, '0232' AS phone FROM customer")
 def prs14_json_rows(spark, d):
     c = table(spark, d, "customer")

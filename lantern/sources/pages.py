@@ -28,6 +28,60 @@ def _valid(rows: Column, least: int = 3) -> Column:
     return F.filter(rows, lambda r: F.length(r["name"]) >= least)
 
 
+def _none() -> Column:
+    return F.array().cast(KIND)
+
+
+# Cards. A pattern finds the cards of a page in one pass each for the groups that are asked for: the card itself, fields, and,
+# by a group that looks ahead, a stretch of so many characters behind it. Fields are then looked for in the card alone.
+def _cards(html: Column, pattern: str, *groups: int) -> Column:
+    """For each match the named groups as g0, g1, ..."""
+    found = [F.regexp_extract_all(html, F.lit(f"(?is){pattern}"), F.lit(g)).alias(f"g{g}") for g in groups]
+    return F.arrays_zip(*found)
+
+
+def _in(part: Column, pattern: str, group: int = 1) -> Column:
+    return F.regexp_extract(part, f"(?is){pattern}", group)
+
+
+def _tag(part: Column, tag: str) -> Column:
+    return text.strip_tags(_in(part, rf"<{tag}[^>]*>(.*?)</{tag}>"))
+
+
+def _after(part: Column, icon: str, what: str, end: str) -> Column:
+    """What follows an icon, as html."""
+    return _in(part, rf"{icon}[^>]*(?:></i>|>)\s*({what})(?:{end})")
+
+
+def _coordinates(part: Column) -> tuple[Column, Column]:
+    """Latitude and longitude of the first link to a map that has them; null if there is none."""
+    return tuple(F.nullif(F.regexp_extract(part, MAP_LINK, k), F.lit("")) for k in (1, 2))
+
+
+#: A number beside an icon.
+DIGITS, DIGITS_END = r"[\d\s()+\-]{7,20}?", "<br|</|<i|<a"
+
+
+def _phone(part: Column, icon: str | None = None) -> Column:
+    """The number of the first link that dials, else the one beside an icon."""
+    dialled = _in(part, 'href="tel:([^"]+)"')
+    other = _after(part, icon, DIGITS, DIGITS_END) if icon else F.lit("")
+    return text.clean_phone(F.when(dialled != "", dialled).otherwise(other))
+
+
+def _without(s: Column, part: Column) -> Column:
+    """s without the first occurrence of part."""
+    at = F.instr(s, part)
+    return F.when((part != "") & (at > 0), F.concat(s.substr(F.lit(1), at - 1), s.substr(at + F.length(part), F.length(s)))).otherwise(s)
+
+
+def _places(html: Column, mark: str) -> Column:
+    """Where a mark stands: its offsets from 1."""
+    ends = F.transform(F.split(html, rf"(?i)(?={mark})"), F.length)
+    cut = F.aggregate(F.slice(ends, 1, F.size(ends) - 1), F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    return F.filter(cut, lambda at: F.lower(html.substr(at, F.lit(len(mark)))) == mark.lower())
+
+
 # Patterns of normalised headers by the column that they name, and links to maps with coordinates.
 HEADERS = {"name": r"eczane|adi|name\b|isim", "address": "adres|address", "phone": r"telefon|tel\b|phone|gsm", "district": "ilce|bolge|semt|district|mahalle"}
 MAP_LINK = r'(?i)href="https?://(?:maps\.google\.com|www\.google\.com/maps)[^"]*[?&]q=(-?\d+\.\d+),(-?\d+\.\d+)'
@@ -62,249 +116,301 @@ def tables(html: Column) -> Column:
     return F.when((F.size(largest) >= 2) & (head > 0), _valid(found)).otherwise(F.array().cast(KIND))
 
 
+# Fixed values in the parsers below: class names, attributes, titles, distances and ends of fields of those pages.
 def inline_boxes(html: Column) -> Column:
-    """Elements with data-name and data-district."""
-    tags = F.regexp_extract_all(html, F.lit(r"(?is)<[a-z]+[^>]*data-name=\"[^\"]*\"[^>]*>"), F.lit(0))
-    attribute = lambda t, n: text.squeezed(text.decode_entities(F.regexp_extract(t, rf'(?i)data-{n}="([^"]*)"', 1)))
-    return _valid(F.transform(tags, lambda t: row(attribute(t, "name"), attribute(t, "district"), attribute(t, "address"), text.clean_phone(attribute(t, "phone")))))
-
-
-def headings(html: Column) -> Column:
-    """Cards: a heading that names a pharmacy, with what follows up to the next heading; districts are headings before."""
-    parts = F.regexp_extract_all(html, F.lit(r"(?is)<h[1-5][^>]*>.*?(?=<h[1-5][^>]*>|\z)"), F.lit(0))
-    head = lambda p: _clean(F.regexp_extract(p, r"(?is)<h[1-5][^>]*>(.*?)</h[1-5]>", 1))
-    phone = lambda p: text.clean_phone(F.regexp_extract(p, r"(?i)href=[\"']tel:([^\"']+)", 1))
-    rest = lambda p: _clean(F.regexp_extract(p, r"(?is)</h[1-5]>\s*(?:<p[^>]*>)?(.*?)(?:<br|</p>|<a|\z)", 1))
-    # the last heading that names no pharmacy is the district of those that follow
-    start = F.struct(F.lit("").alias("district"), F.array().cast(KIND).alias("rows"))
-    step = lambda acc, p: F.when(
-        F.upper(head(p)).contains("ECZ"), F.struct(acc["district"].alias("district"), F.concat(acc["rows"], F.array(row(head(p), acc["district"], rest(p), phone(p)))).alias("rows"))
-    ).otherwise(F.struct(head(p).alias("district"), acc["rows"].alias("rows")))
-    found = F.aggregate(parts, start, step, lambda acc: acc["rows"])
-    return F.filter(_valid(found), lambda r: (r["phone"] != "") | (r["address"] != ""))
-
-
-def map_links(html: Column) -> Column:
-    """Bold names with a link to a map; a shift before the name goes."""
-    parts = F.regexp_extract_all(html, F.lit(r"(?is)<a[^>]+href=\"[^\"]*[?&]q=[^\"]*\"[^>]*>\s*<b>.*?</b>"), F.lit(0))
-    name = lambda p: F.regexp_replace(_clean(F.regexp_extract(p, r"(?is)<b>(.*?)</b>", 1)), r"^\d{2}:\d{2}\s*-\s*\d{2}:\d{2}\s*", "")
-    return _valid(F.transform(parts, lambda p: row(name(p), None, None, None, *text.map_coordinates(p))))
+    """Boxes with data-name and, near it, data-district. A box goes up to the next data-name, the last for 3000 characters; a
+    heading h4 in it is the fuller name, its first paragraph has the address and a phone, which is taken out."""
+    found = F.arrays_zip(*[F.regexp_extract_all(html, F.lit(r'(?s)data-name="([^"]+)".{0,200}?data-district="([^"]+)"(?=(.*?)(data-name=|\z))'), F.lit(g)).alias(f"g{g}") for g in range(5)])
 
+    def one(m: Column) -> Column:
+        inner = F.instr(m["g0"].substr(F.lit(11), F.length(m["g0"])), "data-name=")
+        whole = F.concat(m["g0"], m["g3"])
+        box = F.when(inner > 0, m["g0"].substr(F.lit(1), inner + 9)).when(m["g4"] == "", whole.substr(1, 3000)).otherwise(whole)
+        body = F.regexp_replace(F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", ""), "(?is)<h[1-6][^>]*>.*?</h[1-6]>", "")
+        linked, spanned = _in(body, 'href="tel:([^"]+)"'), _in(body, "<span[^>]*>([0-9 ()-]{7,})</span>")
+        phone = text.clean_phone(F.when(linked != "", linked).otherwise(spanned))
+        name = F.when(box.rlike("(?is)<h4[^>]*>.*?</h4>"), _tag(box, "h4")).otherwise(F.trim(m["g1"]))
+        return row(name, F.trim(m["g2"]), text.squeezed(_without(text.strip_tags(body), phone)), phone, *_coordinates(box))
 
-def definition_pairs(html: Column) -> Column:
-    """Elements of class eczaneismi, each with the next one of class eczaneadres."""
-    parts = F.regexp_extract_all(html, F.lit(r'(?is)class="eczaneismi"[^>]*>(.*?)<.*?class="eczaneadres"[^>]*>.*?</'), F.lit(0))
-    name = lambda p: _clean(F.regexp_extract(p, r'(?is)class="eczaneismi"[^>]*>(.*?)<', 1))
-    place = lambda p: _clean(F.regexp_extract(p, r'(?is)class="eczaneadres"[^>]*>(.*?)</', 1))
-    return _valid(F.transform(parts, lambda p: row(name(p), None, place(p))))
+    return _valid(F.transform(found, one))
 
 
-# Fixed values here and in the parsers above: class names, attributes and titles of those pages.
-# Layouts of single sites. A card is the stretch of html from one mark to the next; its fields are found inside it. Class names, titles and attributes are fixed values of those sites.
-def _cards(html: Column, mark: str, end: str = r"\z") -> Column:
-    return F.regexp_extract_all(html, F.lit(rf"(?is){mark}.*?(?={mark}|{end})"), F.lit(0))
+HEADING = r"<h[1-5][^>]*>(.*?)</h[1-5]>"
 
 
-def _tag(card: Column, tag: str) -> Column:
-    return _clean(F.regexp_extract(card, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
+def headings(html: Column) -> Column:
+    """Cards under headings that name a pharmacy, each up to the next such heading or for 2500 characters. A heading of a list
+    (ECZANELER) gives the district of the cards behind it that have none in the name, beside an arrow or in an h5. Cards
+    without phone and address are left out."""
+    title = lambda p: F.when(p.rlike(f"(?is)^{HEADING}"), text.strip_tags(_in(p, HEADING))).otherwise("")
+    pieces = F.transform(F.split(html, "(?i)(?=<h[1-5][^>]*>)"), lambda p: F.struct(p.alias("p"), title(p).alias("title")))
+    named = lambda i: (F.length(F.get(pieces, i)["title"]) >= 5) & F.get(pieces, i)["title"].rlike("(?i)ecz")
+    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), named)
+
+    def card(i: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(at, k + 1), F.size(pieces))
+        part = F.array_join(F.transform(F.slice(pieces, i + 1, end - i), lambda x: x["p"]), "")
+        return F.struct(F.get(pieces, i)["title"].alias("title"), part.substr(1, 2500).alias("part"))
+
+    def section(title: Column) -> Column:
+        """The district that the heading of a list names, or nothing."""
+        s = F.regexp_replace(title, r"(?i)\s*BUG[Üü]N\s+", " ")
+        for rest in (r"\s*N[Öö]BET[Çç]İ\s+ECZANELER.*", r"\s*ECZANELER.*", r"\s*HAFTALIK\s+.*", r"\s*\d{2}[-./]\d{2}[-./]\d{4}.*"):
+            s = F.regexp_replace(s, f"(?i){rest}", "")
+        s = F.trim(s)
+        return F.when(F.length(s).between(3, 40) & ~F.lower(s).contains("eczac"), s)
+
+    def one(c: Column, last: Column) -> Column:
+        part, split = c["part"], _in(c["title"], r"^.+?\s+-\s+(.+)$")
+        dashed = (split != "") & ~F.lower(split).contains("eczane")
+        arrow = text.strip_tags(_after(part, "fa-arrow-right", ".{1,60}?", r"<br|</span|<i\s"))
+        small = _tag(part, "h5")
+        small = F.when(F.length(small).between(2, 40) & ~small.rlike("(?i)ecz"), small).otherwise("")
+        district = F.when(dashed, F.trim(split)).when(arrow != "", arrow).when(small != "", small).otherwise(last)
+        home = _in(part, r"fa-(?:home|address-card)[^>]*(?:></i>|>)\s*(.{3,600}?)(?=<i\s[^>]*fa-(?:phone|map-marker|whatsapp|envelope|fax))")
+        home = F.when(home != "", home).otherwise(_after(part, "icon-home", ".{3,400}?", r"<br\s*/?> |<a\s|</p|<i\s"))
+        near = text.strip_tags(_after(part, "fa-map-marker", "(?:(?!<a)[^<]|<[^a/]){3,300}?", r"<br\s*/?> |</p|</div|<i\s"))
+        near = F.when((F.length(near) >= 5) & ~near.rlike("(?i)harita|konum|map"), near).otherwise("")
+        name = F.when(dashed, F.trim(_in(c["title"], r"^(.+?)\s+-\s+.+$"))).otherwise(c["title"])
+        return row(name, district, F.when(home != "", text.strip_tags(home)).otherwise(near), _phone(part, "(?:fa-phone|icon-phone)"), *_coordinates(part))
+
+    start = F.struct(F.lit("").alias("last"), _none().alias("rows"))
+
+    def step(acc: Column, c: Column) -> Column:
+        of_list = F.struct(F.coalesce(section(c["title"]), acc["last"]).alias("last"), acc["rows"].alias("rows"))
+        return F.when(c["title"].rlike("(?i)eczaneler"), of_list).otherwise(F.struct(acc["last"].alias("last"), F.concat(acc["rows"], F.array(one(c, acc["last"]))).alias("rows")))
+
+    found = F.aggregate(F.transform(at, card), start, step, lambda acc: acc["rows"])
+    return F.filter(_valid(found), lambda r: (r["phone"] != "") | (r["address"] != ""))
 
 
-def _beside(card: Column, icon: str) -> Column:
-    """The text after an icon, up to a line's or block's end or the next icon or link."""
-    return _clean(F.regexp_extract(card, rf"(?is){icon}[^>]*>(?:</i>)?\s*(.*?)(?:<br|</p|</div|<i\s|<a\s|\z)", 1))
+def map_links(html: Column) -> Column:
+    """Names in bold links to a map; a shift before the name goes."""
+    found = F.regexp_extract_all(html, F.lit(r'(?i)<a href="https://maps\.google\.com[^"]*"[^>]*style="[^"]*font-weight:bold[^"]*"[^>]*>([^<]+)</a>'), F.lit(1))
+    return _valid(F.transform(found, lambda n: row(text.trimmed(F.regexp_replace(text.trimmed(n), r"(?i)^(?:G[Üü]ND[Üü]Z-GECE|GECE|G[Üü]ND[Üü]Z)\s*[:\s]+", "")))))
 
 
-def _phone(card: Column, icon: str = "(?:fa|icon)-phone") -> Column:
-    dialled = F.regexp_extract(card, r'(?i)href="tel:([^"]+)"', 1)
-    return text.clean_phone(F.when(dialled != "", dialled).otherwise(_beside(card, icon)))
+def definition_pairs(html: Column) -> Column:
+    """Elements of class eczaneismi, each with the next one of class eczaneadres within 400 characters."""
+    found = _cards(html, r"eczaneismi[^>]*>(.*?)</[^>]+>.{0,400}?eczaneadres[^>]*>(.*?)</[^>]+>", 1, 2)
+    return _valid(F.transform(found, lambda m: row(text.strip_tags(m["g1"]), None, text.strip_tags(m["g2"]))))
 
 
 def duty_boxes(html: Column) -> Column:
-    """nobetciDiv: a name as heading or as text of the first of two phone links, an address as map link or beside an icon."""
-    cards = F.filter(_cards(html, "nobetciDiv"), lambda c: F.regexp_count(c, F.lit('(?i)href="tel:')) >= 2)
+    """nobetciDiv with two links that dial: a name as heading or as text of the first of them, an address as map link or
+    beside an icon, also in the 800 characters behind."""
 
-    def one(c: Column) -> Column:
-        linked = _clean(F.regexp_extract(c, r'(?is)<a href="tel:[^"]*">([^<]+)</a>', 1))
-        mapped = _clean(F.regexp_extract(c, r'(?is)class="nadres"[^>]*>(.*?)</a>', 1))
-        name = F.when(_tag(c, "h4") != "", _tag(c, "h4")).otherwise(linked)
-        return row(name, None, F.when(mapped != "", mapped).otherwise(_beside(c, "fa-home")), _phone(c), *text.map_coordinates(c))
+    def one(m: Column) -> Column:
+        linked, block = text.squeezed(_in(m["g0"], '<a href="tel:[^"]*">([^<]+)</a>')), F.concat(m["g0"], m["g2"])
+        mapped = r'maps\.google\.com[^"]*"[^>]*class="nadres"[^>]*>(.{0,300}?)</a>'
+        place = F.when(block.rlike(f"(?is){mapped}"), _in(block, mapped)).otherwise(_after(block, "fa-home", ".{3,400}?", r"<br|</p|<i\s"))
+        name = F.when(_tag(m["g0"], "h4") != "", _tag(m["g0"], "h4")).otherwise(linked)
+        return row(name, None, text.strip_tags(place), text.clean_phone(m["g1"]), *_coordinates(block))
 
-    return _valid(F.transform(cards, one))
+    return _valid(F.transform(_cards(html, 'nobetciDiv.{0,800}?href="tel:([^"]+)".{0,200}?href="tel:[^"]+"(?=(.{0,800}))', 0, 1, 2), one))
 
 
 def duty_cards(html: Column) -> Column:
     """nobet-kart, each up to a rule: a heading `date / city DISTRICT <strong>name</strong>` or `... - DISTRICT`."""
+    letters = "a-zÇĞİÖŞÜçğöşü"
 
-    def one(c: Column) -> Column:
-        head, strong = _tag(c, "h4"), _tag(F.regexp_extract(c, "(?is)<h4[^>]*>.*?</h4>", 0), "strong")
-        bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), r"(?iu)^OSMAN[Iİ]YE\s+\p{L}+\s+", "")
-        dashed, slashed = F.regexp_extract(head, r"-\s*([\p{L} ]{2,40})$", 1), F.regexp_extract(head, r"(?iu)/\s*OSMAN[Iİ]YE\s+(\p{L}{2,40})", 1)
-        return row(F.when(strong != "", strong).otherwise(F.trim(bare)), F.when(dashed != "", F.trim(dashed)).otherwise(slashed), _beside(c, "fa-home"), _phone(c), *text.map_coordinates(c))
+    def one(m: Column) -> Column:
+        block = m["g1"]
+        head, strong = _tag(block, "h4"), _tag(_in(block, "<h4[^>]*>(.*?)</h4>"), "strong")
+        bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), rf"(?i)^OSMAN[Iİ]YE\s+[{letters}]+\s+", "")
+        dashed, slashed = _in(head, rf"-\s*([{letters} ]{{2,40}})$"), _in(head, rf"/\s*OSMAN[Iİ]YE\s+([{letters}]{{2,40}})")
+        near = _in(block, r"fa-home[^>]*(?:></i>|>)\s*(.{3,700}?)(?=<br\s*/?>\s*<i[^>]*fa-phone|<i[^>]*fa-phone|</p>)")
+        near = F.when(near != "", near).otherwise(_in(block, r'fa-home[^>]*(?:></i>|>)\s*(.{3,700}?)(?=<a[^>]+href="tel:)'))
+        district = F.when(text.squeezed(dashed) != "", text.squeezed(dashed)).otherwise(slashed)
+        return row(F.when(strong != "", strong).otherwise(F.trim(bare)), district, text.strip_tags(near), _phone(block), *_coordinates(block))
 
-    return _valid(F.transform(F.regexp_extract_all(html, F.lit(r'(?is)<div[^>]*class="[^"]*nobet-kart[^"]*"[^>]*>.*?<hr>'), F.lit(0)), one), 2)
+    return _valid(F.transform(_cards(html, r'<div[^>]*class="[^"]*nobet-kart[^"]*"[^>]*>(.*?)<hr>', 1), one), 2)
 
 
 def titled_links(html: Column) -> Column:
-    """Links titled Nöbetçi Eczane: those with a district in brackets behind; if there are none, all of them; then cards in columns."""
-    link = r'(?is)title="Nöbetçi Eczane"[^>]*>([^<]+)</a>'
-    near = F.regexp_extract_all(html, F.lit(link + r".{0,120}?<span[^>]*>\([^)]+\)"), F.lit(0))
-    placed = _valid(F.transform(near, lambda c: row(_clean(F.regexp_extract(c, link, 1)), F.trim(F.regexp_extract(c, r"\(([^()]+)\)$", 1)))))
-    plain = _valid(F.transform(F.regexp_extract_all(html, F.lit(link), F.lit(1)), lambda n: row(_clean(n))))
-    cards = F.filter(_cards(html, '<div class="eight columns bottom-1">', r"<p><hr></p>|\z"), lambda c: _tag(c, "strong").rlike("(?iu)ECZANES"))
-    columns = _valid(F.transform(cards, lambda c: row(_tag(c, "strong"), _beside(c, "icon-hand-right"), _beside(c, "icon-home"), _phone(c), *text.map_coordinates(c))))
+    """Links titled Nöbetçi Eczane: those with a district in brackets within 120 characters; if there are none, all of them;
+    then cards in columns."""
+    link = r'title="N[Öö]bet[Çç]i Eczane"[^>]*>([^<]+)</a>'
+    placed = _valid(F.transform(_cards(html, link + r".{0,120}<span[^>]*>\(([^)]+)\)", 1, 2), lambda m: row(text.squeezed(m["g1"]), text.trimmed(m["g2"]))))
+    plain = _valid(F.transform(_cards(html, link, 1), lambda m: row(text.squeezed(m["g1"]))))
+
+    def one(m: Column) -> Column:
+        c = m["g1"]
+        name = text.squeezed(_in(c, r"<strong>\s*([^<]*?ECZANES[İI]?)\s*</strong>"))
+        return row(name, text.strip_tags(_after(c, "icon-hand-right", ".{1,80}?", r"<br|<i\s")), text.strip_tags(_after(c, "icon-home", ".{3,450}?", r"<br|<i\s")), _phone(c, "icon-phone"), *_coordinates(c))
+
+    columns = _valid(F.transform(_cards(html, r'<div class="eight columns bottom-1">(.{0,1800}?)(?:<p><hr></p>|</div>\s*</div>)', 1), one))
     return F.when(F.size(placed) > 0, placed).when(F.size(plain) > 0, plain).otherwise(columns)
 
 
 def marquees(html: Column) -> Column:
     """Links to nobetci-eczaneler titled Bugün..., their text `name / <strong><small>district`."""
-    link = r'(?is)href="nobetci-eczaneler"[^>]*title="Bugün[^"]*"[^>]*>([^/<]+)\s*/\s*<strong><small>([^<]+)</small>'
-    return _valid(F.transform(F.regexp_extract_all(html, F.lit(link), F.lit(0)), lambda c: row(_clean(F.regexp_extract(c, link, 1)), F.trim(F.regexp_extract(c, link, 2)))), 2)
+    link = r'href="nobetci-eczaneler"[^>]*title="Bug[Üü]n[^"]*"[^>]*>([^/<]+)\s*/\s*<strong><small>([^<]+)</small>'
+    return _valid(F.transform(_cards(html, link, 1, 2), lambda m: row(text.squeezed(m["g1"]), text.trimmed(m["g2"]))), 2)
 
 
 def placemarks(html: Column) -> Column:
     """Marks of a script's map, with coordinates and a name in bold; a mark's text gives no district or phone."""
-    mark = r"(?is)ymaps\.Placemark\(\s*\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]\s*,\s*\{\s*balloonContent:\s*'(.*?)'\s*\}"
-    part = lambda c, k: F.regexp_extract(c, mark, k)
-    return _valid(F.transform(F.regexp_extract_all(html, F.lit(mark), F.lit(0)), lambda c: row(_tag(F.replace(part(c, 3), F.lit("\\'"), F.lit("'")), "strong"), None, None, None, part(c, 1), part(c, 2))))
+    mark = r"ymaps\.Placemark\(\s*\[\s*(-?\d+(?:\.\d+)?)\s*,\s*(-?\d+(?:\.\d+)?)\s*\]\s*,\s*\{\s*balloonContent:\s*'(.*?)'\s*\}"
+    return _valid(F.transform(_cards(html, mark, 1, 2, 3), lambda m: row(_tag(F.replace(m["g3"], F.lit("\\'"), F.lit("'")), "strong"), None, None, None, m["g1"], m["g2"])))
 
 
 def icon_blocks(html: Column) -> Column:
-    """A name beside icon-user-md, then an address beside icon-home."""
-    cards = F.filter(_cards(html, "icon-user-md"), lambda c: c.contains("icon-home"))
-    return _valid(F.transform(cards, lambda c: row(_beside(c, "icon-user-md"), None, _beside(c, "icon-home"), _phone(c), *text.map_coordinates(c))))
+    """A name beside icon-user-md, with icon-home within 1200 characters, an address beside it; fields within 1200 too."""
+
+    def one(m: Column) -> Column:
+        c = m["g1"]
+        place = text.strip_tags(_after(c, "icon-home", ".{3,300}?", r"<br|</p|</div|<i\s"))
+        return row(text.strip_tags(_after(c, "icon-user-md", ".{1,200}?", "<br|</")), None, place, _phone(c, "icon-phone"), *_coordinates(c))
+
+    return _valid(F.transform(_cards(html, "(?=icon-user-md)(?=(.{1,1200}))icon-user-md.{0,1200}?icon-home", 1), one))
 
 
 def trend_items(html: Column) -> Column:
-    """trend-item cards: name in h3, district in h5; a phone or an address is needed."""
-    cards = F.filter(_cards(html, r'class="[^"]*trend-item'), lambda c: c.contains("icon-home") & _tag(c, "h3").rlike("(?i)ecz"))
+    """trend-item cards with icon-home within 1200 characters: name in h3, district in h5; a phone or an address is needed."""
 
-    def one(c: Column) -> Column:
-        place = _beside(c, "fa-map-marker")
-        return row(_tag(c, "h3"), _tag(c, "h5"), F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), _phone(c), *text.map_coordinates(c))
+    def one(m: Column) -> Column:
+        c = m["g1"]
+        place = text.strip_tags(_after(c, "fa-map-marker", ".{3,300}?", r"<br|</p|</div|<i\s|<a\s"))
+        return row(_tag(c, "h3"), _tag(c, "h5"), F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), _phone(c, "fa-phone"), *_coordinates(c))
 
-    return F.filter(_valid(F.transform(cards, one)), lambda r: (r["phone"] != "") | (r["address"] != ""))
+    rows = F.transform(_cards(html, '(?=class="[^"]*trend-item)(?=(.{1,1200}))class="[^"]*trend-item[^"]*".{0,1200}?icon-home', 1), one)
+    return F.filter(_valid(rows), lambda r: r["name"].rlike("(?i)ecz") & ((r["phone"] != "") | (r["address"] != "")))
 
 
 def district_sections(html: Column) -> Column:
-    """Headings h2 of class vatan_hl name the district of the h4 names behind them; an address follows beside icon-home."""
-    parts = F.regexp_extract_all(html, F.lit(r"(?is)<h[24]\b[^>]*>.*?(?=<h[24]\b|\z)"), F.lit(0))
-    heads = lambda p: p.rlike(r'(?is)^<h2[^>]*class="[^"]*vatan_hl')
-    named = lambda p: F.trim(F.regexp_replace(_tag(p, "h2"), r"(?iu)\s*n[öo]bet[çc]i\s+eczaneler?|\s*\d{1,2}[-./]\d{1,2}[-./]\d{2,4}.*", ""))
-    start = F.struct(F.lit("").alias("district"), F.array().cast(KIND).alias("rows"))
+    """Addresses beside icon-home. The last h4 within 800 characters before one is its name, the last heading h2 of class
+    vatan_hl before it gives the district, 500 characters behind it have the phone."""
+    heads = F.transform(_places(html, "<h2"), lambda at: F.struct(at.alias("at"), _section(html.substr(at, F.lit(2000))).alias("district")))
+    heads = F.filter(heads, lambda h: F.length(h["district"]).between(2, 50))
+
+    def one(at: Column) -> Column:
+        match = r"^icon-home[^>]*(?:></i>|>)\s*(.{3,300}?)(?:<br\s*/?> |</p|<i\s)"
+        card = html.substr(at, F.lit(2000))
+        before = html.substr(F.greatest(at - 800, F.lit(1)), F.least(at - 1, F.lit(800)))
+        behind = card.substr(F.length(_in(card, match, 0)) + 1, F.lit(500))
+        name = F.element_at(F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(before, F.lit("(?is)<h4[^>]*>(.*?)</h4>"), F.lit(1)), text.strip_tags)), -1)
+        mine = F.filter(heads, lambda h: h["at"] < at)
+        return row(name, F.coalesce(F.try_element_at(mine, F.lit(-1))["district"], F.lit("")), text.strip_tags(_in(card, match)), _phone(behind, "icon-phone"), *_coordinates(behind))
+
+    rows = F.transform(_places(html, "icon-home"), one)
+    good = F.filter(rows, lambda r: (F.length(r["name"]) >= 2) & ~r["name"].rlike("(?i)eczaneler|n[Öö]bet[Çç]i") & (F.length(r["address"]) >= 5))
+    return F.when(html.contains("vatan_hl") & html.contains("icon-home"), good).otherwise(_none())
 
-    def step(acc: Column, p: Column) -> Column:
-        name = _tag(p, "h4")
-        good = (F.length(name) >= 2) & ~name.rlike("(?iu)eczaneler|nöbetçi") & (F.length(_beside(p, "icon-home")) >= 5)
-        more = F.concat(acc["rows"], F.array(row(name, acc["district"], _beside(p, "icon-home"), _phone(p), *text.map_coordinates(p))))
-        return F.when(heads(p), F.struct(named(p).alias("district"), acc["rows"].alias("rows"))).when(good, F.struct(acc["district"].alias("district"), more.alias("rows"))).otherwise(acc)
 
-    return F.when(html.contains("vatan_hl"), F.aggregate(parts, start, step, lambda acc: acc["rows"])).otherwise(F.array().cast(KIND))
+def _section(part: Column) -> Column:
+    """The district in a heading of class vatan_hl at the start of part."""
+    s = F.regexp_replace(text.strip_tags(_in(part, '^<h2[^>]*class="[^"]*vatan_hl[^"]*"[^>]*>(.*?)</h2>')), r"(?i)\s*n[Öö]bet[Çç]i\s+eczaneler?", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(s, r"(?i)\s*nobetci\s+eczaneler?", ""), r"\s*\d{1,2}[-./]\d{1,2}[-./]\d{2,4}.*", ""))
 
 
 def nested_tables(html: Column) -> Column:
     """Rows of cells whose column of names is set by the last row with a cell `eczane`; the first cell is the district."""
     lines = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<td[^>]*>(.*?)</td>"), F.lit(1)), _clean))
-    start = F.struct(F.lit(2).cast("long").alias("at"), F.array().cast(KIND).alias("rows"))
+    start = F.struct(F.lit(2).cast("long").alias("at"), _none().alias("rows"))
 
     def step(acc: Column, cells: Column) -> Column:
         at = F.array_position(F.transform(cells, F.lower), "eczane")
         name = F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit(""))
-        good = (F.size(cells) >= 2) & (F.length(name) >= 2) & ~name.rlike("(?iu)bugün|nöbetçi|eczaneler|hastalar|^adres$|^telefon$|^bölge$|bölge eczane")
+        good = (F.size(cells) >= 2) & (F.length(name) >= 2) & ~name.rlike("(?i)bug[Üü]n|n[Öö]bet[Çç]i|eczaneler|hastalar|^adres$|^telefon$|^b[Öö]lge$|b[Öö]lge eczane")
         more = F.concat(acc["rows"], F.array(row(name, F.try_element_at(cells, F.lit(1)))))
         return F.when((F.size(cells) >= 2) & (at > 0), F.struct(at.alias("at"), acc["rows"].alias("rows"))).when(good, F.struct(acc["at"].alias("at"), more.alias("rows"))).otherwise(acc)
 
-    return F.when(html.rlike("baslik_eczane|konyanobetci"), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(F.array().cast(KIND))
+    return F.when(html.rlike("baslik_eczane|konyanobetci"), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(_none())
 
 
 def named_sections(html: Column) -> Column:
-    """data-name with data-district, and behind it a fuller name in h4 and a paragraph of address and phone."""
-    attribute = lambda c, n: F.trim(F.regexp_extract(c, rf'(?i)data-{n}="([^"]+)"', 1))
+    """data-name with data-district beside it, up to the next data-name, the last for 3000 characters: behind it a fuller name
+    in h4 and a paragraph of address and phone."""
+    found = _cards(html, r'data-name="([^"]+)"\s+data-district="([^"]+)"(?=(.*?)(data-name=|\z))', 0, 1, 2, 3, 4)
 
-    def one(c: Column) -> Column:
-        body = F.regexp_replace(F.regexp_extract(c, r"(?is)<p[^>]*>(.*?)</p>", 1), r"(?is)<svg.*?</svg>", "")
-        span = F.regexp_extract(body, r"(?is)<span[^>]*>([0-9 ()+-]{7,})</span>", 1)
+    def one(m: Column) -> Column:
+        whole = F.concat(m["g0"], m["g3"])
+        box = F.when(m["g4"] == "", whole.substr(1, 3000)).otherwise(whole)
+        body = F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", "")
+        span = _in(body, "<span[^>]*>([0-9 ()+-]{7,})</span>")
         phone = F.when(span != "", text.clean_phone(span)).otherwise(_phone(body))
-        name = F.when(_tag(c, "h4") != "", _tag(c, "h4")).otherwise(attribute(c, "name"))
-        place = text.squeezed(text.strip_tags(body))
-        return row(name, attribute(c, "district"), F.when(phone != "", F.trim(F.replace(place, phone, F.lit("")))).otherwise(place), phone)
+        fuller, given = text.trimmed(F.regexp_replace(_in(box, "<h4[^>]*>(.*?)</h4>"), "<[^>]+>", "")), text.trimmed(m["g1"])
+        return F.struct((F.length(given) >= 3).alias("long"), row(F.when(fuller != "", fuller).otherwise(given), text.trimmed(m["g2"]), F.trim(_without(text.strip_tags(body), phone)), phone).alias("row"))
 
-    return _valid(F.transform(_cards(html, r'data-name="[^"]+"\s+data-district='), one))
+    return F.transform(F.filter(F.transform(found, one), lambda x: x["long"]), lambda x: x["row"])
 
 
-#: Parsers by key in the order in which they are tried.
+# Parsers by the keys under which sources ask for them, those tried on any page first, in their order.
 PARSERS: dict[str, Callable[[Column], Column]] = {
     "osmaniye_eo_v1": duty_cards,
     "antalya_nobetci_div_v1": duty_boxes,
     "konya_v1": nested_tables,
     "karaman_vatan_hl_v1": district_sections,
-    "yandex": placemarks,
-    "inline_box": inline_boxes,
+    "yandex_placemark_v1": placemarks,
+    "inline_box_v1": inline_boxes,
     "teknoecza_v2": marquees,
     "teknoecza_v1": titled_links,
-    "eczaneismi": definition_pairs,
+    "eczaneismi_v1": definition_pairs,
     "trend_item_v1": trend_items,
     "icon_user_md_v1": icon_blocks,
-    "table": tables,
-    "heading": headings,
-    "map_link": map_links,
-    "ankara": named_sections,
+    "table_auto_v1": tables,
 }
-
-
-def register(key: str, parser: Callable[[Column], Column]) -> None:
-    """Adds a parser: a function of the html column that gives an array of rows."""
-    PARSERS[key] = parser
-
-
-# Other keys under which sources ask for a parser. generic_auto_v1 asks for none.
+# Other keys of these parsers. generic_auto_v1 asks for none.
 KEY_ALIASES = {
-    "adana_secondary_v1": "table",
-    "hatay_v1": "yandex",
+    "adana_secondary_v1": "table_auto_v1",
+    "hatay_v1": "yandex_placemark_v1",
     "isparta_v1": "trend_item_v1",
-    "amasya_v1": "eczaneismi",
+    "amasya_v1": "eczaneismi_v1",
     "nigde_v1": "teknoecza_v1",
     "aydin_v1": "teknoecza_v2",
 }
-# What a page must have for a parser to be tried on it.
+# What a page must have for a parser to be tried on it unasked, all of them.
 PROBES = {
-    "osmaniye_eo_v1": "nobet-kart",
-    "antalya_nobetci_div_v1": "nobetciDiv",
-    "konya_v1": "baslik_eczane|konyanobetci",
-    "karaman_vatan_hl_v1": "vatan_hl",
-    "yandex": r"(?i)ymaps\.Placemark",
-    "inline_box": "(?i)data-name=",
-    "teknoecza_v2": "(?i)nobetci-eczaneler",
-    "teknoecza_v1": "(?i)Nöbetçi Eczane|eight columns",
-    "eczaneismi": "(?i)eczaneismi",
-    "trend_item_v1": "(?i)trend-item",
-    "icon_user_md_v1": "(?i)icon-user-md",
-    "table": "(?i)<table",
-    "heading": "(?i)<h[1-5]",
-    "map_link": "(?i)[?&]q=",
-    "ankara": "(?i)data-name=",
+    "osmaniye_eo_v1": ["nobet-kart"],
+    "antalya_nobetci_div_v1": ["nobetciDiv"],
+    "konya_v1": ["baslik_eczane|konyanobetci"],
+    "karaman_vatan_hl_v1": ["vatan_hl", "icon-home"],
+    "yandex_placemark_v1": [r"(?i)ymaps\.Placemark", "(?i)balloonContent"],
+    "inline_box_v1": ['data-name="', 'data-district="'],
+    "teknoecza_v2": ['href="nobetci-eczaneler"'],
+    "teknoecza_v1": ["Nöbetçi Eczane"],
+    "eczaneismi_v1": ["eczaneismi"],
+    "trend_item_v1": ["trend-item"],
+    "icon_user_md_v1": ["icon-user"],
+    "table_auto_v1": [r"(?is)<table.*?</table>"],
 }
+#: Parsers that are no dispatch's: cards under headings, and the pages of two services.
+OTHERS: dict[str, Callable[[Column], Column]] = {"card_auto_v1": headings, "map_link": map_links, "ankara": named_sections}
+
+
+def register(key: str, parser: Callable[[Column], Column], probes: list[str] | None = None) -> None:
+    """Adds a parser, a function of the html column that gives an array of rows, behind the others. Without probes it is tried
+    on every page."""
+    PARSERS[key] = parser
+    PROBES[key] = probes or []
 
 
 def dispatch(pages: DataFrame, key: Column | None = None, html: str = "html") -> DataFrame:
-    """Adds strategy (empty_html, keyed, auto, no_match), parser and rows. The parser that key names, maybe by an alias, is
-    tried first, then the others in their order up to the first that finds rows. A parser runs on a page only if the page
-    has what it looks for, and none behind the first that finds any."""
+    """Adds strategy (empty_html, keyed, auto, no_match), parser and rows. The parser that key names, maybe by an alias, runs
+    first, whatever the page has. If it finds no row, the parsers run in their order on a page that has what they look for,
+    up to the first that finds rows. `parser` is the key that found them, else the key that was asked for."""
     h = F.coalesce(F.col(html), F.lit(""))
-    key = F.lit(None).cast("string") if key is None else F.coalesce(text.lookup(key, KEY_ALIASES, None), key)
-    def attempt(k: str) -> Column:
-        rows = F.when(h.rlike(PROBES[k]), PARSERS[k](h)) if k in PROBES else PARSERS[k](h)
-        return F.struct(F.lit(k).alias("parser"), F.coalesce(rows, F.array().cast(KIND)).alias("rows"))
-
-    def tried(kept: list[tuple[str, Column]]) -> Column:
-        """The first attempt with rows; coalesce looks at the later ones only where the earlier have none."""
-        return F.coalesce(*[F.when(ok, F.get(F.filter(F.array(attempt(k)), lambda a: F.size(a["rows"]) > 0), 0)) for k, ok in kept], F.lit(None).cast("struct<parser:string,rows:" + KIND + ">"))
-
-    out = pages.withColumn("_keyed", tried([(k, key == k) for k in PARSERS]))
-    out = out.withColumn("_auto", F.when(F.col("_keyed").isNull(), tried([(k, F.lit(True)) for k in PARSERS])))
-    empty = F.trim(h) == ""
-    out = out.withColumn("strategy", F.when(empty, "empty_html").when(F.col("_keyed").isNotNull(), "keyed").when(F.col("_auto").isNotNull(), "auto").otherwise("no_match"))
-    out = out.withColumn("parser", F.when(~empty, F.coalesce("_keyed.parser", "_auto.parser")))
-    return out.withColumn("rows", F.coalesce("_keyed.rows", "_auto.rows", F.array().cast(KIND))).drop("_keyed", "_auto")
+    asked = F.lit(None).cast("string") if key is None else key
+    kind = "struct<parser:string,rows:" + KIND + ">"
+
+    def attempt(k: str, parser: Callable[[Column], Column], ok: Column) -> Column:
+        made = F.struct(F.lit(k).alias("parser"), F.coalesce(parser(h), _none()).alias("rows"))
+        return F.when(ok, F.get(F.filter(F.array(made), lambda a: F.size(a["rows"]) > 0), 0))
+
+    def probed(k: str) -> Column:
+        ok = F.lit(True)
+        for probe in PROBES[k]:
+            ok = ok & h.rlike(probe)
+        return ok
+
+    out = pages.withColumn("_asked", asked)
+    own = F.coalesce(text.lookup(F.col("_asked"), KEY_ALIASES, None), F.col("_asked"))
+    out = out.withColumn("_keyed", F.coalesce(*[attempt(k, parser, own == k) for k, parser in PARSERS.items()], F.lit(None).cast(kind)))
+    out = out.withColumn("_auto", F.when(F.col("_keyed").isNull(), F.coalesce(*[attempt(k, parser, probed(k)) for k, parser in PARSERS.items()], F.lit(None).cast(kind))))
+    out = out.withColumn("strategy", F.when(h == "", "empty_html").when(F.col("_keyed").isNotNull(), "keyed").when(F.col("_auto").isNotNull(), "auto").otherwise("no_match"))
+    out = out.withColumn("parser", F.coalesce(F.when(F.col("_keyed").isNotNull(), F.col("_asked")), "_auto.parser", "_asked"))
+    return out.withColumn("rows", F.coalesce("_keyed.rows", "_auto.rows", _none())).drop("_keyed", "_auto", "_asked")
 
 
 def exploded(pages: DataFrame) -> DataFrame:
