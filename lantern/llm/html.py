@@ -44,13 +44,16 @@ BOILERPLATE = set(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar aside menu nav navbar "
     "navigation breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
     "subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus replies "
-    "respond widget toolbar pager pagination skip copyright".split()
+    "respond response responses widget toolbar pager pagination skip copyright".split()
 )
 KEPT = {"html", "body", "main", "article"}
+#: Text in these is no running text; less than so much of it outside of marked nodes is no article.
+NOT_RUNNING = {"a", "h1", "h2", "h3", "h4", "h5", "h6", "button", "label"}
+LEAST_RUNNING = 40
 #: Classes and ids that begin so tell what a layout has or lacks, not what the node is.
 LAYOUT = {"has", "with", "no", "without"}
 #: Marks of discussions: much text doesn't make these the page's content.
-DISCUSSION = {"comment", "comments", "disqus", "replies", "respond"}
+DISCUSSION = {"comment", "comments", "disqus", "replies", "respond", "response", "responses"}
 #: An opening tag ends open elements of these kinds first.
 CLOSES = {"li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Such an end looks no further up than to one of these.
@@ -132,29 +135,40 @@ def _marks(tag: str, attributes: str, inside: bool) -> set[str]:
 
 
 def _cut(root: Node) -> None:
-    """Marked nodes go, but those that hold an article or main without marks of its own, or most of the page's text at a
-    low share of links, are wrappers and stay."""
+    """Marked nodes go, whatever their size. Only where the page without them has no article do those stay that wrap it: those
+    that hold an unmarked article or main; where nothing marks one, and no running text is left without the marked nodes,
+    those with most of the text at a low share of links, but no discussions."""
     nodes = _ordered(root)
     if not any(node.marks for node in nodes):
         return
+    out, running, articles = {id(root): False}, 0, 0  # out: within a marked node; text left without these, in articles and at all
+    within = {id(root): False}
+    for node in nodes:
+        for c in node.children:
+            if isinstance(c, Node):
+                out[id(c)] = out[id(node)] or bool(c.marks)
+                within[id(c)] = within[id(node)] or c.tag in ("article", "main")
+            elif not out[id(node)] and node.tag not in NOT_RUNNING and not (node.inline and node.parent and node.parent.tag in NOT_RUNNING):
+                n = len(" ".join(c.split()))
+                running, articles = running + n, articles + n * within[id(node)]
     chars, links, holds = {}, {}, {}
     for node in reversed(nodes):
         inner = [c for c in node.children if isinstance(c, Node)]
         chars[id(node)] = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str)) + sum(chars[id(c)] for c in inner)
         links[id(node)] = chars[id(node)] if node.tag == "a" else sum(links[id(c)] for c in inner)
         holds[id(node)] = node.tag in ("article", "main") and not node.marks or any(holds[id(c)] for c in inner)
+    wraps = {id(c) for c in nodes if c.marks and holds[id(c)]} if not articles else set()
+    if not articles and not wraps and running < LEAST_RUNNING:
+        wraps = {id(c) for c in nodes if c.marks and not c.marks & DISCUSSION and 2 * chars[id(c)] > chars[id(root)] and links[id(c)] < 0.3 * chars[id(c)]}
     todo = [root]
     while todo:
         node = todo.pop()
         children = []
         for c in node.children:
-            if isinstance(c, Node) and c.marks and c.tag not in KEPT:
-                n = chars[id(c)]
-                most = not c.marks & DISCUSSION and 2 * n > chars[id(root)] and links[id(c)] < 0.3 * n
-                if not (holds[id(c)] or most):
-                    if not c.inline:
-                        children.append(Node("hr", node))  # still a border between blocks
-                    continue
+            if isinstance(c, Node) and c.marks and id(c) not in wraps:
+                if not c.inline:
+                    children.append(Node("hr", node))  # still a border between blocks
+                continue
             children.append(c)
             if isinstance(c, Node):
                 todo.append(c)
