@@ -82,10 +82,10 @@ def test_parsers_and_dispatch(spark):
     ]
     out = pages.dispatch(spark.createDataFrame(html, "id int, html string"))
     found = {r["id"]: (r["strategy"], r["parser"], [(x["name"], x["district"], x["phone"]) for x in r["rows"]]) for r in out.collect()}
-    assert found[1] == ("auto", "table", [("AKSU ECZANESI", "", "0232 1"), ("KONAK", "", "2")])
-    assert found[2][:2] == ("auto", "inline_box") and found[2][2][-1] == ("Aksu", "Konak", "")
+    assert found[1] == ("auto", "table_auto_v1", [("AKSU ECZANESI", "", "0232 1"), ("KONAK", "", "2")])
+    assert found[2][:2] == ("auto", "inline_box_v1") and found[2][2][-1] == ("Aksu", "Konak", "")
     assert found[3][0] == "empty_html" and found[4][0] == "no_match"
-    assert found[5] == ("auto", "heading", [("Ay Eczanesi", "Bornova", "0232")])
+    assert found[5] == ("no_match", None, [])  # cards under headings are parsed where they are asked for
 
 
 def test_json_rows(spark):
