@@ -30,7 +30,8 @@ def confidence(similarity: Column, weight: Column, level: Column, sources: Colum
 
 
 def base_confidence(weight: Column) -> Column:
-    return confidence(F.lit(1.0), weight, F.lit("exact"), F.lit(1))
+    """Of a row that comes from one source as it is: a whole match, its district by name."""
+    return confidence(F.lit(1.0), weight, F.lit("normalized"), F.lit(1))
 
 
 def distance_km(lat: Column, lng: Column, lat0: float, lng0: float) -> Column:
@@ -103,7 +104,7 @@ def match_type(score: Column) -> Column:
 
 
 # The weights of the signals of a match.
-NAME_WEIGHT, DISTRICT_WEIGHT, PHONE_WEIGHT = 0.6, 0.25, 0.15
+NAME_WEIGHT, PHONE_WEIGHT, DISTRICT_WEIGHT = 0.6, 0.25, 0.15
 
 
 def match_score(name: Column, district: Column, phone: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers, text
-from lantern.operators import logs, matching, reports, serving, upsert
+from lantern.operators import logs, matching, ranges, reports, serving, upsert
 from lantern.queries import AS_OF, FOLD, ORACLE_SQL, RAW_NAMES, SLUG, picked, query, sql_picked, table
-from lantern.sources import catalog, forms, pages
+from lantern.sources import catalog, forms, linked, pages
 
 DAY = "1998-01-05"
 
@@ -32,7 +32,7 @@ def or18_active_names(spark, d):
 def or19_city_lists(spark, d):
     day = serving.on_day(_duties(spark, d), DAY)
     rows = serving.with_fallback(day.where("o_orderstatus = 'F'"), day, ["c_nationkey"])
-    return serving.placed(rows, ["c_nationkey"], [F.col("c_mktsegment"), F.col("c_name"), F.col("o_orderkey")]).select("c_nationkey", "o_orderkey", "place")
+    return ranges.placed(rows, ["c_nationkey"], [F.col("c_mktsegment"), F.col("c_name"), F.col("o_orderkey")]).select("c_nationkey", "o_orderkey", "place")
 
 
 @query(f"""WITH v AS (SELECT * FROM {_DUTIES} WHERE duty_date = DATE '{DAY}' AND o_orderstatus = 'F'), t AS (SELECT * FROM {_DUTIES} WHERE duty_date = DATE '{DAY}')
@@ -49,7 +49,7 @@ def or20_on_date(spark, d):
 
 @query("SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer")
 def so6_list_order(spark, d):
-    return serving.placed(table(spark, d, "customer"), ["c_nationkey"], [F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey")]).select("c_nationkey", "c_custkey", "place")
+    return ranges.placed(table(spark, d, "customer"), ["c_nationkey"], [F.col("c_mktsegment"), F.col("c_name"), F.col("c_custkey")]).select("c_nationkey", "c_custkey", "place")
 
 
 _NAMED = f"(SELECT c_custkey, c_nationkey, {sql_picked(RAW_NAMES, 'c_custkey')} || ' ' || c_custkey AS name FROM customer)"
@@ -68,13 +68,13 @@ def so8_turkish_order(spark, d):
 
 @query(f"SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY encode(name)) AS place FROM {_NAMED}")
 def so9_code_unit_order(spark, d):
-    return serving.placed(_named(spark, d), ["c_nationkey"], [F.col("name")]).select("c_custkey", "place")
+    return ranges.placed(_named(spark, d), ["c_nationkey"], [F.col("name")]).select("c_custkey", "place")
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_type COLLATE tr, event_id) AS place FROM events")
 def so11_mismatch_order(spark, d):
     e = table(spark, d, "events").withColumn("distance", F.col("event_id") % 3)
-    return serving.placed(e, ["user_id"], [F.col("distance"), serving.turkish("event_type"), F.col("event_id")]).select("event_id", "place")
+    return ranges.placed(e, ["user_id"], [F.col("distance"), serving.turkish("event_type"), F.col("event_id")]).select("event_id", "place")
 
 
 @query("SELECT * FROM (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS place FROM nation) WHERE place <= 5")
@@ -128,10 +128,10 @@ def or11_view_missing(spark, d):
     return table(spark, d, "part").select("p_partkey", serving.view_missing(code, message).alias("missing"))
 
 
-@query("SELECT l_orderkey, coalesce(arg_min({'s': CASE WHEN l_suppkey % 5 > 0 THEN l_returnflag END}, {'a': l_linenumber, 'b': l_partkey}).s, 'Bilinmiyor') AS source, max(l_quantity) AS verifications FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, coalesce(arg_min({'s': CASE WHEN l_suppkey % 5 > 0 THEN l_returnflag END}, {'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey, 'd': l_returnflag}).s, 'Bilinmiyor') AS source, max(l_quantity) AS verifications FROM lineitem GROUP BY l_orderkey")
 def or12_source_summary(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_suppkey") % 5 > 0, F.col("l_returnflag")).alias("source"), F.col("l_shipdate").alias("updated"), F.col("l_quantity").alias("verifications"))
-    return serving.source_summary(li, "l_orderkey", ["l_linenumber", "l_partkey"]).select("l_orderkey", "source", "verifications")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.when(F.col("l_suppkey") % 5 > 0, F.col("l_returnflag")).alias("source"), F.col("l_shipdate").alias("updated"), F.col("l_quantity").alias("verifications"))
+    return serving.source_summary(li, "l_orderkey", ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"]).select("l_orderkey", "source", "verifications")
 
 
 @query(f"SELECT p_partkey, length(p_name || ' ' || p_type || ' ' || p_brand) <= 24 AS fits FROM part")
@@ -168,17 +168,22 @@ _PROVINCES = "(SELECT unnest(" + "[" + ", ".join(f"'{p}'" for p in catalog.PROVI
 _REGIONS = " UNION ALL ".join(f"SELECT '{r}' AS region, unnest(string_split('{s}', ' ')) AS slug, unnest(range({len(s.split())})) AS place" for r, s in catalog.REGIONS.items())
 
 
-@query(f"SELECT lpad(k::VARCHAR, 2, '0') AS code, name, lower(name) AS slug FROM {_PROVINCES}")
+@query(f"SELECT s_suppkey, code, name, lower(name) AS slug FROM supplier LEFT JOIN (SELECT lpad(k::VARCHAR, 2, '0') AS code, name FROM {_PROVINCES}) ON code = lpad((s_suppkey % 90)::VARCHAR, 2, '0')")
 def src12_provinces(spark, d):
-    return catalog.provinces(spark)
+    """Suppliers with the province of the plate number that theirs ends with."""
+    s = table(spark, d, "supplier").select("s_suppkey", F.lpad((F.col("s_suppkey") % 90).cast("string"), 2, "0").alias("plate"))
+    p = catalog.provinces(spark)  # 81 rows
+    return s.join(F.broadcast(p), s["plate"] == p["code"], "left").select("s_suppkey", "code", "name", "slug")
 
 
-@query(f"""WITH r AS ({_REGIONS}), p AS (SELECT lower(name) AS slug FROM {_PROVINCES})
-  SELECT p.slug, r.region, coalesce((SELECT string_agg(o.slug, ',' ORDER BY o.place) FROM (SELECT o.*, row_number() OVER (PARTITION BY o.region ORDER BY o.place) - CASE WHEN o.place > r2.place THEN 1 ELSE 0 END AS k, r2.slug AS own FROM r o JOIN r r2 ON r2.region = o.region WHERE r2.slug = p.slug) o WHERE o.slug <> p.slug AND o.k <= 8), '') AS near
-  FROM p LEFT JOIN r ON r.slug = p.slug""")
+@query(f"""WITH r AS ({_REGIONS}), p AS (SELECT lower(name) AS slug, k FROM {_PROVINCES}),
+  near AS (SELECT p.slug, p.k, r.region, coalesce((SELECT string_agg(o.slug, ',' ORDER BY o.place) FROM (SELECT o.*, row_number() OVER (PARTITION BY o.region ORDER BY o.place) - CASE WHEN o.place > r2.place THEN 1 ELSE 0 END AS k, r2.slug AS own FROM r o JOIN r r2 ON r2.region = o.region WHERE r2.slug = p.slug) o WHERE o.slug <> p.slug AND o.k <= 8), '') AS near
+  FROM p LEFT JOIN r ON r.slug = p.slug)
+  SELECT s_suppkey, slug, region, coalesce(near, '') AS near FROM supplier LEFT JOIN near ON k = s_suppkey % 90""")
 def jn21_region(spark, d):
-    found = catalog.same_region(catalog.provinces(spark).select("slug"), catalog.regions(spark))
-    return found.select("slug", "region", F.array_join("near", ",").alias("near"))
+    """Suppliers with the province as above, its region and the other provinces of it."""
+    found = catalog.same_region(src12_provinces(spark, d).select("s_suppkey", "slug"), catalog.regions(spark))
+    return found.select("s_suppkey", "slug", "region", F.array_join("near", ",").alias("near"))
 
 
 def _sources(spark, d) -> DataFrame:
@@ -261,10 +266,11 @@ def snk12_notified(spark, d):
     return logs.notified(e, e.where("event_type = 'error' and event_id % 3 = 0"), "event_id", AS_OF).select("event_id", "notified_at")
 
 
-@query("SELECT event_id, 'update' AS action, 'u' || user_id AS actor, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS resource_id FROM events WHERE event_type = 'click'")
+@query("SELECT event_id, 'update' AS action, 'u' || user_id AS actor, CASE WHEN event_id % 2 = 0 THEN event_id::VARCHAR END AS resource_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, 'create', NULL, event_id::VARCHAR FROM events WHERE event_type = 'signup'")
 def snk13_audit(spark, d):
     e = table(spark, d, "events").where("event_type = 'click'").select("event_id", F.lit("update").alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("actor"), F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).alias("resource_id"))
-    return logs.appended(e.limit(0), e)
+    old = table(spark, d, "events").where("event_type = 'signup'").select("event_id", F.lit("create").alias("action"), F.lit(None).cast("string").alias("actor"), F.col("event_id").cast("string").alias("resource_id"))
+    return logs.appended(old, e)
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'https://new.example/' || p_partkey ELSE p_name END AS url, p_type AS format FROM part WHERE p_partkey % 11 <> 0")
@@ -348,14 +354,19 @@ def or4_verification(spark, d):
     return found.select("block", F.lit("verification_diff").alias("alert_type"), "severity", message.alias("message"))
 
 
-@query(f"""SELECT c_custkey, n_nationkey AS province_id, s_suppkey AS place_id, trim({sql_picked(['kapali', ' diger ', 'baska'], 'c_custkey')}) AS issue FROM customer LEFT JOIN nation ON n_name = 'NATION_' || (c_custkey % 30) LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY s_nationkey) ON s_nationkey = n_nationkey
-  WHERE c_custkey % 3 < 2 AND n_nationkey IS NOT NULL""")
+_ILS = ["NATION_1", "nation 2", " Nation.3 ", "NATİON_4", "yok", "NATION_5"]
+_ILCES = ["BUILDING", "Machinery ", "", "yok", "furnıture"]
+
+
+@query(f"""WITH d AS (SELECT c_nationkey AS province_id, c_mktsegment AS name, c_nationkey * 10 + row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS id FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer)),
+  r AS (SELECT c_custkey, {sql_picked(_ILS, 'c_custkey')} AS il, {sql_picked(_ILCES, 'c_custkey')} AS ilce, trim({sql_picked(['kapali', ' diger ', 'baska'], 'c_custkey')}) AS issue FROM customer WHERE c_custkey % 3 < 2)
+  SELECT c_custkey, n_nationkey AS province_id, CAST(d.id AS INT) AS district_id, issue FROM r JOIN nation ON {SLUG.format('n_name')} = {SLUG.format('il')} LEFT JOIN d ON d.province_id = n_nationkey AND trim(ilce) <> '' AND {SLUG.format('d.name')} = {SLUG.format('ilce')}""")
 def snk10_reports(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("NATION_"), (F.col("c_custkey") % 30).cast("string")).alias("il"), "c_name", picked(["kapali", " diger ", "baska"], "c_custkey").alias("issue"))
-    good = c.where(reports.report_valid(F.col("il"), F.col("c_name"), F.col("issue"))).withColumn("issue", F.trim("issue"))
-    n = table(spark, d, "nation").select(F.col("n_name").alias("il"), F.col("n_nationkey").alias("province_id"))
-    first = table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("province_id")).agg(F.min("s_suppkey").alias("place_id"))
-    return good.join(n, "il").join(first, "province_id", "left").select("c_custkey", "province_id", "place_id", "issue")
+    c = table(spark, d, "customer").select("c_custkey", picked(_ILS, "c_custkey").alias("il"), picked(_ILCES, "c_custkey").alias("ilce"), "c_name", picked(["kapali", " diger ", "baska"], "c_custkey").alias("issue"))
+    n = table(spark, d, "nation").select(text.slugify(F.col("n_name")).alias("slug"), F.col("n_nationkey").alias("province_id"))
+    order = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_mktsegment"))  # of distinct segments
+    districts = table(spark, d, "customer").select("c_nationkey", "c_mktsegment").distinct().select(F.col("c_nationkey").alias("province_id"), text.slugify(F.col("c_mktsegment")).alias("slug"), (F.col("c_nationkey") * 10 + order).cast("int").alias("district_id"))
+    return reports.correction_reports(c.withColumnRenamed("c_name", "name"), n, districts).select("c_custkey", "province_id", "district_id", "issue")
 
 
 @query(f"""WITH w AS (SELECT c_custkey, c_nationkey AS block, ['BUILD', 'MACHINERY', 'old town', '', 'xx FURNITURE yy'][c_custkey % 5 + 1] AS raw FROM customer),
@@ -402,14 +413,16 @@ def js8_payload(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(sent, "&").alias("sent"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'https://a.example/x/y.php?q=1' WHEN 1 THEN 'https://a.example/z' || p_partkey WHEN 2 THEN 'https://a.example/x/z' || p_partkey WHEN 3 THEN 'https://a.example/x/y.php?d=' || p_partkey WHEN 4 THEN 'http://b.example/' ELSE 'https://b.example/' END AS url,
+@query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'https://a.example/x/w/y.php?q=1' WHEN 1 THEN 'https://a.example/z' || p_partkey WHEN 2 THEN 'https://a.example/x/w/z' || p_partkey WHEN 3 THEN 'https://a.example/x/w/y.php?d=' || p_partkey WHEN 4 THEN 'http://b.example/' WHEN 5 THEN 'https://b.example/'
+    WHEN 6 THEN 'https://a.example/x/z' || p_partkey || '/?u=../k' WHEN 7 THEN 'https://a.example/' || p_partkey ELSE 'https://a.example/x/w/' || p_partkey || '/' END AS url,
   'u' || CASE WHEN p_partkey % 2 = 0 THEN '?a=1&b=2' ELSE '?b=2' END AS asked FROM part""")
 def js9_addresses(spark, d):
     k = F.col("p_partkey")
     n = k.cast("string")
-    action = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("/z"), n)).when(k % 6 == 2, F.concat(F.lit("z"), n)).when(k % 6 == 3, F.concat(F.lit("?d="), n)).when(k % 6 == 4, "http://b.example/").otherwise("//b.example/")
+    action = F.when(k % 9 == 0, "").when(k % 9 == 1, F.concat(F.lit("/z"), n)).when(k % 9 == 2, F.concat(F.lit("z"), n)).when(k % 9 == 3, F.concat(F.lit("?d="), n)).when(k % 9 == 4, "http://b.example/").when(k % 9 == 5, "//b.example/")
+    action = action.when(k % 9 == 6, F.concat(F.lit("../z"), n, F.lit("/v/../?u=../k"))).when(k % 9 == 7, F.concat(F.lit("/../a/../"), n)).otherwise(F.concat(F.lit("./"), n, F.lit("/./b/..")))
     tag = F.concat(F.lit("<form method=post action='"), action, F.lit("'>"))
-    return table(spark, d, "part").select("p_partkey", catalog.resolved(F.lit("https://a.example/x/y.php?q=1"), catalog.attribute(tag, "action")).alias("url"), catalog.append_query(F.when(k % 2 == 0, "u?a=1").otherwise("u"), F.lit("b=2")).alias("asked"))
+    return table(spark, d, "part").select("p_partkey", catalog.resolved(F.lit("https://a.example/x/w/y.php?q=1"), catalog.attribute(tag, "action")).alias("url"), catalog.append_query(F.when(k % 2 == 0, "u?a=1").otherwise("u"), F.lit("b=2")).alias("asked"))
 
 
 @query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'https://a.example/getPharmacies/2024-01-31' WHEN 1 THEN 'https://b.example/api/getPharm/2024-01-31' END AS url FROM part")
@@ -572,3 +585,90 @@ def prs0_dispatch(spark, d):
     body = c.groupBy("c_nationkey", "page").agg(F.array_join(F.array_sort(F.collect_list(part(1))), "").alias("body"))
     edges = body.select("*", F.lit("").alias("c"), F.lit("").alias("s"), F.lit("").alias("n"))
     return pages.exploded(pages.dispatch(edges.select("c_nationkey", "page", F.concat(part(0), "body", part(2)).alias("html"))).drop("html"))
+
+
+# lists on other pages
+_LIST_LINK = r"https?://[a-z]+\.lists\.example/list/\d+"
+_LISTED = """(SELECT page_id, unnest(list_distinct(CASE page_id % 4 WHEN 0 THEN ['https://a.lists.example/list/' || (page_id % 37), 'https://a.lists.example/list/' || (page_id % 37), 'https://b.lists.example/list/' || (page_id % 41)]
+  WHEN 1 THEN ['https://a.lists.example/list/' || (page_id % 43)] WHEN 2 THEN ['https://a.lists.example/list/9999'] ELSE [] END)) AS url FROM pages)"""
+_ON_LIST = "(SELECT 'https://' || CASE WHEN c_custkey % 2 = 0 THEN 'a' ELSE 'b' END || '.lists.example/list/' || (c_custkey % 50) AS url, replace(c_name, '#', ' ') AS name FROM customer WHERE c_custkey % 7 > 0)"
+
+
+def _linking(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The given pages, with links to lists put before their html, and the lists' pages, of customers."""
+    k, n = F.col("page_id"), lambda m: (F.col("page_id") % m).cast("string")
+    frame = lambda host, x: F.concat(F.lit(f'<iframe src="https://{host}.lists.example/list/'), x, F.lit('"></iframe>'))
+    links = F.when(k % 4 == 0, F.concat(frame("a", n(37)), frame("b", n(41)), frame("a", n(37)))).when(k % 4 == 1, frame("a", n(43))).when(k % 4 == 2, frame("a", F.lit("9999"))).otherwise("")
+    start = table(spark, d, "pages").select("page_id", F.concat(links, F.coalesce("html", F.lit(""))).alias("html"))
+    line = F.concat(F.lit('<a href="https://maps.google.com/?q=1" style="font-weight:bold">GECE: '), F.replace("c_name", F.lit("#"), F.lit(" ")), F.lit("</a>"))
+    c = table(spark, d, "customer").where("c_custkey % 7 > 0")
+    url = F.concat(F.lit("https://"), F.when(F.col("c_custkey") % 2 == 0, "a").otherwise("b"), F.lit(".lists.example/list/"), (F.col("c_custkey") % 50).cast("string"))
+    lists = c.groupBy(url.alias("url"), F.floor(F.col("c_custkey") / 10_000).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(line)), "").alias("html"))
+    return start, lists.select("url", "html")
+
+
+@query(f"SELECT page_id, l.url, name FROM {_LISTED} l JOIN {_ON_LIST} o ON o.url = l.url")
+def src5_linked_lists(spark, d):
+    start, lists = _linking(spark, d)
+    return linked.rows(start, lists, "page_id", _LIST_LINK, pages.map_links).select("page_id", "url", "name")
+
+
+@query(f"SELECT page_id, CASE WHEN n = 0 THEN 'no_links' WHEN lost > 0 THEN 'missing_pages' END AS error, n, lost FROM (SELECT page_id, count(l.url) AS n, count_if(l.url IS NOT NULL AND l.url NOT IN (SELECT url FROM {_ON_LIST})) AS lost FROM pages LEFT JOIN {_LISTED} l USING (page_id) GROUP BY page_id) WHERE n = 0 OR lost > 0")
+def src5_link_errors(spark, d):
+    start, lists = _linking(spark, d)
+    return linked.errors(start, lists, "page_id", _LIST_LINK)
+
+
+# feeds
+_FEED_DAY = "2024-01-31"
+
+
+def _feed_tables(spark, d) -> tuple[DataFrame, DataFrame]:
+    n, c, o = (table(spark, d, t) for t in ("nation", "customer", "orders"))
+    last = c.join(o, c["c_custkey"] == o["o_custkey"]).where("c_nationkey % 4 > 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.max("o_orderdate").alias("changed"))
+    cities = n.join(last, "n_nationkey", "left").select("n_nationkey", text.slugify(F.col("n_name")).alias("city"), "changed")
+    places = c.select("c_nationkey", text.slugify(F.col("c_name")).alias("place")).join(cities, F.col("c_nationkey") == F.col("n_nationkey"))
+    return cities, places
+
+
+def _urlset_sql(rows: str, size: int) -> str:
+    """SQL for the pages of a feed. rows: loc, day, freq, priority, place (from 1)."""
+    entry = "'  <url>' || chr(10) || '    <loc>https://x.example' || loc || '</loc>' || chr(10) || '    <lastmod>' || day || '</lastmod>' || chr(10) || '    <changefreq>' || freq || '</changefreq>' || chr(10) || '    <priority>' || priority || '</priority>' || chr(10) || '  </url>'"
+    return f"""SELECT CAST((place - 1) // {size} + 1 AS INT) AS page, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg({entry}, chr(10) ORDER BY place) || chr(10) || '</urlset>' || chr(10) AS xml FROM ({rows}) GROUP BY 1"""
+
+
+_CITIES_SQL = f"(SELECT n_nationkey, {SLUG.format('n_name')} AS city, strftime(coalesce(max(o_orderdate) FILTER (WHERE n_nationkey % 4 > 0), TIMESTAMP '{_FEED_DAY}'), '%Y-%m-%d') AS day FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL)"
+
+
+@query(_urlset_sql(f"SELECT '/list/' || city AS loc, day, 'hourly' AS freq, '0.9' AS priority, row_number() OVER (ORDER BY city) AS place FROM {_CITIES_SQL}", 1000))
+def or22_cities(spark, d):
+    cities, _ = _feed_tables(spark, d)
+    return reports.feed_pages(cities, [F.col("city")], F.concat(F.lit("/list/"), "city"), F.col("changed"), _FEED_DAY, "hourly", "0.9", 1000, "https://x.example").select("page", "xml")
+
+
+@query(_urlset_sql(f"SELECT '/list/' || city || '/' || {SLUG.format('c_name')} AS loc, day, 'hourly' AS freq, '0.8' AS priority, row_number() OVER (ORDER BY city, {SLUG.format('c_name')}) AS place FROM customer JOIN {_CITIES_SQL} ON c_nationkey = n_nationkey", 1000))
+def or22_places(spark, d):
+    """Pages of a thousand each, in the order of city and place."""
+    _, places = _feed_tables(spark, d)
+    return reports.feed_pages(places, [F.col("city"), F.col("place")], F.concat(F.lit("/list/"), "city", F.lit("/"), "place"), F.col("changed"), _FEED_DAY, "hourly", "0.8", 1000, "https://x.example").select("page", "xml")
+
+
+@query(_urlset_sql(f"SELECT '/list/' || city AS loc, '{_FEED_DAY}' AS day, 'hourly' AS freq, '0.9' AS priority, row_number() OVER (ORDER BY city) AS place FROM {_CITIES_SQL}", 1000))
+def or22_fallback(spark, d):
+    """Without a table of changes all cities count as changed today."""
+    cities, _ = _feed_tables(spark, d)
+    return reports.feed_pages(reports.unchanged(cities.select("city")), [F.col("city")], F.concat(F.lit("/list/"), "city"), F.col("changed"), _FEED_DAY, "hourly", "0.9", 1000, "https://x.example").select("page", "xml")
+
+
+@query(_urlset_sql(f"SELECT '/part/' || p_partkey AS loc, strftime(DATE '1992-01-01' + p_partkey::INT % 3000, '%Y-%m-%d') AS day, 'weekly' AS freq, CASE WHEN p_partkey % 3000 > 2800 THEN '0.7' ELSE '0.5' END AS priority, row_number() OVER (ORDER BY p_partkey % 3000 DESC, p_partkey) AS place FROM part WHERE p_partkey % 5 > 0", 5000))
+def or22_posts(spark, d):
+    """Published ones, the latest first; those of the last days count more."""
+    p = table(spark, d, "part").where("p_partkey % 5 > 0").select("p_partkey", (F.lit("1992-01-01").cast("date") + (F.col("p_partkey") % 3000).cast("int")).cast("timestamp").alias("published"))
+    weight = F.when(F.col("p_partkey") % 3000 > 2800, "0.7").otherwise("0.5")
+    return reports.feed_pages(p, [F.desc("published"), F.col("p_partkey")], F.concat(F.lit("/part/"), F.col("p_partkey").cast("string")), F.col("published"), _FEED_DAY, "weekly", weight, 5000, "https://x.example").select("page", "xml")
+
+
+@query(f"""WITH p AS (SELECT greatest(1, (count(*) + 999) // 1000) AS n FROM customer), names AS (SELECT 0 AS k, 'static' AS name UNION ALL SELECT 1, 'cities' UNION ALL SELECT 1 + k, 'places' || CASE WHEN k > 1 THEN '-' || k ELSE '' END FROM p, LATERAL (SELECT unnest(range(1, n + 1)) AS k))
+  SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <sitemap>' || chr(10) || '    <loc>https://x.example/sitemap-' || name || '.xml</loc>' || chr(10) || '    <lastmod>{_FEED_DAY}</lastmod>' || chr(10) || '  </sitemap>', chr(10) ORDER BY k) || chr(10) || '</sitemapindex>' || chr(10) AS xml FROM names""")
+def or22_index(spark, d):
+    return reports.feed_index(table(spark, d, "customer"), ["static", "cities"], "places", 1000, _FEED_DAY, "https://x.example")

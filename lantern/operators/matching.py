@@ -11,22 +11,83 @@ from lantern.functions import numbers, similarity, text
 from lantern.operators.tables import kept
 
 
-def best_match(rows: DataFrame, candidates: DataFrame, block: list[str]) -> DataFrame:
-    """The best candidate of each row of the same block: 0.60 name, 0.25 district, 0.15 phone; a missing signal counts 0 and
-    the first of equal candidates (by ord) wins. The join is on the block; a row without candidates is no_match.
+def _sketch(s: Column) -> Column:
+    """What bounds the similarity of a name to others: its length, its letters as a set of bits (the k-th of a kind counts for
+    itself), how many share a bit with another, its words as bits, and the length of the distinct ones."""
+    letters = F.split(s, "")
+    size = F.length(s)
+    kth = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.concat(F.element_at(letters, i), F.size(F.filter(F.slice(letters, 1, i), lambda x: x == F.element_at(letters, i))).cast("string")))
+    bits = F.array_distinct(F.transform(F.when(size > 0, kth).otherwise(F.array().cast("array<string>")), lambda x: F.pmod(F.xxhash64(x), F.lit(126)).cast("int")))
+
+    def mask(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+
+    words = F.array_distinct(F.filter(F.split(s, r"\s+"), lambda t: t != ""))
+    return F.struct(
+        size.alias("size"),
+        mask(F.filter(bits, lambda k: k < 63)).alias("low"),
+        mask(F.transform(F.filter(bits, lambda k: k >= 63), lambda k: k - 63)).alias("high"),
+        (size - F.size(bits)).alias("shared"),
+        mask(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))).alias("words"),
+        F.length(F.array_join(words, " ")).alias("distinct"),
+    )
+
+
+def _common(a: Column, b: Column) -> Column:
+    """At least as many letters as the two have in common."""
+    both = F.bit_count(a["low"].bitwiseAND(b["low"])) + F.bit_count(a["high"].bitwiseAND(b["high"])) + F.least(a["shared"], b["shared"])
+    return F.least(both, a["size"], b["size"])
+
+
+def _winkler_bound(common: Column, size_a: Column, size_b: Column) -> Column:
+    jaro = (common / size_a + common / size_b + 1) / 3
+    return F.when(common > 0, jaro * 0.6 + 0.4).otherwise(0.0)
+
+
+def _similarity_bound(a: Column, b: Column) -> Column:
+    """No smaller than best_similarity: with so many letters in common, all in order and four at the front; edit distance is
+    bounded by the same, and the words in common are no longer than the letters are many."""
+    common = _common(a, b)
+    fewer = F.least(common, a["distinct"], b["distinct"])
+    shortest = F.least(a["distinct"], b["distinct"])
+    some_word = a["words"].bitwiseAND(b["words"]) != 0
+    held = F.when(some_word & (fewer > 0), (2 + fewer / shortest) / 3 * 0.6 + 0.4).otherwise(0.0)
+    return F.least(F.lit(1.0), F.greatest(_winkler_bound(common, a["size"], b["size"]), _winkler_bound(fewer, a["distinct"], b["distinct"]), held))
+
+
+def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verified: list[DataFrame] | None = None) -> DataFrame:
+    """The best candidate of each row of the same block: 0.60 name, 0.25 phone, 0.15 district (Jaro-Winkler of the two); a
+    missing signal counts 0 and the first of equal candidates (by ord) wins. A row without candidates is no_match.
 
-    rows: block, row_id, name, district, phone. candidates: block, ord, canonical_name, district_name, phone.
+    Exact, but few pairs are verified. Sketches of the names bound each pair's score in the JVM. The candidate of the greatest
+    bound is verified first; then only those whose bound reaches its score. rows: block, row_id, name, district, phone.
+    candidates: block, ord, canonical_name, district_name, phone. To `verified` goes a table of the pairs that were.
     """
-    c = candidates.select(*block, "ord", "canonical_name", "district_name", text.digits(F.col("phone")).alias("c_phone"))
+    c = candidates.select(*block, "ord", "canonical_name", text.pharmacy_name(F.col("canonical_name")).alias("c_name"), text.district_name(F.col("district_name")).alias("c_district"), text.digits(F.col("phone")).alias("c_phone"))
+    c = c.withColumns({"c_sketch": _sketch(F.col("c_name")), "c_place": _sketch(F.col("c_district"))})
     r = rows.select(*block, "row_id", "name", text.district_name(F.col("district")).alias("r_district"), text.digits(F.col("phone")).alias("r_phone"), text.pharmacy_name(F.col("name")).alias("r_name"))
     # rows that tell the same meet the candidates once
     told = [*block, "r_name", "r_district", "r_phone"]
-    pairs = r.select(*told).distinct().join(c, block)
-    name = similarity.best_similarity(F.col("r_name"), text.pharmacy_name(F.col("canonical_name")))
-    where = F.when((F.col("r_district") != "") & (F.col("r_district") == text.district_name(F.col("district_name"))), 1.0).otherwise(0.0)
-    score = numbers.match_score(name, where, numbers.phone_signal(F.col("r_phone"), F.col("c_phone")))
-    pairs = pairs.withColumn("score", score)
-    top = pairs.groupBy(*told).agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
+    asked = kept(r.select(*told).distinct().withColumns({"r_sketch": _sketch(F.col("r_name")), "r_place": _sketch(F.col("r_district"))}))
+    c = kept(c)
+    phone, known = numbers.phone_signal(F.col("r_phone"), F.col("c_phone")), (F.col("r_district") != "") & (F.col("c_district") != "")
+    near = F.when(F.col("r_name") == F.col("c_name"), 1.0).otherwise(_similarity_bound(F.col("r_sketch"), F.col("c_sketch")))
+    place = F.when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(_winkler_bound(_common(F.col("r_place"), F.col("c_place")), F.col("r_place.size"), F.col("c_place.size")))
+    bound = numbers.match_score(near, F.when(known, place), phone) + 1e-9
+    pairs = asked.join(c, block).withColumn("bound", bound)
+    fields = ["c_name", "c_district", "c_phone", "canonical_name", "ord"]
+    alike = F.bit_count(F.col("r_sketch.words").bitwiseAND(F.col("c_sketch.words")))
+    likely = pairs.groupBy(*told).agg(F.max_by(F.struct(*fields), F.struct("bound", alike, -F.col("ord"))).alias("c")).select(*told, "c.*")
+
+    def scored(some: DataFrame) -> DataFrame:
+        district = F.when(known, F.when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(similarity.jaro_winkler(F.col("r_district"), F.col("c_district"))))
+        return some.withColumn("score", numbers.match_score(similarity.best_similarity(F.col("r_name"), F.col("c_name")), district, phone))
+
+    least = kept(scored(likely).select(*told, F.col("score").alias("least")))
+    left = kept(asked.join(least, told).join(c, block).withColumn("bound", bound).where("bound >= least").select(*told, *fields))
+    if verified is not None:
+        verified += [left]
+    top = scored(left).groupBy(*told).agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
     found = r.select("row_id", "name", *told).join(top, told, "left")
     s = F.coalesce("top.score", F.lit(0.0))
     kind = numbers.match_type(s)
@@ -113,6 +174,26 @@ DISTRICT_ALIASES = {
     "belediye merkezi": "merkez",
     "sehir merkezi": "merkez",
     "ilcemerkezi": "merkez",
+    "besiktas": "besiktas",
+    "kadikoy": "kadikoy",
+    "uskudar": "uskudar",
+    "sisli": "sisli",
+    "bayrampasa": "bayrampasa",
+    "fatih": "fatih",
+    "cankaya": "cankaya",
+    "kecioren": "kecioren",
+    "mamak": "mamak",
+    "etimesgut": "etimesgut",
+    "sincan": "sincan",
+    "bornova": "bornova",
+    "buca": "buca",
+    "karsiyaka": "karsiyaka",
+    "konak": "konak",
+    "cigli": "cigli",
+    "gokcebey": "gokcebey",
+    "golbasi": "golbasi",
+    "gölbasi": "golbasi",
+    "golhisar": "golhisar",
 }
 
 
@@ -125,18 +206,17 @@ def resolve_districts(rows: DataFrame, districts: DataFrame, block: str, fallbac
     d = districts.select(block, "ord", F.col("id").alias("d_id"), F.col("slug"), text.district_name(F.col("name")).alias("d_name"))
     r = rows.select("row_id", block, F.trim(F.coalesce("raw", F.lit(""))).alias("raw"))
     r = r.withColumn("r_slug", text.slugify(F.col("raw"))).withColumn("r_name", text.district_name(F.col("raw")))
-    r = r.withColumn("alias", F.coalesce(text.lookup(F.col("r_name"), DISTRICT_ALIASES, None), text.lookup(F.col("r_slug"), DISTRICT_ALIASES, None)))
     some = F.col("raw") != ""
     first = lambda ok: F.min_by("d_id", F.when(ok, F.col("ord")))
     near = similarity.jaro_winkler(F.col("r_name"), F.col("d_name"))
-    told = [block, "raw", "r_slug", "r_name", "r_alias"]  # rows of the same name meet the districts once
-    r = r.withColumn("r_alias", F.coalesce("alias", F.lit("")))
+    told = [block, "raw", "r_slug", "r_name", "r_alias", "r_other"]  # rows of the same name meet the districts once
+    r = r.withColumn("r_alias", text.lookup(F.col("r_name"), DISTRICT_ALIASES, "")).withColumn("r_other", text.lookup(F.col("r_slug"), DISTRICT_ALIASES, ""))
     pairs = r.select(*told).distinct().join(d, block).withColumn("near", F.when(some & (F.length("r_name") >= 4), near).otherwise(0.0))
     central = (F.col("slug") == "merkez") | F.col("slug").endswith("-merkez") | (F.col("d_name") == "merkez")
     found = pairs.groupBy(*told).agg(
         first(some & (F.col("slug") == F.col("r_slug"))).alias("exact"),
         first(some & (F.col("d_name") == F.col("r_name"))).alias("normalized"),
-        first(some & (F.col("r_alias") != "") & (F.col("slug") == F.col("r_alias"))).alias("alias"),
+        F.coalesce(*[first(some & (F.col(x) != "") & (F.col("slug") == F.col(x))) for x in ("r_alias", "r_other")]).alias("alias"),
         F.max_by("d_id", F.when(F.col("near") >= 0.85, F.struct("near", -F.col("ord")))).alias("fuzzy"),
         F.coalesce(first(central), first(F.lit(True))).alias("fallback"),
     )

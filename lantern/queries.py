@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers, similarity, text
-from lantern.operators import matching, reports, upsert
+from lantern.operators import matching, ranges, reports, upsert
 from lantern.sources import pages
 from lantern.streaming import state
 
@@ -299,12 +299,12 @@ def nu4_confidence(spark, d):
     return table(spark, d, "part").select("p_partkey", numbers.confidence(F.col("p_retailprice") / 2000, F.col("p_size"), level, F.col("p_partkey") % 6).alias("score"))
 
 
-@query("SELECT p_partkey, CAST(least(greatest(floor(50.5) + floor(least(greatest(p_size, 1), 10) / 10.0 * 20 + 0.5) + 15, 0), 100) AS INT) AS score FROM part")
+@query("SELECT p_partkey, CAST(least(greatest(floor(50.5) + floor(least(greatest(p_size, 1), 10) / 10.0 * 20 + 0.5) + 12, 0), 100) AS INT) AS score FROM part")
 def nu5_base_confidence(spark, d):
     return table(spark, d, "part").select("p_partkey", numbers.base_confidence(F.col("p_size")).alias("score"))
 
 
-_SIGNALS = "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 101 / 100.0::DOUBLE END, 0) * 0.6::DOUBLE + coalesce(CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 2 AS DOUBLE) END, 0) * 0.25::DOUBLE + coalesce(CAST(([NULL, 0, 0.8, 1.0])[p_partkey % 4 + 1] AS DOUBLE), 0) * 0.15::DOUBLE AS s FROM part"
+_SIGNALS = "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_partkey % 101 / 100.0::DOUBLE END, 0) * 0.6::DOUBLE + coalesce(CASE WHEN p_partkey % 4 > 0 THEN CAST(p_partkey % 2 AS DOUBLE) END, 0) * 0.15::DOUBLE + coalesce(CAST(([NULL, 0, 0.8, 1.0])[p_partkey % 4 + 1] AS DOUBLE), 0) * 0.25::DOUBLE AS s FROM part"
 _KIND = "CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END"
 
 
@@ -507,8 +507,8 @@ def jn17_resolve_districts(spark, d):
 
 @query("SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS header FROM events")
 def jn19_as_of_header(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("header"))
+    signups = F.when(F.col("event_type") == "signup", F.col("event_id"))
+    return ranges.carried(table(spark, d, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], [F.col("ts"), F.col("event_id")], signups, "header").select("event_id", "header")
 
 
 @query("SELECT a.n_nationkey, b.n_nationkey AS near FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey QUALIFY row_number() OVER (PARTITION BY a.n_nationkey ORDER BY b.n_name) <= 3")
@@ -604,6 +604,12 @@ def ag19_first_wins(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.min_by("p_brand", "p_partkey").alias("brand"))
 
 
+@query("SELECT c_nationkey, count(*) AS n, substring(md5(string_agg(c_name, '|' ORDER BY c_name)), 1, 8) AS fingerprint FROM customer GROUP BY c_nationkey")
+def ag23_fingerprint_whole(spark, d):
+    """Of the whole list of a nation, read as a stream."""
+    return reports.fingerprints(table(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("name"))).select(F.col("key").cast("int").alias("c_nationkey"), "n", "fingerprint")
+
+
 @query("SELECT c_nationkey, c_custkey // 1000 AS page, substring(md5(string_agg(c_name, '|' ORDER BY c_name)), 1, 8) AS fingerprint FROM customer GROUP BY ALL")
 def ag23_fingerprint(spark, d):
     """Of lists of up to a thousand names; whole nations have ag23_fingerprint_sums."""
@@ -626,8 +632,9 @@ def wn4_priority_pick(spark, d):
 
 @query("SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS following, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events")
 def wn7_next_heading(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events").select("event_id", F.lead("event_id").over(w).alias("following"), F.row_number().over(w).cast("long").alias("place"))
+    by, order = ["user_id"], [F.col("ts"), F.col("event_id")]
+    e = ranges.following(table(spark, d, "events").select("user_id", "ts", "event_id"), by, order, F.col("event_id"), "following")
+    return ranges.placed(e, by, order).select("event_id", "following", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT event_id FROM events ORDER BY CASE event_type WHEN 'error' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ts DESC, event_id LIMIT 200")
@@ -823,9 +830,9 @@ def prj3_defaults(spark, d):
 
 @query(f"SELECT c_custkey, {SLUG.format('n_name')} || '-' || {SLUG.format('c_mktsegment')} || '-' || (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) AS id FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def prj6_row_ids(spark, d):
-    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
-    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return c.select("c_custkey", F.concat_ws("-", text.slugify(F.col("n_name")), text.slugify(F.col("c_mktsegment")), at.cast("string")).alias("id"))
+    c = ranges.placed(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey"], [F.col("c_custkey")])
+    c = c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select("c_custkey", F.concat_ws("-", text.slugify(F.col("n_name")), text.slugify(F.col("c_mktsegment")), (F.col("place") - 1).cast("string")).alias("id"))
 
 
 @query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderdate >= TIMESTAMP '1998-01-01'")
@@ -856,7 +863,7 @@ def jn10_single_values(spark, d):
 @query("SELECT l.s_suppkey, arg_min(n.n_name, levenshtein(upper(l.name), n.n_name) * 1000 + n.n_nationkey) AS closest FROM (SELECT s_suppkey, substring(n_name, 2) AS name, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) l JOIN nation n ON n.n_regionkey = l.n_regionkey WHERE levenshtein(upper(l.name), n.n_name) <= 2 GROUP BY l.s_suppkey")
 def jn16_closest_name(spark, d):
     n = table(spark, d, "nation")
-    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.upper(F.substring("n_name", 2, 100)).alias("name"), "n_regionkey")
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.upper(F.expr("substring(n_name, 2)")).alias("name"), "n_regionkey")
     far = F.levenshtein("name", "n_name", 2)
     near = s.join(F.broadcast(n), "n_regionkey").withColumn("far", far).where("far >= 0")
     return near.groupBy("s_suppkey").agg(F.min_by("n_name", F.struct("far", "n_nationkey")).alias("closest"))

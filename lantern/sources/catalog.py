@@ -84,13 +84,24 @@ def append_query(url: Column, query: Column) -> Column:
     return F.when(F.coalesce(query, F.lit("")) == "", url).otherwise(joined)
 
 
+def _undotted(path: Column) -> Column:
+    """A path from the root with its . and .. steps done; what ends with one is a folder."""
+    steps = F.split(F.regexp_replace(path, "^/", ""), "/")
+    none = F.array().cast("array<string>")
+    done = F.aggregate(steps, none, lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(none)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    folder = F.element_at(steps, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(done, "/"), F.when(folder & (F.size(done) > 0), "/").otherwise(""))
+
+
 def resolved(endpoint: Column, action: Column) -> Column:
     """A form's action as a whole address: kept if it has a scheme, else from the root, the query or the folder of the
-    endpoint; an empty one is the endpoint. Dots in paths stay."""
+    endpoint; an empty one is the endpoint. Dots in the path are resolved."""
     origin, page = F.regexp_extract(endpoint, r"(?i)^([a-z]+://[^/?#]+)", 1), F.regexp_extract(endpoint, r"^([^?#]*)", 1)
     folder = F.when(page == origin, F.concat(origin, F.lit("/"))).otherwise(F.regexp_replace(page, "[^/]*$", ""))
     made = F.when(action.rlike("(?i)^[a-z][a-z0-9+.-]*:"), action).when(action.startswith("//"), F.concat(F.regexp_extract(endpoint, "(?i)^([a-z]+:)", 1), action))
-    made = made.when(action.startswith("/"), F.concat(origin, action)).when(action.startswith("?") | action.startswith("#"), F.concat(page, action)).otherwise(F.concat(folder, action))
+    at, rest = F.regexp_extract(action, r"^([^?#]*)", 1), F.regexp_extract(action, r"^[^?#]*(.*)$", 1)
+    path = F.when(action.startswith("/"), at).otherwise(F.concat(F.substr(folder, F.length(origin) + 1), at))
+    made = made.when(action.startswith("?") | action.startswith("#"), F.concat(page, action)).otherwise(F.concat(origin, _undotted(path), rest))
     return F.when(F.coalesce(action, F.lit("")) == "", endpoint).otherwise(made)
 
 
