@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,26 +14,28 @@ from lantern.functions import numbers, similarity, text
 from lantern.operators.tables import kept
 
 
+SKETCH = "size long, low long, high long, shared long, words long, distinct long"
+
+
+def sketch_of(name: str) -> tuple[int, int, int, int, int, int]:
+    """What bounds the similarity of a name to others: its length, its letters as a set of 126 bits (the k-th of a kind counts
+    for itself), how many share a bit with another, its words as bits, and the length of the distinct ones."""
+    seen, bits, words = Counter(), 0, 0
+    for char in name:
+        seen[char] += 1
+        bits |= 1 << zlib.crc32(f"{char}{seen[char]}".encode()) % 126
+    once = dict.fromkeys(name.split())
+    for word in once:
+        words |= 1 << zlib.crc32(word.encode()) % 63
+    return len(name), bits & (1 << 63) - 1, bits >> 63, len(name) - bits.bit_count(), words, len(" ".join(once))
+
+
 def _sketch(s: Column) -> Column:
-    """What bounds the similarity of a name to others: its length, its letters as a set of bits (the k-th of a kind counts for
-    itself), how many share a bit with another, its words as bits, and the length of the distinct ones."""
-    letters = F.split(s, "")
-    size = F.length(s)
-    kth = F.transform(F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda i: F.concat(F.element_at(letters, i), F.size(F.filter(F.slice(letters, 1, i), lambda x: x == F.element_at(letters, i))).cast("string")))
-    bits = F.array_distinct(F.transform(F.when(size > 0, kth).otherwise(F.array().cast("array<string>")), lambda x: F.pmod(F.xxhash64(x), F.lit(126)).cast("int")))
-
-    def mask(some: Column) -> Column:
-        return F.aggregate(some, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
-
-    words = F.array_distinct(F.filter(F.split(s, r"\s+"), lambda t: t != ""))
-    return F.struct(
-        size.alias("size"),
-        mask(F.filter(bits, lambda k: k < 63)).alias("low"),
-        mask(F.transform(F.filter(bits, lambda k: k >= 63), lambda k: k - 63)).alias("high"),
-        (size - F.size(bits)).alias("shared"),
-        mask(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(63)).cast("int"))).alias("words"),
-        F.length(F.array_join(words, " ")).alias("distinct"),
-    )
+    @F.pandas_udf(SKETCH)
+    def each(names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([sketch_of(n) for n in names], columns=[x.split()[0] for x in SKETCH.split(", ")])
+
+    return each(s)
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -44,15 +49,22 @@ def _winkler_bound(common: Column, size_a: Column, size_b: Column) -> Column:
     return F.when(common > 0, jaro * 0.6 + 0.4).otherwise(0.0)
 
 
-def _similarity_bound(a: Column, b: Column) -> Column:
-    """No smaller than best_similarity: with so many letters in common, all in order and four at the front; edit distance is
-    bounded by the same, and the words in common are no longer than the letters are many."""
-    common = _common(a, b)
-    fewer = F.least(common, a["distinct"], b["distinct"])
-    shortest = F.least(a["distinct"], b["distinct"])
-    some_word = a["words"].bitwiseAND(b["words"]) != 0
-    held = F.when(some_word & (fewer > 0), (2 + fewer / shortest) / 3 * 0.6 + 0.4).otherwise(0.0)
-    return F.least(F.lit(1.0), F.greatest(_winkler_bound(common, a["size"], b["size"]), _winkler_bound(fewer, a["distinct"], b["distinct"]), held))
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """Adds bound, no smaller than the score of a pair. With so many letters in common, all in order and four at the front,
+    Jaro-Winkler is known; edit distance is bounded by the same, and the words in common are no longer than the letters are
+    many. Step by step, so that no expression holds another many times."""
+    a, b, c, d = (F.col(x) for x in ("r_sketch", "c_sketch", "r_place", "c_place"))
+    out = pairs.withColumns({"common": _common(a, b), "same_place": _common(c, d), "least_words": F.least(a["distinct"], b["distinct"])})
+    out = out.withColumns({"fewer": F.least("common", "least_words"), "by_place": _winkler_bound(F.col("same_place"), c["size"], d["size"])})
+    out = out.withColumns({
+        "by_letters": _winkler_bound(F.col("common"), a["size"], b["size"]),
+        "by_words": _winkler_bound(F.col("fewer"), a["distinct"], b["distinct"]),
+        "by_held": F.when((a["words"].bitwiseAND(b["words"]) != 0) & (F.col("fewer") > 0), (2 + F.col("fewer") / F.col("least_words")) / 3 * 0.6 + 0.4).otherwise(0.0),
+        "by_phone": numbers.phone_signal(F.col("r_phone"), F.col("c_phone")),
+    })
+    name = F.when(F.col("r_name") == F.col("c_name"), 1.0).otherwise(F.least(F.lit(1.0), F.greatest("by_letters", "by_words", "by_held")))
+    place = F.when((F.col("r_district") == "") | (F.col("c_district") == ""), 0.0).when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(F.col("by_place"))
+    return out.withColumn("bound", numbers.match_score(name, place, F.col("by_phone")) + 1e-9)
 
 
 def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verified: list[DataFrame] | None = None) -> DataFrame:
@@ -64,27 +76,28 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
     candidates: block, ord, canonical_name, district_name, phone. To `verified` goes a table of the pairs that were.
     """
     c = candidates.select(*block, "ord", "canonical_name", text.pharmacy_name(F.col("canonical_name")).alias("c_name"), text.district_name(F.col("district_name")).alias("c_district"), text.digits(F.col("phone")).alias("c_phone"))
-    c = c.withColumns({"c_sketch": _sketch(F.col("c_name")), "c_place": _sketch(F.col("c_district"))})
     r = rows.select(*block, "row_id", "name", text.district_name(F.col("district")).alias("r_district"), text.digits(F.col("phone")).alias("r_phone"), text.pharmacy_name(F.col("name")).alias("r_name"))
     # rows that tell the same meet the candidates once
     told = [*block, "r_name", "r_district", "r_phone"]
-    asked = kept(r.select(*told).distinct().withColumns({"r_sketch": _sketch(F.col("r_name")), "r_place": _sketch(F.col("r_district"))}))
-    c = kept(c)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many pairs: none of their partitions are joined up
+    asked = kept(r.select(*told).distinct().repartition(parts).withColumns({"a_id": F.monotonically_increasing_id(), "r_sketch": _sketch(F.col("r_name")), "r_place": _sketch(F.col("r_district"))}))
+    c = kept(c.repartition(parts).withColumns({"c_id": F.monotonically_increasing_id(), "c_sketch": _sketch(F.col("c_name")), "c_place": _sketch(F.col("c_district"))}))
     phone, known = numbers.phone_signal(F.col("r_phone"), F.col("c_phone")), (F.col("r_district") != "") & (F.col("c_district") != "")
-    near = F.when(F.col("r_name") == F.col("c_name"), 1.0).otherwise(_similarity_bound(F.col("r_sketch"), F.col("c_sketch")))
-    place = F.when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(_winkler_bound(_common(F.col("r_place"), F.col("c_place")), F.col("r_place.size"), F.col("c_place.size")))
-    bound = numbers.match_score(near, F.when(known, place), phone) + 1e-9
-    pairs = asked.join(c, block).withColumn("bound", bound)
-    fields = ["c_name", "c_district", "c_phone", "canonical_name", "ord"]
-    alike = F.bit_count(F.col("r_sketch.words").bitwiseAND(F.col("c_sketch.words")))
-    likely = pairs.groupBy(*told).agg(F.max_by(F.struct(*fields), F.struct("bound", alike, -F.col("ord"))).alias("c")).select(*told, "c.*")
-
-    def scored(some: DataFrame) -> DataFrame:
+    met = lambda some: _bounded(some.join(c.drop("canonical_name", "ord"), block))
+    pairs = met(asked).select("a_id", "c_id", "bound", F.bit_count(F.col("r_sketch.words").bitwiseAND(F.col("c_sketch.words"))).alias("alike"))
+    # one number holds bound, words in common and candidate, so that its maximum is a plain sum of the tasks' ones
+    packed = F.shiftleft(F.floor(F.col("bound") * (1 << 14)).cast("long"), 48) + F.shiftleft(F.least("alike", F.lit(31)).cast("long"), 43) + F.col("c_id") % (1 << 43)
+    likely = pairs.groupBy("a_id").agg((F.max(packed) % (1 << 43)).alias("c_id"))
+
+    def scored(ids: DataFrame) -> DataFrame:
+        some = ids.join(asked.drop("r_sketch", "r_place"), "a_id").join(c.drop(*block, "c_sketch", "c_place"), "c_id")
         district = F.when(known, F.when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(similarity.jaro_winkler(F.col("r_district"), F.col("c_district"))))
         return some.withColumn("score", numbers.match_score(similarity.best_similarity(F.col("r_name"), F.col("c_name")), district, phone))
 
-    least = kept(scored(likely).select(*told, F.col("score").alias("least")))
-    left = kept(asked.join(least, told).join(c, block).withColumn("bound", bound).where("bound >= least").select(*told, *fields))
+    least = kept(scored(likely).select("a_id", F.col("score").alias("least")))
+    # not a filter, which would be moved into the join with all steps of the bound written out
+    reached = F.explode(F.when(F.col("bound") >= F.coalesce("least", F.lit(0.0)), F.array("c_id")))
+    left = kept(met(asked.join(least, "a_id", "left")).select("a_id", reached.alias("c_id")))
     if verified is not None:
         verified += [left]
     top = scored(left).groupBy(*told).agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
