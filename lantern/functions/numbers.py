@@ -56,6 +56,11 @@ def freshness(minutes: Column) -> Column:
     return F.when(minutes.isNull(), "never").when(minutes > CRITICAL_MINUTES, "critical").when(minutes > WARNING_MINUTES, "warning").otherwise("ok")
 
 
+def fixed_day(ts: Column, hours: int = 3) -> Column:
+    """The calendar day so many hours ahead of UTC, whatever the zone's rules were at that time."""
+    return F.to_date(ts + F.make_interval(hours=F.lit(hours)))
+
+
 def active_date(ts: Column) -> Column:
     """The calendar day in Istanbul."""
     return F.to_date(F.from_utc_timestamp(ts, ZONE))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers, text
-from lantern.operators import logs, matching, ranges, reports, serving, upsert
+from lantern.operators import logs, matching, ranges, reports, serving, stores, sync, upsert
+from lantern.operators.tables import new_folder
 from lantern.queries import AS_OF, FOLD, ORACLE_SQL, RAW_NAMES, SLUG, picked, query, sql_picked, table
 from lantern.sources import catalog, forms, linked, pages
 
@@ -672,3 +673,110 @@ def or22_posts(spark, d):
   SELECT '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' || chr(10) || string_agg('  <sitemap>' || chr(10) || '    <loc>https://x.example/sitemap-' || name || '.xml</loc>' || chr(10) || '    <lastmod>{_FEED_DAY}</lastmod>' || chr(10) || '  </sitemap>', chr(10) ORDER BY k) || chr(10) || '</sitemapindex>' || chr(10) AS xml FROM names""")
 def or22_index(spark, d):
     return reports.feed_index(table(spark, d, "customer"), ["static", "cities"], "places", 1000, _FEED_DAY, "https://x.example")
+
+
+# tables that change in versions
+_PLACES_BATCH = "c_custkey % 2 = 0"
+
+
+@query(ORACLE_SQL["snk1_upsert_places"])
+def snk1_incremental(spark, d):
+    """The same upsert into a bucketed table, of which only the named buckets are written again."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("ord"), F.col("c_nationkey").alias("district_id"), F.col("c_name").alias("normalized_name"))
+    none = F.lit(None).cast("double")
+    old = c.where("ord % 3 <> 0").select("district_id", "normalized_name", F.col("normalized_name").alias("canonical_name"), F.lit("old").alias("address"), F.lit("p").alias("phone"), F.lit(1.0).alias("lat"), none.alias("lng"), F.lit(False).alias("is_active"))
+    new = c.where("ord % 2 = 0").withColumns({"canonical_name": F.concat(F.lit("New "), "normalized_name"), "address": F.when(F.col("ord") % 4 == 0, "").otherwise("new"), "phone": F.lit(""), "lat": F.lit(2.0), "lng": none})
+    store = stores.KeyedTable(spark, new_folder(spark, "places"), ["district_id", "normalized_name"], 16)
+    store.create(old)
+    for part in (new.where("ord % 4 = 0"), new.where("ord % 4 = 2")):
+        store.merge(part, upsert.upsert_places)
+    return store.read()
+
+
+@query(ORACLE_SQL["snk2_upsert_duties"])
+def snk2_incremental(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("place_id"), F.to_date("o_orderdate").alias("duty_date"), F.col("o_orderkey").alias("ord"), (F.col("o_orderkey") % 100).alias("confidence"), (F.col("o_orderkey") % 7).alias("district_id"))
+    old = o.where("ord % 2 = 1").groupBy("place_id", "duty_date").agg(F.max("confidence").alias("confidence"), F.count("*").alias("sources"), F.max_by("district_id", "ord").alias("district_id"), F.lit(True).alias("is_degraded"))
+    store = stores.KeyedTable(spark, new_folder(spark, "duties"), ["place_id", "duty_date"], 16)
+    store.create(old)
+    store.merge(o.where("ord % 2 = 0"), upsert.upsert_duties)
+    return store.read()
+
+
+# a catalog over sources and endpoints: suppliers are provinces, every thirteenth is missing
+def _sync_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))
+    n, text_of = F.col("k"), lambda p, x: F.concat(F.lit(p), x.cast("string"))
+    catalog_ = s.where("k % 11 <> 0").select(text_of("s", n).alias("code"), text_of("src ", n % 5).alias("source_name"), F.element_at(F.array(*map(F.lit, ["chamber_html", "third_party_html", "json_api", "other"])), (n % 4 + 1).cast("int")).alias("official_type"), text_of("https://x/", n % 7).alias("base_url"), text_of("https://x/", n).alias("official_url"), F.when(n % 2 == 0, "html").otherwise("json").alias("format"), text_of("p", n % 4).alias("parser_key"))
+    provinces = s.where("k % 13 <> 0").select(n.alias("id"), text_of("S", n).alias("slug"))
+    source = lambda rows, id_, name: rows.select(id_.alias("id"), n.alias("province_id"), name.alias("name"), F.lit("manual").alias("type"), F.lit(1).alias("authority_weight"), F.lit("old").alias("base_url"), F.lit(False).alias("enabled"))
+    sources = source(s.where("k % 3 <> 0"), n * 2, text_of("src ", n % 5)).unionByName(source(s.where("k % 4 = 0"), n * 2 + 1, F.lit("other")))
+    endpoint = lambda rows, id_, of, url, first: rows.select(id_.alias("id"), of.alias("source_id"), url.alias("endpoint_url"), F.lit("xml").alias("format"), F.lit("old").alias("parser_key"), first.alias("is_primary"), F.lit("@daily").alias("poll_cron"), F.lit(False).alias("enabled"))
+    endpoints = endpoint(s.where("k % 3 = 1"), n * 3, n * 2, text_of("https://x/", n), n % 2 == 0)
+    endpoints = endpoints.unionByName(endpoint(s.where("k % 4 = 0"), n * 3 + 1, n * 2 + 1, text_of("https://o/", n), F.lit(True)))
+    endpoints = endpoints.unionByName(endpoint(s.where("k % 5 = 0 and k % 3 <> 0"), n * 3 + 2, n * 2, text_of("https://old/", n), F.lit(True)))
+    return catalog_, provinces, sources, endpoints
+
+
+_SYNC = """WITH c AS (SELECT s_suppkey AS k, 's' || s_suppkey AS code, 'src ' || (s_suppkey % 5) AS name, CASE s_suppkey % 4 WHEN 0 THEN 'pharmacists_chamber' WHEN 1 THEN 'health_directorate' WHEN 2 THEN 'pharmacists_chamber' ELSE 'manual' END AS type, CASE s_suppkey % 4 WHEN 0 THEN 90 WHEN 1 THEN 85 WHEN 2 THEN 90 ELSE 70 END AS weight,
+    'https://x/' || (s_suppkey % 7) AS base_url, 'https://x/' || s_suppkey AS url, CASE WHEN s_suppkey % 2 = 0 THEN 'html' ELSE 'json' END AS format, 'p' || (s_suppkey % 4) AS parser_key FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 <> 0),
+  s AS (SELECT s_suppkey * 2 AS id, s_suppkey AS province_id, 'src ' || (s_suppkey % 5) AS name FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey * 2 + 1, s_suppkey, 'other' FROM supplier WHERE s_suppkey % 4 = 0),
+  e AS (SELECT s_suppkey * 3 AS id, s_suppkey * 2 AS source_id, 'https://x/' || s_suppkey AS url, s_suppkey % 2 = 0 AS is_primary FROM supplier WHERE s_suppkey % 3 = 1 UNION ALL SELECT s_suppkey * 3 + 1, s_suppkey * 2 + 1, 'https://o/' || s_suppkey, true FROM supplier WHERE s_suppkey % 4 = 0
+    UNION ALL SELECT s_suppkey * 3 + 2, s_suppkey * 2, 'https://old/' || s_suppkey, true FROM supplier WHERE s_suppkey % 5 = 0 AND s_suppkey % 3 <> 0),
+  a AS (SELECT c.*, s.id AS old_source, coalesce(s.id, (SELECT max(id) FROM s) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY code)) AS source_id FROM c LEFT JOIN s ON s.province_id = c.k AND s.name = c.name),
+  p AS (SELECT a.*, e.id AS old_endpoint, coalesce(e.id, (SELECT max(id) FROM e) + row_number() OVER (PARTITION BY e.id IS NULL ORDER BY code)) AS endpoint_id FROM a LEFT JOIN e ON e.source_id = a.source_id AND e.url = a.url),
+  s2 AS (SELECT coalesce(p.source_id, s.id) AS id, coalesce(p.k, s.province_id) AS province_id, coalesce(p.name, s.name) AS name, coalesce(p.type, 'manual') AS type, coalesce(p.weight, 1) AS authority_weight, coalesce(p.base_url, 'old') AS base_url, p.k IS NOT NULL AS enabled FROM s FULL JOIN p ON p.source_id = s.id),
+  e2 AS (SELECT coalesce(p.endpoint_id, e.id) AS id, coalesce(p.source_id, e.source_id) AS source_id, coalesce(p.url, e.url) AS endpoint_url, coalesce(p.format, 'xml') AS format, coalesce(p.parser_key, 'old') AS parser_key, CASE WHEN p.k IS NOT NULL THEN true ELSE e.is_primary END AS was, CASE WHEN p.k IS NULL THEN '@daily' ELSE '*/30 * * * *' END AS poll_cron, p.k IS NOT NULL AS enabled FROM e FULL JOIN p ON p.endpoint_id = e.id),
+  e3 AS (SELECT e2.*, was AND coalesce(own.endpoint_id <> e2.id, false) AS loses FROM e2 LEFT JOIN s2 ON s2.id = e2.source_id LEFT JOIN p own ON own.k = s2.province_id)"""
+
+
+@query(f"{_SYNC} SELECT id, province_id, name, type, authority_weight, base_url, enabled FROM s2")
+def snk8_sources(spark, d):
+    return sync.synced(*_sync_tables(spark, d))[0]
+
+
+@query(f"{_SYNC} SELECT id, source_id, endpoint_url, format, parser_key, was AND NOT loses AS is_primary, poll_cron, enabled FROM e3")
+def snk8_endpoints(spark, d):
+    """Through both tables written and read as one version."""
+    new_sources, new_endpoints, _ = sync.synced(*_sync_tables(spark, d))
+    both = stores.TableSet(spark, new_folder(spark, "sources"))
+    both.write({"sources": new_sources, "endpoints": new_endpoints})
+    return both.read("endpoints")
+
+
+@query(f"""{_SYNC} SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 11 <> 0) AS target_count, count(*) AS synced_count, count_if(old_source IS NULL) AS created_sources, count_if(old_source IS NOT NULL) AS updated_sources, count_if(old_endpoint IS NULL) AS created_endpoints, count_if(old_endpoint IS NOT NULL) AS updated_endpoints,
+  (SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT 's' || s_suppkey AS code FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 = 0)) AS missing_provinces, (SELECT count_if(loses) FROM e3) AS demoted_primary_endpoints FROM p""")
+def snk8_summary(spark, d):
+    return sync.synced(*_sync_tables(spark, d))[2]
+
+
+def _endpoints_to_override(spark, d) -> tuple[DataFrame, DataFrame]:
+    k = F.col("p_partkey")
+    n = k.cast("string")
+    p = table(spark, d, "part").select(k.alias("id"), n.alias("code"), F.when(k % 3 == 0, F.concat(F.lit("https://old/"), n)).otherwise(F.concat(F.lit("https://x/"), n)).alias("endpoint_url"), F.when(k % 4 == 0, "a").otherwise("b").alias("parser_key"), F.lit("html").alias("format"), (k % 2 == 0).alias("is_primary"))
+    entries = table(spark, d, "part").where("p_partkey % 10 <> 7").select(n.alias("code"), F.concat(F.lit("https://x/"), n).alias("official_url"), F.lit("b").alias("parser_key"), F.when(k % 25 == 1, "json").otherwise("html").alias("format"))
+    return p, entries
+
+
+@query("SELECT p_partkey AS id, p_partkey::VARCHAR AS code, CASE WHEN p_partkey % 10 = 7 AND p_partkey % 3 = 0 THEN 'https://old/' ELSE 'https://x/' END || p_partkey AS endpoint_url, CASE WHEN p_partkey % 10 = 7 AND p_partkey % 4 = 0 THEN 'a' ELSE 'b' END AS parser_key, CASE WHEN p_partkey % 10 <> 7 AND p_partkey % 25 = 1 THEN 'json' ELSE 'html' END AS format, p_partkey % 2 = 0 AS is_primary FROM part")
+def prj5_overridden(spark, d):
+    return sync.overridden(*_endpoints_to_override(spark, d))[0]
+
+
+@query("""SELECT id, code, CASE WHEN there THEN 'source_config_drift' ELSE 'source_config_missing' END AS alert_type, 'high' AS severity, CASE WHEN there THEN 'db_source_endpoint_differs_from_catalog' ELSE 'missing_source_catalog_entry:' || code END AS message,
+  CASE WHEN there THEN '{' || concat_ws(',', CASE WHEN u THEN '"endpoint_url":{"db":"https://old/' || code || '","config":"https://x/' || code || '"}' END, CASE WHEN p THEN '"parser_key":{"db":"a","config":"b"}' END, CASE WHEN f THEN '"format":{"db":"html","config":"json"}' END) || '}' END AS payload
+  FROM (SELECT p_partkey AS id, p_partkey::VARCHAR AS code, p_partkey % 10 <> 7 AS there, p_partkey % 3 = 0 AS u, p_partkey % 4 = 0 AS p, p_partkey % 25 = 1 AS f FROM part) WHERE NOT there OR u OR p OR f""")
+def prj5_drift_alerts(spark, d):
+    return sync.overridden(*_endpoints_to_override(spark, d))[1]
+
+
+@query("SELECT n_nationkey, coalesce(nullif(CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END, ''), 'Merkez') AS ilce, coalesce(CASE WHEN n_nationkey % 4 > 0 THEN 'kaynak ' || n_regionkey END, 'Bilinmiyor') AS kaynak, coalesce(CASE WHEN n_nationkey % 5 > 0 THEN n_name END, '') AS adres FROM nation")
+def prj1_served_row(spark, d):
+    k = F.col("n_nationkey")
+    n = table(spark, d, "nation").select("n_nationkey", F.when(k % 3 > 0, F.col("n_name")).alias("district"), F.when(k % 4 > 0, F.concat(F.lit("kaynak "), F.col("n_regionkey").cast("string"))).alias("source"), F.when(k % 5 > 0, F.col("n_name")).alias("address"))
+    return n.select("n_nationkey", *serving.row_defaults())
+
+
+@query("SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day FROM events")
+def dt3_fixed_zone_day(spark, d):
+    return table(spark, d, "events").select("event_id", numbers.fixed_day(F.col("ts")).alias("day"))

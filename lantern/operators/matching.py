@@ -5,8 +5,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,20 +137,63 @@ def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[C
     return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= limit(F.least(F.length("a"), F.length("b"))))
 
 
-def greedy_pairs(block: str, a: str, b: str, near: DataFrame) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """node and component, the smallest node that edges (x, y) lead to. Alternating stars: each node hangs its larger, then
+    its smaller neighbours onto the smallest one, so rounds grow with the logarithm of the longest path."""
+    edges, before = kept(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()), None
+    while True:
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
+        down = large.groupBy("x").agg(F.min("y").alias("m"))
+        small = large.join(down, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(down.select("x", F.col("m").alias("y")))
+        edges = kept(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
+        if now == before:
+            return edges.select(F.col("x").alias("node"), F.col("y").alias("component")).unionByName(edges.select(F.col("y").alias("node"), F.col("y").alias("component")).distinct())
+        before = now
+
+
+#: Rounds after which pairs that wait for each other are taken by component, and the pairs of a component that a task takes.
+ROUNDS, COMPONENT = 3, 1_000_000
+
+
+def greedy_pairs(block: str, a: str, b: str, near: DataFrame, rounds: int = ROUNDS, most: int = COMPONENT) -> DataFrame:
     """One-to-one pairs in the order of (distance, a, b): a pair holds if neither of its names has one already.
 
-    near: the block, a, b and distance. Each round takes the pairs that come first for both of their names, so the work
-    stays in aggregates and joins, and ends when none is left; a round takes at least one pair of each block. What is left
-    after a round is a table in the shared folder.
+    near: the block, a, b and distance. Each round takes the pairs that come first for both of their names. Most names are
+    done then; of the others, which wait for one another in chains, each component of bounded size is solved in a group of
+    its own, so chains of any length take no more rounds. Larger components go on by rounds. What is left after a round is a
+    table in the shared folder.
     """
-    out, near = None, kept(near)
+    out, near = [], kept(near)
+
+    def first(of: str) -> DataFrame:
+        return near.groupBy(block, of).agg(F.min(F.struct("distance", F.col(a).alias("x"), F.col(b).alias("y"))).alias("m")).select(block, F.col("m.x").alias(a), F.col("m.y").alias(b), F.col("m.distance").alias("distance"))
+
+    def solved(group: pa.Table) -> pa.Table:
+        group, used_a, used_b, held = group.sort_by([("distance", "ascending"), (a, "ascending"), (b, "ascending")]), set(), set(), []
+        for k, (x, y) in enumerate(zip(group[a].to_pylist(), group[b].to_pylist(), strict=True)):
+            if x not in used_a and y not in used_b:
+                used_a.add(x)
+                used_b.add(y)
+                held.append(k)
+        return group.take(held).select([block, a, b, "distance"])
+
+    done = 0
     while True:
-        first = lambda of, other: near.groupBy(block, of).agg(F.min(F.struct("distance", F.col(a).alias("x"), F.col(b).alias("y"))).alias("m")).select(block, F.col("m.x").alias(a), F.col("m.y").alias(b), F.col("m.distance").alias("distance"))  # noqa: E731, B023
-        taken = kept(first(a, b).intersect(first(b, a)))
+        if done == rounds:
+            hashed = near.withColumns({"_x": F.xxhash64(F.lit("a"), block, a), "_y": F.xxhash64(F.lit("b"), block, b)})
+            of = hashed.join(components(hashed.select(F.col("_x").alias("x"), F.col("_y").alias("y"))).select(F.col("node").alias("_x"), "component"), "_x")
+            of = kept(of.join(of.groupBy("component").agg(F.count("*").alias("_n")), "component"))
+            small, columns = of.where(F.col("_n") <= most), [block, a, b, "distance"]
+            out.append(kept(small.select(*columns, "component").groupBy("component", block).applyInArrow(solved, near.select(*columns).schema)))
+            near = kept(of.where(F.col("_n") > most).select(*columns))
+        taken = kept(first(a).intersect(first(b)))
+        done += 1
         if taken.isEmpty():
-            return out if out is not None else taken
-        out = taken if out is None else out.unionByName(taken)
+            return reduce(DataFrame.unionByName, out) if out else taken
+        out.append(taken)
         near = kept(near.join(taken.select(block, a), [block, a], "left_anti").join(taken.select(block, b), [block, b], "left_anti"))
 
 

@@ -74,3 +74,8 @@ def snapshot(rows: DataFrame, key: str) -> DataFrame:
 def without_flags(rows: DataFrame) -> DataFrame:
     """The row as JSON without is_degraded; coordinates only where there are any."""
     return rows.withColumn("json", F.to_json(F.struct(*[c for c in rows.columns if c != "is_degraded"])))
+
+
+def row_defaults() -> list[Column]:
+    """The served names of a row's district, source and address, with what stands for a missing one."""
+    return [F.coalesce(F.nullif("district", F.lit("")), F.lit("Merkez")).alias("ilce"), F.coalesce("source", F.lit("Bilinmiyor")).alias("kaynak"), F.coalesce("address", F.lit("")).alias("adres")]

@@ -5,18 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes df to the folder that driver and executors share (spark.checkpoint.dir) and reads it again, so that lineage ends
-    and nothing is lost with an executor. Only a local session without that setting uses a temporary folder."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a local session without that
+    setting uses a temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="lantern-")
-    path = f"{base.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it again, so that lineage ends and nothing is lost with an executor."""
+    path = new_folder(df.sparkSession, "kept")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
