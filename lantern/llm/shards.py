@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -103,7 +104,7 @@ class ShardStore:
     # shards
     def written(self, folder: str, run: int) -> list[Shard]:
         """The files of a finished write, with their rows, which Spark counts by the files' footers."""
-        rows = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.substring_index("_metadata.file_path", "/", -2).alias("name")).count().collect()
+        rows = self.spark.read.parquet(f"{self.path}/{folder}").groupBy(F.substring_index(F.input_file_name(), "/", -2).alias("name")).count().collect()
         found, walk = {r["name"]: r["count"] for r in rows}, self._fs.listFiles(self._at(folder), True)
         out = []
         while walk.hasNext():
@@ -155,10 +156,15 @@ class ShardStore:
                 break  # the shards are as large as they get
         return self.version()
 
-    def vacuum(self, keep: int = 1) -> None:
+    def vacuum(self, keep: int = 1, orphans: float = 86_400.0) -> None:
         """Forgets all but the newest versions, and deletes the shards that only the others list. Readers of those must
-        have ended."""
+        have ended. Folders that no version lists go too when nothing has been written to them for so many seconds: an
+        append that died has left them."""
         version = self.version()
+        known = {s.path.split("/")[1] for v in range(version, 0, -1) if self._fs.exists(self._at(f"manifests/v{v:010d}.json")) for s in self.shards(v)}
+        for f in self._fs.listStatus(self._at("data")) if self._fs.exists(self._at("data")) else []:
+            if f.getPath().getName() not in known and time.time() - self._touched(f) > orphans:
+                self._fs.delete(f.getPath(), True)
         listed = {s.path for v in range(max(version - keep, 0) + 1, version + 1) for s in self.shards(v)}
         for v in range(version - keep, 0, -1):
             name = self._at(f"manifests/v{v:010d}.json")
@@ -169,6 +175,13 @@ class ShardStore:
                     self._fs.delete(self._at(s.path), False)
             self._fs.delete(name, False)
 
+    def _touched(self, folder) -> float:
+        """When a folder or anything in it was last changed."""
+        last, walk = folder.getModificationTime(), self._fs.listFiles(folder.getPath(), True)
+        while walk.hasNext():
+            last = max(last, walk.next().getModificationTime())
+        return last / 1000
+
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version."""
         return self.spark.read.parquet(*[f"{self.path}/{s.path}" for s in self.shards(version)])
@@ -210,5 +223,5 @@ def sharded(docs: DataFrame, path: str, arrivals: int = 8, **options) -> DataFra
     names = sorted("/".join(s.path.rsplit("/", 2)[1:]) for s in store.shards(version))
     order = spark.createDataFrame(list(enumerate(names)), "shard int, name string")
     data = F.col("text").cast("string").cast("binary")
-    rows = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.substring_index("_metadata.file_path", "/", -2).alias("name"))
+    rows = store.read(version).select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(data).cast("long").alias("n_bytes"), F.crc32(data).alias("text_crc32"), F.substring_index(F.input_file_name(), "/", -2).alias("name"))
     return rows.join(order, "name").select("doc_id", "shard", F.lit(len(names)).alias("n_shards"), "n_bytes", "text_crc32")

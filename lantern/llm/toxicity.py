@@ -24,8 +24,6 @@ from lantern.llm.weak import LabelModel, Linear, fit_label_model, fit_linear, ha
 #: Labelled rows that the model is fitted on, at most; those of the smallest hashes.
 SAMPLE = 12_000
 DIM = 1 << 20
-#: Learnt features kept, at most.
-FEATURES = 20_000
 WORD = re.compile(r"\w+")
 BEGINNINGS = (3, 4, 5, 6)
 #: The share of toxic texts from which a learnt feature stands in a lexicon.
@@ -86,9 +84,10 @@ def _training(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return written(found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "training")  # of a repeated id one row, so the bound holds
 
 
-def learn_features(training: DataFrame, most: int = FEATURES) -> dict[str, float]:
+def learn_features(training: DataFrame) -> dict[str, float]:
     """Features that go with toxic texts beyond chance: texts that have it times the divergence of their share of toxic
-    ones from that of all texts exceeds the logarithm of the number of features tried. Each with its share of toxic texts."""
+    ones from that of all texts exceeds the logarithm of the number of features tried. Each with its share of toxic texts;
+    all that pass are kept, so the bound of the training rows bounds them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +108,7 @@ def learn_features(training: DataFrame, most: int = FEATURES) -> dict[str, float
     p = F.col("t") / F.col("n")
     gain = p * F.log(p / total) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - total))).otherwise(0.0)
     tried = counted.withColumn("gain", F.when(p > total, F.col("n") * gain).otherwise(0.0))
-    kept = tried.where(F.col("gain") > float(np.log(max(counted.count(), 2)))).orderBy(F.desc("gain"), "feature").limit(most)
+    kept = tried.where(F.col("gain") > float(np.log(max(counted.count(), 2))))
     return {r["feature"]: r["p"] for r in kept.select("feature", p.alias("p")).collect()}
 
 
