@@ -181,10 +181,14 @@ def distance_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: flo
     asked = pd.DataFrame({"query_id": chosen["vec_id"], "v": chosen["v"]})
 
     def run(batches):
+        held = []  # the nearest of the task so far: k rows a query
         for batch in batches:
             some = pd.DataFrame({"vec_id": batch["vec_id"].to_numpy(), "v": list(_matrix(batch["v"]))})
             near = nearest_in(asked, some, k)
             near["v"] = near["vec_id"].map(dict(zip(some["vec_id"], some["v"], strict=True)))
+            best = pd.concat([*held, near]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            held = [best.groupby("query_id").head(k)]
+        for near in held:
             yield pa.RecordBatch.from_pandas(near, preserve_index=False)
 
     near = vectors.select("vec_id", "v").mapInArrow(run, "query_id long, vec_id long, score double, v array<double>")
