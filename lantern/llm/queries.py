@@ -139,7 +139,61 @@ _WEIGHTED = [
     _weighted("domain, lang", "source", "SELECT l.domain, l.lang, l.source, l.capacity, l.tokens, g.given AS budget FROM leaves l JOIN langs g USING (domain, lang)"),
 ]
 
+def _nearest(centroids: str) -> str:
+    """SQL for the nearest of 16 centroids, compared with all of them."""
+    apart = "list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    return f"SELECT x.vec_id, any_value(x.v) AS v, min({{'d': CAST({apart} AS BIGINT), 'k': c.k}}) AS best FROM kept x, {centroids} c GROUP BY x.vec_id"
+
+
+def _moved(old: str, assigned: str) -> str:
+    means = f"SELECT k, list(CAST(floor(total / n) AS BIGINT) ORDER BY place) AS v FROM (SELECT best.k AS k, place, sum(v[place])::DOUBLE AS total, count(*) AS n FROM {assigned}, (SELECT unnest(range(1, 65)) AS place) GROUP BY best.k, place) GROUP BY k"
+    return f"SELECT o.k, coalesce(m.v, o.v) AS v FROM {old} o LEFT JOIN ({means}) m ON m.k = o.k"
+
+
+_CLUSTERS = f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INT) AS k, v FROM kept ORDER BY sha256('1:' || vec_id) LIMIT 16),
+a0 AS MATERIALIZED ({_nearest("c0")}), c1 AS MATERIALIZED ({_moved("c0", "a0")}), a1 AS MATERIALIZED ({_nearest("c1")}), c2 AS MATERIALIZED ({_moved("c1", "a1")}),
+a2 AS MATERIALIZED ({_nearest("c2")}), c3 AS MATERIALIZED ({_moved("c2", "a2")}), a3 AS MATERIALIZED ({_nearest("c3")})
+SELECT vec_id, best.k AS cluster, best.d AS distance, CAST(sum(best.d) OVER (PARTITION BY best.k) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c3.v, ',')) AS centroid_sha256 FROM a3 JOIN c3 ON c3.k = best.k"""
+
+# the damage's checksum byte by byte and bit by bit, least costs by a recursion over turns, and the repaired lines from the audit
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(substring({0}, i, 1))::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda t, u: xor(t >> 1, CASE WHEN t & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+_STEP = "CASE WHEN {0} = 2 THEN 3 ELSE 2 END"
+_WHITE = "\\x20\\x09-\\x0D"
+_REPAIR = f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations),
+hurt AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS pos FROM hurt),
+d AS MATERIALIZED (SELECT *, role[1] AS initial, CASE WHEN NOT regexp_matches(text, '[^{_WHITE}]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][{_WHITE}]*$') THEN 'truncated' ELSE '' END AS fault,
+  lag(role[1]) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+r AS (SELECT conv_id, 0::BIGINT AS pos, state, {{'c': cost, 'a': audit}} AS best FROM ids, (VALUES (0, 0, ''), (2, 2, 'I'), (3, 4, 'II')) AS t(state, cost, audit)
+  UNION ALL
+  SELECT conv_id, pos, state, min({{'c': cost, 'a': audit}}) AS best FROM (
+    SELECT conv_id, pos, CASE n WHEN 0 THEN to_state WHEN 1 THEN {_STEP.format("to_state")} WHEN 2 THEN {_STEP.format("(" + _STEP.format("to_state") + ")")} ELSE {_STEP.format("to_state")} END AS state, cost + 2 * n AS cost, audit || repeat('I', n) AS audit
+    FROM (SELECT conv_id, pos, unnest([0, 1, 2, 3]) AS n, way.s AS to_state, way.c AS cost, way.a AS audit FROM (
+      SELECT r.conv_id, d.pos, unnest(list_filter([
+        {{'s': r.state, 'c': r.best.c + 3, 'a': r.best.a || 'D'}},
+        CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {{'s': {_STEP.format("r.state")}, 'c': r.best.c + 2 + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'a': r.best.a || 'R'}} END,
+        CASE WHEN fault NOT IN ('blank', 'duplicate') AND (r.state = 0 AND initial IN ('s', 'u') OR r.state IN (1, 3) AND initial = 'u' OR r.state = 2 AND initial = 'a') THEN {{'s': CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, 'c': r.best.c + CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END, 'a': r.best.a || 'K'}} END
+      ], lambda x: x IS NOT NULL)) AS way FROM r JOIN d ON d.conv_id IS NOT DISTINCT FROM r.conv_id AND d.pos = r.pos + 1))
+  ) GROUP BY conv_id, pos, state),
+seen AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(fault = 'blank') AS blank, count_if(fault = 'duplicate') AS duplicate, count_if(fault = 'truncated') AS truncated, count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(pos) AS n FROM d GROUP BY conv_id),
+least AS (SELECT ids.conv_id, min(r.best) AS best FROM ids LEFT JOIN seen ON seen.conv_id IS NOT DISTINCT FROM ids.conv_id JOIN r ON r.conv_id IS NOT DISTINCT FROM ids.conv_id AND r.pos = coalesce(seen.n, 0) AND r.state IN (0, 3) GROUP BY ids.conv_id),
+edits AS (SELECT conv_id, ord, edit, count_if(edit <> 'I') OVER (PARTITION BY conv_id ORDER BY ord) AS pos FROM (SELECT conv_id, unnest(range(1, length(best.a) + 1)) AS ord, best.a[unnest(range(1, length(best.a) + 1))] AS edit FROM least)),
+kept AS (SELECT e.conv_id, e.ord, e.edit, d.role, CASE WHEN e.edit = 'I' THEN '' ELSE d.text END AS text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.ord) - 1 AS q FROM edits e LEFT JOIN d ON d.conv_id IS NOT DISTINCT FROM e.conv_id AND d.pos = e.pos WHERE e.edit <> 'D'),
+lines AS (SELECT conv_id, ord, CASE WHEN edit = 'K' THEN role WHEN (q - CASE WHEN first_value(edit = 'K' AND role[1] = 's') OVER w THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text AS line FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY ord)),
+whole AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY ord)) AS digest FROM lines GROUP BY conv_id)
+SELECT l.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  CAST(l.best.c AS BIGINT) AS cost, l.best.a AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM least l LEFT JOIN seen s ON s.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM l.conv_id"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_annulus_centroids": _CLUSTERS,
+    "op13_conversation_repair": _REPAIR,
     "op9_stupid_backoff": r"""
 WITH words AS (SELECT row, doc_id, w, p, LAG(w) OVER (PARTITION BY row ORDER BY p) AS v FROM (
   SELECT row, doc_id, UNNEST(ws) AS w, UNNEST(range(len(ws))) AS p FROM (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(text, '\S+') AS ws FROM documents WHERE doc_id IS NOT NULL))),
