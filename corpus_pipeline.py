@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lantern.llm import bpe, mixing, neardup, quality, queries, toxicity
-from lantern.llm.common import table, written
+from lantern.llm.common import remove, scratch, table
 
 #: The mixture's tokens as a share of those that are left, and how often a document may come.
 SHARE, EPOCHS = 0.8, 2
@@ -56,7 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each other stage's documents are a table in the shared folder, which goes when the next one
+    is written; that of the last but one stays, as the result reads it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        (kept := stage(spark, docs, sf_dir)).write.parquet(path)
+        docs = spark.read.schema(kept.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -472,7 +472,10 @@ def _lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ours, c.where("ord % 13 <> 0")
 
 
-@query()
+@query("""WITH n AS (SELECT c_custkey AS k, c_nationkey AS block, c_mktsegment AS seg, c_name, upper(c_name) AS cand, upper(replace(c_name, 'tom', 'tm')) AS mine, replace(c_name, 'tom', 'tm') || ' Ecz' AS name FROM customer),
+  p AS (SELECT r.k AS row_id, r.name, c.c_name, c.k AS ord, 0.6::DOUBLE * greatest(1 - levenshtein(r.mine, c.cand) / greatest(length(r.mine), length(c.cand))::DOUBLE, jaro_winkler_similarity(r.mine, c.cand)) + 0.15::DOUBLE * CASE WHEN r.seg = c.seg THEN 1 ELSE jaro_winkler_similarity(lower(r.seg), lower(c.seg)) END AS score FROM n r JOIN n c ON c.block = r.block),
+  b AS (SELECT row_id, any_value(name) AS name, max({'s': score, 'o': -ord}).s AS s, arg_max(c_name, {'s': score, 'o': -ord}) AS match FROM p GROUP BY row_id)
+  SELECT row_id, name, CASE WHEN s >= 0.5 THEN match END AS match, CASE WHEN s < 0.5 THEN 'no_match' WHEN s >= 0.95 THEN 'exact' WHEN s >= 0.75 THEN 'fuzzy' ELSE 'normalized' END AS match_type, CASE WHEN s >= 0.5 THEN round(s, 3) ELSE s END AS confidence FROM b""")
 def jn13_best_match(spark, d):
     c = table(spark, d, "customer")
     near = c.select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("row_id"), F.concat(F.replace("c_name", F.lit("tom"), F.lit("tm")), F.lit(" Ecz")).alias("name"), F.col("c_mktsegment").alias("district"), F.lit("").alias("phone"))
@@ -498,7 +501,12 @@ def _districts(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("ord", order).withColumn("id", F.col("block") * 100 + order).withColumn("slug", text.slugify(F.col("name")))
 
 
-@query()
+@query(f"""WITH d AS (SELECT *, block * 100 + ord AS id, {SLUG.format('name')} AS slug, lower(name) AS d_name FROM (SELECT c_nationkey AS block, c_mktsegment AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS ord FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer))),
+  r AS (SELECT c_custkey AS row_id, c_nationkey AS block, [c_mktsegment, c_mktsegment || ' Belediyesi', 'X' || c_mktsegment, 'İl Merkezi', ''][c_custkey % 5 + 1] AS raw FROM customer),
+  m AS (SELECT r.*, {SLUG.format('raw')} AS r_slug, regexp_replace(regexp_replace(lower(translate(trim(raw), 'İ', 'I')), '\\s+merkezi\\s*$', ''), '\\s+belediyesi\\s*$', '') AS r_name FROM r),
+  f AS (SELECT row_id, min(d.id) FILTER (raw <> '' AND d.slug = r_slug) AS exact, min(d.id) FILTER (raw <> '' AND d_name = r_name) AS normalized,
+    arg_max(d.id, {{'s': jaro_winkler_similarity(r_name, d_name), 'o': -ord}}) FILTER (length(r_name) >= 4 AND jaro_winkler_similarity(r_name, d_name) >= 0.85) AS fuzzy, arg_min(d.id, ord) AS other FROM m JOIN d USING (block) GROUP BY row_id)
+  SELECT row_id, coalesce(exact, normalized, fuzzy, other) AS district_id, CASE WHEN exact IS NOT NULL THEN 'exact' WHEN normalized IS NOT NULL THEN 'normalized' WHEN fuzzy IS NOT NULL THEN 'fuzzy' ELSE 'fallback' END AS level FROM f""")
 def jn17_resolve_districts(spark, d):
     raw = F.element_at(F.array(F.col("c_mktsegment"), F.concat("c_mktsegment", F.lit(" Belediyesi")), F.concat(F.lit("X"), "c_mktsegment"), F.lit("İl Merkezi"), F.lit("")), (F.col("c_custkey") % 5 + 1).cast("int"))
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_nationkey").alias("block"), raw.alias("raw"))
@@ -792,7 +800,10 @@ def prs14_json_rows(spark, d):
     return c.select("c_custkey", F.explode(rows).alias("r")).select("c_custkey", "r.name", "r.district", "r.address", "r.phone")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+  r AS (SELECT user_id, ts, n, ts AS start, 1 AS used FROM e WHERE n = 1
+    UNION ALL SELECT e.user_id, e.ts, e.n, CASE WHEN e.ts - r.start >= INTERVAL 3600 SECOND THEN e.ts ELSE r.start END, CASE WHEN e.ts - r.start >= INTERVAL 3600 SECOND THEN 1 ELSE r.used + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
+  SELECT user_id AS key, ts, used <= 2 AS allowed FROM r""")
 def str2_rate_limit(spark, d):
     return state.rate_limit(table(spark, d, "events").select(F.col("user_id").alias("key"), "ts"), limit=2, seconds=3600.0)
 
