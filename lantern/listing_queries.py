@@ -166,7 +166,7 @@ def prj4_spread(spark, d):
 
 # catalog
 _PROVINCES = "(SELECT unnest(" + "[" + ", ".join(f"'{p}'" for p in catalog.PROVINCES) + "]) AS name, unnest(range(1, 82)) AS k)"
-_REGIONS = " UNION ALL ".join(f"SELECT '{r}' AS region, unnest(string_split('{s}', ' ')) AS slug, unnest(range({len(s.split())})) AS place" for r, s in catalog.REGIONS.items())
+_REGIONS = " UNION ALL ".join(f"SELECT '{r}' AS region, unnest(string_split('{' '.join(s)}', ' ')) AS slug, unnest(range({len(s)})) AS place" for r, s in catalog.REGIONS.items())
 
 
 @query(f"SELECT s_suppkey, code, name, lower(name) AS slug FROM supplier LEFT JOIN (SELECT lpad(k::VARCHAR, 2, '0') AS code, name FROM {_PROVINCES}) ON code = lpad((s_suppkey % 90)::VARCHAR, 2, '0')")

@@ -218,10 +218,10 @@ def sc24_alert_text(spark, d):
     return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.upper(level), F.lit("] "), kind, F.lit(": "), F.substring("props", 1, 200), F.lit(" ("), when, F.lit(")")).alias("line"))
 
 
-_LEVELS = ["high", "medium", "low", "critical", "", "x"]
+_LEVELS = ["high", "medium", " Low ", "critical", "", "x", "HIGH\t"]
 
 
-@query(f"SELECT event_id, CASE {sql_picked(_LEVELS, 'event_id')} WHEN 'high' THEN 'critical' WHEN 'critical' THEN 'critical' WHEN 'low' THEN 'info' ELSE 'warning' END AS severity FROM events")
+@query(f"SELECT event_id, CASE trim(lower({sql_picked(_LEVELS, 'event_id')}), chr(9) || ' ') WHEN 'high' THEN 'critical' WHEN 'critical' THEN 'critical' WHEN 'low' THEN 'info' ELSE 'warning' END AS severity FROM events")
 def sc25_severity(spark, d):
     return table(spark, d, "events").select("event_id", text.severity(picked(_LEVELS, "event_id")).alias("severity"))
 
@@ -340,7 +340,7 @@ def nu9_minutes_since(spark, d):
 
 @query("SELECT n_nationkey, CAST((row_number() OVER (ORDER BY n_name) - 1) % 4 AS INT) AS shard FROM nation")
 def nu10_shards(spark, d):
-    return table(spark, d, "nation").select("n_nationkey", ((F.row_number().over(Window.orderBy("n_name")) - 1) % 4).alias("shard"))
+    return ranges.placed(table(spark, d, "nation").select("n_nationkey", "n_name"), [], [F.col("n_name")]).select("n_nationkey", ((F.col("place") - 1) % 4).alias("shard"))
 
 
 @query("SELECT event_id, CAST(ts + INTERVAL 3 HOUR AS DATE) AS day FROM events")
@@ -876,7 +876,7 @@ def jn16_closest_name(spark, d):
     n = table(spark, d, "nation")
     s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.upper(F.expr("substring(n_name, 2)")).alias("name"), "n_regionkey")
     far = F.levenshtein("name", "n_name", 2)
-    near = s.join(F.broadcast(n), "n_regionkey").withColumn("far", far).where("far >= 0")
+    near = s.join(n, "n_regionkey").withColumn("far", far).where("far >= 0")
     return near.groupBy("s_suppkey").agg(F.min_by("n_name", F.struct("far", "n_nationkey")).alias("closest"))
 
 

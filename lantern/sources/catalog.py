@@ -8,21 +8,44 @@ from pyspark.sql import functions as F
 from lantern.functions import text
 
 # The provinces in the order of their codes, 01 to 81.
-PROVINCES = (
-    "Adana Adiyaman Afyonkarahisar Agri Amasya Ankara Antalya Artvin Aydin Balikesir Bilecik Bingol Bitlis Bolu Burdur Bursa Canakkale Cankiri Corum Denizli Diyarbakir Edirne Elazig Erzincan Erzurum "
-    "Eskisehir Gaziantep Giresun Gumushane Hakkari Hatay Isparta Mersin Istanbul Izmir Kars Kastamonu Kayseri Kirklareli Kirsehir Kocaeli Konya Kutahya Malatya Manisa Kahramanmaras Mardin Mugla Mus "
-    "Nevsehir Nigde Ordu Rize Sakarya Samsun Siirt Sinop Sivas Tekirdag Tokat Trabzon Tunceli Sanliurfa Usak Van Yozgat Zonguldak Aksaray Bayburt Karaman Kirikkale Batman Sirnak Bartin Ardahan Igdir "
-    "Yalova Karabuk Kilis Osmaniye Duzce"
-).split()
+PROVINCES = [
+    "Adana", "Adiyaman", "Afyonkarahisar", "Agri", "Amasya", "Ankara", "Antalya", "Artvin", "Aydin", "Balikesir",
+    "Bilecik", "Bingol", "Bitlis", "Bolu", "Burdur", "Bursa", "Canakkale", "Cankiri", "Corum", "Denizli",
+    "Diyarbakir", "Edirne", "Elazig", "Erzincan", "Erzurum", "Eskisehir", "Gaziantep", "Giresun", "Gumushane", "Hakkari",
+    "Hatay", "Isparta", "Mersin", "Istanbul", "Izmir", "Kars", "Kastamonu", "Kayseri", "Kirklareli", "Kirsehir",
+    "Kocaeli", "Konya", "Kutahya", "Malatya", "Manisa", "Kahramanmaras", "Mardin", "Mugla", "Mus", "Nevsehir",
+    "Nigde", "Ordu", "Rize", "Sakarya", "Samsun", "Siirt", "Sinop", "Sivas", "Tekirdag", "Tokat",
+    "Trabzon", "Tunceli", "Sanliurfa", "Usak", "Van", "Yozgat", "Zonguldak", "Aksaray", "Bayburt", "Karaman",
+    "Kirikkale", "Batman", "Sirnak", "Bartin", "Ardahan", "Igdir", "Yalova", "Karabuk", "Kilis", "Osmaniye",
+    "Duzce",
+]
 # The regions and their provinces. Two provinces are in none.
 REGIONS = {
-    "Marmara": "istanbul tekirdag edirne kirklareli balikesir canakkale bursa kocaeli sakarya duzce bolu yalova bilecik",
-    "Ege": "izmir manisa aydin denizli mugla afyonkarahisar kutahya usak",
-    "Akdeniz": "antalya isparta burdur mersin adana osmaniye hatay kahramanmaras",
-    "İç Anadolu": "ankara konya eskisehir aksaray karaman nigde nevsehir kirsehir kirikkale cankiri kayseri sivas",
-    "Karadeniz": "trabzon rize artvin giresun ordu samsun sinop kastamonu bartin zonguldak karabuk amasya tokat gumushane bayburt",
-    "Doğu Anadolu": "erzurum erzincan malatya elazig bingol tunceli van mus bitlis agri igdir ardahan kars",
-    "Güneydoğu Anadolu": "gaziantep adiyaman sanliurfa diyarbakir mardin siirt batman sirnak kilis hakkari",
+    "Marmara": [
+        "istanbul", "tekirdag", "edirne", "kirklareli", "balikesir", "canakkale", "bursa", "kocaeli", "sakarya", "duzce",
+        "bolu", "yalova", "bilecik",
+    ],
+    "Ege": [
+        "izmir", "manisa", "aydin", "denizli", "mugla", "afyonkarahisar", "kutahya", "usak",
+    ],
+    "Akdeniz": [
+        "antalya", "isparta", "burdur", "mersin", "adana", "osmaniye", "hatay", "kahramanmaras",
+    ],
+    "İç Anadolu": [
+        "ankara", "konya", "eskisehir", "aksaray", "karaman", "nigde", "nevsehir", "kirsehir", "kirikkale", "cankiri",
+        "kayseri", "sivas",
+    ],
+    "Karadeniz": [
+        "trabzon", "rize", "artvin", "giresun", "ordu", "samsun", "sinop", "kastamonu", "bartin", "zonguldak",
+        "karabuk", "amasya", "tokat", "gumushane", "bayburt",
+    ],
+    "Doğu Anadolu": [
+        "erzurum", "erzincan", "malatya", "elazig", "bingol", "tunceli", "van", "mus", "bitlis", "agri",
+        "igdir", "ardahan", "kars",
+    ],
+    "Güneydoğu Anadolu": [
+        "gaziantep", "adiyaman", "sanliurfa", "diyarbakir", "mardin", "siirt", "batman", "sirnak", "kilis", "hakkari",
+    ],
 }
 # What a hard issue begins with.
 HARD = ["missing_config:", "unknown_config_code:", "invalid_url:"]
@@ -36,7 +59,7 @@ def provinces(spark: SparkSession) -> DataFrame:
 
 def regions(spark: SparkSession) -> DataFrame:
     """region, slug and place, the place of the province in its region's list."""
-    return spark.createDataFrame([(r, s, k) for r, slugs in REGIONS.items() for k, s in enumerate(slugs.split())], "region string, slug string, place int")
+    return spark.createDataFrame([(r, s, k) for r, slugs in REGIONS.items() for k, s in enumerate(slugs)], "region string, slug string, place int")
 
 
 def same_region(slugs: DataFrame, regions_: DataFrame, most: int = 8) -> DataFrame:
