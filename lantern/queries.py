@@ -149,17 +149,41 @@ def sc13_levenshtein(spark, d):
     return neighbours(spark, d).select("p_partkey", F.levenshtein(a, b).alias("edits"), F.round(similarity.levenshtein_similarity(a, b), 9).alias("sim"))
 
 
-@query()
+def winkler_sql(pairs: str) -> str:
+    """SQL for the Jaro-Winkler similarity s of each row of pairs (id, a, b): letters of a take the first free equal one of b
+    within reach, one after the other; transpositions count half."""
+    step = """list_reduce(list_prepend({'free': string_split(b, ''), 'mine': [''], 'i': 0::BIGINT, 'c': ''}, list_transform(range(1, length(a) + 1), lambda i: {'free': [''], 'mine': [''], 'i': i, 'c': a[i]})),
+      lambda t, e: CASE WHEN coalesce(list_position(t.free[greatest(1, e.i - reach):e.i + reach], e.c), 0) > 0
+        THEN {'free': list_transform(t.free, lambda x, k: CASE WHEN k = greatest(1, e.i - reach) - 1 + list_position(t.free[greatest(1, e.i - reach):e.i + reach], e.c) THEN '' ELSE x END), 'mine': list_append(t.mine, e.c), 'i': t.i, 'c': ''}
+        ELSE {'free': t.free, 'mine': t.mine, 'i': t.i, 'c': ''} END)"""
+    return f"""SELECT id, CASE WHEN a = b THEN 1 WHEN m = 0 THEN 0 ELSE jaro + 0.1::DOUBLE * prefix * (1 - jaro) END AS s FROM (
+      SELECT *, (m / length(a) + m / length(b) + (m - len(list_filter(list_zip(mine, theirs), lambda z: z[1] <> z[2])) / 2.0::DOUBLE) / m) / 3 AS jaro FROM (
+        SELECT id, a, b, prefix, len(mine)::DOUBLE AS m, mine, list_transform(list_filter(list_zip(string_split(b, ''), state.free), lambda z: z[2] = ''), lambda z: z[1]) AS theirs FROM (
+          SELECT *, state.mine[2:] AS mine, CASE WHEN length(a) = 0 OR length(b) = 0 OR a[1] <> b[1] THEN 0 WHEN a[:2] <> b[:2] OR least(length(a), length(b)) < 2 THEN 1 WHEN a[:3] <> b[:3] OR least(length(a), length(b)) < 3 THEN 2 WHEN a[:4] <> b[:4] OR least(length(a), length(b)) < 4 THEN 3 ELSE 4 END AS prefix
+          FROM (SELECT *, {step} AS state FROM (SELECT id, a, b, greatest(length(a), length(b)) // 2 - 1 AS reach FROM ({pairs}))))))"""
+
+
+def _token_pairs(pairs: str) -> str:
+    """SQL for the pairs of texts that the token set similarity compares."""
+    return f"""SELECT id, unnest([array_to_string(common, ' '), array_to_string(common, ' '), array_to_string(x, ' ')]) AS a, unnest([array_to_string(x, ' '), array_to_string(y, ' '), array_to_string(y, ' ')]) AS b
+      FROM (SELECT id, x, y, list_sort(list_intersect(x, y)) AS common FROM (SELECT id, list_sort(list_distinct(list_filter(string_split(a, ' '), lambda t: t <> ''))) AS x, list_sort(list_distinct(list_filter(string_split(b, ' '), lambda t: t <> ''))) AS y FROM ({pairs})))"""
+
+
+_NAMES = f"SELECT a.p_partkey AS id, a.p_name AS a, b.p_name AS b {_PAIRS}"
+
+
+@query(f"SELECT id AS p_partkey, s AS sim FROM ({winkler_sql(_NAMES)})")
 def sc14_jaro_winkler(spark, d):
     return neighbours(spark, d).select("p_partkey", similarity.jaro_winkler(F.col("p_name"), F.col("other")).alias("sim"))
 
 
-@query()
+@query(f"SELECT id AS p_partkey, max(s)::DOUBLE AS sim FROM ({winkler_sql(_token_pairs(_NAMES))}) GROUP BY id")
 def sc15_token_set(spark, d):
     return neighbours(spark, d).select("p_partkey", similarity.token_set(F.col("p_name"), F.col("other")).alias("sim"))
 
 
-@query()
+@query(f"""SELECT id AS p_partkey, max(s)::DOUBLE AS sim FROM ({winkler_sql(f"{_token_pairs(_NAMES)} UNION ALL {_NAMES}")}
+  UNION ALL SELECT id, 1 - levenshtein(a, b) / greatest(length(a), length(b))::DOUBLE FROM ({_NAMES})) GROUP BY id""")
 def sc16_best_similarity(spark, d):
     return neighbours(spark, d).select("p_partkey", similarity.best_similarity(F.col("p_name"), F.col("other")).alias("sim"))
 
@@ -483,13 +507,30 @@ def jn13_best_match(spark, d):
     return matching.best_match(near, names, ["block"])
 
 
-@query()
+# pairs in their order, one after the other, with what is used so far
+_DIFFERENCE = """WITH RECURSIVE c AS (SELECT c_nationkey AS block, c_custkey AS k, replace(c_name, '#', ' ') || ' Eczanesi' AS name FROM customer),
+  ours AS (SELECT block, name AS ours, upper(replace(name, ' Eczanesi', '')) AS norm FROM (SELECT block, CASE WHEN k % 7 = 0 THEN replace(name, 'tom', 'tm') ELSE name END AS name FROM c WHERE k % 11 <> 0)),
+  official AS (SELECT block, name AS official, upper(replace(name, ' Eczanesi', '')) AS norm FROM c WHERE k % 13 <> 0),
+  both_ AS (SELECT coalesce(o.block, u.block) AS block, coalesce(o.norm, u.norm) AS norm, official, ours FROM official o FULL JOIN ours u ON u.block = o.block AND u.norm = o.norm),
+  near AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY distance, a, b) AS n FROM (SELECT m.block, m.norm AS a, x.norm AS b, levenshtein(m.norm, x.norm) AS distance, least(length(m.norm), length(x.norm)) AS size FROM both_ m JOIN both_ x ON x.block = m.block WHERE m.ours IS NULL AND x.official IS NULL)
+    WHERE distance <= CASE WHEN size <= 6 THEN 1 WHEN size <= 10 THEN 2 WHEN size <= 16 THEN 3 WHEN size <= 22 THEN 4 ELSE 5 END),
+  g AS (SELECT DISTINCT block, 0::BIGINT AS n, ['']::VARCHAR[] AS used_a, ['']::VARCHAR[] AS used_b, ''::VARCHAR AS a, ''::VARCHAR AS b, false AS taken FROM near
+    UNION ALL SELECT g.block, near.n, CASE WHEN ok THEN list_append(used_a, near.a) ELSE used_a END, CASE WHEN ok THEN list_append(used_b, near.b) ELSE used_b END, near.a, near.b, ok
+      FROM g JOIN near ON near.block = g.block AND near.n = g.n + 1, LATERAL (SELECT NOT list_contains(g.used_a, near.a) AND NOT list_contains(g.used_b, near.b) AS ok)),
+  pairs AS (SELECT g.block, g.a, g.b, near.distance FROM g JOIN near ON near.block = g.block AND near.n = g.n WHERE taken),
+  diff AS (SELECT block, 'matched' AS kind, official, ours, 0 AS distance FROM both_ WHERE official IS NOT NULL AND ours IS NOT NULL
+    UNION ALL SELECT p.block, 'mismatch', m.official, x.ours, p.distance FROM pairs p JOIN both_ m ON m.block = p.block AND m.norm = p.a JOIN both_ x ON x.block = p.block AND x.norm = p.b
+    UNION ALL SELECT b.block, CASE WHEN ours IS NULL THEN 'missing' ELSE 'extra' END, official, ours, NULL FROM both_ b WHERE (ours IS NULL AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.block = b.block AND p.a = b.norm)) OR (official IS NULL AND NOT EXISTS (SELECT 1 FROM pairs p WHERE p.block = b.block AND p.b = b.norm)))"""
+
+
+@query(f"{_DIFFERENCE} SELECT block, kind, official, ours, CAST(distance AS INT) AS distance FROM diff")
 def jn14_name_difference(spark, d):
     ours, official = _lists(spark, d)
     return matching.name_difference(ours, official, "block")
 
 
-@query()
+@query(f"""{_DIFFERENCE} SELECT block, n_matched, n_mismatch, n_missing, n_extra, CASE WHEN n_missing + n_extra > 0 THEN 'high' WHEN n_mismatch > 0 THEN 'medium' ELSE 'low' END AS severity
+  FROM (SELECT block, count_if(kind = 'matched') AS n_matched, count_if(kind = 'mismatch') AS n_mismatch, count_if(kind = 'missing') AS n_missing, count_if(kind = 'extra') AS n_extra FROM diff GROUP BY block)""")
 def or1_difference_severity(spark, d):
     ours, official = _lists(spark, d)
     return matching.difference_severity(matching.name_difference(ours, official, "block"), "block")
