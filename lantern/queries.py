@@ -104,6 +104,25 @@ def sc6_pharmacy_name(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.pharmacy_name(picked(RAW_NAMES, "c_custkey")).alias("norm"))
 
 
+_QUIRKS = ["12. KONAK ECZX", "ECZANE", "Çelik-Öz ECZ.", "DR. AHMET", "AKSU (" + "u" * 41 + ")", "AKSU (kısa) ECZANELERİ", "Nöbetçi A.B/C NO: 3"]
+
+
+@query(f"SELECT c_custkey, array_to_string(list_filter(list_transform(string_split_regex({_NAME.format(f"({sql_picked(_QUIRKS, 'c_custkey')} || CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ' ' || c_mktsegment END)")}, '\\s+'), lambda t: {_TOKEN}), lambda t: t <> ''), ' ') AS norm FROM customer")
+def sc6q_name_quirks(spark, d):
+    """Dots go first, so list numbers and dotted titles stay; the ending ECZ. takes any letter; a bare ECZANE stays."""
+    name = F.concat(picked(_QUIRKS, "c_custkey"), F.when(F.col("c_custkey") % 2 == 0, "").otherwise(F.concat(F.lit(" "), "c_mktsegment")))
+    return table(spark, d, "customer").select("c_custkey", text.pharmacy_name(name).alias("norm"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 IN (1, 3) THEN json_extract_string(props, '$.k') END AS k, CAST(CASE WHEN event_id % 5 IN (1, 3) THEN len(json_keys(props)) ELSE 0 END AS INT) AS n FROM events")
+def js5_safe_json(spark, d):
+    """Whole objects, cut ones, lists and nulls."""
+    k, props = F.col("event_id") % 5, F.col("props")
+    raw = F.when(k == 0, F.expr("substring(props, 1, length(props) - 1)")).when(k == 2, F.concat(F.lit("["), props, F.lit("]"))).when(k != 4, props)
+    fields = pages.safe_json(raw)
+    return table(spark, d, "events").select("event_id", F.try_element_at(fields, F.lit("k")).alias("k"), F.size(fields).alias("n"))
+
+
 @query()
 def sc7_script_name(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.script_name(picked(RAW_NAMES, "c_custkey")).alias("norm"))

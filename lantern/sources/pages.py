@@ -427,6 +427,11 @@ ALIASES = {
 ROOTS = ["data", "pharmacies", "result", "items"]
 
 
+def safe_json(payload: Column) -> Column:
+    """The fields of a JSON object as texts; none if it is broken, null or no object."""
+    return F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
 def json_rows(payload: Column) -> Column:
     """Rows of a JSON list, at the root or under a known key. The first key that is there wins, even if it is empty."""
     maps = "array<map<string,string>>"
