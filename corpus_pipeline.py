@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lantern.llm import bpe, mixing, neardup, quality, queries, toxicity
 from lantern.llm.common import remove, scratch, table
