@@ -745,7 +745,7 @@ def snk8_endpoints(spark, d):
 
 
 @query(f"""{_SYNC} SELECT (SELECT count(*) FROM supplier WHERE s_suppkey % 11 <> 0) AS target_count, count(*) AS synced_count, count_if(old_source IS NULL) AS created_sources, count_if(old_source IS NOT NULL) AS updated_sources, count_if(old_endpoint IS NULL) AS created_endpoints, count_if(old_endpoint IS NOT NULL) AS updated_endpoints,
-  (SELECT string_agg(code, ',' ORDER BY code) FROM (SELECT 's' || s_suppkey AS code FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 = 0)) AS missing_provinces, (SELECT count_if(loses) FROM e3) AS demoted_primary_endpoints FROM p""")
+  (SELECT coalesce(string_agg(code, ',' ORDER BY code), '') FROM (SELECT 's' || s_suppkey AS code FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 13 = 0)) AS missing_provinces, (SELECT count_if(loses) FROM e3) AS demoted_primary_endpoints FROM p""")
 def snk8_summary(spark, d):
     return sync.synced(*_sync_tables(spark, d))[2]
 

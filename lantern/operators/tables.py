@@ -8,6 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this driver has made.
+_MADE: list[str] = []
+
+
+def drop_kept(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this driver has made, once results that read them are written. How many."""
+    dropped = 0
+    while _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        dropped += at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return dropped
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a local session without that
     setting uses a temporary folder."""
@@ -16,7 +29,8 @@ def new_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
         base = tempfile.mkdtemp(prefix="lantern-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def kept(df: DataFrame) -> DataFrame:

@@ -96,3 +96,13 @@ def test_components_over_the_size_of_a_task_go_on_by_rounds(spark):
     near = [(1, f"a{i + j}", f"b{i}", 1) for i in range(6) for j in (0, 1)] + [(2, "x", "y", 0)]
     got = matching.greedy_pairs("block", "a", "b", spark.createDataFrame(near, "block int, a string, b string, distance int"), rounds=1, most=3)
     assert sorted((r["a"], r["b"]) for r in got.collect()) == sorted([(f"a{i}", f"b{i}") for i in range(6)] + [("x", "y")])
+
+
+def test_intermediate_tables_can_be_dropped(spark):
+    from lantern.operators import tables
+
+    tables.drop_kept(spark)
+    kept = tables.kept(spark.range(3))
+    assert kept.count() == 3 and tables.drop_kept(spark) == 1 and tables.drop_kept(spark) == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|FileNotFound|does not exist|FILE_NOT_EXIST|FAILED_READ_FILE"):
+        spark.read.parquet(kept.inputFiles()[0]).count()
