@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lantern.functions import numbers, text
 from lantern.operators import logs, matching, ranges, reports, serving, stores, sync, upsert
-from lantern.operators.tables import new_folder
+from lantern.operators.tables import dealt, new_folder
 from lantern.queries import AS_OF, FOLD, ORACLE_SQL, RAW_NAMES, SLUG, picked, query, sql_picked, table
 from lantern.sources import catalog, forms, linked, pages
 
@@ -534,7 +534,8 @@ def _row_sql(fields: dict[str, str]) -> str:
 
 def _layout(name: str, parser: str, page: str, rows: list[dict[str, str]]) -> None:
     def run(spark, d):
-        found = _named_customers(spark, d).select("c_custkey", F.posexplode((pages.PARSERS | pages.OTHERS)[parser](_page(page))).alias("place", "r"))
+        html = dealt(_named_customers(spark, d), "c_custkey").select("c_custkey", _page(page).alias("html"))
+        found = html.select("c_custkey", F.posexplode((pages.PARSERS | pages.OTHERS)[parser](F.col("html"))).alias("place", "r"))
         return found.select("c_custkey", "place", *[F.col(f"r.{f}").alias(f) for f in pages.FIELDS])
 
     run.__name__ = name
@@ -582,7 +583,7 @@ def prs0_dispatch(spark, d):
     """Pages of places, of up to a thousand customers of a nation each, in three layouts, through the parsers."""
     kind = (F.col("c_nationkey") % 3 + 1).cast("int")
     part = lambda k: F.element_at(F.array(*[_page(x[k]) for x in _PLACES]), kind)
-    c = _named_customers(spark, d).withColumn("page", F.floor(F.col("c_custkey") / 1000))
+    c = dealt(_named_customers(spark, d).withColumn("page", F.floor(F.col("c_custkey") / 1000)), "c_nationkey", "page")
     body = c.groupBy("c_nationkey", "page").agg(F.array_join(F.array_sort(F.collect_list(part(1))), "").alias("body"))
     edges = body.select("*", F.lit("").alias("c"), F.lit("").alias("s"), F.lit("").alias("n"))
     return pages.exploded(pages.dispatch(edges.select("c_nationkey", "page", F.concat(part(0), "body", part(2)).alias("html"))).drop("html"))

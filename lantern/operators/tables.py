@@ -38,3 +38,9 @@ def kept(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows in as many partitions as shuffles have, by columns or in turn. Small files whose rows take long would be the work
+    of one task; a number that is asked for isn't joined up again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

@@ -32,6 +32,19 @@ def _none() -> Column:
     return F.array().cast(KIND)
 
 
+def _held(f: Callable[..., Column], *values: Column) -> Column:
+    """f of values that are computed once, however often f names them: an expression in a lambda is computed wherever it is
+    named."""
+    names = [f"v{k}" for k in range(len(values))]
+    made = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]))
+    return F.get(F.transform(made, lambda held: f(*[held[n] for n in names])), 0)
+
+
+def _first_found(*found: Column) -> Column:
+    """The first array that isn't empty, else the last; those behind it aren't computed."""
+    return F.coalesce(*[F.get(F.filter(F.array(rows), lambda a: F.size(a) > 0), 0) for rows in found[:-1]], found[-1])
+
+
 # Cards. A pattern finds the cards of a page in one pass each for the groups that are asked for: the card itself, fields, and,
 # by a group that looks ahead, a stretch of so many characters behind it. Fields are then looked for in the card alone.
 def _cards(html: Column, pattern: str, *groups: int) -> Column:
@@ -48,14 +61,20 @@ def _tag(part: Column, tag: str) -> Column:
     return text.strip_tags(_in(part, rf"<{tag}[^>]*>(.*?)</{tag}>"))
 
 
-def _after(part: Column, icon: str, what: str, end: str) -> Column:
-    """What follows an icon, as html."""
-    return _in(part, rf"{icon}[^>]*(?:></i>|>)\s*({what})(?:{end})")
+def _blank(least: int) -> str:
+    """A pattern like \\s*, before something of so many characters that ends at a tag. It gives back no more of the white space
+    than those, as more can't help."""
+    return rf"(?>\s*(?=\s{{{least}}}(?!\s))|)\s{{0,{least}}}"
+
+
+def _after(part: Column, icon: str, what: str, end: str, least: int = 3) -> Column:
+    """What follows an icon, as html, of so many characters at least."""
+    return _in(part, rf"{icon}[^>]*(?:></i>|>){_blank(least)}({what})(?:{end})")
 
 
 def _coordinates(part: Column) -> tuple[Column, Column]:
     """Latitude and longitude of the first link to a map that has them; null if there is none."""
-    return tuple(F.nullif(F.regexp_extract(part, MAP_LINK, k), F.lit("")) for k in (1, 2))
+    return tuple(F.regexp_extract(part, MAP_LINK, k).try_cast("double") for k in (1, 2))
 
 
 #: A number beside an icon.
@@ -64,21 +83,20 @@ DIGITS, DIGITS_END = r"[\d\s()+\-]{7,20}?", "<br|</|<i|<a"
 
 def _phone(part: Column, icon: str | None = None) -> Column:
     """The number of the first link that dials, else the one beside an icon."""
-    dialled = _in(part, 'href="tel:([^"]+)"')
-    other = _after(part, icon, DIGITS, DIGITS_END) if icon else F.lit("")
-    return text.clean_phone(F.when(dialled != "", dialled).otherwise(other))
+    other = _after(part, icon, DIGITS, DIGITS_END, 7) if icon else F.lit("")
+    return text.clean_phone(_held(lambda dialled: F.when(dialled != "", dialled).otherwise(other), _in(part, 'href="tel:([^"]+)"')))
 
 
 def _without(s: Column, part: Column) -> Column:
     """s without the first occurrence of part."""
-    at = F.instr(s, part)
-    return F.when((part != "") & (at > 0), F.concat(s.substr(F.lit(1), at - 1), s.substr(at + F.length(part), F.length(s)))).otherwise(s)
+    cut = lambda s, part, at: F.when((part != "") & (at > 0), F.concat(s.substr(F.lit(1), at - 1), s.substr(at + F.length(part), F.length(s)))).otherwise(s)
+    return _held(lambda s, part: _held(cut, s, part, F.instr(s, part)), s, part)
 
 
 def _places(html: Column, mark: str) -> Column:
     """Where a mark stands: its offsets from 1."""
-    ends = F.transform(F.split(html, rf"(?i)(?={mark})"), F.length)
-    cut = F.aggregate(F.slice(ends, 1, F.size(ends) - 1), F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    add = lambda ends: F.aggregate(F.slice(ends, 1, F.size(ends) - 1), F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    cut = _held(add, F.transform(F.split(html, rf"(?i)(?={mark})"), F.length))
     return F.filter(cut, lambda at: F.lower(html.substr(at, F.lit(len(mark)))) == mark.lower())
 
 
@@ -104,16 +122,21 @@ def tables(html: Column) -> Column:
     largest = F.aggregate(all_rows, F.array().cast(kind), lambda best, t: F.when(F.size(t) > F.size(best), t).otherwise(best))
 
     def column(cells: Column, pattern: str) -> Column:
-        return F.array_position(F.transform(cells, lambda c: text.normalize_text(c).rlike(pattern)), True)
+        return F.array_position(F.transform(cells, lambda c: c.rlike(pattern)), True).cast("int")
+
+    def headed(largest: Column, head: Column) -> Column:
+        cells = F.transform(F.coalesce(F.try_element_at(largest, head)["cells"], F.array().cast("array<string>")), text.normalize_text)
+        rows = lambda *at: below(F.slice(largest, head + 1, F.size(largest)), dict(zip(HEADERS, at, strict=True)))
+        return _held(lambda cells: _held(rows, *[column(cells, p) for p in HEADERS.values()]), cells)
+
+    def below(rest: Column, at: dict[str, Column]) -> Column:
+        get = lambda r, k: F.when(at[k] > 0, F.try_element_at(r["cells"], at[k]))
+        return _valid(F.transform(rest, lambda r: row(get(r, "name"), get(r, "district"), get(r, "address"), text.clean_phone(get(r, "phone")), *_coordinates(r["raw"]))))
 
-    head = F.array_position(F.transform(F.slice(largest, 1, 4), lambda r: F.exists(r["cells"], lambda c: text.normalize_text(c).rlike(HEADERS["name"]))), True)
-    cells = F.coalesce(F.try_element_at(largest, head.cast("int"))["cells"], F.array().cast("array<string>"))
-    at = {k: column(cells, p) for k, p in HEADERS.items()}
-    get = lambda r, k: F.when(at[k] > 0, F.try_element_at(r["cells"], at[k].cast("int")))
-    place = lambda r, k: F.nullif(F.regexp_extract(r["raw"], MAP_LINK, k), F.lit(""))
-    rest = F.slice(largest, head.cast("int") + 1, F.size(largest))
-    found = F.transform(rest, lambda r: row(get(r, "name"), get(r, "district"), get(r, "address"), text.clean_phone(get(r, "phone")), place(r, 1), place(r, 2)))
-    return F.when((F.size(largest) >= 2) & (head > 0), _valid(found)).otherwise(F.array().cast(KIND))
+    named = lambda r: F.exists(r["cells"], lambda c: text.normalize_text(c).rlike(HEADERS["name"]))
+    head = lambda largest: F.array_position(F.transform(F.slice(largest, 1, 4), named), True).cast("int")
+    made = lambda largest, head: F.when((F.size(largest) >= 2) & (head > 0), headed(largest, head)).otherwise(_none())
+    return _held(lambda largest: _held(made, largest, head(largest)), largest)
 
 
 # Fixed values in the parsers below: class names, attributes, titles, distances and ends of fields of those pages.
@@ -126,11 +149,14 @@ def inline_boxes(html: Column) -> Column:
         inner = F.instr(m["g0"].substr(F.lit(11), F.length(m["g0"])), "data-name=")
         whole = F.concat(m["g0"], m["g3"])
         box = F.when(inner > 0, m["g0"].substr(F.lit(1), inner + 9)).when(m["g4"] == "", whole.substr(1, 3000)).otherwise(whole)
-        body = F.regexp_replace(F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", ""), "(?is)<h[1-6][^>]*>.*?</h[1-6]>", "")
-        linked, spanned = _in(body, 'href="tel:([^"]+)"'), _in(body, "<span[^>]*>([0-9 ()-]{7,})</span>")
-        phone = text.clean_phone(F.when(linked != "", linked).otherwise(spanned))
-        name = F.when(box.rlike("(?is)<h4[^>]*>.*?</h4>"), _tag(box, "h4")).otherwise(F.trim(m["g1"]))
-        return row(name, F.trim(m["g2"]), text.squeezed(_without(text.strip_tags(body), phone)), phone, *_coordinates(box))
+        body = lambda box: F.regexp_replace(F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", ""), "(?is)<h[1-6][^>]*>.*?</h[1-6]>", "")
+        phone = lambda body: text.clean_phone(_held(lambda linked: F.when(linked != "", linked).otherwise(_in(body, "<span[^>]*>([0-9 ()-]{7,})</span>")), _in(body, 'href="tel:([^"]+)"')))
+
+        def fields(box: Column, body: Column, phone: Column) -> Column:
+            name = F.when(box.rlike("(?is)<h4[^>]*>.*?</h4>"), _tag(box, "h4")).otherwise(F.trim(m["g1"]))
+            return row(name, F.trim(m["g2"]), text.squeezed(_without(text.strip_tags(body), phone)), phone, *_coordinates(box))
+
+        return _held(lambda box: _held(lambda body: _held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
 
     return _valid(F.transform(found, one))
 
@@ -144,10 +170,12 @@ def headings(html: Column) -> Column:
     without phone and address are left out."""
     title = lambda p: F.when(p.rlike(f"(?is)^{HEADING}"), text.strip_tags(_in(p, HEADING))).otherwise("")
     pieces = F.transform(F.split(html, "(?i)(?=<h[1-5][^>]*>)"), lambda p: F.struct(p.alias("p"), title(p).alias("title")))
-    named = lambda i: (F.length(F.get(pieces, i)["title"]) >= 5) & F.get(pieces, i)["title"].rlike("(?i)ecz")
-    at = F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), named)
 
-    def card(i: Column, k: Column) -> Column:
+    def cards(pieces: Column) -> Column:
+        named = lambda i: (F.length(F.get(pieces, i)["title"]) >= 5) & F.get(pieces, i)["title"].rlike("(?i)ecz")
+        return _held(lambda at: F.transform(at, lambda i, k: card(pieces, at, i, k)), F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), named))
+
+    def card(pieces: Column, at: Column, i: Column, k: Column) -> Column:
         end = F.coalesce(F.get(at, k + 1), F.size(pieces))
         part = F.array_join(F.transform(F.slice(pieces, i + 1, end - i), lambda x: x["p"]), "")
         return F.struct(F.get(pieces, i)["title"].alias("title"), part.substr(1, 2500).alias("part"))
@@ -157,22 +185,24 @@ def headings(html: Column) -> Column:
         s = F.regexp_replace(title, r"(?i)\s*BUG[Üü]N\s+", " ")
         for rest in (r"\s*N[Öö]BET[Çç]İ\s+ECZANELER.*", r"\s*ECZANELER.*", r"\s*HAFTALIK\s+.*", r"\s*\d{2}[-./]\d{2}[-./]\d{4}.*"):
             s = F.regexp_replace(s, f"(?i){rest}", "")
-        s = F.trim(s)
-        return F.when(F.length(s).between(3, 40) & ~F.lower(s).contains("eczac"), s)
+        return _held(lambda s: F.when(F.length(s).between(3, 40) & ~F.lower(s).contains("eczac"), s), F.trim(s))
 
     def one(c: Column, last: Column) -> Column:
-        part, split = c["part"], _in(c["title"], r"^.+?\s+-\s+(.+)$")
-        dashed = (split != "") & ~F.lower(split).contains("eczane")
-        arrow = text.strip_tags(_after(part, "fa-arrow-right", ".{1,60}?", r"<br|</span|<i\s"))
-        small = _tag(part, "h5")
-        small = F.when(F.length(small).between(2, 40) & ~small.rlike("(?i)ecz"), small).otherwise("")
-        district = F.when(dashed, F.trim(split)).when(arrow != "", arrow).when(small != "", small).otherwise(last)
-        home = _in(part, r"fa-(?:home|address-card)[^>]*(?:></i>|>)\s*(.{3,600}?)(?=<i\s[^>]*fa-(?:phone|map-marker|whatsapp|envelope|fax))")
-        home = F.when(home != "", home).otherwise(_after(part, "icon-home", ".{3,400}?", r"<br\s*/?> |<a\s|</p|<i\s"))
+        part = c["part"]
+        arrow = text.strip_tags(_after(part, "fa-arrow-right", ".{1,60}?", r"<br|</span|<i\s", 1))
+        home = _in(part, rf"fa-(?:home|address-card)[^>]*(?:></i>|>){_blank(3)}(.{{3,600}}?)(?=<i\s[^>]*fa-(?:phone|map-marker|whatsapp|envelope|fax))")
+        behind = _after(part, "icon-home", ".{3,400}?", r"<br\s*/?> |<a\s|</p|<i\s")
         near = text.strip_tags(_after(part, "fa-map-marker", "(?:(?!<a)[^<]|<[^a/]){3,300}?", r"<br\s*/?> |</p|</div|<i\s"))
-        near = F.when((F.length(near) >= 5) & ~near.rlike("(?i)harita|konum|map"), near).otherwise("")
-        name = F.when(dashed, F.trim(_in(c["title"], r"^(.+?)\s+-\s+.+$"))).otherwise(c["title"])
-        return row(name, district, F.when(home != "", text.strip_tags(home)).otherwise(near), _phone(part, "(?:fa-phone|icon-phone)"), *_coordinates(part))
+        near = _held(lambda near: F.when((F.length(near) >= 5) & ~near.rlike("(?i)harita|konum|map"), near).otherwise(""), near)
+        small = _held(lambda small: F.when(F.length(small).between(2, 40) & ~small.rlike("(?i)ecz"), small), _tag(part, "h5"))
+        place = _held(lambda home: F.when(home != "", text.strip_tags(home)), _held(lambda home: F.when(home != "", home).otherwise(behind), home))
+
+        def fields(split: Column, dashed: Column) -> Column:
+            district = F.when(dashed, F.trim(split)).otherwise(F.coalesce(_held(lambda arrow: F.when(arrow != "", arrow), arrow), small, last))
+            name = F.when(dashed, F.trim(_in(c["title"], r"^(.+?)\s+-\s+.+$"))).otherwise(c["title"])
+            return row(name, district, F.coalesce(place, near), _phone(part, "(?:fa-phone|icon-phone)"), *_coordinates(part))
+
+        return _held(lambda split: _held(fields, split, (split != "") & ~F.lower(split).contains("eczane")), _in(c["title"], r"^.+?\s+-\s+(.+)$"))
 
     start = F.struct(F.lit("").alias("last"), _none().alias("rows"))
 
@@ -180,7 +210,7 @@ def headings(html: Column) -> Column:
         of_list = F.struct(F.coalesce(section(c["title"]), acc["last"]).alias("last"), acc["rows"].alias("rows"))
         return F.when(c["title"].rlike("(?i)eczaneler"), of_list).otherwise(F.struct(acc["last"].alias("last"), F.concat(acc["rows"], F.array(one(c, acc["last"]))).alias("rows")))
 
-    found = F.aggregate(F.transform(at, card), start, step, lambda acc: acc["rows"])
+    found = F.aggregate(_held(cards, pieces), start, step, lambda acc: acc["rows"])
     return F.filter(_valid(found), lambda r: (r["phone"] != "") | (r["address"] != ""))
 
 
@@ -201,11 +231,14 @@ def duty_boxes(html: Column) -> Column:
     beside an icon, also in the 800 characters behind."""
 
     def one(m: Column) -> Column:
-        linked, block = text.squeezed(_in(m["g0"], '<a href="tel:[^"]*">([^<]+)</a>')), F.concat(m["g0"], m["g2"])
+        linked = text.squeezed(_in(m["g0"], '<a href="tel:[^"]*">([^<]+)</a>'))
         mapped = r'maps\.google\.com[^"]*"[^>]*class="nadres"[^>]*>(.{0,300}?)</a>'
-        place = F.when(block.rlike(f"(?is){mapped}"), _in(block, mapped)).otherwise(_after(block, "fa-home", ".{3,400}?", r"<br|</p|<i\s"))
-        name = F.when(_tag(m["g0"], "h4") != "", _tag(m["g0"], "h4")).otherwise(linked)
-        return row(name, None, text.strip_tags(place), text.clean_phone(m["g1"]), *_coordinates(block))
+
+        def fields(block: Column, named: Column) -> Column:
+            place = F.when(block.rlike(f"(?is){mapped}"), _in(block, mapped)).otherwise(_after(block, "fa-home", ".{3,400}?", r"<br|</p|<i\s"))
+            return row(F.when(named != "", named).otherwise(linked), None, text.strip_tags(place), text.clean_phone(m["g1"]), *_coordinates(block))
+
+        return _held(fields, F.concat(m["g0"], m["g2"]), _tag(m["g0"], "h4"))
 
     return _valid(F.transform(_cards(html, 'nobetciDiv.{0,800}?href="tel:([^"]+)".{0,200}?href="tel:[^"]+"(?=(.{0,800}))', 0, 1, 2), one))
 
@@ -216,13 +249,17 @@ def duty_cards(html: Column) -> Column:
 
     def one(m: Column) -> Column:
         block = m["g1"]
-        head, strong = _tag(block, "h4"), _tag(_in(block, "<h4[^>]*>(.*?)</h4>"), "strong")
-        bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), rf"(?i)^OSMAN[Iİ]YE\s+[{letters}]+\s+", "")
-        dashed, slashed = _in(head, rf"-\s*([{letters} ]{{2,40}})$"), _in(head, rf"/\s*OSMAN[Iİ]YE\s+([{letters}]{{2,40}})")
-        near = _in(block, r"fa-home[^>]*(?:></i>|>)\s*(.{3,700}?)(?=<br\s*/?>\s*<i[^>]*fa-phone|<i[^>]*fa-phone|</p>)")
-        near = F.when(near != "", near).otherwise(_in(block, r'fa-home[^>]*(?:></i>|>)\s*(.{3,700}?)(?=<a[^>]+href="tel:)'))
-        district = F.when(text.squeezed(dashed) != "", text.squeezed(dashed)).otherwise(slashed)
-        return row(F.when(strong != "", strong).otherwise(F.trim(bare)), district, text.strip_tags(near), _phone(block), *_coordinates(block))
+        near = _in(block, rf"fa-home[^>]*(?:></i>|>){_blank(3)}(.{{3,700}}?)(?=<br\s*/?>\s*<i[^>]*fa-phone|<i[^>]*fa-phone|</p>)")
+        other = _in(block, rf'fa-home[^>]*(?:></i>|>){_blank(3)}(.{{3,700}}?)(?=<a[^>]+href="tel:)')
+        near = _held(lambda near: F.when(near != "", near).otherwise(other), near)
+
+        def fields(head: Column, strong: Column) -> Column:
+            bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), rf"(?i)^OSMAN[Iİ]YE\s+[{letters}]+\s+", "")
+            dashed, slashed = text.squeezed(_in(head, rf"-\s*([{letters} ]{{2,40}})$")), _in(head, rf"/\s*OSMAN[Iİ]YE\s+([{letters}]{{2,40}})")
+            district = _held(lambda dashed: F.when(dashed != "", dashed).otherwise(slashed), dashed)
+            return row(F.when(strong != "", strong).otherwise(F.trim(bare)), district, text.strip_tags(near), _phone(block), *_coordinates(block))
+
+        return _held(fields, _tag(block, "h4"), _tag(_in(block, "<h4[^>]*>(.*?)</h4>"), "strong"))
 
     return _valid(F.transform(_cards(html, r'<div[^>]*class="[^"]*nobet-kart[^"]*"[^>]*>(.*?)<hr>', 1), one), 2)
 
@@ -237,10 +274,10 @@ def titled_links(html: Column) -> Column:
     def one(m: Column) -> Column:
         c = m["g1"]
         name = text.squeezed(_in(c, r"<strong>\s*([^<]*?ECZANES[İI]?)\s*</strong>"))
-        return row(name, text.strip_tags(_after(c, "icon-hand-right", ".{1,80}?", r"<br|<i\s")), text.strip_tags(_after(c, "icon-home", ".{3,450}?", r"<br|<i\s")), _phone(c, "icon-phone"), *_coordinates(c))
+        return row(name, text.strip_tags(_after(c, "icon-hand-right", ".{1,80}?", r"<br|<i\s", 1)), text.strip_tags(_after(c, "icon-home", ".{3,450}?", r"<br|<i\s")), _phone(c, "icon-phone"), *_coordinates(c))
 
     columns = _valid(F.transform(_cards(html, r'<div class="eight columns bottom-1">(.{0,1800}?)(?:<p><hr></p>|</div>\s*</div>)', 1), one))
-    return F.when(F.size(placed) > 0, placed).when(F.size(plain) > 0, plain).otherwise(columns)
+    return _first_found(placed, plain, columns)
 
 
 def marquees(html: Column) -> Column:
@@ -261,7 +298,7 @@ def icon_blocks(html: Column) -> Column:
     def one(m: Column) -> Column:
         c = m["g1"]
         place = text.strip_tags(_after(c, "icon-home", ".{3,300}?", r"<br|</p|</div|<i\s"))
-        return row(text.strip_tags(_after(c, "icon-user-md", ".{1,200}?", "<br|</")), None, place, _phone(c, "icon-phone"), *_coordinates(c))
+        return row(text.strip_tags(_after(c, "icon-user-md", ".{1,200}?", "<br|</", 1)), None, place, _phone(c, "icon-phone"), *_coordinates(c))
 
     return _valid(F.transform(_cards(html, "(?=icon-user-md)(?=(.{1,1200}))icon-user-md.{0,1200}?icon-home", 1), one))
 
@@ -272,7 +309,8 @@ def trend_items(html: Column) -> Column:
     def one(m: Column) -> Column:
         c = m["g1"]
         place = text.strip_tags(_after(c, "fa-map-marker", ".{3,300}?", r"<br|</p|</div|<i\s|<a\s"))
-        return row(_tag(c, "h3"), _tag(c, "h5"), F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), _phone(c, "fa-phone"), *_coordinates(c))
+        place = _held(lambda place: F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), place)
+        return row(_tag(c, "h3"), _tag(c, "h5"), place, _phone(c, "fa-phone"), *_coordinates(c))
 
     rows = F.transform(_cards(html, '(?=class="[^"]*trend-item)(?=(.{1,1200}))class="[^"]*trend-item[^"]*".{0,1200}?icon-home', 1), one)
     return F.filter(_valid(rows), lambda r: r["name"].rlike("(?i)ecz") & ((r["phone"] != "") | (r["address"] != "")))
@@ -283,17 +321,16 @@ def district_sections(html: Column) -> Column:
     vatan_hl before it gives the district, 500 characters behind it have the phone."""
     heads = F.transform(_places(html, "<h2"), lambda at: F.struct(at.alias("at"), _section(html.substr(at, F.lit(2000))).alias("district")))
     heads = F.filter(heads, lambda h: F.length(h["district"]).between(2, 50))
+    match = rf"^icon-home[^>]*(?:></i>|>){_blank(3)}(.{{3,300}}?)(?:<br\s*/?> |</p|<i\s)"
 
-    def one(at: Column) -> Column:
-        match = r"^icon-home[^>]*(?:></i>|>)\s*(.{3,300}?)(?:<br\s*/?> |</p|<i\s)"
-        card = html.substr(at, F.lit(2000))
+    def one(at: Column, heads: Column) -> Column:
         before = html.substr(F.greatest(at - 800, F.lit(1)), F.least(at - 1, F.lit(800)))
-        behind = card.substr(F.length(_in(card, match, 0)) + 1, F.lit(500))
         name = F.element_at(F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(before, F.lit("(?is)<h4[^>]*>(.*?)</h4>"), F.lit(1)), text.strip_tags)), -1)
-        mine = F.filter(heads, lambda h: h["at"] < at)
-        return row(name, F.coalesce(F.try_element_at(mine, F.lit(-1))["district"], F.lit("")), text.strip_tags(_in(card, match)), _phone(behind, "icon-phone"), *_coordinates(behind))
+        district = F.coalesce(F.try_element_at(F.filter(heads, lambda h: h["at"] < at), F.lit(-1))["district"], F.lit(""))
+        fields = lambda behind, card: row(name, district, text.strip_tags(_in(card, match)), _phone(behind, "icon-phone"), *_coordinates(behind))
+        return _held(lambda card: _held(fields, card.substr(F.length(_in(card, match, 0)) + 1, F.lit(500)), card), html.substr(at, F.lit(2000)))
 
-    rows = F.transform(_places(html, "icon-home"), one)
+    rows = _held(lambda heads: F.transform(_places(html, "icon-home"), lambda at: one(at, heads)), heads)
     good = F.filter(rows, lambda r: (F.length(r["name"]) >= 2) & ~r["name"].rlike("(?i)eczaneler|n[Öö]bet[Çç]i") & (F.length(r["address"]) >= 5))
     return F.when(html.contains("vatan_hl") & html.contains("icon-home"), good).otherwise(_none())
 
@@ -310,11 +347,12 @@ def nested_tables(html: Column) -> Column:
     start = F.struct(F.lit(2).cast("long").alias("at"), _none().alias("rows"))
 
     def step(acc: Column, cells: Column) -> Column:
-        at = F.array_position(F.transform(cells, F.lower), "eczane")
-        name = F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit(""))
-        good = (F.size(cells) >= 2) & (F.length(name) >= 2) & ~name.rlike("(?i)bug[Üü]n|n[Öö]bet[Çç]i|eczaneler|hastalar|^adres$|^telefon$|^b[Öö]lge$|b[Öö]lge eczane")
-        more = F.concat(acc["rows"], F.array(row(name, F.try_element_at(cells, F.lit(1)))))
-        return F.when((F.size(cells) >= 2) & (at > 0), F.struct(at.alias("at"), acc["rows"].alias("rows"))).when(good, F.struct(acc["at"].alias("at"), more.alias("rows"))).otherwise(acc)
+        def taken(at: Column, name: Column) -> Column:
+            good = (F.size(cells) >= 2) & (F.length(name) >= 2) & ~name.rlike("(?i)bug[Üü]n|n[Öö]bet[Çç]i|eczaneler|hastalar|^adres$|^telefon$|^b[Öö]lge$|b[Öö]lge eczane")
+            more = F.concat(acc["rows"], F.array(row(name, F.try_element_at(cells, F.lit(1)))))
+            return F.when((F.size(cells) >= 2) & (at > 0), F.struct(at.alias("at"), acc["rows"].alias("rows"))).when(good, F.struct(acc["at"].alias("at"), more.alias("rows"))).otherwise(acc)
+
+        return _held(taken, F.array_position(F.transform(cells, F.lower), "eczane"), F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit("")))
 
     return F.when(html.rlike("baslik_eczane|konyanobetci"), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(_none())
 
@@ -327,11 +365,15 @@ def named_sections(html: Column) -> Column:
     def one(m: Column) -> Column:
         whole = F.concat(m["g0"], m["g3"])
         box = F.when(m["g4"] == "", whole.substr(1, 3000)).otherwise(whole)
-        body = F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", "")
-        span = _in(body, "<span[^>]*>([0-9 ()+-]{7,})</span>")
-        phone = F.when(span != "", text.clean_phone(span)).otherwise(_phone(body))
-        fuller, given = text.trimmed(F.regexp_replace(_in(box, "<h4[^>]*>(.*?)</h4>"), "<[^>]+>", "")), text.trimmed(m["g1"])
-        return F.struct((F.length(given) >= 3).alias("long"), row(F.when(fuller != "", fuller).otherwise(given), text.trimmed(m["g2"]), F.trim(_without(text.strip_tags(body), phone)), phone).alias("row"))
+
+        def fields(box: Column, body: Column, phone: Column) -> Column:
+            fuller = text.trimmed(F.regexp_replace(_in(box, "<h4[^>]*>(.*?)</h4>"), "<[^>]+>", ""))
+            name = _held(lambda fuller, given: F.when(fuller != "", fuller).otherwise(given), fuller, text.trimmed(m["g1"]))
+            return F.struct((F.length(text.trimmed(m["g1"])) >= 3).alias("long"), row(name, text.trimmed(m["g2"]), F.trim(_without(text.strip_tags(body), phone)), phone).alias("row"))
+
+        phone = lambda body: _held(lambda span: F.when(span != "", text.clean_phone(span)).otherwise(_phone(body)), _in(body, "<span[^>]*>([0-9 ()+-]{7,})</span>"))
+        body = lambda box: F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", "")
+        return _held(lambda box: _held(lambda body: _held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
 
     return F.transform(F.filter(F.transform(found, one), lambda x: x["long"]), lambda x: x["row"])
 
@@ -406,7 +448,8 @@ def dispatch(pages: DataFrame, key: Column | None = None, html: str = "html") ->
 
     out = pages.withColumn("_asked", asked)
     own = F.coalesce(text.lookup(F.col("_asked"), KEY_ALIASES, None), F.col("_asked"))
-    out = out.withColumn("_keyed", F.coalesce(*[attempt(k, parser, own == k) for k, parser in PARSERS.items()], F.lit(None).cast(kind)))
+    keyed = [] if key is None else [attempt(k, parser, own == k) for k, parser in PARSERS.items()]
+    out = out.withColumn("_keyed", F.coalesce(*keyed, F.lit(None).cast(kind)))
     out = out.withColumn("_auto", F.when(F.col("_keyed").isNull(), F.coalesce(*[attempt(k, parser, probed(k)) for k, parser in PARSERS.items()], F.lit(None).cast(kind))))
     out = out.withColumn("strategy", F.when(h == "", "empty_html").when(F.col("_keyed").isNotNull(), "keyed").when(F.col("_auto").isNotNull(), "auto").otherwise("no_match"))
     out = out.withColumn("parser", F.coalesce(F.when(F.col("_keyed").isNotNull(), F.col("_asked")), "_auto.parser", "_asked"))
