@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,14 @@ def lookup(key: Column, pairs: dict, default) -> Column:
     return F.coalesce(F.try_element_at(made, key), F.lit(default))
 
 
+def held(f: Callable[..., Column], *values: Column) -> Column:
+    """f of values that are computed once, however often f names them: an expression in a lambda is computed wherever it is
+    named."""
+    names = [f"v{k}" for k in range(len(values))]
+    made = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]))
+    return F.get(F.transform(made, lambda v: f(*[v[n] for n in names])), 0)
+
+
 def squeezed(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 

@@ -410,8 +410,8 @@ def js8_payload(spark, d):
         F.lit('<form><input name="day" value="05/01/2024"><input type=checkbox name=c value=1><input type=radio name=k value=2 checked><input type="hidden" name="hidden" value="'), F.col("p_name"),
         F.lit('"><input type=submit name=go value="Nöbetleri Göster"><input type=submit name=print value="Yazdır"><input type=reset name=r><input value=x>' + _SELECTS[0].replace("name=a", "name=il") + "</form>"),
     )
-    sent = F.transform(F.array_sort(F.map_entries(forms.payload(form, F.lit("2024-01-31").cast("date")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
-    return table(spark, d, "part").select("p_partkey", F.array_join(sent, "&").alias("sent"))
+    sent = F.transform(F.array_sort(F.map_entries(forms.payload(F.col("form"), F.lit("2024-01-31").cast("date")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return dealt(table(spark, d, "part"), "p_partkey").select("p_partkey", form.alias("form")).select("p_partkey", F.array_join(sent, "&").alias("sent"))
 
 
 @query("""SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN 'https://a.example/x/w/y.php?q=1' WHEN 1 THEN 'https://a.example/z' || p_partkey WHEN 2 THEN 'https://a.example/x/w/z' || p_partkey WHEN 3 THEN 'https://a.example/x/w/y.php?d=' || p_partkey WHEN 4 THEN 'http://b.example/' WHEN 5 THEN 'https://b.example/'

@@ -51,16 +51,19 @@ def option(select: Column) -> Column:
 
     def one(tag: Column) -> Column:
         shown = text.squeezed(F.regexp_replace(F.regexp_replace(F.regexp_extract(tag, r"(?is)<option\b[^>]*>(.*?)</option>", 1), "<[^>]+>", " "), "(?i)&nbsp;", " "))
-        value = F.trim(F.coalesce(attribute(tag, "value"), shown))
-        both = F.trim(_upper(F.concat_ws(" ", value, shown)))
-        every = both.isin("", "0")
-        for word in ALL:
-            every = every | both.contains(word)
-        return F.struct(value.alias("value"), every.alias("all"), tag.rlike(r"(?i)\bselected\b").alias("selected"))
 
-    made = F.transform(tags, one)
-    first = lambda keep: F.get(F.filter(made, keep), 0)["value"]
-    return F.coalesce(first(lambda o: o["all"]), first(lambda o: o["selected"]), first(lambda o: F.lit(True)), F.lit(""))
+        def fields(value: Column, both: Column) -> Column:
+            every = both.isin("", "0")
+            for word in ALL:
+                every = every | both.contains(word)
+            return F.struct(value.alias("value"), every.alias("all"), tag.rlike(r"(?i)\bselected\b").alias("selected"))
+
+        upper = lambda value, shown: text.held(fields, value, F.trim(_upper(F.concat_ws(" ", value, shown))))
+        return text.held(lambda shown: text.held(lambda value: upper(value, shown), F.trim(F.coalesce(attribute(tag, "value"), shown))), shown)
+
+    first = lambda made, keep: F.get(F.filter(made, keep), 0)["value"]
+    chosen = lambda made: F.coalesce(first(made, lambda o: o["all"]), first(made, lambda o: o["selected"]), first(made, lambda o: F.lit(True)), F.lit(""))
+    return text.held(chosen, F.transform(tags, one))
 
 
 # Inputs that are never sent, and names of inputs that hold a date.
@@ -73,15 +76,21 @@ def payload(form: Column, today: Column) -> Column:
     tags = F.regexp_extract_all(form, F.lit(r"(?i)<input\b[^>]*>"), F.lit(0))
 
     def one(tag: Column) -> Column:
-        name, kind = F.coalesce(attribute(tag, "name"), F.lit("")), F.lower(F.coalesce(attribute(tag, "type"), F.lit("text")))
-        value = F.coalesce(attribute(tag, "value"), F.lit(""))
-        sent = (name != "") & ~kind.isin(UNSENT) & (~kind.isin("checkbox", "radio") | tag.rlike(r"(?i)\bchecked\b"))
-        shows = (kind == "submit") & _upper(value).rlike(TEXT_POINTS[0][0])
-        dated = F.when(name.rlike(DATES), numbers.coerced_date(F.trim(value), today)).otherwise(value)
-        return F.struct(name.alias("name"), dated.alias("value"), (kind == "submit").alias("submit"), shows.alias("shows"), sent.alias("sent"))
-
-    inputs = F.filter(F.transform(tags, one), lambda i: i["sent"])
-    chosen = F.transform(inputs, lambda i, k: F.struct(i["name"].alias("name"), i["value"].alias("value"), (~i["submit"] | i["shows"] | ~F.exists(F.slice(inputs, 1, k), lambda x: x["shows"])).alias("kept")))
+        def fields(name: Column, kind: Column, value: Column) -> Column:
+            sent = (name != "") & ~kind.isin(UNSENT) & (~kind.isin("checkbox", "radio") | tag.rlike(r"(?i)\bchecked\b"))
+            shows = (kind == "submit") & _upper(value).rlike(TEXT_POINTS[0][0])
+            dated = F.when(name.rlike(DATES), numbers.coerced_date(F.trim(value), today)).otherwise(value)
+            return F.struct(name.alias("name"), dated.alias("value"), (kind == "submit").alias("submit"), shows.alias("shows"), sent.alias("sent"))
+
+        return text.held(fields, F.coalesce(attribute(tag, "name"), F.lit("")), F.lower(F.coalesce(attribute(tag, "type"), F.lit("text"))), F.coalesce(attribute(tag, "value"), F.lit("")))
+
+    def pressed(inputs: Column, shows: Column) -> Column:
+        """shows: the place of the first button that shows the list, 0 without one."""
+        kept = lambda i, k: ~i["submit"] | i["shows"] | (shows == 0) | (shows > k)
+        return F.transform(inputs, lambda i, k: F.struct(i["name"].alias("name"), i["value"].alias("value"), kept(i, k).alias("kept")))
+
+    place = lambda inputs: text.held(pressed, inputs, F.array_position(F.transform(inputs, lambda i: i["shows"]), True))
+    chosen = text.held(place, F.filter(F.transform(tags, one), lambda i: i["sent"]))
     selects = F.transform(
         F.regexp_extract_all(form, F.lit(r"(?is)<select\b[^>]*>.*?</select>"), F.lit(0)),
         lambda s: F.struct(F.coalesce(attribute(F.regexp_extract(s, r"(?i)^<select\b[^>]*>", 0), "name"), F.lit("")).alias("name"), option(s).alias("value"), F.lit(True).alias("kept")),

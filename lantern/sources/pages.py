@@ -32,14 +32,6 @@ def _none() -> Column:
     return F.array().cast(KIND)
 
 
-def _held(f: Callable[..., Column], *values: Column) -> Column:
-    """f of values that are computed once, however often f names them: an expression in a lambda is computed wherever it is
-    named."""
-    names = [f"v{k}" for k in range(len(values))]
-    made = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names, strict=True)]))
-    return F.get(F.transform(made, lambda held: f(*[held[n] for n in names])), 0)
-
-
 def _first_found(*found: Column) -> Column:
     """The first array that isn't empty, else the last; those behind it aren't computed."""
     return F.coalesce(*[F.get(F.filter(F.array(rows), lambda a: F.size(a) > 0), 0) for rows in found[:-1]], found[-1])
@@ -84,19 +76,19 @@ DIGITS, DIGITS_END = r"[\d\s()+\-]{7,20}?", "<br|</|<i|<a"
 def _phone(part: Column, icon: str | None = None) -> Column:
     """The number of the first link that dials, else the one beside an icon."""
     other = _after(part, icon, DIGITS, DIGITS_END, 7) if icon else F.lit("")
-    return text.clean_phone(_held(lambda dialled: F.when(dialled != "", dialled).otherwise(other), _in(part, 'href="tel:([^"]+)"')))
+    return text.clean_phone(text.held(lambda dialled: F.when(dialled != "", dialled).otherwise(other), _in(part, 'href="tel:([^"]+)"')))
 
 
 def _without(s: Column, part: Column) -> Column:
     """s without the first occurrence of part."""
     cut = lambda s, part, at: F.when((part != "") & (at > 0), F.concat(s.substr(F.lit(1), at - 1), s.substr(at + F.length(part), F.length(s)))).otherwise(s)
-    return _held(lambda s, part: _held(cut, s, part, F.instr(s, part)), s, part)
+    return text.held(lambda s, part: text.held(cut, s, part, F.instr(s, part)), s, part)
 
 
 def _places(html: Column, mark: str) -> Column:
     """Where a mark stands: its offsets from 1."""
     add = lambda ends: F.aggregate(F.slice(ends, 1, F.size(ends) - 1), F.array(F.lit(1)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    cut = _held(add, F.transform(F.split(html, rf"(?i)(?={mark})"), F.length))
+    cut = text.held(add, F.transform(F.split(html, rf"(?i)(?={mark})"), F.length))
     return F.filter(cut, lambda at: F.lower(html.substr(at, F.lit(len(mark)))) == mark.lower())
 
 
@@ -127,7 +119,7 @@ def tables(html: Column) -> Column:
     def headed(largest: Column, head: Column) -> Column:
         cells = F.transform(F.coalesce(F.try_element_at(largest, head)["cells"], F.array().cast("array<string>")), text.normalize_text)
         rows = lambda *at: below(F.slice(largest, head + 1, F.size(largest)), dict(zip(HEADERS, at, strict=True)))
-        return _held(lambda cells: _held(rows, *[column(cells, p) for p in HEADERS.values()]), cells)
+        return text.held(lambda cells: text.held(rows, *[column(cells, p) for p in HEADERS.values()]), cells)
 
     def below(rest: Column, at: dict[str, Column]) -> Column:
         get = lambda r, k: F.when(at[k] > 0, F.try_element_at(r["cells"], at[k]))
@@ -136,7 +128,7 @@ def tables(html: Column) -> Column:
     named = lambda r: F.exists(r["cells"], lambda c: text.normalize_text(c).rlike(HEADERS["name"]))
     head = lambda largest: F.array_position(F.transform(F.slice(largest, 1, 4), named), True).cast("int")
     made = lambda largest, head: F.when((F.size(largest) >= 2) & (head > 0), headed(largest, head)).otherwise(_none())
-    return _held(lambda largest: _held(made, largest, head(largest)), largest)
+    return text.held(lambda largest: text.held(made, largest, head(largest)), largest)
 
 
 # Fixed values in the parsers below: class names, attributes, titles, distances and ends of fields of those pages.
@@ -150,13 +142,13 @@ def inline_boxes(html: Column) -> Column:
         whole = F.concat(m["g0"], m["g3"])
         box = F.when(inner > 0, m["g0"].substr(F.lit(1), inner + 9)).when(m["g4"] == "", whole.substr(1, 3000)).otherwise(whole)
         body = lambda box: F.regexp_replace(F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", ""), "(?is)<h[1-6][^>]*>.*?</h[1-6]>", "")
-        phone = lambda body: text.clean_phone(_held(lambda linked: F.when(linked != "", linked).otherwise(_in(body, "<span[^>]*>([0-9 ()-]{7,})</span>")), _in(body, 'href="tel:([^"]+)"')))
+        phone = lambda body: text.clean_phone(text.held(lambda linked: F.when(linked != "", linked).otherwise(_in(body, "<span[^>]*>([0-9 ()-]{7,})</span>")), _in(body, 'href="tel:([^"]+)"')))
 
         def fields(box: Column, body: Column, phone: Column) -> Column:
             name = F.when(box.rlike("(?is)<h4[^>]*>.*?</h4>"), _tag(box, "h4")).otherwise(F.trim(m["g1"]))
             return row(name, F.trim(m["g2"]), text.squeezed(_without(text.strip_tags(body), phone)), phone, *_coordinates(box))
 
-        return _held(lambda box: _held(lambda body: _held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
+        return text.held(lambda box: text.held(lambda body: text.held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
 
     return _valid(F.transform(found, one))
 
@@ -173,7 +165,7 @@ def headings(html: Column) -> Column:
 
     def cards(pieces: Column) -> Column:
         named = lambda i: (F.length(F.get(pieces, i)["title"]) >= 5) & F.get(pieces, i)["title"].rlike("(?i)ecz")
-        return _held(lambda at: F.transform(at, lambda i, k: card(pieces, at, i, k)), F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), named))
+        return text.held(lambda at: F.transform(at, lambda i, k: card(pieces, at, i, k)), F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), named))
 
     def card(pieces: Column, at: Column, i: Column, k: Column) -> Column:
         end = F.coalesce(F.get(at, k + 1), F.size(pieces))
@@ -185,7 +177,7 @@ def headings(html: Column) -> Column:
         s = F.regexp_replace(title, r"(?i)\s*BUG[Üü]N\s+", " ")
         for rest in (r"\s*N[Öö]BET[Çç]İ\s+ECZANELER.*", r"\s*ECZANELER.*", r"\s*HAFTALIK\s+.*", r"\s*\d{2}[-./]\d{2}[-./]\d{4}.*"):
             s = F.regexp_replace(s, f"(?i){rest}", "")
-        return _held(lambda s: F.when(F.length(s).between(3, 40) & ~F.lower(s).contains("eczac"), s), F.trim(s))
+        return text.held(lambda s: F.when(F.length(s).between(3, 40) & ~F.lower(s).contains("eczac"), s), F.trim(s))
 
     def one(c: Column, last: Column) -> Column:
         part = c["part"]
@@ -193,16 +185,16 @@ def headings(html: Column) -> Column:
         home = _in(part, rf"fa-(?:home|address-card)[^>]*(?:></i>|>){_blank(3)}(.{{3,600}}?)(?=<i\s[^>]*fa-(?:phone|map-marker|whatsapp|envelope|fax))")
         behind = _after(part, "icon-home", ".{3,400}?", r"<br\s*/?> |<a\s|</p|<i\s")
         near = text.strip_tags(_after(part, "fa-map-marker", "(?:(?!<a)[^<]|<[^a/]){3,300}?", r"<br\s*/?> |</p|</div|<i\s"))
-        near = _held(lambda near: F.when((F.length(near) >= 5) & ~near.rlike("(?i)harita|konum|map"), near).otherwise(""), near)
-        small = _held(lambda small: F.when(F.length(small).between(2, 40) & ~small.rlike("(?i)ecz"), small), _tag(part, "h5"))
-        place = _held(lambda home: F.when(home != "", text.strip_tags(home)), _held(lambda home: F.when(home != "", home).otherwise(behind), home))
+        near = text.held(lambda near: F.when((F.length(near) >= 5) & ~near.rlike("(?i)harita|konum|map"), near).otherwise(""), near)
+        small = text.held(lambda small: F.when(F.length(small).between(2, 40) & ~small.rlike("(?i)ecz"), small), _tag(part, "h5"))
+        place = text.held(lambda home: F.when(home != "", text.strip_tags(home)), text.held(lambda home: F.when(home != "", home).otherwise(behind), home))
 
         def fields(split: Column, dashed: Column) -> Column:
-            district = F.when(dashed, F.trim(split)).otherwise(F.coalesce(_held(lambda arrow: F.when(arrow != "", arrow), arrow), small, last))
+            district = F.when(dashed, F.trim(split)).otherwise(F.coalesce(text.held(lambda arrow: F.when(arrow != "", arrow), arrow), small, last))
             name = F.when(dashed, F.trim(_in(c["title"], r"^(.+?)\s+-\s+.+$"))).otherwise(c["title"])
             return row(name, district, F.coalesce(place, near), _phone(part, "(?:fa-phone|icon-phone)"), *_coordinates(part))
 
-        return _held(lambda split: _held(fields, split, (split != "") & ~F.lower(split).contains("eczane")), _in(c["title"], r"^.+?\s+-\s+(.+)$"))
+        return text.held(lambda split: text.held(fields, split, (split != "") & ~F.lower(split).contains("eczane")), _in(c["title"], r"^.+?\s+-\s+(.+)$"))
 
     start = F.struct(F.lit("").alias("last"), _none().alias("rows"))
 
@@ -210,7 +202,7 @@ def headings(html: Column) -> Column:
         of_list = F.struct(F.coalesce(section(c["title"]), acc["last"]).alias("last"), acc["rows"].alias("rows"))
         return F.when(c["title"].rlike("(?i)eczaneler"), of_list).otherwise(F.struct(acc["last"].alias("last"), F.concat(acc["rows"], F.array(one(c, acc["last"]))).alias("rows")))
 
-    found = F.aggregate(_held(cards, pieces), start, step, lambda acc: acc["rows"])
+    found = F.aggregate(text.held(cards, pieces), start, step, lambda acc: acc["rows"])
     return F.filter(_valid(found), lambda r: (r["phone"] != "") | (r["address"] != ""))
 
 
@@ -238,7 +230,7 @@ def duty_boxes(html: Column) -> Column:
             place = F.when(block.rlike(f"(?is){mapped}"), _in(block, mapped)).otherwise(_after(block, "fa-home", ".{3,400}?", r"<br|</p|<i\s"))
             return row(F.when(named != "", named).otherwise(linked), None, text.strip_tags(place), text.clean_phone(m["g1"]), *_coordinates(block))
 
-        return _held(fields, F.concat(m["g0"], m["g2"]), _tag(m["g0"], "h4"))
+        return text.held(fields, F.concat(m["g0"], m["g2"]), _tag(m["g0"], "h4"))
 
     return _valid(F.transform(_cards(html, 'nobetciDiv.{0,800}?href="tel:([^"]+)".{0,200}?href="tel:[^"]+"(?=(.{0,800}))', 0, 1, 2), one))
 
@@ -251,15 +243,15 @@ def duty_cards(html: Column) -> Column:
         block = m["g1"]
         near = _in(block, rf"fa-home[^>]*(?:></i>|>){_blank(3)}(.{{3,700}}?)(?=<br\s*/?>\s*<i[^>]*fa-phone|<i[^>]*fa-phone|</p>)")
         other = _in(block, rf'fa-home[^>]*(?:></i>|>){_blank(3)}(.{{3,700}}?)(?=<a[^>]+href="tel:)')
-        near = _held(lambda near: F.when(near != "", near).otherwise(other), near)
+        near = text.held(lambda near: F.when(near != "", near).otherwise(other), near)
 
         def fields(head: Column, strong: Column) -> Column:
             bare = F.regexp_replace(F.regexp_replace(head, r"^\d{2}\.\d{2}\.\d{4}\s*/\s*", ""), rf"(?i)^OSMAN[Iİ]YE\s+[{letters}]+\s+", "")
             dashed, slashed = text.squeezed(_in(head, rf"-\s*([{letters} ]{{2,40}})$")), _in(head, rf"/\s*OSMAN[Iİ]YE\s+([{letters}]{{2,40}})")
-            district = _held(lambda dashed: F.when(dashed != "", dashed).otherwise(slashed), dashed)
+            district = text.held(lambda dashed: F.when(dashed != "", dashed).otherwise(slashed), dashed)
             return row(F.when(strong != "", strong).otherwise(F.trim(bare)), district, text.strip_tags(near), _phone(block), *_coordinates(block))
 
-        return _held(fields, _tag(block, "h4"), _tag(_in(block, "<h4[^>]*>(.*?)</h4>"), "strong"))
+        return text.held(fields, _tag(block, "h4"), _tag(_in(block, "<h4[^>]*>(.*?)</h4>"), "strong"))
 
     return _valid(F.transform(_cards(html, r'<div[^>]*class="[^"]*nobet-kart[^"]*"[^>]*>(.*?)<hr>', 1), one), 2)
 
@@ -309,7 +301,7 @@ def trend_items(html: Column) -> Column:
     def one(m: Column) -> Column:
         c = m["g1"]
         place = text.strip_tags(_after(c, "fa-map-marker", ".{3,300}?", r"<br|</p|</div|<i\s|<a\s"))
-        place = _held(lambda place: F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), place)
+        place = text.held(lambda place: F.when(place.rlike("(?i)harita|konum|map"), "").otherwise(place), place)
         return row(_tag(c, "h3"), _tag(c, "h5"), place, _phone(c, "fa-phone"), *_coordinates(c))
 
     rows = F.transform(_cards(html, '(?=class="[^"]*trend-item)(?=(.{1,1200}))class="[^"]*trend-item[^"]*".{0,1200}?icon-home', 1), one)
@@ -328,9 +320,9 @@ def district_sections(html: Column) -> Column:
         name = F.element_at(F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(before, F.lit("(?is)<h4[^>]*>(.*?)</h4>"), F.lit(1)), text.strip_tags)), -1)
         district = F.coalesce(F.try_element_at(F.filter(heads, lambda h: h["at"] < at), F.lit(-1))["district"], F.lit(""))
         fields = lambda behind, card: row(name, district, text.strip_tags(_in(card, match)), _phone(behind, "icon-phone"), *_coordinates(behind))
-        return _held(lambda card: _held(fields, card.substr(F.length(_in(card, match, 0)) + 1, F.lit(500)), card), html.substr(at, F.lit(2000)))
+        return text.held(lambda card: text.held(fields, card.substr(F.length(_in(card, match, 0)) + 1, F.lit(500)), card), html.substr(at, F.lit(2000)))
 
-    rows = _held(lambda heads: F.transform(_places(html, "icon-home"), lambda at: one(at, heads)), heads)
+    rows = text.held(lambda heads: F.transform(_places(html, "icon-home"), lambda at: one(at, heads)), heads)
     good = F.filter(rows, lambda r: (F.length(r["name"]) >= 2) & ~r["name"].rlike("(?i)eczaneler|n[Öö]bet[Çç]i") & (F.length(r["address"]) >= 5))
     return F.when(html.contains("vatan_hl") & html.contains("icon-home"), good).otherwise(_none())
 
@@ -352,7 +344,7 @@ def nested_tables(html: Column) -> Column:
             more = F.concat(acc["rows"], F.array(row(name, F.try_element_at(cells, F.lit(1)))))
             return F.when((F.size(cells) >= 2) & (at > 0), F.struct(at.alias("at"), acc["rows"].alias("rows"))).when(good, F.struct(acc["at"].alias("at"), more.alias("rows"))).otherwise(acc)
 
-        return _held(taken, F.array_position(F.transform(cells, F.lower), "eczane"), F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit("")))
+        return text.held(taken, F.array_position(F.transform(cells, F.lower), "eczane"), F.coalesce(F.try_element_at(cells, acc["at"].cast("int")), F.lit("")))
 
     return F.when(html.rlike("baslik_eczane|konyanobetci"), F.aggregate(lines, start, step, lambda acc: acc["rows"])).otherwise(_none())
 
@@ -368,12 +360,12 @@ def named_sections(html: Column) -> Column:
 
         def fields(box: Column, body: Column, phone: Column) -> Column:
             fuller = text.trimmed(F.regexp_replace(_in(box, "<h4[^>]*>(.*?)</h4>"), "<[^>]+>", ""))
-            name = _held(lambda fuller, given: F.when(fuller != "", fuller).otherwise(given), fuller, text.trimmed(m["g1"]))
+            name = text.held(lambda fuller, given: F.when(fuller != "", fuller).otherwise(given), fuller, text.trimmed(m["g1"]))
             return F.struct((F.length(text.trimmed(m["g1"])) >= 3).alias("long"), row(name, text.trimmed(m["g2"]), F.trim(_without(text.strip_tags(body), phone)), phone).alias("row"))
 
-        phone = lambda body: _held(lambda span: F.when(span != "", text.clean_phone(span)).otherwise(_phone(body)), _in(body, "<span[^>]*>([0-9 ()+-]{7,})</span>"))
+        phone = lambda body: text.held(lambda span: F.when(span != "", text.clean_phone(span)).otherwise(_phone(body)), _in(body, "<span[^>]*>([0-9 ()+-]{7,})</span>"))
         body = lambda box: F.regexp_replace(_in(box, "<p[^>]*>(.*?)</p>"), "(?is)<svg.*?</svg>", "")
-        return _held(lambda box: _held(lambda body: _held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
+        return text.held(lambda box: text.held(lambda body: text.held(lambda phone: fields(box, body, phone), phone(body)), body(box)), box)
 
     return F.transform(F.filter(F.transform(found, one), lambda x: x["long"]), lambda x: x["row"])
 
