@@ -115,26 +115,58 @@ def _segment(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
     return begin + 1, F.floor((i + 1) * length / n).cast("int") - begin
 
 
-def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[Column], Column]) -> DataFrame:
+#: Names of a block that hold the same segment in the same place, from which on they meet by what deletions leave of them.
+COMMON = 100
+
+
+def _shorter(s: Column, most: int) -> Column:
+    """All that is left of a text when up to so many letters are deleted."""
+    left = F.array(s)
+    for _ in range(most):
+        cut = lambda t: F.transform(F.sequence(F.lit(0), F.length(t)), lambda i: F.concat(F.substr(t, F.lit(1), i), F.substr(t, i + 2, F.length(t))))
+        left = F.array_distinct(F.flatten(F.transform(left, cut)))
+    return left
+
+
+def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[Column], Column], shorter: int = 0) -> DataFrame:
     """block, a, b and distance of all pairs of names of a block whose edit distance is at most limit of the shorter one's
     length. left: block and a; right: block and b; limit grows with the length.
 
-    A text with k edits keeps at least one of its k + 1 segments as it was, moved by k places at most. So names meet by the
-    length of b, a segment's number and its letters instead of all with all of their block; what meets is verified.
+    A text with k edits keeps one of its k + 1 segments as it was: the first i of which no more than i - 1 have edits, so this
+    one is moved by i - 1 places at most from the front, and by what edits are left from the end. Names meet by the length of
+    b, a segment's number and its letters instead of all with all of their block; what meets is verified before pairs are
+    sent. With `shorter`, no less than limit, names with a segment that COMMON others have meet by what up to so many
+    deletions leave of both.
     """
     size, most = F.length("b"), limit(F.length("b"))
     cut = lambda i: F.substr(F.col("b"), *_segment(size, most + 1, i))
-    held = right.select(block, "b", size.alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), most), cut)).alias("i", "part"))
+    key = lambda: F.xxhash64(block, "size", "i", "part").alias("key")
+    held = right.select(block, "b", size.alias("size"), F.posexplode(F.transform(F.sequence(F.lit(0), most), cut)).alias("i", "part")).select(block, "b", key())
+    sizes = right.select(block, size.alias("size")).distinct()
     reach = limit(F.lit(1_000))  # the largest limit that there is
     asked = left.select(block, "a", F.explode(F.sequence(F.greatest(F.length("a") - reach, F.lit(1)), F.length("a") + reach)).alias("size"))
-    asked = asked.withColumn("most", limit(F.col("size"))).where(F.abs(F.length("a") - F.col("size")) <= F.col("most"))
+    asked = asked.withColumn("most", limit(F.col("size"))).where(F.abs(F.length("a") - F.col("size")) <= F.col("most")).join(sizes, [block, "size"], "left_semi")
     asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("most"))))
     begin, length = _segment(F.col("size"), F.col("most") + 1, F.col("i"))
-    low, high = F.greatest(begin - F.col("most"), F.lit(1)), F.least(begin + F.col("most"), F.length("a") - length + 1)
+    longer, behind = F.length("a") - F.col("size"), F.col("most") - F.col("i")
+    low = F.greatest(begin - F.col("i"), begin + longer - behind, F.lit(1))
+    high = F.least(begin + F.col("i"), begin + longer + behind, F.length("a") - length + 1)
     parts = F.when(low <= high, F.array_distinct(F.transform(F.sequence(low, F.greatest(low, high)), lambda p: F.substr(F.col("a"), p, length))))
-    asked = asked.select(block, "a", "size", "i", F.explode(parts).alias("part"))
-    pairs = asked.join(held, [block, "size", "i", "part"]).select(block, "a", "b").distinct()
-    return pairs.withColumn("distance", F.levenshtein("a", "b")).where(F.col("distance") <= limit(F.least(F.length("a"), F.length("b"))))
+    asked = asked.select(block, "a", "size", "i", F.explode(parts).alias("part")).select(block, "a", key())
+
+    def verified(a: DataFrame, b: DataFrame) -> DataFrame:
+        pairs = a.join(b, [block, "key"]).withColumn("distance", F.levenshtein("a", "b", int(shorter)) if shorter else F.levenshtein("a", "b"))
+        return pairs.where((F.col("distance") >= 0) & (F.col("distance") <= limit(F.least(F.length("a"), F.length("b"))))).select(block, "a", "b", "distance")
+
+    if not shorter:
+        return verified(asked, held).distinct()
+    common = kept(held.groupBy(block, "key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select(block, "key"))
+    if common.isEmpty():
+        return verified(asked, held).distinct()
+    many = held.join(common, [block, "key"], "left_semi").select(block, "b").distinct()
+    cuts = lambda df, name: df.select(block, name, F.explode(_shorter(F.col(name), shorter)).alias("part")).select(block, name, F.xxhash64("part").alias("key"))
+    by_segment = verified(asked, held.join(many, [block, "b"], "left_anti"))
+    return by_segment.unionByName(verified(cuts(left.where(F.col("a").isNotNull()), "a"), cuts(many, "b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -161,7 +193,7 @@ ROUNDS, COMPONENT = 3, 1_000_000
 def greedy_pairs(block: str, a: str, b: str, near: DataFrame, rounds: int = ROUNDS, most: int = COMPONENT) -> DataFrame:
     """One-to-one pairs in the order of (distance, a, b): a pair holds if neither of its names has one already.
 
-    near: the block, a, b and distance. Each round takes the pairs that come first for both of their names. Most names are
+    near: the block, a, b and distance. A block of bounded size is solved in a group. In larger ones each round takes the pairs that come first for both of their names. Most names are
     done then; of the others, which wait for one another in chains, each component of bounded size is solved in a group of
     its own, so chains of any length take no more rounds. Larger components go on by rounds. What is left after a round is a
     table in the shared folder.
@@ -180,19 +212,24 @@ def greedy_pairs(block: str, a: str, b: str, near: DataFrame, rounds: int = ROUN
                 held.append(k)
         return group.take(held).select([block, a, b, "distance"])
 
-    done = 0
+    columns, done = [block, a, b, "distance"], 0
+    of = near.join(near.groupBy(block).agg(F.count("*").alias("_n")), block)
+    out.append(kept(of.where(F.col("_n") <= most).select(*columns).groupBy(block).applyInArrow(solved, near.select(*columns).schema)))
+    near = kept(of.where(F.col("_n") > most).select(*columns))
+    if near.isEmpty():
+        return out[0]
     while True:
         if done == rounds:
             hashed = near.withColumns({"_x": F.xxhash64(F.lit("a"), block, a), "_y": F.xxhash64(F.lit("b"), block, b)})
             of = hashed.join(components(hashed.select(F.col("_x").alias("x"), F.col("_y").alias("y"))).select(F.col("node").alias("_x"), "component"), "_x")
             of = kept(of.join(of.groupBy("component").agg(F.count("*").alias("_n")), "component"))
-            small, columns = of.where(F.col("_n") <= most), [block, a, b, "distance"]
+            small = of.where(F.col("_n") <= most)
             out.append(kept(small.select(*columns, "component").groupBy("component", block).applyInArrow(solved, near.select(*columns).schema)))
             near = kept(of.where(F.col("_n") > most).select(*columns))
         taken = kept(first(a).intersect(first(b)))
         done += 1
         if taken.isEmpty():
-            return reduce(DataFrame.unionByName, out) if out else taken
+            return reduce(DataFrame.unionByName, out)
         out.append(taken)
         near = kept(near.join(taken.select(block, a), [block, a], "left_anti").join(taken.select(block, b), [block, b], "left_anti"))
 
@@ -210,8 +247,16 @@ def name_difference(ours: DataFrame, official: DataFrame, block: str, fixed: int
     matched = both.where("official is not null and ours is not null").select(block, F.lit("matched").alias("kind"), "official", "ours", F.lit(0).alias("distance"))
     missing = both.where("ours is null").select(block, F.col("norm").alias("a"), "official")
     extra = both.where("official is null").select(block, F.col("norm").alias("b"), "ours")
-    close = near_names(missing.select(block, "a"), extra.select(block, "b"), block, lambda n: F.lit(fixed) if fixed is not None else numbers.distance_for(n))
-    pairs = greedy_pairs(block, "a", "b", close)
+    limit = lambda n: F.lit(fixed) if fixed is not None else numbers.distance_for(n)
+    found, left, right = [], kept(missing.select(block, "a")), kept(extra.select(block, "b"))
+    # pairs go by distance, so most names have theirs before many letters may differ: those of one edit, of two, then the rest
+    for most in (1, 2, None):
+        if most is None and fixed is not None and fixed <= 2:
+            break
+        near = near_names(left, right, block, limit) if most is None else near_names(left, right, block, lambda n: F.least(limit(n), F.lit(most)), most)  # noqa: B023
+        found.append(greedy_pairs(block, "a", "b", near))
+        left, right = (kept(df.join(found[-1], [block, name], "left_anti")) for df, name in ((left, "a"), (right, "b")))
+    pairs = reduce(DataFrame.unionByName, found)
     mismatch = pairs.join(missing, [block, "a"]).join(extra, [block, "b"]).select(block, F.lit("mismatch").alias("kind"), "official", "ours", "distance")
     none = F.lit(None).cast("int").alias("distance")
     gone = missing.join(pairs, [block, "a"], "left_anti").select(block, F.lit("missing").alias("kind"), "official", F.lit(None).cast("string").alias("ours"), none)
