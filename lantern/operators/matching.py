@@ -69,44 +69,107 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return out.withColumn("bound", numbers.match_score(name, place, F.col("by_phone")) + 1e-9)
 
 
+#: Names of a block that hold the same segment in the same place, from which on they meet by what deletions leave of them;
+#: candidates of a block that hold the same word or phone, from which on rows with it meet all of their block.
+COMMON = 100
+
+
+def _name_keys(block: list[str], name: Column, own: str, other: str) -> Column:
+    """Keys under which a name meets those whose letters, in any order, are the same but for one that either has more: its
+    letters under `own`, what is left of them when one goes under `other`. So do its distinct words in their order."""
+    words = F.array_join(F.array_sort(F.array_distinct(F.split(name, " "))), " ")
+    letters = F.array_distinct(F.transform(F.array(name, words), lambda t: F.array_join(F.array_sort(F.split(t, "")), "")))
+    less = F.array_distinct(F.flatten(F.transform(letters, lambda t: F.filter(_shorter(t, 1), lambda u: F.length(u) < F.length(t)))))
+    key = lambda kind: lambda t: F.xxhash64(*block, F.lit(kind), t)
+    return F.concat(F.transform(letters, key(own)), F.transform(letters, key("same")), F.transform(less, key(other)))
+
+
+def _signal_keys(block: list[str], name: Column, phone: Column) -> Column:
+    """Keys of a name's words and of the end of a phone."""
+    words = F.transform(F.filter(F.array_distinct(F.split(name, " ")), lambda t: t != ""), lambda t: F.xxhash64(*block, F.lit("word"), t))
+    return F.concat(words, F.when(phone != "", F.array(F.xxhash64(*block, F.lit("phone"), F.right(phone, F.lit(7))))).otherwise(F.array().cast("array<long>")))
+
+
+def _apart(name: Column, district: Column) -> Column:
+    """No smaller than the score of a row with a candidate that it has no key in common with. Their letters differ by two at
+    least, so Jaro is at most that of a candidate with two letters more, and four at the front add 0.4 of what is missing;
+    edit distance is no better; no word and no phone is in both. Empty names are alike only to each other, and these meet."""
+    return numbers.match_score(F.when(name == "", 0.0).otherwise(1 - 2 / (5 * (F.length(name) + 2))), F.when(district == "", 0.0).otherwise(1.0), F.lit(0.0))
+
+
 def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verified: list[DataFrame] | None = None) -> DataFrame:
     """The best candidate of each row of the same block: 0.60 name, 0.25 phone, 0.15 district (Jaro-Winkler of the two); a
     missing signal counts 0 and the first of equal candidates (by ord) wins. A row without candidates is no_match.
 
-    Exact, but few pairs are verified. Sketches of the names bound each pair's score in the JVM. The candidate of the greatest
-    bound is verified first; then only those whose bound reaches its score. rows: block, row_id, name, district, phone.
-    candidates: block, ord, canonical_name, district_name, phone. To `verified` goes a table of the pairs that were.
+    Exact, but few pairs are met. Rows meet the candidates of about the same letters by keys, then those with a word or the
+    end of a phone in common. A row whose best score is above what any other candidate can reach is done; the others, and
+    those with a very common word or phone, meet the bounds of all of their block. Where sketches bound the pairs in the
+    JVM, the candidate of the greatest bound is verified first, then only those whose bound reaches the best score. rows:
+    block, row_id, name, district, phone. candidates: block, ord, canonical_name, district_name, phone. To `verified` goes a
+    table of the pairs that were.
     """
     c = candidates.select(*block, "ord", "canonical_name", text.pharmacy_name(F.col("canonical_name")).alias("c_name"), text.district_name(F.col("district_name")).alias("c_district"), text.digits(F.col("phone")).alias("c_phone"))
     r = rows.select(*block, "row_id", "name", text.district_name(F.col("district")).alias("r_district"), text.digits(F.col("phone")).alias("r_phone"), text.pharmacy_name(F.col("name")).alias("r_name"))
-    # rows that tell the same meet the candidates once
-    told = [*block, "r_name", "r_district", "r_phone"]
+    # rows that tell the same meet the candidates once, and of candidates that do only the first can win
+    told, tells = [*block, "r_name", "r_district", "r_phone"], [*block, "c_name", "c_district", "c_phone"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many pairs: none of their partitions are joined up
-    asked = kept(r.select(*told).distinct().repartition(parts).withColumns({"a_id": F.monotonically_increasing_id(), "r_sketch": _sketch(F.col("r_name")), "r_place": _sketch(F.col("r_district"))}))
-    c = kept(c.repartition(parts).withColumns({"c_id": F.monotonically_increasing_id(), "c_sketch": _sketch(F.col("c_name")), "c_place": _sketch(F.col("c_district"))}))
+    there = lambda df: df.where(" and ".join(f"{b} is not null" for b in block))
+    asked = kept(there(r).select(*told).distinct().repartition(parts).withColumn("a_id", F.monotonically_increasing_id()))
+    c = there(c).groupBy(*tells).agg(F.min(F.struct("ord", "canonical_name")).alias("first")).select(*tells, "first.*")
+    c = kept(c.repartition(parts).withColumn("c_id", F.monotonically_increasing_id()))
     phone, known = numbers.phone_signal(F.col("r_phone"), F.col("c_phone")), (F.col("r_district") != "") & (F.col("c_district") != "")
-    met = lambda some: _bounded(some.join(c.drop("canonical_name", "ord"), block))
-    pairs = met(asked).select("a_id", "c_id", "bound", F.bit_count(F.col("r_sketch.words").bitwiseAND(F.col("c_sketch.words"))).alias("alike"))
-    # one number holds bound, words in common and candidate, so that its maximum is a plain sum of the tasks' ones
-    packed = F.shiftleft(F.floor(F.col("bound") * (1 << 14)).cast("long"), 48) + F.shiftleft(F.least("alike", F.lit(31)).cast("long"), 43) + F.col("c_id") % (1 << 43)
-    likely = pairs.groupBy("a_id").agg((F.max(packed) % (1 << 43)).alias("c_id"))
 
     def scored(ids: DataFrame) -> DataFrame:
-        some = ids.join(asked.drop("r_sketch", "r_place"), "a_id").join(c.drop(*block, "c_sketch", "c_place"), "c_id")
+        some = ids.join(asked, "a_id").join(c, ["c_id", *block])
         district = F.when(known, F.when(F.col("r_district") == F.col("c_district"), 1.0).otherwise(similarity.jaro_winkler(F.col("r_district"), F.col("c_district"))))
         return some.withColumn("score", numbers.match_score(similarity.best_similarity(F.col("r_name"), F.col("c_name")), district, phone))
 
-    least = kept(scored(likely).select("a_id", F.col("score").alias("least")))
-    # not a filter, which would be moved into the join with all steps of the bound written out
-    reached = F.explode(F.when(F.col("bound") >= F.coalesce("least", F.lit(0.0)), F.array("c_id")))
-    left = kept(met(asked.join(least, "a_id", "left")).select("a_id", reached.alias("c_id")))
-    if verified is not None:
-        verified += [left]
-    top = scored(left).groupBy(*told).agg(F.max_by(F.struct("canonical_name", "score"), F.struct("score", -F.col("ord"))).alias("top"))
-    found = r.select("row_id", "name", *told).join(top, told, "left")
+    def best(ids: DataFrame) -> DataFrame:
+        if verified is not None:
+            verified[:] = [reduce(DataFrame.unionByName, [*verified, ids])]
+        return kept(scored(ids).groupBy("a_id").agg(F.max(F.struct("score", (-F.col("ord")).alias("behind"), "canonical_name")).alias("top")))
+
+    def sketched() -> tuple[DataFrame, DataFrame]:
+        both = (asked, "r", "a_id"), (c, "c", "c_id")
+        return tuple(kept(df.select(*block, i, *[f"{x}_{n}" for n in ("name", "district", "phone")], _sketch(F.col(f"{x}_name")).alias(f"{x}_sketch"), _sketch(F.col(f"{x}_district")).alias(f"{x}_place"))) for df, x, i in both)
+
+    def reached(some: Callable[[DataFrame], DataFrame], of: DataFrame, tops: DataFrame) -> DataFrame:
+        """Of the pairs that some makes, of rows, those whose bound reaches the score of the row's best one so far, and of the
+        likeliest of them. tops: a_id and least."""
+        pairs = _bounded(some(of)).select("a_id", "c_id", "bound", F.bit_count(F.col("r_sketch.words").bitwiseAND(F.col("c_sketch.words"))).alias("alike"))
+        # one number holds bound, words in common and candidate, so that its maximum is a plain sum of the tasks' ones
+        packed = F.shiftleft(F.floor(F.col("bound") * (1 << 14)).cast("long"), 48) + F.shiftleft(F.least("alike", F.lit(31)).cast("long"), 43) + F.col("c_id") % (1 << 43)
+        likely = pairs.groupBy("a_id").agg((F.max(packed) % (1 << 43)).alias("c_id"))
+        least = kept(scored(likely).select("a_id", F.col("score").alias("least")).unionByName(tops).groupBy("a_id").agg(F.max("least").alias("least")))
+        # not a filter, which would be moved into the join with all steps of the bound written out
+        over = F.explode(F.when(F.col("bound") >= F.coalesce("least", F.lit(0.0)), F.array("c_id")))
+        return kept(_bounded(some(of.join(least, "a_id", "left"))).select("a_id", over.alias("c_id")))
+
+    keyed = lambda df, i, keys: df.select(i, F.explode(keys).alias("key"))
+    near = keyed(asked, "a_id", _name_keys(block, F.col("r_name"), "more", "less")).join(keyed(c, "c_id", _name_keys(block, F.col("c_name"), "less", "more")), "key")
+    found = [best(near.select("a_id", "c_id").distinct())]
+    r_signals, c_signals = keyed(asked, "a_id", _signal_keys(block, F.col("r_name"), F.col("r_phone"))), keyed(c, "c_id", _signal_keys(block, F.col("c_name"), F.col("c_phone")))
+    common = kept(c_signals.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("key"))
+    shared = kept(r_signals.join(c_signals.join(common, "key", "left_anti"), "key").select("a_id", "c_id").distinct())
+    tops = lambda: reduce(DataFrame.unionByName, found).groupBy("a_id").agg(F.max("top").alias("top"))
+    least = lambda: tops().select("a_id", F.col("top.score").alias("least"))
+    made: list[tuple[DataFrame, DataFrame]] = []
+    if not shared.isEmpty():
+        made.append(sketched())
+        found.append(best(reached(lambda of: shared.join(of, "a_id").join(made[0][1].drop(*block), "c_id"), made[0][0], least())))
+    apart = _apart(F.col("r_name"), F.col("r_district"))
+    often = r_signals.join(common, "key", "left_semi").select("a_id").distinct().withColumn("often", F.lit(True))
+    of = asked.join(least(), "a_id", "left").join(often, "a_id", "left")
+    rest = kept(of.where((F.col("often") | (F.coalesce("least", F.lit(0.0)) <= apart + 1e-9)) & (F.col("often").isNotNull() | (apart > 0))).select("a_id"))
+    if not rest.isEmpty():
+        made = made or [sketched()]
+        mine = made[0][0].join(rest, "a_id", "left_semi")
+        found.append(best(reached(lambda of: of.join(made[0][1], block), mine, least())))
+    top = asked.join(tops(), "a_id").select(*told, "top")
+    out = r.select("row_id", "name", *told).join(top, told, "left")
     s = F.coalesce("top.score", F.lit(0.0))
     kind = numbers.match_type(s)
-    return found.select("row_id", "name", F.when(kind != "no_match", F.col("top.canonical_name")).alias("match"), kind.alias("match_type"), F.when(kind != "no_match", F.round(s, 3)).otherwise(s).alias("confidence"))
+    return out.select("row_id", "name", F.when(kind != "no_match", F.col("top.canonical_name")).alias("match"), kind.alias("match_type"), F.when(kind != "no_match", F.round(s, 3)).otherwise(s).alias("confidence"))
 
 
 def _segment(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
@@ -115,10 +178,6 @@ def _segment(length: Column, n: Column, i: Column) -> tuple[Column, Column]:
     return begin + 1, F.floor((i + 1) * length / n).cast("int") - begin
 
 
-#: Names of a block that hold the same segment in the same place, from which on they meet by what deletions leave of them.
-COMMON = 100
-
-
 def _shorter(s: Column, most: int) -> Column:
     """All that is left of a text when up to so many letters are deleted."""
     left = F.array(s)

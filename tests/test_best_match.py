@@ -117,3 +117,28 @@ def test_dots_in_addresses(spark):
     cases = [("", "https://a.example/x/y?q"), ("../z", "https://a.example/z"), ("../../../z/./", "https://a.example/z/"), ("..", "https://a.example/"), ("/a/b/../c?d=../e#..", "https://a.example/a/c?d=../e#.."), ("?n=1", "https://a.example/x/y?n=1"), (".", "https://a.example/x/")]
     df = spark.createDataFrame(cases, "a string, want string").withColumn("got", catalog.resolved(F.lit("https://a.example/x/y?q"), F.col("a")))
     assert [(r["a"], r["got"]) for r in df.collect()] == cases
+
+
+def test_rows_whose_best_is_known_by_keys_meet_no_bounds(spark, monkeypatch):
+    """Names of one block with a letter more or less or in another place: no pair of a block is bounded."""
+    names = [f"CUSTOMER#{k * 7919 % 100_000:05d}" for k in range(400)]
+    rows = [(1, k, n.replace("TOM", "TM"), "Buca" if k % 3 else "Konak", None) for k, n in enumerate(names)]
+    cands = [(1, i * 400 + k, n, "Buca" if k % 3 else "Konak", None) for i in range(2) for k, n in enumerate(names)]
+    r = spark.createDataFrame(rows, "block int, row_id int, name string, district string, phone string")
+    c = spark.createDataFrame(cands, "block int, ord int, canonical_name string, district_name string, phone string")
+
+    def never(*_):
+        raise AssertionError("all pairs of a block are bounded")
+
+    monkeypatch.setattr(matching, "_bounded", never)
+    checked = []
+    got = {x["row_id"]: (x["match"], x["confidence"]) for x in matching.best_match(r, c, ["block"], checked).collect()}
+    assert checked[0].count() < 400 * 40
+    for k in range(0, 400, 20):
+        want = max((0.6 * plain_best(rows[k][2], n) + 0.15 * (1.0 if rows[k][3] == cands[j][3] else plain_winkler(rows[k][3].lower(), cands[j][3].lower())), -j) for j, n in enumerate(names))
+        assert got[k] == (names[-want[1]], round(want[0], 3))
+
+
+def test_very_common_words_and_phones_meet_all_of_their_block(spark, monkeypatch):
+    monkeypatch.setattr(matching, "COMMON", 3)
+    test_best_match_equals_all_pairs(spark)
