@@ -54,18 +54,19 @@ def filled(children: DataFrame, parent: list[str], level: str, weights: DataFram
 
 
 def leaf_budgets(leaves: DataFrame, budget: int, epochs: int, weights: dict[str, DataFrame] | None = None) -> DataFrame:
-    """domain, lang, source, tokens and given, from a table of leaves with their tokens; budget is that of the root."""
+    """domain, lang, source, tokens and given, from a table of leaves with their tokens; budget is that of the root. Each level's
+    budgets are a small table in the shared folder, or the plan would hold those of the levels above many times."""
     weights = weights or {}
     nodes = leaves.select(*LEVELS, "tokens", (F.col("tokens") * epochs).cast("long").alias("capacity"))
     for level in weights:  # what is weighted out is no capacity of the nodes above
         nodes = weighted(nodes, level, weights[level])
         nodes = nodes.select(*LEVELS, "tokens", F.when(F.col("weight") > 0, F.col("capacity")).otherwise(0).alias("capacity"))
-    tables = {len(LEVELS): nodes}
+    tables = {len(LEVELS): written(nodes, "nodes")}
     for depth in range(len(LEVELS) - 1, 0, -1):
         tables[depth] = tables[depth + 1].groupBy(*LEVELS[:depth]).agg(F.sum("capacity").alias("capacity"))
     here = tables[1].withColumn("budget", F.lit(budget))
     for depth in range(1, len(LEVELS) + 1):
-        here = filled(here, LEVELS[: depth - 1], LEVELS[depth - 1], weights.get(LEVELS[depth - 1]))
+        here = written(filled(here, LEVELS[: depth - 1], LEVELS[depth - 1], weights.get(LEVELS[depth - 1])), "given")
         if depth < len(LEVELS):
             here = tables[depth + 1].join(here.select(*LEVELS[:depth], F.col("given").alias("budget")), LEVELS[:depth])
     return here.select(*LEVELS, "tokens", "given")

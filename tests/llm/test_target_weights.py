@@ -48,3 +48,11 @@ def test_shares_of_the_query_follow_the_weights(spark):
     for d, dw in (("domain0", 1), ("domain1", 3), ("domain2", 2)):
         for lang, lw in (("en", 4), ("de", 2)):
             assert abs(got[d, lang] / total - dw / 6 * lw / 6) < 0.01
+
+
+def test_budgets_of_a_level_are_made_once(spark):
+    """The plan reads the budgets of the last level; it doesn't hold the windows of all levels many times over."""
+    weights = {"lang": spark.createDataFrame([("y", 2.0)], "lang string, weight double")}
+    found = mixing.leaf_budgets(spark.createDataFrame(LEAVES, "domain string, lang string, source string, tokens long"), 80, 1, weights)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan
