@@ -7,8 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lantern.operators.tables import dealt
 from lantern.sources import catalog
 
+#: Parts that the rows of an address are dealt over; its links go to each.
+BLOCKS = 16
+
 
 def links(pages: DataFrame, key: str, pattern: str) -> DataFrame:
     """key and url, each once, of the addresses in a page's html that a pattern matches."""
@@ -24,9 +28,16 @@ def references(pages: DataFrame, key: str, base: str) -> DataFrame:
 
 def rows(pages: DataFrame, fetched: DataFrame, key: str, pattern: str, parser: Callable[[Column], Column]) -> DataFrame:
     """The rows of all pages that a page links to, under its key. A linked page is parsed once, however many link to it; one
-    that wasn't fetched has no rows. pages: key and html. fetched: url and html."""
-    parsed = fetched.select("url", F.explode(parser(F.coalesce("html", F.lit("")))).alias("r")).select("url", "r.*")
-    return links(pages, key, pattern).join(parsed, "url")
+    that wasn't fetched has no rows. pages: key and html. fetched: url and html.
+
+    The result has many more rows than both sides, so what counts is the room that they take where they are written. Each row
+    of an address goes with all of its links at once: the row's values stand together, and the keys come in the same order
+    after each, which encodings make short."""
+    parsed = fetched.select("url", F.explode(parser(F.coalesce("html", F.lit("")))).alias("r"))
+    parsed = parsed.select("url", F.pmod(F.xxhash64("r"), F.lit(BLOCKS)).cast("int").alias("block"), "r.*")
+    found = links(pages, key, pattern).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    met = dealt(parsed, "url", "block").join(dealt(found, "url", "block").hint("shuffle_hash"), ["url", "block"])
+    return met.drop("block")
 
 
 def errors(pages: DataFrame, fetched: DataFrame, key: str, pattern: str) -> DataFrame:
