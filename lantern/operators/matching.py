@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lantern.functions import numbers, similarity, text
-from lantern.operators.tables import kept
+from lantern.operators.tables import kept, shuffled
 
 
 SKETCH = "size long, low long, high long, shared long, words long, distinct long"
@@ -72,6 +72,8 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 #: Names of a block that hold the same segment in the same place, from which on they meet by what deletions leave of them;
 #: candidates of a block that hold the same word or phone, from which on rows with it meet all of their block.
 COMMON = 100
+#: Rows of a block that meet all of its candidates in one task.
+PART = 4096
 
 
 def _name_keys(block: list[str], name: Column, own: str, other: str) -> Column:
@@ -114,9 +116,9 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
     told, tells = [*block, "r_name", "r_district", "r_phone"], [*block, "c_name", "c_district", "c_phone"]
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows make many pairs: none of their partitions are joined up
     there = lambda df: df.where(" and ".join(f"{b} is not null" for b in block))
-    asked = kept(there(r).select(*told).distinct().repartition(parts).withColumn("a_id", F.monotonically_increasing_id()))
+    asked = shuffled(kept(there(r).select(*told).distinct().repartition(parts).withColumn("a_id", F.monotonically_increasing_id())))
     c = there(c).groupBy(*tells).agg(F.min(F.struct("ord", "canonical_name")).alias("first")).select(*tells, "first.*")
-    c = kept(c.repartition(parts).withColumn("c_id", F.monotonically_increasing_id()))
+    c = shuffled(kept(c.repartition(parts).withColumn("c_id", F.monotonically_increasing_id())))
     phone, known = numbers.phone_signal(F.col("r_phone"), F.col("c_phone")), (F.col("r_district") != "") & (F.col("c_district") != "")
 
     def scored(ids: DataFrame) -> DataFrame:
@@ -131,7 +133,7 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
 
     def sketched() -> tuple[DataFrame, DataFrame]:
         both = (asked, "r", "a_id"), (c, "c", "c_id")
-        return tuple(kept(df.select(*block, i, *[f"{x}_{n}" for n in ("name", "district", "phone")], _sketch(F.col(f"{x}_name")).alias(f"{x}_sketch"), _sketch(F.col(f"{x}_district")).alias(f"{x}_place"))) for df, x, i in both)
+        return tuple(shuffled(kept(df.select(*block, i, *[f"{x}_{n}" for n in ("name", "district", "phone")], _sketch(F.col(f"{x}_name")).alias(f"{x}_sketch"), _sketch(F.col(f"{x}_district")).alias(f"{x}_place")))) for df, x, i in both)
 
     def reached(some: Callable[[DataFrame], DataFrame], of: DataFrame, tops: DataFrame) -> DataFrame:
         """Of the pairs that some makes, of rows, those whose bound reaches the score of the row's best one so far, and of the
@@ -140,7 +142,7 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
         # one number holds bound, words in common and candidate, so that its maximum is a plain sum of the tasks' ones
         packed = F.shiftleft(F.floor(F.col("bound") * (1 << 14)).cast("long"), 48) + F.shiftleft(F.least("alike", F.lit(31)).cast("long"), 43) + F.col("c_id") % (1 << 43)
         likely = pairs.groupBy("a_id").agg((F.max(packed) % (1 << 43)).alias("c_id"))
-        least = kept(scored(likely).select("a_id", F.col("score").alias("least")).unionByName(tops).groupBy("a_id").agg(F.max("least").alias("least")))
+        least = shuffled(kept(scored(likely).select("a_id", F.col("score").alias("least")).unionByName(tops).groupBy("a_id").agg(F.max("least").alias("least"))))
         # not a filter, which would be moved into the join with all steps of the bound written out
         over = F.explode(F.when(F.col("bound") >= F.coalesce("least", F.lit(0.0)), F.array("c_id")))
         return kept(_bounded(some(of.join(least, "a_id", "left"))).select("a_id", over.alias("c_id")))
@@ -150,7 +152,7 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
     found = [best(near.select("a_id", "c_id").distinct())]
     r_signals, c_signals = keyed(asked, "a_id", _signal_keys(block, F.col("r_name"), F.col("r_phone"))), keyed(c, "c_id", _signal_keys(block, F.col("c_name"), F.col("c_phone")))
     common = kept(c_signals.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("key"))
-    shared = kept(r_signals.join(c_signals.join(common, "key", "left_anti"), "key").select("a_id", "c_id").distinct())
+    shared = shuffled(kept(r_signals.join(c_signals.join(common, "key", "left_anti"), "key").select("a_id", "c_id").distinct()))
     tops = lambda: reduce(DataFrame.unionByName, found).groupBy("a_id").agg(F.max("top").alias("top"))
     least = lambda: tops().select("a_id", F.col("top.score").alias("least"))
     made: list[tuple[DataFrame, DataFrame]] = []
@@ -158,14 +160,18 @@ def best_match(rows: DataFrame, candidates: DataFrame, block: list[str], verifie
         made.append(sketched())
         found.append(best(reached(lambda of: shared.join(of, "a_id").join(made[0][1].drop(*block), "c_id"), made[0][0], least())))
     apart = _apart(F.col("r_name"), F.col("r_district"))
-    often = r_signals.join(common, "key", "left_semi").select("a_id").distinct().withColumn("often", F.lit(True))
+    often = shuffled(r_signals.join(common, "key", "left_semi").select("a_id").distinct().withColumn("often", F.lit(True)))
     of = asked.join(least(), "a_id", "left").join(often, "a_id", "left")
     rest = kept(of.where((F.col("often") | (F.coalesce("least", F.lit(0.0)) <= apart + 1e-9)) & (F.col("often").isNotNull() | (apart > 0))).select("a_id"))
     if not rest.isEmpty():
         made = made or [sketched()]
         mine = made[0][0].join(rest, "a_id", "left_semi")
-        found.append(best(reached(lambda of: of.join(made[0][1], block), mine, least())))
-    top = asked.join(tops(), "a_id").select(*told, "top")
+        # rows of a block go in parts of about PART rows; a copy of its candidates meets each
+        many = shuffled(mine.groupBy(*block).agg(F.ceil(F.count("*") / PART).alias("many")))
+        mine = mine.join(many, block).withColumn("part", F.pmod(F.xxhash64("a_id"), F.col("many"))).drop("many")
+        copies = made[0][1].join(many, block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).drop("many")
+        found.append(best(reached(lambda of: of.join(shuffled(copies), [*block, "part"]), mine, least())))
+    top = shuffled(asked.join(tops(), "a_id").select(*told, "top"))
     out = r.select("row_id", "name", *told).join(top, told, "left")
     s = F.coalesce("top.score", F.lit(0.0))
     kind = numbers.match_type(s)

@@ -44,3 +44,9 @@ def dealt(df: DataFrame, *by: str) -> DataFrame:
     """Rows in as many partitions as shuffles have, by columns or in turn. Small files whose rows take long would be the work
     of one task; a number that is asked for isn't joined up again."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for joins that shuffle it. Spark broadcasts what it takes to be small by the size of the files that it comes from;
+    rows that are exploded, or compressed well there, are many times that size in the driver."""
+    return df.hint("merge")
