@@ -220,7 +220,7 @@ def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[C
     asked = asked.select(block, "a", "size", "i", F.explode(parts).alias("part")).select(block, "a", key())
 
     def verified(a: DataFrame, b: DataFrame) -> DataFrame:
-        pairs = a.join(b, [block, "key"]).withColumn("distance", F.levenshtein("a", "b", int(shorter)) if shorter else F.levenshtein("a", "b"))
+        pairs = shuffled(a).join(shuffled(b), [block, "key"]).withColumn("distance", F.levenshtein("a", "b", int(shorter)) if shorter else F.levenshtein("a", "b"))
         return pairs.where((F.col("distance") >= 0) & (F.col("distance") <= limit(F.least(F.length("a"), F.length("b"))))).select(block, "a", "b", "distance")
 
     if not shorter:
@@ -228,9 +228,9 @@ def near_names(left: DataFrame, right: DataFrame, block: str, limit: Callable[[C
     common = kept(held.groupBy(block, "key").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select(block, "key"))
     if common.isEmpty():
         return verified(asked, held).distinct()
-    many = held.join(common, [block, "key"], "left_semi").select(block, "b").distinct()
+    many = shuffled(held).join(common, [block, "key"], "left_semi").select(block, "b").distinct()
     cuts = lambda df, name: df.select(block, name, F.explode(_shorter(F.col(name), shorter)).alias("part")).select(block, name, F.xxhash64("part").alias("key"))
-    by_segment = verified(asked, held.join(many, [block, "b"], "left_anti"))
+    by_segment = verified(asked, shuffled(held).join(many, [block, "b"], "left_anti"))
     return by_segment.unionByName(verified(cuts(left.where(F.col("a").isNotNull()), "a"), cuts(many, "b"))).distinct()
 
 
@@ -240,9 +240,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = kept(edges.where("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
+        least = shuffled(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        down = large.groupBy("x").agg(F.min("y").alias("m"))
+        down = shuffled(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(down, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(down.select("x", F.col("m").alias("y")))
         edges = kept(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("x", "y"))).first()
@@ -286,12 +286,12 @@ def greedy_pairs(block: str, a: str, b: str, near: DataFrame, rounds: int = ROUN
     while True:
         if done == rounds:
             hashed = near.withColumns({"_x": F.xxhash64(F.lit("a"), block, a), "_y": F.xxhash64(F.lit("b"), block, b)})
-            of = hashed.join(components(hashed.select(F.col("_x").alias("x"), F.col("_y").alias("y"))).select(F.col("node").alias("_x"), "component"), "_x")
-            of = kept(of.join(of.groupBy("component").agg(F.count("*").alias("_n")), "component"))
+            of = shuffled(hashed).join(components(hashed.select(F.col("_x").alias("x"), F.col("_y").alias("y"))).select(F.col("node").alias("_x"), "component"), "_x")
+            of = kept(of.join(shuffled(of.groupBy("component").agg(F.count("*").alias("_n"))), "component"))
             small = of.where(F.col("_n") <= most)
             out.append(kept(small.select(*columns, "component").groupBy("component", block).applyInArrow(solved, near.select(*columns).schema)))
             near = kept(of.where(F.col("_n") > most).select(*columns))
-        taken = kept(first(a).intersect(first(b)))
+        taken = shuffled(kept(shuffled(first(a)).join(first(b), [block, a, b, "distance"], "left_semi")))
         done += 1
         if taken.isEmpty():
             return reduce(DataFrame.unionByName, out)
@@ -319,10 +319,10 @@ def name_difference(ours: DataFrame, official: DataFrame, block: str, fixed: int
         if most is None and fixed is not None and fixed <= 2:
             break
         near = near_names(left, right, block, limit) if most is None else near_names(left, right, block, lambda n: F.least(limit(n), F.lit(most)), most)  # noqa: B023
-        found.append(greedy_pairs(block, "a", "b", near))
+        found.append(shuffled(greedy_pairs(block, "a", "b", near)))
         left, right = (kept(df.join(found[-1], [block, name], "left_anti")) for df, name in ((left, "a"), (right, "b")))
-    pairs = reduce(DataFrame.unionByName, found)
-    mismatch = pairs.join(missing, [block, "a"]).join(extra, [block, "b"]).select(block, F.lit("mismatch").alias("kind"), "official", "ours", "distance")
+    pairs = shuffled(reduce(DataFrame.unionByName, found))
+    mismatch = pairs.join(missing, [block, "a"]).join(shuffled(extra), [block, "b"]).select(block, F.lit("mismatch").alias("kind"), "official", "ours", "distance")
     none = F.lit(None).cast("int").alias("distance")
     gone = missing.join(pairs, [block, "a"], "left_anti").select(block, F.lit("missing").alias("kind"), "official", F.lit(None).cast("string").alias("ours"), none)
     more = extra.join(pairs, [block, "b"], "left_anti").select(block, F.lit("extra").alias("kind"), F.lit(None).cast("string").alias("official"), "ours", none)

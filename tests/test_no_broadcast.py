@@ -30,6 +30,23 @@ def lists(spark, n):
     return (spark.createDataFrame(x, "block int, ord int, name string") for x in (ours, made))
 
 
+def test_name_difference_broadcasts_no_names(spark, monkeypatch):
+    for name, value in {"COMMON": 3, "ROUNDS": 1}.items():
+        monkeypatch.setattr(matching, name, value)
+    found = spied(monkeypatch)
+    diff = matching.name_difference(*lists(spark, 120), "block")
+    assert diff.where("kind <> 'matched'").count() > 20
+    assert all(keys in FEW for keys in found + broadcast_keys(diff)), found
+
+
+def test_large_blocks_broadcast_no_pairs(spark, monkeypatch):
+    found = spied(monkeypatch)
+    near = [(1, f"a{k}", f"b{k + j}", j) for k in range(30) for j in (0, 1)]
+    pairs = matching.greedy_pairs("block", "a", "b", spark.createDataFrame(near, "block int, a string, b string, distance int"), rounds=1, most=5)
+    assert pairs.count() == 30
+    assert all(keys in FEW for keys in found), found
+
+
 def test_best_match_broadcasts_no_candidates(spark, monkeypatch):
     for name, value in {"COMMON": 3, "PART": 7}.items():
         monkeypatch.setattr(matching, name, value)
