@@ -57,3 +57,11 @@ def test_best_match_broadcasts_no_candidates(spark, monkeypatch):
     best = matching.best_match(rows, candidates, ["block"])
     assert best.count() == rows.count()
     assert not found + broadcast_keys(best), found
+
+
+def test_severity_of_lists_broadcasts_no_names(spark, monkeypatch):
+    monkeypatch.setattr(matching, "COMMON", 3)
+    found = spied(monkeypatch)
+    severity = matching.difference_severity(matching.name_difference(*lists(spark, 120), "block"), "block")
+    assert severity.count() == 2
+    assert all(keys in FEW for keys in found + broadcast_keys(severity)), found
