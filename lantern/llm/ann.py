@@ -1,19 +1,22 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Each table turns the vectors by several fast pseudo-rotations (three rounds of random signs and a Hadamard transform) and
-assigns each to the signed axis nearest to it in every one; the axes together are its bucket. Their number grows with the
-logarithm of the number of vectors, so that buckets stay small. A query probes buckets in the order of their distance, the
+assigns each to the signed axis nearest to it in every one; the axes together are its bucket. Their number may grow with the
+logarithm of the number of vectors, so that buckets stay small; a sample tells which number meets the fewest. A query probes buckets in the order of their distance, the
 sum over the rotations of how much farther the bucket's axis is than the nearest one, up to a distance that is set by the
 recall of a sample; what shares one of them with it is a candidate and is reranked by its exact inner product. For largest
 inner products the vectors get one more component that makes all of one length, so that the nearest on the sphere has the
 largest product; unit vectors stay as they are.
 
-Buckets that differ in the last axis only meet in one task, so a vector travels once for each table and a query once for
-each such group that it probes, with the last axes that it probes there.
+Buckets with the same first axes meet in one task, so a vector travels once for each table and a query once for each such
+group in which it probes a bucket; which ones these are is told there. How many axes make a group is set by the sample: with
+more of them groups are smaller, but a query goes to more of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from lantern.llm.common import map_batches, spread, written
 
 SEED = 20240229
-#: Vectors, and queries, that meet in one task.
+#: Vectors, and queries, that meet in one task; rows that a task sends at once.
 BLOCK = 4096
 #: Rotations that a table can have. Vectors that a group of buckets is meant to hold.
 MOST_AXES, GROUP = 8, 256
@@ -80,6 +83,22 @@ def probed(distance: np.ndarray, within: float) -> tuple[np.ndarray, np.ndarray]
     return group, far[:, None] + distance[-1] <= within
 
 
+def routed(distance: np.ndarray, within: float, route: int) -> np.ndarray:
+    """Of one query, the groups (the first `route` axes as one number) that it goes to."""
+    group, some = probed(distance[:route], within)
+    i, last = np.nonzero(some)
+    return group[i] * distance.shape[1] + last
+
+
+def reached(x: np.ndarray, table: int, part: int, rest: np.ndarray, route: int, axes: int, within: float, seed: int = SEED) -> np.ndarray:
+    """query, vector: which vectors of a group lie in a bucket that a query probes. rest: their axes after the first `route`."""
+    d, far = distances(x, table, axes, seed), np.zeros((len(x), 1))
+    for k in range(axes):
+        code, left = (np.full(1, part), route - 1 - k) if k < route else (rest, axes - 1 - k)
+        far = far + d[:, k][:, code // d.shape[2] ** left % d.shape[2]]
+    return far <= within
+
+
 def _padded(x: np.ndarray, dim: int) -> np.ndarray:
     return np.pad(x, ((0, 0), (0, dim - x.shape[1])))
 
@@ -95,22 +114,22 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.where("norm2 > 0 and norm2 < double('infinity')")
 
 
-def index(vectors: DataFrame, largest: float, dim: int, tables: int, axes: int, seed: int = SEED) -> DataFrame:
-    """Every vector once for each table: tbl, part (its group), last (its last axis), vec_id, v. largest: the largest
-    squared length."""
+def index(vectors: DataFrame, largest: float, dim: int, tables: int, axes: int, route: int, seed: int = SEED) -> DataFrame:
+    """Every vector once for each table: tbl, part (its group, by the first `route` axes), rest (its other axes), vec_id, v.
+    largest: the largest squared length."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        y, part, last = lifted(_matrix(batch["v"]), largest, dim), [], []
+        y, part, rest = lifted(_matrix(batch["v"]), largest, dim), [], []
         for t in range(tables):
             code = codes(y, t, axes, seed)
-            last.append(code[:, -1])
-            part.append(code[:, :-1] @ (2 * dim) ** np.arange(axes - 2, -1, -1) if axes > 1 else np.zeros(len(y), np.int64))
+            part.append(code[:, :route] @ (2 * dim) ** np.arange(route - 1, -1, -1))
+            rest.append(code[:, route:] @ (2 * dim) ** np.arange(axes - route - 1, -1, -1))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(y))), pa.array(np.concatenate(part).astype(np.int64)), pa.array(np.concatenate(last).astype(np.int32)), pa.array(np.tile(batch["vec_id"].to_numpy(), tables)), pa.concat_arrays([batch["v"]] * tables)],
-            ["tbl", "part", "last", "vec_id", "v"],
+            [pa.array(np.repeat(np.arange(tables, dtype=np.int32), len(y))), pa.array(np.concatenate(part).astype(np.int64)), pa.array(np.concatenate(rest).astype(np.int64)), pa.array(np.tile(batch["vec_id"].to_numpy(), tables)), pa.concat_arrays([batch["v"]] * tables)],
+            ["tbl", "part", "rest", "vec_id", "v"],
         )
 
-    return map_batches(vectors.select("vec_id", "v"), run, f"tbl int, part long, last int, vec_id long, v {vectors.schema['v'].dataType.simpleString()}")
+    return map_batches(vectors.select("vec_id", "v"), run, f"tbl int, part long, rest long, vec_id long, v {vectors.schema['v'].dataType.simpleString()}")
 
 
 def lifted(x: np.ndarray, largest: float, dim: int) -> np.ndarray:
@@ -121,33 +140,45 @@ def lifted(x: np.ndarray, largest: float, dim: int) -> np.ndarray:
     return _padded(np.column_stack([x, short])[:, :dim], dim)
 
 
-def probes(queries: DataFrame, dim: int, tables: int, axes: int, within: float, seed: int = SEED) -> DataFrame:
-    """Every query once for each group with a bucket that it probes: tbl, part, lasts (a bit for each last axis), query_id, v."""
+def probes(queries: DataFrame, dim: int, tables: int, axes: int, route: int, within: float, seed: int = SEED) -> DataFrame:
+    """Every query once for each group with a bucket that it probes: tbl, part, query_id, v. Rows are sent as they are made,
+    as a batch of queries goes to many times its number of groups."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x = _padded(_matrix(batch["v"]), dim)
-        tbl, part, lasts, take = [], [], [], []
-        for t in range(tables):
-            for i, d in enumerate(distances(x, t, axes, seed)):
-                group, some = probed(d, within)
-                tbl += [t] * len(group)
-                part.append(group)
-                lasts += [b.tobytes() for b in np.packbits(some, axis=1)]
-                take += [i] * len(group)
-        at = pa.array(take, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(tbl, pa.int32()), pa.array(np.concatenate(part)), pa.array(lasts, pa.binary()), batch["vec_id"].take(at), batch["v"].take(at)], ["tbl", "part", "lasts", "query_id", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            x, held, take, tbl = _padded(_matrix(batch["v"]), dim), [], [], []
 
-    return map_batches(queries.select("vec_id", "v"), run, f"tbl int, part long, lasts binary, query_id long, v {queries.schema['v'].dataType.simpleString()}")
+            def made() -> pa.RecordBatch:
+                at = pa.array(np.concatenate(take))
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tbl)), pa.array(np.concatenate(held)), batch["vec_id"].take(at), batch["v"].take(at)], ["tbl", "part", "query_id", "v"])  # noqa: B023
+
+            size = 0
+            for t in range(tables):
+                for i, d in enumerate(distances(x, t, axes, seed)):
+                    group = routed(d, within, route)
+                    for begin in range(0, len(group), BLOCK):
+                        some = group[begin : begin + BLOCK]
+                        held.append(some)
+                        take.append(np.full(len(some), i))
+                        tbl.append(np.full(len(some), t, np.int32))
+                        size += len(some)
+                        if size >= BLOCK:
+                            yield made()
+                            held, take, tbl, size = [], [], [], 0
+            if size:
+                yield made()
+
+    return queries.select("vec_id", "v").mapInArrow(run, f"tbl int, part long, query_id long, v {queries.schema['v'].dataType.simpleString()}")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of some vectors for each of some queries, ties to the smaller id; if the queries tell lasts, only those
-    vectors whose last axis is among them. A matrix product gives the shortlist; its scores are then taken again pair by
-    pair, in one order of additions, so that equal vectors tie."""
+def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> pd.DataFrame:
+    """The k nearest of some vectors for each of some queries, ties to the smaller id; with `near`, of queries and the
+    vectors' rest, only those pairs that it says. A matrix product gives the shortlist; its scores are then taken again pair
+    by pair, in one order of additions, so that equal vectors tie."""
     empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
     if q.empty or v.empty:
         return empty
@@ -159,9 +190,8 @@ def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
         some = x[at : at + 256]
         s = some @ y.T
         s[own[at : at + 256, None] == ids[None, :]] = -np.inf
-        if "lasts" in q and q["lasts"].iloc[0]:  # the exact search of all vectors has none
-            asked = np.unpackbits(np.frombuffer(b"".join(q["lasts"].iloc[at : at + 256]), np.uint8).reshape(len(some), -1), axis=1).astype(bool)
-            s[~asked[:, v["last"].to_numpy()]] = -np.inf
+        if near is not None:
+            s[~near(some, v["rest"].to_numpy())] = -np.inf
         n = min(k, len(y))
         least = -np.partition(-s, n - 1, axis=1)[:, n - 1]
         slack = 1e-12 * np.linalg.norm(some, axis=1) * np.sqrt((y * y).sum(1).max())
@@ -174,9 +204,9 @@ def nearest_in(q: pd.DataFrame, v: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out)
 
 
-def distance_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: float, dim: int, tables: int, axes: int, recall: float, sample: int, seed: int = SEED) -> float:
-    """How far a query must probe to find that share of its k nearest: brute force for a sample of so many queries (those
-    of the smallest hashes) over all vectors, then the distance of each true neighbour's bucket in its nearest table."""
+def sampled(vectors: DataFrame, queries: DataFrame, k: int, largest: float, dim: int, sample: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sample of so many queries (those of the smallest hashes) the vectors, their k nearest by brute force over all
+    vectors, and the query of each of these."""
     chosen = queries.select("vec_id", "v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     asked = pd.DataFrame({"query_id": chosen["vec_id"], "v": chosen["v"]})
 
@@ -195,17 +225,38 @@ def distance_needed(vectors: DataFrame, queries: DataFrame, k: int, largest: flo
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     true = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "v").toPandas()
     if true.empty:
+        return (np.empty((0, dim)),) * 3
+    of = np.stack(asked.set_index("query_id").loc[true["query_id"], "v"].to_numpy())
+    return _padded(np.stack(asked["v"].to_numpy()), dim), lifted(np.stack(true["v"].to_numpy()), largest, dim), _padded(of, dim)
+
+
+def distance_needed(true: np.ndarray, of: np.ndarray, tables: int, axes: int, recall: float, seed: int = SEED) -> float:
+    """How far a query must probe to find that share of its nearest: the distance of each one's bucket in its nearest table."""
+    if not len(true):
         return 0.0
-    x, y = lifted(np.stack(true["v"].to_numpy()), largest, dim), _padded(np.stack(asked.set_index("query_id").loc[true["query_id"], "v"].to_numpy()), dim)
-    far = np.full(len(x), np.inf)
+    far = np.full(len(true), np.inf)
     for t in range(tables):
-        code, d = codes(x, t, axes, seed), distances(y, t, axes, seed)
+        code, d = codes(true, t, axes, seed), distances(of, t, axes, seed)
         far = np.minimum(far, np.take_along_axis(d, code[:, :, None], 2)[:, :, 0].sum(axis=1))
     return float(np.quantile(far, recall, method="higher")) + 1e-9
 
 
+def tuned(asked: np.ndarray, true: np.ndarray, of: np.ndarray, n: int, tables: int, recall: float, seed: int = SEED) -> tuple[int, int, float]:
+    """How many axes a bucket has, of how many of them groups are made, and how far queries probe, so that the sample's
+    queries meet the fewest vectors with so much recall. To be sent to a group counts as GROUP vectors. More axes tell vectors
+    apart better, but where neighbours are far a query probes most groups of them."""
+    ways = []
+    for axes in range(1, axes_for(n, asked.shape[1]) + 1):
+        within = distance_needed(true, of, tables, axes, recall, seed)
+        far = [distances(asked, t, axes, seed) for t in range(tables)] if len(asked) else []
+        for route in range(1, max(axes - 1, 1) + 1):
+            groups = sum(len(routed(d, within, route)) for table in far for d in table)
+            ways.append((groups * (GROUP + n / (2 * asked.shape[1]) ** route), axes, route, within))
+    return min(ways)[1:]
+
+
 def axes_for(n: int, dim: int, group: int = GROUP) -> int:
-    """So many axes that the groups of buckets hold about so many vectors: one for the last axis, more by the logarithm."""
+    """The most axes: so many that the groups of buckets hold about so many vectors, one for the last axis, more by the logarithm."""
     return min(MOST_AXES, 1 + max(1, round(np.log(max(n / group, 1)) / np.log(2 * dim))))
 
 
@@ -236,13 +287,12 @@ def search(
     size = good.agg(F.max("norm2").alias("most"), F.min("norm2").alias("least"), F.count("*").alias("n")).first()
     uneven = np.sqrt(max(size["most"] - size["least"], 0)) >= ROUNDING * np.sqrt(size["most"])
     dim = 1 << max(int(dims["dim"] + uneven - 1).bit_length(), 2)
-    axes = axes_for(size["n"], dim)
-    within = distance_needed(good, asked, k, size["most"], dim, tables, axes, recall, sample)
+    axes, route, within = tuned(*sampled(good, asked, k, size["most"], dim, sample), size["n"], tables, recall)
     schema = "query_id long, vec_id long, score double"
     keys = ["tbl", "part", "v_block", "q_block"]
 
-    def met(placed: DataFrame, asking: DataFrame) -> DataFrame:
-        """The nearest of each query in each group that it meets."""
+    def met(placed: DataFrame, asking: DataFrame, hashed: bool = True) -> DataFrame:
+        """The nearest of each query in each group that it meets; if hashed, in the buckets that it probes there."""
         # how many blocks each group needs; groups are far fewer than vectors
         many = placed.groupBy("tbl", "part").count().select("tbl", "part", F.ceil(F.col("count") / block).alias("v_blocks"))
         asks = asking.groupBy("tbl", "part").count().select("tbl", "part", F.ceil(F.col("count") / block).alias("q_blocks"))
@@ -253,20 +303,23 @@ def search(
             df = df.join(plan, ["tbl", "part"]).withColumn(own, F.pmod(F.xxhash64(key), f"{own}s").cast("int"))
             return df.withColumn(other, F.explode(F.sequence(F.lit(0), (F.col(f"{other}s") - 1).cast("int")))).select(*keys, key, "v", *more)
 
-        left = dealt(asking, "query_id", "q_block", "v_block", "lasts").groupBy(*keys)
-        right = dealt(placed, "vec_id", "v_block", "q_block", "last").groupBy(*keys)
-        return left.cogroup(right).applyInPandas(lambda q, v: nearest_in(q, v, k), schema)
+        def nearest(key: tuple, q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+            return nearest_in(q, v, k, (lambda x, rest: reached(_padded(x, dim), int(key[0]), int(key[1]), rest, route, axes, within)) if hashed and route < axes else None)
+
+        left = dealt(asking, "query_id", "q_block", "v_block").groupBy(*keys)
+        right = dealt(placed, "vec_id", "v_block", "q_block", *["rest"] * hashed).groupBy(*keys)
+        return left.cogroup(right).applyInPandas(nearest, schema)
 
     def ranked(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    found = written(ranked(met(index(good, size["most"], dim, tables, axes), probes(asked, dim, tables, axes, within))), "found")
+    found = written(ranked(met(index(good, size["most"], dim, tables, axes, route), probes(asked, dim, tables, axes, route, within))), "found")
     enough = found.groupBy("query_id").count().where(F.col("count") >= min(k, size["n"] - 1))
     few = asked.join(enough, asked["vec_id"] == enough["query_id"], "left_anti")
     if few.isEmpty():
         return found
     nowhere = [F.lit(0).alias("tbl"), F.lit(0).cast("long").alias("part")]
-    rest = met(good.select(*nowhere, F.lit(0).alias("last"), "vec_id", "v"), few.select(*nowhere, F.lit(b"").alias("lasts"), F.col("vec_id").alias("query_id"), "v"))
+    rest = met(good.select(*nowhere, "vec_id", "v"), few.select(*nowhere, F.col("vec_id").alias("query_id"), "v"), hashed=False)
     return found.join(few.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(rest))

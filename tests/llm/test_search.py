@@ -65,3 +65,46 @@ def test_single_precision_is_scored_in_double(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     for r in ann.search(df, df.where("vec_id % 20 = 0"), k=5).collect():
         assert r["score"] == pytest.approx(v[r["vec_id"]].astype(float) @ v[r["query_id"]].astype(float), abs=1e-14)
+
+
+@pytest.mark.parametrize("route", [1, 2, 3])
+def test_a_group_of_any_number_of_axes_reaches_all_buckets_within_the_distance(route):
+    rng, axes, within = np.random.default_rng(4), 3, 1.1
+    x, y = rng.normal(size=(5, 4)), rng.normal(size=(200, 4))
+    d, code = ann.distances(x, 2, axes), ann.codes(y, 2, axes)
+    want = sum(d[:, k][:, code[:, k]] for k in range(axes)) <= within
+    part, rest = code[:, :route] @ 8 ** np.arange(route - 1, -1, -1), code[:, route:] @ 8 ** np.arange(axes - route - 1, -1, -1)
+    for q in range(len(x)):
+        groups = ann.routed(d[q], within, route)
+        assert {*part[want[q]]} <= {*groups.tolist()} and len({*groups.tolist()}) == len(groups)
+    for g in {*part.tolist()}:
+        assert (ann.reached(x, 2, g, rest[part == g], route, axes, within) == want[:, part == g]).all()
+
+
+def test_probes_are_sent_in_small_batches(spark, monkeypatch):
+    """A batch of queries goes to many times as many groups; no Arrow batch holds all of them."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    v = np.random.default_rng(6).normal(size=(300, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, v array<double>").coalesce(1)
+    far = 1e9  # all of them
+    seen = []
+    run = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: seen.append(f) or run(self, f, schema))
+    rows = ann.probes(df, 16, 2, 2, 1, far)
+    batches = list(seen[0](iter(df.toArrow().to_batches())))
+    assert rows.count() == 300 * 2 * 32 == sum(b.num_rows for b in batches)
+    assert max(b.num_rows for b in batches) < 64 + 32
+
+
+def test_few_axes_where_neighbours_are_far_and_more_where_they_are_near():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(16, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    far = rng.normal(size=(16, 16))
+    far /= np.linalg.norm(far, axis=1, keepdims=True)
+    n = 10**6
+    assert ann.axes_for(n, 16) > 2
+    assert ann.tuned(x, x, x, n, 4, 0.95)[:2] == (3, 2)
+    axes, route, within = ann.tuned(x, far, x, n, 4, 0.95)
+    assert (axes, route) == (1, 1) and within == ann.distance_needed(far, x, 4, 1, 0.95)
+    assert ann.tuned(x[:0], x[:0], x[:0], n, 4, 0.95)[2] == 0
